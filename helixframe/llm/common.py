@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def crc_mod(column: str, mod: int) -> Column:
 
 def slices(column: pa.ChunkedArray | pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a text column that hold about ``limit`` bytes each, one row at least."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > start and total + n > limit:

@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import map_texts
@@ -145,7 +146,7 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
     def make(rows: pa.RecordBatch) -> pa.RecordBatch:
         texts = rows.column("text")
         n = [sum(v) for v in count_table(tokenizer).of(texts.to_pylist())]
-        sizes = pa.compute.binary_length(texts).cast(pa.int64())
+        sizes = pc.binary_length(texts).cast(pa.int64())
         return pa.record_batch([rows.column(0), sizes, pa.array(n, pa.int64()), pa.array([x > limit for x in n])], [id_column, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_column].dataType.simpleString()

@@ -83,3 +83,9 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[pa.Tabl
                     yield made
 
     return df.select(*columns).mapInArrow(run, schema)
+
+
+#: DuckDB has no crc32; this macro's text stands in for it: the reflected polynomial, eight bit steps for each byte.
+CRC32_SQL = """(xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+  lambda s, z: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END))))"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens
+from . import packing, quality, tokens
 from .common import table
 
 
@@ -18,8 +18,15 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_counts": op7_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_quality_rules": op10_quality_rules,
+}
+SQL: dict[str, str] = {
+    "op10_quality_rules": quality.SQL,
 }
-SQL: dict[str, str] = {}

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, tokens
+from . import lines, packing, quality, tokens
 from .common import table
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.remove_widespread_lines(table(spark, sf_dir, "documents"))
+    return cleaned.selectExpr("doc_id", "_lines AS n_lines", "_removed AS n_removed", "text")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -23,10 +28,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {
+    "op3_line_dedup": lines.SQL,
     "op10_quality_rules": quality.SQL,
 }

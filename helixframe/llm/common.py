@@ -71,13 +71,13 @@ def slices(column: pa.ChunkedArray | pa.Array, limit: int = BATCH_BYTES) -> Iter
         yield start, len(sizes)
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[pa.Table], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, limit: int = BATCH_BYTES) -> DataFrame:
     """Runs ``make`` over slices of (keep..., text) rows; a slice holds a bounded number of bytes."""
     columns = [F.col(c) for c in keep] + [F.coalesce(F.col(text), F.lit("")).alias("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column("text")):
+            for a, b in slices(batch.column("text"), limit):
                 made = make(batch.slice(a, b - a))
                 if made is not None and made.num_rows:
                     yield made

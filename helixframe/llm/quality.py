@@ -17,50 +17,76 @@ RULES = ("symbols", "dup_lines", "repeats", "shouting", "long_words")
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ!"
+#: Bits for the number of a window of three words within its text.
+NUMBER_BITS = 24
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _MORE = ("n_lines", "n_loud")
 
 
-def _less(text: Column, characters: str) -> Column:
-    """How many of these characters the text has."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+def _count(text: Column, pattern: str) -> Column:
+    """How many characters of this class the text has."""
+    return F.regexp_count(text, F.lit(pattern))
 
 
-def _repeated_words(hashes: Column) -> Column:
-    """Words that stand in a three-word window found twice; windows equal by a 64-bit hash within one text."""
-    order = F.array_sort(F.arrays_zip(hashes.alias("h"), F.sequence(F.lit(0), F.size(hashes) - 1).alias("i")))
-    near = F.transform(order, lambda x: x["h"])
-    again = F.zip_with(F.slice(near, 1, F.size(near) - 1), F.slice(near, 2, F.size(near) - 1), lambda a, b: a == b)
-    flags = F.zip_with(F.concat(F.array(F.lit(False)), again), F.concat(again, F.array(F.lit(False))), lambda a, b: a | b)
-    starts = F.array_sort(F.transform(F.filter(F.arrays_zip(order.alias("o"), flags.alias("f")), lambda x: x["f"]), lambda x: x["o"]["i"]))
-    zero = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
-    covered = F.aggregate(starts, zero, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")))
-    return covered["n"]
+def _numbered(hashes: Column) -> Column:
+    """The windows' hashes in order, with the windows' numbers in place of their low bits: plain long integers sort fast."""
+    return F.sort_array(F.transform(hashes, lambda x, i: F.shiftleft(x, NUMBER_BITS).bitwiseOR(i.cast("long"))))
+
+
+def _starts(hashes: Column, order: Column) -> Column:
+    """Sorted numbers of the windows whose hash is found twice.
+
+    Neighbours in ``order`` that agree in the remaining bits are compared in
+    full. Both arguments are plain columns, as a lambda evaluates what it
+    refers to anew for each element.
+    """
+    number = lambda x: x.bitwiseAND(F.lit((1 << NUMBER_BITS) - 1))
+    full = lambda x: F.get(hashes, number(x).cast("int"))
+    equal = lambda x, y: F.coalesce((F.shiftrightunsigned(x, NUMBER_BITS) == F.shiftrightunsigned(y, NUMBER_BITS)) & (full(x) == full(y)), F.lit(False))
+    again = F.filter(order, lambda x, i: equal(x, F.get(order, i - 1)) | equal(x, F.get(order, i + 1)))
+    return F.sort_array(F.transform(again, number))
+
+
+def _starts_of_any(pairs: Column) -> Column:
+    """As _starts(), from sorted (hash, number) pairs: for texts of more windows than a number has room for."""
+    again = F.filter(pairs, lambda x, i: F.coalesce(x["h"] == F.get(pairs, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(pairs, i + 1)["h"], F.lit(False)))
+    return F.sort_array(F.transform(again, lambda x: x["i"].cast("long")))
+
+
+def _covered(starts: Column) -> Column:
+    """Words in the windows of three that begin at these numbers."""
+    zero = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(starts, zero, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3).cast("long"), i - s["last"])).alias("n")))["n"]
 
 
 def measures(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """``docs`` with a struct column ``_q`` of the counts that the rules need.
 
     A null text counts as empty, and an empty text has zero of everything.
+    Windows are equal if 64-bit hashes of their words' hashes are, within one text.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     inner = F.trim(text, F.lit(BLANKS))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0)
-    out = docs.withColumns({"_q_words": F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, GAP, -1)), "_q_lines": lines})
+    out = docs.withColumns({"_q_words": F.when(inner == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(inner, GAP, -1), lambda x: F.xxhash64(x))), "_q_lines": lines})
     w = F.col("_q_words")
-    hashes = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))).otherwise(F.array().cast("array<bigint>"))
-    out = out.withColumn("_q_hashes", hashes)
+    windows = F.transform(F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), x))
+    out = out.withColumn("_q_hashes", windows)
     h = F.col("_q_hashes")
+    repeats, fits = F.size(F.array_distinct(h)) < F.size(h), F.size(h) < 1 << NUMBER_BITS
+    pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    out = out.withColumns({"_q_order": F.when(repeats & fits, _numbered(h)), "_q_pairs": F.when(repeats & ~fits, pairs)})
+    starts = F.coalesce(_starts(h, F.col("_q_order")), _starts_of_any(F.col("_q_pairs")))
     found = {
         "n_words": F.size(w),
-        "word_chars": F.length(F.translate(text, BLANKS, "")),
-        "n_symbols": _less(text, SYMBOLS),
+        "word_chars": F.length(text) - _count(text, r"[\x20\x09-\x0D]"),
+        "n_symbols": _count(text, r"[#*$%&|<>]"),
         "n_dup_lines": F.size("_q_lines") - F.size(F.array_distinct("_q_lines")),
-        "n_repeat_words": F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_repeated_words(h)),
+        "n_repeat_words": F.coalesce(_covered(starts), F.lit(0)),
         "n_lines": F.size("_q_lines"),
-        "n_loud": _less(text, CAPITALS),
+        "n_loud": _count(text, "[A-Z!]"),
     }
-    return out.withColumn("_q", F.struct(*(c.cast("long").alias(k) for k, c in found.items()))).drop("_q_words", "_q_lines", "_q_hashes")
+    return out.withColumn("_q", F.struct(*(c.cast("long").alias(k) for k, c in found.items()))).drop("_q_words", "_q_lines", "_q_hashes", "_q_order", "_q_pairs")
 
 
 def base_failed(q: Column) -> Column:

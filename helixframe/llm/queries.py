@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, jpeg, lines, packing, quality, sharding, tokens
+from . import classifier, jpeg, lines, packing, pieces, quality, sharding, tokens
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_features(jpeg.media_column(table(spark, sf_dir, "documents")))
 
 
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
     "op5_media_columns": op5_media_columns,
+    "op6_merge_dropout": op6_merge_dropout,
     "op7_token_counts": op7_token_counts,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,

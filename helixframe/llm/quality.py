@@ -194,10 +194,13 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang") -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    counted = measures(docs.select(id_column, stratum_column, F.col(text_column).alias("_text")), "_text").drop("_text")
-    limits = cutoffs(counted, labels, stratum_column, id_column)
-    judged = verdict(measures(docs, text_column), limits, stratum_column)
+    """The documents that pass, with the columns they came with.
+
+    Documents are written with their counts, so that these are made once: a
+    filter on an expression would have Spark evaluate it for each of its uses.
+    """
+    measured = cut(measures(docs, text_column))
+    judged = verdict(measured, cutoffs(measured, labels, stratum_column, id_column), stratum_column)
     return judged.where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, jpeg, lines, near, packing, pieces, quality, sharding, tokens
+from . import classifier, jpeg, lines, lm, near, packing, pieces, quality, sharding, tokens
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.remove_widespread_lines(table(spark, sf_dir, "documents"))
     return cleaned.selectExpr("doc_id", "_lines AS n_lines", "_removed AS n_removed", "text")
@@ -49,6 +53,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_line_dedup": op3_line_dedup,
     "op4_sharding": op4_sharding,
     "op5_media_columns": op5_media_columns,

@@ -1,4 +1,9 @@
-"""Registered queries."""
+"""Every registered query of the library's own operators, and its SQL where SQL can state it."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from . import entities, features, matching, ranking, sequences
+from .common import Query
+
+QUERIES: dict[str, Query] = {**sequences.QUERIES, **ranking.QUERIES, **features.QUERIES, **matching.QUERIES, **entities.QUERIES}
+SQL: dict[str, str] = {**sequences.SQL, **ranking.SQL, **features.SQL, **matching.SQL, **entities.SQL}

@@ -168,6 +168,7 @@ def balanced_logistic(train: DataFrame, features: str, label: str, strength: flo
 
 def out_of_fold(df: DataFrame, features: str, label: str, fold: str = "fold", folds: int = 5) -> DataFrame:
     """``df`` with each row's probability under the model of the other folds; folds whose training rows are of one class are left out."""
+    df = df.persist()  # read several times in each fold; lost parts are made again
     out = None
     for i in range(folds):
         train, test = df.where(F.col(fold) != i), df.where(F.col(fold) == i)

@@ -89,8 +89,9 @@ def binomial_tail(k: int | None, n: int | None, p: float | None) -> float | None
 
 def correlation(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Pearson's r for each group; 0 if either does not vary."""
-    moving = (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0)
-    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(moving, F.corr(x, y)).otherwise(0.0).alias("r"))
+    spread = F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.covar_pop(x, y) / spread, F.lit(0.0)).alias("r"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,12 @@ SEED = 20_240_601
 VARIANTS = 4
 #: Segmentations that a worker keeps; others are made each time. Of a run this long none is kept.
 KEPT, LONGEST_KEPT = 1_000_000, 64
+#: The agenda of a run of so many symbols is a plain list, of a longer one a heap.
+SHORT = 32
 
 SPACE = "▁"
 _RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_MASK = (1 << 64) - 1
+_NONE = float("inf")
 
 
 class Pieces:
@@ -47,8 +50,9 @@ class Pieces:
         for value, i in self.byte.items():
             spelled[i] = bytes([value])
         self.spelled = spelled
-        self.dropout, self.seed, self.variants = int(dropout * (1 << 64)), seed, variants
+        self.dropout, self.seed, self.variants = int(dropout * (1 << 32)), seed, variants
         self.literal = self._packed(self._bytes(SPACE))
+        self.room = KEPT // variants
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
     def _bytes(self, symbol: str) -> list[int]:
@@ -56,7 +60,7 @@ class Pieces:
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def segment(self, run: str, variant: int) -> bytes:
         """Ids of one run, by an agenda of candidate merges: best score first, then leftmost.
@@ -65,48 +69,70 @@ class Pieces:
         seed, variant, run and the candidate's ends is below the dropout; a
         merge beside it puts new candidates on the agenda.
         """
-        score = self.score
+        symbols = self._merged_short(run, variant) if len(run) <= SHORT else self._merged_long(run, variant)
+        ids, known = [], self.id.get
+        for s in symbols:
+            i = known(s)
+            if i is None:
+                ids += self._bytes(s)
+            else:
+                ids.append(i)
+        return self._packed(ids)
+
+    def _merged_short(self, run: str, variant: int) -> list[str]:
+        rank_of, none, limit = self.score.get, _NONE, self.dropout
+        symbols = list(run)
+        ranks = [rank_of(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        starts = list(range(len(symbols) + 1))
+        key = xxhash.xxh32_intdigest(run.encode(), self.seed + variant) if limit and ranks else 0
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            if limit and (key ^ starts[k] * 0x9E3779B1 ^ starts[k + 2] * 0x85EBCA6B) * 0xC2B2AE35 & 0xFFFFFFFF < limit:
+                ranks[k] = none
+                continue
+            symbols[k] = merged = symbols[k] + symbols[k + 1]
+            del symbols[k + 1], starts[k + 1], ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank_of(merged + symbols[k + 1], none)
+            if k:
+                ranks[k - 1] = rank_of(symbols[k - 1] + merged, none)
+        return symbols
+
+    def _merged_long(self, run: str, variant: int) -> list[str]:
+        rank_of = self.score.get
         symbols = list(run)
         n = len(symbols)
-        after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         agenda = []
         for i in range(n - 1):
-            rank = score.get(symbols[i] + symbols[i + 1])
+            rank = rank_of(symbols[i] + symbols[i + 1])
             if rank is not None:
                 agenda.append((rank, i, i + 2))
-        heapq.heapify(agenda)
-        limit = self.dropout
-        key = xxhash.xxh64_intdigest(run.encode(), self.seed + variant) if limit and agenda else 0
-        while agenda:
-            _, i, to = heapq.heappop(agenda)
-            j = after[i]
-            if symbols[i] is None or j >= n or end[j] != to or end[i] != j:
-                continue  # one of its parts has been merged meanwhile
-            if limit:
-                h = ((key ^ (i * 0x9E3779B97F4A7C15 + to * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93) & _MASK
-                h = ((h ^ h >> 32) * 0xD6E8FEB86659FD93) & _MASK
-                if h ^ h >> 32 < limit:
+        if agenda:
+            heapq.heapify(agenda)
+            pop, push, limit = heapq.heappop, heapq.heappush, self.dropout
+            key = xxhash.xxh32_intdigest(run.encode(), self.seed + variant) if limit else 0
+            # Of the symbol that begins at i, end[i]; of the one that ends at i, start[i]. Merged ones' inner places keep old values.
+            end, start = list(range(1, n + 1)), list(range(-1, n))
+            while agenda:
+                _, i, to = pop(agenda)
+                j = end[i]
+                if symbols[i] is None or j >= n or end[j] != to or symbols[j] is None:
+                    continue  # one of its parts has been merged meanwhile
+                if limit and (key ^ i * 0x9E3779B1 ^ to * 0x85EBCA6B) * 0xC2B2AE35 & 0xFFFFFFFF < limit:
                     continue
-            symbols[i] += symbols[j]
-            symbols[j] = None
-            end[i] = to
-            after[i] = right = after[j]
-            if right < n:
-                before[right] = i
-                rank = score.get(symbols[i] + symbols[right])
-                if rank is not None:
-                    heapq.heappush(agenda, (rank, i, end[right]))
-            left = before[i]
-            if left >= 0:
-                rank = score.get(symbols[left] + symbols[i])
-                if rank is not None:
-                    heapq.heappush(agenda, (rank, left, to))
-        ids = []
-        for s in symbols:
-            if s is not None:
-                known = self.id.get(s)
-                ids += [known] if known is not None else self._bytes(s)
-        return self._packed(ids)
+                merged = symbols[i] = symbols[i] + symbols[j]
+                symbols[j] = None
+                end[i], start[to] = to, i
+                if to < n:
+                    rank = rank_of(merged + symbols[to])
+                    if rank is not None:
+                        push(agenda, (rank, i, end[to]))
+                if i:
+                    left = start[i]
+                    rank = rank_of(symbols[left] + merged)
+                    if rank is not None:
+                        push(agenda, (rank, left, to))
+        return [s for s in symbols if s is not None]
 
     def runs(self, text: str) -> list[str | None]:
         """A text's runs; None stands for the blank's own sign, which goes to bytes so that it stays itself."""
@@ -123,7 +149,7 @@ class Pieces:
         runs = self.runs(text)
         if not runs:
             return np.zeros(0, "<u4")
-        known, out = self.known, []
+        known = self.known
         if self.variants > 1:
             # A keyed hash of the place, below the number of variants.
             key = np.uint64(xxhash.xxh64_intdigest(text.encode(), self.seed))
@@ -131,16 +157,15 @@ class Pieces:
             which = ((h >> np.uint64(40)) * np.uint64(self.variants) >> np.uint64(24)).tolist()
         else:
             which = [0] * len(runs)
-        for run, v in zip(runs, which, strict=True):
-            ids = known[v].get(run)
-            if ids is None:
-                if run is None:
-                    ids = self.literal
-                else:
-                    ids = self.segment(run, v)
-                    if len(run) <= LONGEST_KEPT and len(known[v]) < KEPT // self.variants:
-                        known[v][run] = ids
-            out.append(ids)
+        out = [known[v].get(run) for run, v in zip(runs, which, strict=True)]
+        if None in out:
+            for at, ids in enumerate(out):
+                if ids is None:
+                    run, v = runs[at], which[at]
+                    own = known[v]
+                    ids = out[at] = self.literal if run is None else own.get(run) or self.segment(run, v)
+                    if len(own) < self.room and run is not None and len(run) <= LONGEST_KEPT:
+                        own[run] = ids
         return np.frombuffer(b"".join(out), "<u4")
 
     def decode(self, ids: np.ndarray) -> str:

@@ -53,6 +53,16 @@ def drop_cut(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shielded(docs: DataFrame) -> DataFrame:
+    """``docs`` with c_ before each name, so that no column is named like one that an operator adds."""
+    return docs.toDF(*(f"c_{c}" for c in docs.columns))
+
+
+def unshielded(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The columns of shielded() under their own names, and ``more``."""
+    return df.select(*(F.col(f"`c_{c}`").alias(c) for c in columns), *more)
+
+
 def crc_mod(column: str, mod: int) -> Column:
     """crc32 of a column as text, modulo; a null counts as the empty string."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod

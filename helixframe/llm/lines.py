@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, shielded, unshielded
 from .quality import BLANKS
 
 MIN_SITES = 5
@@ -64,6 +64,7 @@ def remove_widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_colu
     null site is one site of its own. Equal rows are treated alike, so both
     keep a first occurrence. All other columns are returned as they came.
     """
+    own, key, text = shielded(docs), F.col(f"`c_{id_column}`"), F.col(f"`c_{text_column}`")
     lines = cut(_rows(docs, id_column, text_column, site_column))
     wide = cut(widespread(lines, min_sites))
     gone = (
@@ -72,14 +73,17 @@ def remove_widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_colu
         .groupBy("_id", "_row")
         .agg(F.collect_set("_at").alias("_gone"))
     )
-    parts = F.split(F.col(text_column), "\n", -1)
-    joined = docs.withColumn("_own", F.xxhash64(text_column)).join(gone.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_row")), "left")
+    parts = F.split(text, "\n", -1)
+    joined = own.withColumn("_own", F.xxhash64(text)).join(gone.hint("shuffle_hash"), key.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_row")), "left")
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    return joined.select(
-        *(F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(kept).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns),
-        F.when(F.col(text_column).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("_lines"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("_removed"),
+    changed = joined.withColumns(
+        {
+            f"c_{text_column}": F.when(F.col("_gone").isNull(), text).otherwise(kept),
+            "_lines": F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long"),
+            "_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
+        }
     )
+    return unshielded(changed, docs.columns, "_lines", "_removed")
 
 
 def drop_emptied(cleaned: DataFrame, text_column: str = "text") -> DataFrame:

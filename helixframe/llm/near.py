@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, map_texts, slices
+from .common import cut, map_texts, shielded, slices, unshielded
 from .hashing import Words, mix, shingles
 
 WIDTH = 5
@@ -322,6 +322,7 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH
     """One document of each class, that of the least id, with the columns it came with; repeated rows of it go too."""
     classes = near_duplicates(docs, similarity, width, id_column=id_column, text_column=text_column)
     stay = classes.where(F.col(id_column).eqNullSafe(F.col("class_id"))).select(F.col(id_column).alias("_stay")).distinct()
-    kept = docs.join(stay.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col("_stay")), "left_semi")
-    first = Window.partitionBy(F.col(id_column)).orderBy(F.xxhash64(text_column))
-    return kept.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
+    key, text = F.col(f"`c_{id_column}`"), F.col(f"`c_{text_column}`")
+    kept = shielded(docs).join(stay.hint("shuffle_hash"), key.eqNullSafe(F.col("_stay")), "left_semi")
+    first = Window.partitionBy(key).orderBy(F.xxhash64(text))
+    return unshielded(kept.withColumn("_first", F.row_number().over(first)).where("_first = 1"), docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CRC32_SQL, GAP, crc_mod, cut
+from .common import CRC32_SQL, GAP, crc_mod, cut, shielded, unshielded
 
 #: A rule's measure is compared with 1/STEPS, 2/STEPS, ... 1.
 STEPS = 50
@@ -199,9 +199,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", tex
     Documents are written with their counts, so that these are made once: a
     filter on an expression would have Spark evaluate it for each of its uses.
     """
-    measured = cut(measures(docs, text_column))
-    judged = verdict(measured, cutoffs(measured, labels, stratum_column, id_column), stratum_column)
-    return judged.where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    marks = labels.select(F.col(id_column).alias(f"c_{id_column}"), "quality")
+    measured = cut(measures(shielded(docs), f"c_{text_column}"))
+    limits = cutoffs(measured, marks, f"c_{stratum_column}", f"c_{id_column}")
+    return unshielded(verdict(measured, limits, f"c_{stratum_column}").where("kept"), docs.columns)
 
 
 SQL = rf"""

@@ -20,26 +20,25 @@ ROW_BYTES = 16
 
 
 @dataclass
-class Node:
-    """A box of the tree; ``shards`` leaves are to come of it, the first of which has number ``first``."""
+class Box:
+    """A box of the tree: its number is that of the first of the ``shards`` leaves that are to come of it."""
 
-    first: int
+    number: int
     shards: int
-    dimension: int = -1
-    value: int = 0
-    tie: int = 0
-    low: Node | None = None
-    high: Node | None = None
+    total: float = 0.0
+    dimension: int = 0
+    goal: float = 0.0
+    low: int = 0
+    high: int = 0
+    before: float = 0.0
+    value: int | None = None
+    tie: int | None = None
+    weight: float = 0.0
 
-    def column(self, dimensions: list[str], leaf) -> Column:
-        if self.low is None:
-            return leaf(self)
-        d = F.col(dimensions[self.dimension])
-        below = (d < F.lit(self.value)) | ((d == F.lit(self.value)) & (F.col("_tie") < F.lit(self.tie)))
-        return F.when(below, self.low.column(dimensions, leaf)).otherwise(self.high.column(dimensions, leaf))
 
-    def leaves(self) -> list[Node]:
-        return [self] if self.low is None else self.low.leaves() + self.high.leaves()
+def _by_box(values: dict[int, int], size: int) -> Column:
+    """The value of each row's box; a literal array, so that all passes share one plan and its compiled code."""
+    return F.get(F.lit([values.get(i, 0) for i in range(size)]).cast("array<bigint>"), F.col("_box"))
 
 
 def ordinal(column: str, kind: str) -> Column:
@@ -50,90 +49,92 @@ def ordinal(column: str, kind: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 62)))
 
 
-def _medians(rows: DataFrame, root: Node, dimensions: list[str], open_nodes: list[Node], chosen: dict[int, int], goal: dict[int, float], bounds: dict[int, tuple[int, int]], before: dict[int, float], unit: float, within: dict[int, int] | None = None) -> dict[int, tuple[int, float, float]]:
-    """For each node the value at which ``goal`` bytes lie below, the bytes before it and its own.
+def _halve(rows: DataFrame, boxes: list[Box], size: int, by_tie: bool, unit: float) -> None:
+    """Finds for each box the value below which ``goal`` bytes lie; with ``by_tie``, the tie among rows of that value.
 
-    The value range is cut into BINS parts, whose bytes Spark sums; the part
-    that holds the target is cut again until it holds one value or little
-    weight. At most nodes x BINS rows reach the driver in a pass.
+    The range is cut into BINS parts, whose bytes Spark sums; the part that
+    holds the goal is cut again until it holds one value or little weight. At
+    most boxes x BINS rows reach the driver in a pass.
     """
-    done: dict[int, tuple[int, float, float]] = {}
-    while todo := [n for n in open_nodes if n.first not in done]:
-        numbers = {n.first: n for n in todo}
-        node = root.column(dimensions, lambda n, ids=numbers: F.lit(n.first if n.first in ids else None).cast("int"))
-        low = F.lit(None).cast("long")
-        width = F.lit(None).cast("long")
-        value = F.lit(None).cast("long")
-        for n in todo:
-            a, b = bounds[n.first]
-            here = F.col("_node") == n.first
-            low = F.when(here, F.lit(a)).otherwise(low)
-            width = F.when(here, F.lit(max(1, -(-(b - a + 1) // BINS)))).otherwise(width)
-            value = F.when(here, F.col(dimensions[chosen[n.first]]) if within is None else F.when(F.col(dimensions[chosen[n.first]]) == F.lit(within[n.first]), F.col("_tie"))).otherwise(value)
-        found = rows.withColumn("_node", node).where(F.col("_node").isNotNull()).withColumns({"_v": value, "_low": low, "_width": width})
-        inside = found.where(F.col("_v").isNotNull() & (F.col("_v") >= F.col("_low")))
+    todo = boxes
+    while todo:
+        dimension = F.get("_d", _by_box({b.number: b.dimension for b in todo}, size).cast("int"))
+        low, width = ({b.number: x for b, x in zip(todo, xs, strict=True)} for xs in ([b.low for b in todo], [max(1, -(-(b.high - b.low + 1) // BINS)) for b in todo]))
+        value = F.col("_tie") if by_tie else dimension
+        found = rows.where(_by_box({b.number: 1 for b in todo}, size) == 1)
+        if by_tie:
+            found = found.where(dimension == _by_box({b.number: b.value for b in todo}, size))
         # Bounds are far inside the range of long integers, so the difference cannot overflow.
-        summed = inside.groupBy("_node", F.floor((F.col("_v") - F.col("_low")) / F.col("_width")).cast("long").alias("bin")).agg(F.sum("size").alias("bytes"), F.min("_v").alias("a"), F.max("_v").alias("b"))
-        by_node: dict[int, list] = {}
-        for r in summed.where(F.col("bin") < BINS).collect():
-            by_node.setdefault(r["_node"], []).append((r["a"], r["b"], float(r["bytes"])))
-        for first in numbers:
-            at = before[first]
-            parts = sorted(by_node[first])
-            for i, (a, b, weight) in enumerate(parts):
-                if at + weight >= goal[first] or i == len(parts) - 1:
-                    if a == b or (within is not None and weight <= unit * TOLERANCE):
-                        done[first] = (a, at, weight)
-                    else:
-                        bounds[first], before[first] = (a, b), at
+        part = F.floor((F.col("_v") - F.col("_low")) / F.col("_width")).cast("long")
+        summed = (
+            found.select("_box", "size", value.alias("_v"), _by_box(low, size).alias("_low"), _by_box(width, size).alias("_width"))
+            .withColumn("_part", part)
+            .where("_v >= _low")
+            .groupBy("_box", "_part")
+            .agg(F.sum("size").alias("bytes"), F.min("_v").alias("a"), F.max("_v").alias("b"))
+            .where(F.col("_part") < BINS)
+        )
+        parts: dict[int, list] = {}
+        for r in summed.collect():
+            parts.setdefault(r["_box"], []).append((r["a"], r["b"], float(r["bytes"])))
+        again = []
+        for box in todo:
+            own = sorted(parts[box.number])
+            for i, (a, b, weight) in enumerate(own):
+                if box.before + weight >= box.goal or i == len(own) - 1:
                     break
-                at += weight
-    return done
-
-
-def grow(rows: DataFrame, dimensions: list[str], shards: int) -> Node:
-    """The tree: each box is split at the weighted median of its widest dimension, until ``shards`` leaves are left.
-
-    ``rows`` has the dimensions as long integers, _tie and size. Leaves get
-    1/shards of the bytes each, so a box for an odd number of leaves is split
-    next to its median. Widths are shares of the whole table's range. Values
-    equal in a dimension are told apart by _tie, so no value is too frequent.
-    All boxes of one level are split together.
+                box.before += weight
+            if a == b or (by_tie and weight <= unit * TOLERANCE):
+                if by_tie:
+                    # The tied rows from a on go up or down, whichever is nearer to the goal.
+                    box.tie = a + (box.goal - box.before > box.before + weight - box.goal)
+                else:
+                    box.value, box.weight = a, weight
+            else:
+                box.low, box.high = a, b
+                again.append(box)
+        todo = again
+
+
+def grow(rows: DataFrame, dimensions: int, shards: int) -> DataFrame:
+    """``rows`` with ``shard``: each box is split at the weighted median of its widest dimension, until ``shards`` leaves are left.
+
+    ``rows`` has _d (the dimensions as long integers), _tie and size. Leaves
+    get 1/shards of the bytes each, so a box for an odd number of leaves is
+    split next to its median. Widths are shares of the whole table's range.
+    Values equal in a dimension are told apart by _tie, so no value is too
+    frequent. All boxes of one level are split together, and the level's boxes
+    are written before the next.
     """
-    root, whole, unit = Node(0, shards), None, 0.0
-    level = [root] if shards > 1 else []
+    rows = rows.withColumn("_box", F.lit(0))
+    level, whole, unit = [Box(0, shards)] if shards > 1 else [], None, 0.0
     while level:
-        ids = {n.first for n in level}
-        node = root.column(dimensions, lambda n, ids=ids: F.lit(n.first if n.first in ids else None).cast("int"))
-        stats = rows.withColumn("_node", node).where(F.col("_node").isNotNull()).groupBy("_node").agg(
-            F.sum("size").alias("bytes"), *(f(d).alias(f"{k}{i}") for i, d in enumerate([*dimensions, "_tie"]) for k, f in (("a", F.min), ("b", F.max)))
-        )
-        box = {r["_node"]: r for r in stats.collect()}
-        level = [n for n in level if n.first in box]
+        inside = rows.where(_by_box({b.number: 1 for b in level}, shards) == 1)
+        bounds = [f(x).alias(f"{k}{i}") for i, x in enumerate([*(F.get("_d", F.lit(j)) for j in range(dimensions)), F.col("_tie")]) for k, f in (("a", F.min), ("b", F.max))]
+        stats = {r["_box"]: r for r in inside.groupBy("_box").agg(F.sum("size").alias("bytes"), *bounds).collect()}
+        level = [b for b in level if b.number in stats]
         if not level:
-            return root
+            break
         if whole is None:
-            whole = [max(1, box[0][f"b{i}"] - box[0][f"a{i}"]) for i in range(len(dimensions))]
-            unit = box[0]["bytes"] / shards
-        chosen, goal, bounds = {}, {}, {}
-        for n in level:
-            r = box[n.first]
-            widths = [(r[f"b{i}"] - r[f"a{i}"]) / whole[i] for i in range(len(dimensions))]
-            chosen[n.first] = d = max(range(len(dimensions)), key=lambda i: (widths[i], -i))
-            goal[n.first] = r["bytes"] * (n.shards // 2) / n.shards
-            bounds[n.first] = (r[f"a{d}"], r[f"b{d}"])
-        values = _medians(rows, root, dimensions, level, chosen, goal, bounds, {n.first: 0.0 for n in level}, unit)
-        tie_bounds = {n.first: (box[n.first][f"a{len(dimensions)}"], box[n.first][f"b{len(dimensions)}"]) for n in level}
-        ties = _medians(rows, root, dimensions, level, chosen, goal, tie_bounds, {k: v[1] for k, v in values.items()}, unit, {k: v[0] for k, v in values.items()})
-        after = []
-        for n in level:
-            tie, at, weight = ties[n.first]
-            # The tied rows from ``tie`` on go up or down, whichever is nearer to the goal.
-            n.dimension, n.value, n.tie = chosen[n.first], values[n.first][0], tie + (goal[n.first] - at > at + weight - goal[n.first])
-            n.low, n.high = Node(n.first, n.shards // 2), Node(n.first + n.shards // 2, n.shards - n.shards // 2)
-            after += [x for x in (n.low, n.high) if x.shards > 1]
-        level = after
-    return root
+            whole = [max(1, stats[0][f"b{i}"] - stats[0][f"a{i}"]) for i in range(dimensions)]
+            unit = stats[0]["bytes"] / shards
+        for box in level:
+            r = stats[box.number]
+            box.dimension = max(range(dimensions), key=lambda i, r=r: ((r[f"b{i}"] - r[f"a{i}"]) / whole[i], -i))
+            box.goal = r["bytes"] * (box.shards // 2) / box.shards
+            box.low, box.high = r[f"a{box.dimension}"], r[f"b{box.dimension}"]
+        _halve(rows, level, shards, False, unit)
+        for box in level:
+            box.low, box.high = stats[box.number][f"a{dimensions}"], stats[box.number][f"b{dimensions}"]
+        _halve(rows, level, shards, True, unit)
+        own = F.get("_d", _by_box({b.number: b.dimension for b in level}, shards).cast("int"))
+        value, tie = _by_box({b.number: b.value for b in level}, shards), _by_box({b.number: b.tie for b in level}, shards)
+        up = _by_box({b.number: b.shards // 2 for b in level}, shards)
+        below = (own < value) | ((own == value) & (F.col("_tie") < tie))
+        rows = cut(rows.withColumn("_box", F.when(below, F.col("_box")).otherwise(F.col("_box") + up).cast("int")))
+        halves = [h for b in level for h in (Box(b.number, b.shards // 2), Box(b.number + b.shards // 2, b.shards - b.shards // 2))]
+        level = [h for h in halves if h.shards > 1]
+    return rows.withColumnRenamed("_box", "shard")
 
 
 def shard(docs: DataFrame, shards: int = 40, target_bytes: int | None = None, dimensions: tuple[str, ...] = ("source", "lang", "n_chars"), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -147,22 +148,20 @@ def shard(docs: DataFrame, shards: int = 40, target_bytes: int | None = None, di
     table gives no rows.
     """
     kinds = {f.name: "string" if f.dataType.simpleString() == "string" else "number" for f in docs.schema}
-    names = [f"_d{i}" for i in range(len(dimensions))]
     raw = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
     rows = cut(
         docs.select(
             F.col(id_column).alias("_id"),
             (F.length(raw) + ROW_BYTES).cast("long").alias("size"),
             F.crc32(raw).alias("text_crc32"),
-            *(ordinal(c, kinds[c]).alias(n) for c, n in zip(dimensions, names, strict=True)),
+            F.array(*(ordinal(c, kinds[c]) for c in dimensions)).alias("_d"),
             # Two bits less than a long integer has, so that differences have room.
             F.shiftright(F.xxhash64(F.col(id_column), F.col(text_column)), 2).alias("_tie"),
         )
     )
     if target_bytes is not None:
         shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
-    tree = grow(rows, names, shards)
-    placed = rows.withColumns({"shard": tree.column(names, lambda n: F.lit(n.first).cast("int")), "_part": F.pmod(F.col("_tie"), F.lit(PARTS)).cast("int")})
+    placed = grow(rows, len(dimensions), shards).withColumn("_part", F.pmod(F.col("_tie"), F.lit(PARTS)).cast("int"))
     # Bounded: at most shards x PARTS rows.
     offsets, seen = [], {}
     for s, p, n in sorted((r["shard"], r["_part"], r["count"]) for r in placed.groupBy("shard", "_part").count().collect()):

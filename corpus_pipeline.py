@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm import classifier, lines, near, packing, quality
-from helixframe.llm.common import cut, table
+from helixframe.llm.common import cut, holding, release, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -37,7 +39,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [
+_PLAIN: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
     ("quality_classifier", quality_classifier),
     ("line_dedup", line_dedup),
@@ -45,15 +47,26 @@ STAGES: list[tuple[str, Stage]] = [
     ("best_fit_packing", best_fit_packing),
 ]
 
+
+def _apply(stage: Stage, spark: SparkSession, docs: DataFrame, sf_dir: str, owner: str | None = None) -> DataFrame:
+    """A stage; what the one before it wrote for itself goes, since its rows have been written and read again by now."""
+    owner = owner or sf_dir
+    release(spark, owner)
+    with holding(owner):
+        return stage(spark, docs, sf_dir)
+
+
+STAGES: list[tuple[str, Stage]] = [(name, partial(_apply, stage)) for name, stage in _PLAIN]
+
 #: SQL has neither the classifier nor the tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, owner = table(spark, sf_dir, "documents"), uuid.uuid4().hex
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        docs = stage(spark, docs, sf_dir, owner)
         if i < len(STAGES) - 1:
             docs = cut(docs)
     return docs

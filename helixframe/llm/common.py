@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a task turns into numpy arrays at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+#: Paths that cut() wrote, by the owner that is to release them.
+_held: dict[str, list[str]] = {}
+_owner: ContextVar[str | None] = ContextVar("owner", default=None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
@@ -42,15 +49,26 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if (owner := _owner.get()) is not None:
+        _held.setdefault(owner, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Deletes the files behind a frame that cut() returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent()
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def holding(owner: str) -> Iterator[None]:
+    """What cut() writes inside is held for ``owner``."""
+    token = _owner.set(owner)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+
+
+def release(spark: SparkSession, owner: str) -> None:
+    """Deletes what is held for ``owner``; nothing may read it any more."""
+    for name in _held.pop(owner, []):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shielded(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ until the recall estimated from the verified pairs reaches the target.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, map_texts, shielded, slices, unshielded
+from .common import cut, holding, map_texts, release, shielded, slices, unshielded
 from .hashing import Words, mix, shingles
 
 WIDTH = 5
@@ -284,35 +285,39 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     own; repeated rows count as copies. An empty table gives no rows.
     """
     signed = cut(_signed(docs, id_column, text_column, width))
-    reps = cut(signed.where("n > 0").groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("_id").alias("first_id"), F.first("labels").alias("labels")))
-    chosen = _active(reps, SHORTEST).join(reps, "k").select(F.col("first_id").alias("_id"), "k", "copies", "labels")
-    texts = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-
-    def fetched(batches):
-        for batch in batches:
-            for a, b in slices(batch.column("text")):
-                part = batch.slice(a, b - a)
-                sets, keys = shingle_sets(part.column("text"), width)
-                own = np.flatnonzero(keys == part.column("k").to_numpy())  # an id may have several texts
-                kept = part.take(pa.array(own))
-                yield pa.record_batch([kept.column("k"), kept.column("copies"), kept.column("labels"), pa.array([sets[i].tobytes() for i in own.tolist()], pa.binary())], ["k", "copies", "labels", "shingles"])
-
-    active = cut(texts.join(chosen, texts["_id"].eqNullSafe(chosen["_id"])).select("k", "copies", "labels", "text").mapInArrow(fetched, "k long, copies long, labels array<int>, shingles binary"))
-    found, done, before = [], None, None
-    for depth in range(DEPTH, SHORTEST - 1, -1):
-        links, nodes = _verify(active, depth, before, done, similarity)
-        found.append(links)
-        done, before = nodes if done is None else done.unionByName(nodes), depth
-        if _estimated_recall(found, depth) >= target_recall:
-            break
-    links = found[0]
-    for f in found[1:]:
-        links = links.unionByName(f)
-    sums = links.groupBy("k").agg(F.sum("links").alias("links"))
-    labels = components(links)
-    classes = reps.select("k", "copies", "first_id").join(sums, "k", "left").join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
-    least = classes.groupBy("c").agg(F.min("first_id").alias("class_id"))
-    named = cut(classes.join(least, "c").select("k", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    spark, own = docs.sparkSession, uuid.uuid4().hex
+    with holding(own):
+        reps = cut(signed.where("n > 0").groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("_id").alias("first_id"), F.first("labels").alias("labels")))
+        chosen = _active(reps, SHORTEST).join(reps, "k").select(F.col("first_id").alias("_id"), "k", "copies", "labels")
+        texts = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+
+        def fetched(batches):
+            for batch in batches:
+                for a, b in slices(batch.column("text")):
+                    part = batch.slice(a, b - a)
+                    sets, keys = shingle_sets(part.column("text"), width)
+                    own = np.flatnonzero(keys == part.column("k").to_numpy())  # an id may have several texts
+                    kept = part.take(pa.array(own))
+                    yield pa.record_batch([kept.column("k"), kept.column("copies"), kept.column("labels"), pa.array([sets[i].tobytes() for i in own.tolist()], pa.binary())], ["k", "copies", "labels", "shingles"])
+
+        active = cut(texts.join(chosen, texts["_id"].eqNullSafe(chosen["_id"])).select("k", "copies", "labels", "text").mapInArrow(fetched, "k long, copies long, labels array<int>, shingles binary"))
+        found, done, before = [], None, None
+        for depth in range(DEPTH, SHORTEST - 1, -1):
+            links, nodes = _verify(active, depth, before, done, similarity)
+            found.append(links)
+            done, before = nodes if done is None else done.unionByName(nodes), depth
+            if _estimated_recall(found, depth) >= target_recall:
+                break
+        links = found[0]
+        for f in found[1:]:
+            links = links.unionByName(f)
+        sums = links.groupBy("k").agg(F.sum("links").alias("links"))
+        labels = components(links)
+        classes = reps.select("k", "copies", "first_id").join(sums, "k", "left").join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
+        least = classes.groupBy("c").agg(F.min("first_id").alias("class_id"))
+        named = classes.join(least, "c").select("k", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = cut(named)
+    release(spark, own)
     joined = signed.drop("labels").join(named, "k", "left")
     blank = F.col("n") == 0
     return joined.select(F.col("_id").alias(id_column), F.when(blank, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(blank, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))

@@ -119,3 +119,21 @@ def profile(df: DataFrame, columns: list[str], most: int = 10) -> DataFrame:
     w = Window.partitionBy("column")
     ranked = counts.withColumns({"filled": F.sum("n").over(w), "rank": F.row_number().over(w.orderBy(F.desc("n"), "value")).cast("bigint")})
     return ranked.where(F.col("rank") <= most)
+
+
+def value_add(results: DataFrame, key: str, block: str, score: str, full: str, base: str) -> DataFrame:
+    """For each contrast the score of the full block less that of the base; contrasts without both are left out."""
+    of = lambda b: F.max(F.when(F.col(block) == b, F.col(score)))
+    both = results.groupBy(key).agg(of(full).alias("full"), of(base).alias("base"))
+    return both.where(F.col("full").isNotNull() & F.col("base").isNotNull()).withColumn("delta", F.col("full") - F.col("base"))
+
+
+def rediscovery(df: DataFrame, name: str, score: str, groups: dict[str, list[str]]) -> DataFrame:
+    """Mean score and size of each named group of families, by their prefixes; the first group that fits counts."""
+    label = F.lit("other")
+    for g, prefixes in reversed(list(groups.items())):
+        fits = F.lit(False)
+        for p in prefixes:
+            fits = fits | F.startswith(F.col(name), F.lit(p))
+        label = F.when(fits, g).otherwise(label)
+    return df.groupBy(label.alias("named")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"))

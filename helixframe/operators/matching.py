@@ -76,3 +76,11 @@ def top_overlap(a: DataFrame, b: DataFrame, key: str, score: str, sizes: list[in
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.withColumn("jaccard", F.col("shared") / F.greatest(F.col("united"), F.lit(1)))
+
+
+def class_sets(matches: DataFrame, types: DataFrame, key: list[str], families: str = "families", family: str = "family", kind: str = "kind") -> DataFrame:
+    """For each match the sorted classes of its families, "" for a family without one, and whether they differ."""
+    rows = matches.select(*key, F.explode(families).alias(family)).join(types, family, "left")
+    found = rows.groupBy(*key).agg(F.array_sort(F.collect_set(F.coalesce(kind, F.lit("")))).alias("classes"))
+    named = F.filter("classes", lambda c: c != "")
+    return found.withColumn("crosses", F.size(named) > 1)

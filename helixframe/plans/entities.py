@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import entities, models, scoring
+from ..operators import entities, models, ranking, scoring
 from .common import POS, Query, activations, positions, r6, sequences, table
 
 QUERIES: dict[str, Query] = {}
@@ -214,3 +214,25 @@ _add(
     lambda s, d: activations(s, d).groupBy("label").agg(F.round(F.avg(S.relative_drop(F.greatest(F.col("x"), F.lit(0.0)), F.lit(0.05))), 6).alias("drop")),
     "SELECT label, round(avg(greatest(greatest(x, 0) - 0.05::DOUBLE, 0) / greatest(greatest(x, 0), 1e-6)), 6) AS drop FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label",
 )
+
+
+def value_add(spark, sf_dir):
+    """How much better the price tells returned rows than the discount does, for each line number."""
+    long = table(spark, sf_dir, "lineitem").select("l_linenumber", "l_returnflag", F.explode(F.create_map(F.lit("price"), F.col("l_extendedprice"), F.lit("discount"), F.col("l_discount"))).alias("block", "score"))
+    each = ranking.mann_whitney(long, "score", F.col("l_returnflag") == "R", ["l_linenumber", "block"])
+    return entities.value_add(each, "l_linenumber", "block", "auc", "price", "discount").select("l_linenumber", *r6("full", "base", "delta"))
+
+
+_add(
+    "value_add",
+    value_add,
+    """WITH l AS (SELECT l_linenumber, l_returnflag = 'R' AS y, unnest(['price', 'discount']) AS block, unnest([l_extendedprice, l_discount]) AS score FROM lineitem),
+    r AS (SELECT *, rank() OVER (PARTITION BY l_linenumber, block ORDER BY score) + (count(*) OVER (PARTITION BY l_linenumber, block, score) - 1) / 2 AS rk FROM l),
+    a AS (SELECT l_linenumber, block, (sum(rk) FILTER (y) - count(*) FILTER (y) * (count(*) FILTER (y) + 1) / 2) / (count(*) FILTER (y) * count(*) FILTER (NOT y)) AS auc FROM r GROUP BY ALL)
+    SELECT l_linenumber, round(max(auc) FILTER (block = 'price'), 6) AS "full", round(max(auc) FILTER (block = 'discount'), 6) AS base, round(max(auc) FILTER (block = 'price') - max(auc) FILTER (block = 'discount'), 6) AS delta FROM a GROUP BY l_linenumber""",
+)
+_add(
+    "rediscovery_means",
+    lambda s, d: entities.rediscovery(table(s, d, "part"), "p_type", "p_retailprice", {"economy": ["ECONOMY"], "large": ["LARGE", "MEDIUM"]}).select("named", "n", *r6("mean")),
+    "SELECT CASE WHEN starts_with(p_type, 'ECONOMY') THEN 'economy' WHEN starts_with(p_type, 'LARGE') OR starts_with(p_type, 'MEDIUM') THEN 'large' ELSE 'other' END AS named, count(*) AS n, round(avg(p_retailprice), 6) AS mean FROM part GROUP BY 1",
+)

@@ -91,3 +91,18 @@ _add(
     """WITH p AS (SELECT l_partkey, sum(l_quantity) AS a, sum(l_linenumber)::DOUBLE AS b FROM lineitem GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY a DESC, l_partkey) AS ra, row_number() OVER (ORDER BY b DESC, l_partkey) AS rb FROM p),
     s AS (SELECT n, count(*) FILTER (ra <= n AND rb <= n) AS shared, count(*) FILTER (ra <= n OR rb <= n) AS united FROM r, (SELECT unnest([25, 50, 100])::BIGINT AS n) GROUP BY n) SELECT n, shared, united, round(shared / united, 6) AS jaccard FROM s""",
 )
+
+
+def class_sets(spark, sf_dir):
+    """Regions of the families that each feature is present in; families above 7 have none."""
+    types = table(spark, sf_dir, "nation").where("n_nationkey < 8").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("family"), F.col("r_name").alias("kind"))
+    matches = presence(spark, sf_dir).groupBy("feat").agg(F.collect_set("label").alias("families"))
+    return matching.class_sets(matches, types, ["feat"]).select("feat", F.array_join("classes", ",").alias("classes"), "crosses")
+
+
+_add(
+    "class_sets",
+    class_sets,
+    f"""WITH {PRESENCE}, t AS (SELECT n_nationkey AS label, r_name AS kind FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey < 8), c AS (SELECT DISTINCT feat, coalesce(kind, '') AS kind FROM present LEFT JOIN t USING (label))
+    SELECT feat, string_agg(kind, ',' ORDER BY kind) AS classes, count(*) FILTER (kind <> '') > 1 AS crosses FROM c GROUP BY feat""",
+)

@@ -68,3 +68,23 @@ def alignments(rows: DataFrame) -> DataFrame:
     even = norm.withColumns({"_a": F.min(F.length("aligned")).over(width), "_b": F.max(F.length("aligned")).over(width)}).where("_a = _b").drop("_b").withColumnRenamed("_a", "width")
     first = Window.partitionBy("family", "ungapped").orderBy("row_no")
     return even.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+
+
+def residues(rows: DataFrame, letters: str = "ACGUN") -> DataFrame:
+    """(family, seq_id, column, letter, nth) of the letters of alignment rows; nth counts a row's letters from 1."""
+    cells = rows.select("family", "seq_id", F.posexplode(F.split("aligned", "")).alias("column", "letter")).where(F.col("letter").isin(*letters))
+    w = Window.partitionBy("family", "seq_id").orderBy("column")
+    return cells.withColumn("nth", F.row_number().over(w))
+
+
+def contexts(queries: DataFrame, rows: DataFrame, most: int = 31, seed: int = 0) -> DataFrame:
+    """Each query (family, ungapped) found in its family's alignment, and up to ``most`` other rows in hash order: a sample.
+
+    ``nth`` is 0 for the query's own row; queries without a row in the
+    alignment are left out.
+    """
+    own = queries.select("family", "ungapped").distinct().join(rows.select("family", "ungapped", F.col("seq_id").alias("query"), F.col("aligned").alias("query_row")), ["family", "ungapped"])
+    others = own.join(rows.select("family", F.col("seq_id").alias("seq_id"), "aligned"), "family").where(F.col("seq_id") != F.col("query"))
+    w = Window.partitionBy("family", "query").orderBy(F.xxhash64("seq_id", F.lit(seed)), "seq_id")
+    kept = others.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).select("family", "query", "seq_id", "aligned", "nth")
+    return kept.unionByName(own.select("family", "query", F.col("query").alias("seq_id"), F.col("query_row").alias("aligned"), F.lit(0).alias("nth")))

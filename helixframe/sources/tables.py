@@ -76,3 +76,14 @@ def usable_variants(df: DataFrame, columns: list[str]) -> DataFrame:
     """Without controls, insertions and deletions, whichever of these columns says so."""
     text = F.lower(F.concat_ws(" ", *columns))
     return df.where(~F.rlike(text, F.lit("control|insertion|deletion|indel")))
+
+
+def resolved(entries: DataFrame, symbol: str = "symbol", accession: str = "accession", title: str = "title", length: str = "length", hints: tuple[str, ...] = ("NR_", "XR_"), least: int = 40, most: int = 520) -> DataFrame:
+    """One accession for each symbol whose entry's title names it: those of the first hint first, then the lowest."""
+    plain = lambda c: F.regexp_replace(F.upper(c), r"[-\s]", "")
+    fit = entries.where(F.contains(plain(title), plain(symbol)) & F.col(length).between(least, most))
+    rank = F.lit(len(hints))
+    for i, h in reversed(list(enumerate(hints))):
+        rank = F.when(F.startswith(F.col(accession), F.lit(h)), i).otherwise(rank)
+    first = Window.partitionBy(symbol).orderBy("_hint", accession)
+    return fit.withColumn("_hint", rank).withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", "_hint")

@@ -121,3 +121,17 @@ def test_stream_equals_batch(spark, tmp_path):
     moments = {r["label"]: r for r in running.running_moments(df, "x", ["label"]).collect()}
     want = {r["label"]: r for r in df.groupBy("label").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")).collect()}
     assert all(abs(moments[k]["mean"] - want[k]["m"]) < 1e-9 and abs(moments[k]["variance"] - want[k]["v"]) < 1e-9 for k in want)
+
+
+def test_residues_and_contexts(spark):
+    rows = spark.createDataFrame([("F", "a", "A.CG", "ACG"), ("F", "b", ".UCG", "UCG"), ("F", "c", "A.C.", "AC"), ("G", "d", "AA", "AA")], "family string, seq_id string, aligned string, ungapped string")
+    got = {(r["seq_id"], r["nth"]): (r["column"], r["letter"]) for r in fasta.residues(rows).where("family = 'F'").collect()}
+    assert got[("a", 2)] == (2, "C") and got[("b", 1)] == (1, "U") and len(got) == 8
+    queries = spark.createDataFrame([("F", "ACG"), ("F", "GGG")], "family string, ungapped string")
+    found = {(r["query"], r["nth"]): r["seq_id"] for r in fasta.contexts(queries, rows, most=1).collect()}
+    assert found[("a", 0)] == "a" and found[("a", 1)] in {"b", "c"} and len(found) == 2
+
+
+def test_resolved_accessions(spark):
+    rows = spark.createDataFrame([("RNU4-2", "XR_1", "RNU4 2 gene", 100), ("RNU4-2", "NR_9", "rnu42", 100), ("RNU4-2", "NR_1", "other", 100), ("X", "NR_2", "x", 4000)], "symbol string, accession string, title string, length int")
+    assert [(r["symbol"], r["accession"]) for r in tables.resolved(rows).collect()] == [("RNU4-2", "NR_9")]

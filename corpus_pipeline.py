@@ -20,8 +20,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents predicted bad go."""
-    return classifier.keep_predicted(docs, table(spark, sf_dir, "labels"))
+    """Operator 8: documents predicted bad go.
+
+    The model is fitted on the labelled rows of the whole table. Of what the
+    rules keep, the bad ones may be nearly all gone, and a fit on these rows
+    alone would then have one class and reject nothing.
+    """
+    return classifier.keep_predicted(docs, table(spark, sf_dir, "labels"), training=table(spark, sf_dir, "documents"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

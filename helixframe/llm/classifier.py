@@ -221,9 +221,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     return rows.mapInArrow(run, f"`{id_column}` {kind}, held_out boolean, score double, predicted int")
 
 
-def keep_predicted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents predicted good, with the columns they came with; no join is needed."""
-    model = train(docs, labels, id_column, text_column)
+def keep_predicted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, training: DataFrame | None = None) -> DataFrame:
+    """The documents predicted good, with the columns they came with; no join is needed.
+
+    ``training`` holds the labelled texts if ``docs`` is no fair sample of
+    them: after another filter, few or no bad ones may be left to learn from.
+    """
+    model = train(docs if training is None else training, labels, id_column, text_column)
     at = docs.columns.index(text_column)
 
     def run(batches):

@@ -156,3 +156,16 @@ def test_rules(spark, docs, empty, labels):
     assert kept.columns == docs.columns
     want = {r["doc_id"] for r in got.where("NOT base_failed").collect()}
     assert {r["doc_id"] for r in kept.collect()} == want and 15 not in want
+
+
+def test_classifier_after_a_filter(spark):
+    """With no bad row left among its documents, the filter still rejects bad ones by a model of the whole table."""
+    texts = [words(900 + i, 80) if i % 2 else " ".join(w.upper() + "!!" for w in words(900 + i, 80).split()) for i in range(120)]
+    whole = frame(spark, rows(texts))
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], LABELS)
+    clean = whole.where("doc_id % 2 = 1")
+    mixed = clean.unionByName(frame(spark, [(1001, " ".join(w.upper() + "!!" for w in words(5, 80).split()), "en", "src1", 1, 1, "k", "x", False)]))
+    kept = {r["doc_id"] for r in classifier.keep_predicted(mixed, marks, training=whole).collect()}
+    assert kept == {r["doc_id"] for r in clean.collect()}
+    # Fitted on what is left, there is one class only and nothing goes.
+    assert classifier.keep_predicted(mixed, marks).count() == mixed.count()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,10 +71,9 @@ class Model:
 
 def log_ratios(features: list[np.ndarray], good: np.ndarray) -> np.ndarray:
     """For each feature the log of its share among good texts' indicators over that among bad ones'."""
-    counts = []
-    for label in (1, 0):
-        own = [f for f, y in zip(features, good.tolist(), strict=True) if y == label]
-        counts.append(np.bincount(np.concatenate([*own, np.zeros(0, np.int64)]).astype(np.int64), minlength=1 << BITS) + SMOOTHING)
+    counts = [np.full(1 << BITS, SMOOTHING) for _ in range(2)]
+    for f, y in zip(features, good.tolist(), strict=True):
+        counts[0 if y == 1 else 1][f] += 1  # a text has each feature once
     seen = counts[0] + counts[1] > 2 * SMOOTHING
     return np.where(seen, np.log(counts[0] / counts[0].sum()) - np.log(counts[1] / counts[1].sum()), 0.0)
 
@@ -89,7 +89,7 @@ def hinge_fit(features: list[np.ndarray], good: np.ndarray, ratio: np.ndarray, s
     values = []
     for f in features:
         r = ratio[f]
-        values.append(r / max(np.sqrt(r @ r), 1e-12))
+        values.append((r / max(np.sqrt(r @ r), 1e-12)).astype(np.float32))
     norm = np.array([v @ v + 1 for v in values])
     weight, bias, alpha, random = np.zeros(len(ratio)), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
     for _ in range(PASSES):
@@ -133,8 +133,8 @@ def fit(features: list[np.ndarray], good: np.ndarray, held: np.ndarray, share: f
     ratio = log_ratios(own, good[~held])
     weight, bias = hinge_fit(own, good[~held], ratio)
     model = Model(weight, ratio, bias, 1.0, 0.0)
-    row = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    margin = model.margins(row, np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64), len(features))
+    # Text by text: all features in one array would be several times the sample.
+    margin = np.array([model.margins(np.zeros(len(f), np.int64), f, 1)[0] for f in features])
     use = held if len(set(good[held].tolist())) == 2 else np.ones(len(good), bool)
     model.slope, model.offset = calibrate(margin[use], good[use], share)
     return model
@@ -178,9 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     share = totals[1] / (totals[0] + totals[1])
 
     def fitted(rows: pa.Table) -> pa.Table:
-        features = [np.asarray(f, np.int64) for f in rows.column("features").to_numpy()]
+        features = [np.asarray(f, np.int32) for f in rows.column("features").to_numpy()]
         # An order of the rows' own, whatever order they came in.
-        order = sorted(range(len(features)), key=lambda i: (len(features[i]), features[i].tobytes()))
+        order = sorted(range(len(features)), key=lambda i: (len(features[i]), zlib.crc32(np.ascontiguousarray(features[i]))))
         good, held = (rows.column(c).to_numpy(zero_copy_only=False)[order] for c in ("good", "held"))
         m = fit([features[i] for i in order], good, held, share)
         body = [x.astype("<f4").tobytes() for x in (m.weight, m.ratio)]

@@ -2,8 +2,8 @@
 
 A signature is TREES labels of DEPTH minimum hashes. In each tree the labels
 form a prefix trie; texts under one node at depth d share d minimum hashes.
-The join begins at the full depth and shortens the prefixes, node by node,
-until the recall estimated from the verified pairs reaches the target.
+The join takes the longest prefix at which pairs of the threshold's own
+similarity, the hardest to meet, reach the target recall.
 """
 
 from __future__ import annotations
@@ -23,11 +23,9 @@ from .hashing import Words, mix, shingles
 WIDTH = 5
 SIMILARITY = 0.8
 TARGET_RECALL = 0.999
-TREES, DEPTH, SHORTEST = 16, 6, 3
+TREES, DEPTH = 16, 6
 #: Members of a trie node that meet in one task are at most twice this; larger nodes are dealt out as pairs of chunks.
 CHUNK = 1024
-#: Similarities of verified pairs are counted in steps of a hundredth.
-STEPS = 21
 #: Rows of pairs compared at once, and bytes of bit sets in a task.
 SLAB, BIT_BYTES = 32, 48 << 20
 
@@ -65,6 +63,14 @@ def recall_at(similarity: np.ndarray, depth: int) -> np.ndarray:
     return 1 - (1 - similarity**depth) ** TREES
 
 
+def depth_for(similarity: float, target_recall: float) -> int:
+    """The longest prefix at which two texts of this very similarity meet with the target's chance; more similar ones meet more surely."""
+    for depth in range(DEPTH, 0, -1):
+        if recall_at(similarity, depth) >= target_recall:
+            return depth
+    raise ValueError(f"{TREES} trees do not reach recall {target_recall} at similarity {similarity}")
+
+
 def _signed(docs: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
     """(_id, k, n, labels) of each row; k is its set's hash, and a text without words has n = 0."""
 
@@ -144,13 +150,12 @@ def _sizes_shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return out
 
 
-def _linked(rows: pa.Table, depth: int, before: int | None, similarity: float) -> pa.RecordBatch | None:
+def _linked(rows: pa.Table, depth: int, similarity: float) -> pa.RecordBatch | None:
     """Verifies the pairs of one node, or of two chunks of it.
 
-    A pair that shares several nodes counts in the first tree only, and one
-    that shared a deeper node has been verified already. Returns for each text
-    with a link: k, the copies linked to it, the first text that it is
-    connected with here, and how similar its pairs are.
+    A pair that shares several nodes counts in the first tree only. Returns
+    for each text with a link: k, the copies linked to it, and the first text
+    that it is connected with here.
     """
     k = rows.column("k").to_numpy()
     _, once = np.unique(k, return_index=True)  # rows of one id may repeat
@@ -164,7 +169,7 @@ def _linked(rows: pa.Table, depth: int, before: int | None, similarity: float) -
     labels = rows.column("labels").combine_chunks()
     labels = labels.chunk(0) if isinstance(labels, pa.ChunkedArray) else labels
     labels = labels.flatten().to_numpy().view(np.uint32).reshape(len(k), TREES * DEPTH)
-    now, then = _prefixes(labels, depth), None if before is None else _prefixes(labels, before)
+    prefix = _prefixes(labels, depth)
     rows_1, rows_2 = np.flatnonzero(chunk == b1), np.flatnonzero(chunk == b2)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for a in range(0, len(rows_1), SLAB):
@@ -173,10 +178,7 @@ def _linked(rows: pa.Table, depth: int, before: int | None, similarity: float) -
         if b1 == b2:
             fine &= i[:, None] < rows_2
         for t in range(tree):
-            fine &= now[i, t][:, None] != now[rows_2, t]
-        if then is not None:
-            for t in range(tree, TREES):  # in the trees before, not even the shorter prefix is shared
-                fine &= then[i, t][:, None] != then[rows_2, t]
+            fine &= prefix[i, t][:, None] != prefix[rows_2, t]
         x, y = np.nonzero(fine)
         if len(x):
             pairs.append((i[x], rows_2[y]))
@@ -186,7 +188,7 @@ def _linked(rows: pa.Table, depth: int, before: int | None, similarity: float) -
     shared = _sizes_shared(sets, left, right)
     union = n[left] + n[right] - shared
     linked = shared >= similarity * union - 1e-9
-    left, right, share = left[linked], right[linked], shared[linked] / union[linked]
+    left, right = left[linked], right[linked]
     if not len(left):
         return None
     size = len(k)
@@ -199,23 +201,16 @@ def _linked(rows: pa.Table, depth: int, before: int | None, similarity: float) -
         root = root[root]
         if (root == old).all():
             break
-    step = np.minimum((share * 100 + 1e-6).astype(np.int64) - 100 + STEPS - 1, STEPS - 1)
-    counts = np.zeros((size, STEPS), np.int64)
-    np.add.at(counts, (left, np.maximum(step, 0)), 1)
     some = np.flatnonzero(links)
-    offsets = np.arange(len(some) + 1, dtype=np.int32) * STEPS
-    return pa.record_batch(
-        [pa.array(k[some]), pa.array(links[some].astype(np.int64)), pa.array(k[root[some]]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts[some].ravel()))],
-        ["k", "links", "root", "similar"],
-    )
+    return pa.record_batch([pa.array(k[some]), pa.array(links[some].astype(np.int64)), pa.array(k[root[some]])], ["k", "links", "root"])
 
 
-def _verify(active: DataFrame, depth: int, before: int | None, done: DataFrame | None, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links of the pairs that first meet at this depth, and the nodes whose pairs are now done.
+def _verify(active: DataFrame, depth: int, similarity: float) -> DataFrame:
+    """Links of the pairs that meet at this depth.
 
-    Nodes with the same members in several trees, or with those of a deeper
-    node, hold the same pairs, so one of them is kept. Large nodes are dealt
-    out as pairs of chunks: a text goes to as many tasks as its node has chunks.
+    Nodes with the same members in several trees hold the same pairs, so one
+    of them, in the first tree, is kept. Large nodes are dealt out as pairs of
+    chunks: a text goes to as many tasks as its node has chunks.
     """
     nodes = _nodes(active, depth)
     h = F.xxhash64("k")
@@ -223,9 +218,7 @@ def _verify(active: DataFrame, depth: int, before: int | None, done: DataFrame |
     seals = [F.sum(f(h)).alias(c) for c, f in (("s1", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))), ("s2", lambda x: F.shiftrightunsigned(x, 32)))]
     held = nodes.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m"), *seals).where("m > 1")
     held = held.groupBy("m", "s1", "s2").agg(F.min(F.struct("tree", "key")).alias("x"))
-    if done is not None:
-        held = held.join(done, ["m", "s1", "s2"], "left_anti")
-    held = cut(held.select("m", "s1", "s2", "x.tree", "x.key"))
+    held = cut(held.select("m", "x.tree", "x.key"))
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     members = nodes.join(held.select("tree", "key", chunks.alias("c")), ["tree", "key"]).withColumn("chunk", F.pmod(F.xxhash64("k", F.lit(1)), F.col("c")).cast("int"))
     dealt = members.select("tree", "key", "k", "chunk", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
@@ -235,24 +228,10 @@ def _verify(active: DataFrame, depth: int, before: int | None, done: DataFrame |
 
     def run(batches):
         for group in _runs(batches, order):
-            if (made := _linked(group, depth, before, similarity)) is not None:
+            if (made := _linked(group, depth, similarity)) is not None:
                 yield made
 
-    found = cut(rows.mapInArrow(run, "k long, links long, root long, similar array<long>"))
-    return found, held.select("m", "s1", "s2")
-
-
-def _estimated_recall(found: list[DataFrame], depth: int) -> float:
-    """Verified pairs over the pairs that they stand for, each by its own chance to be met at this depth."""
-    rows = found[0]
-    for f in found[1:]:
-        rows = rows.unionByName(f)
-    sums = rows.agg(*(F.sum(F.get("similar", F.lit(i))).alias(f"c{i}") for i in range(STEPS))).first()
-    counts = np.array([sums[f"c{i}"] or 0 for i in range(STEPS)], np.float64)
-    if not counts.sum():
-        return 0.0
-    chance = recall_at(np.arange(100 - STEPS + 1, 101) / 100, depth)
-    return float(counts.sum() / (counts / chance).sum())
+    return cut(rows.mapInArrow(run, "k long, links long, root long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -284,11 +263,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     Null, empty and blank texts have no shingle, no link, and a class of their
     own; repeated rows count as copies. An empty table gives no rows.
     """
+    depth = depth_for(similarity, target_recall)
     signed = cut(_signed(docs, id_column, text_column, width))
     spark, own = docs.sparkSession, uuid.uuid4().hex
     with holding(own):
         reps = cut(signed.where("n > 0").groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("_id").alias("first_id"), F.first("labels").alias("labels")))
-        chosen = _active(reps, SHORTEST).join(reps, "k").select(F.col("first_id").alias("_id"), "k", "copies", "labels")
+        chosen = _active(reps, depth).join(reps, "k").select(F.col("first_id").alias("_id"), "k", "copies", "labels")
         texts = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
         def fetched(batches):
@@ -301,16 +281,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
                     yield pa.record_batch([kept.column("k"), kept.column("copies"), kept.column("labels"), pa.array([sets[i].tobytes() for i in own.tolist()], pa.binary())], ["k", "copies", "labels", "shingles"])
 
         active = cut(texts.join(chosen, texts["_id"].eqNullSafe(chosen["_id"])).select("k", "copies", "labels", "text").mapInArrow(fetched, "k long, copies long, labels array<int>, shingles binary"))
-        found, done, before = [], None, None
-        for depth in range(DEPTH, SHORTEST - 1, -1):
-            links, nodes = _verify(active, depth, before, done, similarity)
-            found.append(links)
-            done, before = nodes if done is None else done.unionByName(nodes), depth
-            if _estimated_recall(found, depth) >= target_recall:
-                break
-        links = found[0]
-        for f in found[1:]:
-            links = links.unionByName(f)
+        links = _verify(active, depth, similarity)
         sums = links.groupBy("k").agg(F.sum("links").alias("links"))
         labels = components(links)
         classes = reps.select("k", "copies", "first_id").join(sums, "k", "left").join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))

@@ -58,6 +58,26 @@ def test_near_large_group_is_dealt_out(spark, monkeypatch):
     assert [x[0] for _, x in sorted(_by_id(got, "n_links").items())] == want
 
 
+def test_near_pairs_at_the_threshold_beside_a_hot_group(spark):
+    """Similar pairs without number do not stand in for those at 0.80, which are the hardest to meet."""
+    base, texts = words(9, 100), []
+    texts += [f"{base} w{i}" for i in range(300)]
+    for i in range(800):
+        own = words(10_000 + i, 49)
+        other = own.split()
+        other[24] = "changed"
+        texts += [own, " ".join(other)]  # 40 of 50 shingles
+    links = _by_id(near.near_duplicates(frame(spark, rows(texts)).select("doc_id", "text")), "n_links")
+    assert [links[i] for i in range(300)] == [[299]] * 300
+    assert [i for i in range(300, len(texts)) if links[i] != [1]] == []
+
+
+def test_near_depth_follows_the_threshold():
+    assert [near.depth_for(s, 0.999) for s in (0.95, 0.8, 0.5)] == [6, 4, 1]
+    with pytest.raises(ValueError):
+        near.depth_for(0.1, 0.999)
+
+
 def test_scores(docs, empty):
     got = lm.score_texts(docs)
     assert got.count() == docs.count() and lm.score_texts(empty).count() == 0

@@ -13,9 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut, holding, map_texts, release, shielded, slices, unshielded
 from .hashing import Words, mix, shingles
@@ -71,8 +70,13 @@ def depth_for(similarity: float, target_recall: float) -> int:
     raise ValueError(f"{TREES} trees do not reach recall {target_recall} at similarity {similarity}")
 
 
+def _row_hash(row_id: Column, text: Column) -> Column:
+    """Tells rows of one id, or of none, apart by their texts; equal for repeated rows."""
+    return F.xxhash64(row_id, row_id.isNull(), text)
+
+
 def _signed(docs: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
-    """(_id, k, n, labels) of each row; k is its set's hash, and a text without words has n = 0."""
+    """(_id, x, k, n, labels) of each row; x is its row hash, k its set's hash, and a text without words has n = 0."""
 
     def make(rows: pa.RecordBatch) -> pa.RecordBatch:
         sets, keys = shingle_sets(rows.column("text"), width)
@@ -80,10 +84,11 @@ def _signed(docs: DataFrame, id_column: str, text_column: str, width: int) -> Da
         some = np.flatnonzero(n)
         labels = signatures([sets[i] for i in some.tolist()]).view(np.int32).ravel() if len(some) else np.zeros(0, np.int32)
         offsets = np.concatenate(([0], np.cumsum(np.where(n > 0, TREES * DEPTH, 0)))).astype(np.int32)
-        return pa.record_batch([rows.column(0), pa.array(keys), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(labels))], ["_id", "k", "n", "labels"])
+        return pa.record_batch([rows.column(0), rows.column(1), pa.array(keys), pa.array(n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(labels))], ["_id", "x", "k", "n", "labels"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return map_texts(docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("text")), ["_id"], "text", make, f"_id {kind}, k long, n long, labels array<int>")
+    rows = docs.select(F.col(id_column).alias("_id"), _row_hash(F.col(id_column), F.col(text_column)).alias("x"), F.col(text_column).alias("text"))
+    return map_texts(rows, ["_id", "x"], "text", make, f"_id {kind}, x long, k long, n long, labels array<int>")
 
 
 def _nodes(rows: DataFrame, depth: int) -> DataFrame:
@@ -252,53 +257,62 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, target_recall: float = TARGET_RECALL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each document: id, class_id, n_links and n_shingles.
-
-    Two texts are linked if the Jaccard similarity of their sets of ``width``
-    consecutive words is ``similarity`` or more; texts with fewer words are
-    one shingle. n_links counts the other documents linked with this one,
-    copies among them; class_id is the least id among all documents that
-    links connect. Texts with equal sets meet once, as one row with a count.
-    Null, empty and blank texts have no shingle, no link, and a class of their
-    own; repeated rows count as copies. An empty table gives no rows.
-    """
+def _classified(docs: DataFrame, similarity: float, width: int, target_recall: float, id_column: str, text_column: str) -> DataFrame:
+    """(_id, x, n, class, class_id, n_links) of each row; a text without words is a class of its own, named by its row hash."""
     depth = depth_for(similarity, target_recall)
     signed = cut(_signed(docs, id_column, text_column, width))
     spark, own = docs.sparkSession, uuid.uuid4().hex
     with holding(own):
-        reps = cut(signed.where("n > 0").groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("_id").alias("first_id"), F.first("labels").alias("labels")))
-        chosen = _active(reps, depth).join(reps, "k").select(F.col("first_id").alias("_id"), "k", "copies", "labels")
-        texts = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+        reps = cut(signed.where("n > 0").groupBy("k").agg(F.count(F.lit(1)).alias("copies"), F.min("_id").alias("first_id"), F.min("x").alias("x"), F.first("labels").alias("labels")))
+        chosen = _active(reps, depth).join(reps, "k").select("x", "k", "copies", "labels")
+        texts = docs.select(_row_hash(F.col(id_column), F.col(text_column)).alias("x"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
         def fetched(batches):
             for batch in batches:
                 for a, b in slices(batch.column("text")):
                     part = batch.slice(a, b - a)
                     sets, keys = shingle_sets(part.column("text"), width)
-                    own = np.flatnonzero(keys == part.column("k").to_numpy())  # an id may have several texts
+                    own = np.flatnonzero(keys == part.column("k").to_numpy())
                     kept = part.take(pa.array(own))
                     yield pa.record_batch([kept.column("k"), kept.column("copies"), kept.column("labels"), pa.array([sets[i].tobytes() for i in own.tolist()], pa.binary())], ["k", "copies", "labels", "shingles"])
 
-        active = cut(texts.join(chosen, texts["_id"].eqNullSafe(chosen["_id"])).select("k", "copies", "labels", "text").mapInArrow(fetched, "k long, copies long, labels array<int>, shingles binary"))
+        active = cut(texts.join(chosen, "x").select("k", "copies", "labels", "text").mapInArrow(fetched, "k long, copies long, labels array<int>, shingles binary"))
         links = _verify(active, depth, similarity)
         sums = links.groupBy("k").agg(F.sum("links").alias("links"))
         labels = components(links)
         classes = reps.select("k", "copies", "first_id").join(sums, "k", "left").join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))
         least = classes.groupBy("c").agg(F.min("first_id").alias("class_id"))
-        named = classes.join(least, "c").select("k", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        named = classes.join(least, "c").select("k", "c", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     named = cut(named)
     release(spark, own)
     joined = signed.drop("labels").join(named, "k", "left")
     blank = F.col("n") == 0
-    return joined.select(F.col("_id").alias(id_column), F.when(blank, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(blank, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"), F.col("n").alias("n_shingles"))
+    return joined.select("_id", "x", "n", F.when(blank, F.col("x")).otherwise(F.col("c")).alias("class"), F.when(blank, F.col("_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(blank, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, target_recall: float = TARGET_RECALL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row for each document: id, class_id, n_links and n_shingles.
+
+    Two texts are linked if the Jaccard similarity of their sets of ``width``
+    consecutive words is ``similarity`` or more; texts with fewer words are
+    one shingle. n_links counts the other documents linked with this one,
+    copies among them; class_id is the least id among all documents that
+    links connect. Texts with equal sets meet once, as one row with a count.
+    Null, empty and blank texts have no shingle, no link, and a class of their
+    own; repeated rows count as copies. An empty table gives no rows.
+    """
+    rows = _classified(docs, similarity, width, target_recall, id_column, text_column)
+    return rows.select(F.col("_id").alias(id_column), "class_id", "n_links", F.col("n").alias("n_shingles"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each class, that of the least id, with the columns it came with; repeated rows of it go too."""
-    classes = near_duplicates(docs, similarity, width, id_column=id_column, text_column=text_column)
-    stay = classes.where(F.col(id_column).eqNullSafe(F.col("class_id"))).select(F.col(id_column).alias("_stay")).distinct()
-    key, text = F.col(f"`c_{id_column}`"), F.col(f"`c_{text_column}`")
-    kept = shielded(docs).join(stay.hint("shuffle_hash"), key.eqNullSafe(F.col("_stay")), "left_semi")
-    first = Window.partitionBy(key).orderBy(F.xxhash64(text))
-    return unshielded(kept.withColumn("_first", F.row_number().over(first)).where("_first = 1"), docs.columns)
+    """One document of each class, with the columns it came with: that of the least id, and of its texts that of the least hash.
+
+    Unlike texts of one id, or of none, are classes of their own and stay; of
+    rows with equal id and text one stays.
+    """
+    rows = _classified(docs, similarity, width, TARGET_RECALL, id_column, text_column)
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "x"))
+    stay = rows.groupBy((F.col("n") == 0).alias("blank"), "class").agg(first.alias("first")).select(F.col("first.x").alias("_x"))
+    held = shielded(docs).withColumn("_x", _row_hash(F.col(f"`c_{id_column}`"), F.col(f"`c_{text_column}`")))
+    return unshielded(held.join(stay.hint("shuffle_hash"), "_x", "left_semi").dropDuplicates(["_x"]), docs.columns)

@@ -48,6 +48,14 @@ def test_near_classes(docs, empty):
     assert len(ids) == len(set(ids)) and 5 in ids and not {6, 7, 8} & set(ids) and {0, 1, 2} <= set(ids)
 
 
+def test_near_keeps_unlike_texts_of_one_id_or_none(spark):
+    a, b, c, d, e = (words(700 + i, 60) for i in range(5))
+    data = [(None, a), (None, b), (7, c), (7, d), (8, c), (None, e), (9, e), (9, e), (None, ""), (None, a)]
+    kept = near.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=repr) == sorted([(None, a), (None, b), (7, c), (7, d), (9, e), (None, "")], key=repr)
+
+
 def test_near_large_group_is_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(near, "CHUNK", 8)  # many chunks, as a hot node would have
     base = words(9, 100).split()

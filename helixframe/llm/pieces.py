@@ -14,26 +14,42 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .common import map_texts
+from .hashing import mix
 
 #: Share of candidate merges that are skipped.
 DROPOUT = 0.1
 SEED = 20_240_601
-#: Occurrences of one run of characters take one of so many segmentations, by a hash of seed, text and place.
-VARIANTS = 4
-#: Segmentations that a worker keeps; others are made each time. Of a run this long none is kept.
+#: With a number, occurrences of a run take one of so many segmentations; with None, each drops merges by itself.
+VARIANTS = None
+#: Outcomes of runs that a worker keeps before it begins anew. Of a run this long none is kept.
 KEPT, LONGEST_KEPT = 1_000_000, 64
+#: Occurrences whose merges are tested at once.
+TESTED = 1 << 17
 #: The agenda of a run of so many symbols is a plain list, of a longer one a heap.
 SHORT = 32
 
 SPACE = "▁"
 _RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NONE = float("inf")
+_FULL = (1 << 64) - 1
+_FROM, _TO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: More steps than the agenda of a kept run can have.
+_STEPS = 1 << 20
+
+
+def _mixed(x: int) -> int:
+    """hashing.mix() of one number."""
+    x ^= x >> 31
+    x = x * 0x7FB5D329728EA185 & _FULL
+    x ^= x >> 27
+    x = x * 0x81DADEF4BC2DD44D & _FULL
+    return x ^ x >> 33
 
 
 class Pieces:
     """A merge-type model with byte fallback: its pieces, their ranks, and how runs are cut into them."""
 
-    def __init__(self, name: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, name: str, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS):
         import public_tokenizers as files
         import sentencepiece
 
@@ -52,8 +68,20 @@ class Pieces:
         self.spelled = spelled
         self.dropout, self.seed, self.variants = int(dropout * (1 << 32)), seed, variants
         self.literal = self._packed(self._bytes(SPACE))
-        self.room = KEPT // variants
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Begins an empty store of outcomes.
+
+        An outcome is a run with the steps of its agenda at which a candidate
+        was dropped: its ids if nothing more is dropped, and the candidates
+        that come up after the last of these steps.
+        """
+        self.root: dict[str, int] = {}
+        self.child: dict[int, int] = {}
+        self.ids: list[bytes] = []
+        self.how: list[tuple[str, tuple[int, ...]]] = []
+        self.ends, self.begin = array("Q", [0]), array("q", [1])
 
     def _bytes(self, symbol: str) -> list[int]:
         return [self.byte[b] for b in symbol.encode()]
@@ -62,14 +90,16 @@ class Pieces:
     def _packed(ids: list[int]) -> bytes:
         return array("I", ids).tobytes()
 
-    def segment(self, run: str, variant: int) -> bytes:
+    def segment(self, run: str, key: int) -> bytes:
         """Ids of one run, by an agenda of candidate merges: best score first, then leftmost.
 
-        A candidate that comes up is skipped for good if the keyed hash of
-        seed, variant, run and the candidate's ends is below the dropout; a
+        A candidate that comes up is skipped for good if the hash of the
+        occurrence's key and the candidate's ends is below the dropout; a
         merge beside it puts new candidates on the agenda.
         """
-        symbols = self._merged_short(run, variant) if len(run) <= SHORT else self._merged_long(run, variant)
+        return self._spelt(self._merged_short(run, key) if len(run) <= SHORT else self._merged_long(run, key))
+
+    def _spelt(self, symbols: list[str]) -> bytes:
         ids, known = [], self.id.get
         for s in symbols:
             i = known(s)
@@ -79,15 +109,79 @@ class Pieces:
                 ids.append(i)
         return self._packed(ids)
 
-    def _merged_short(self, run: str, variant: int) -> list[str]:
+    def _add(self, run: str, dropped: tuple[int, ...]) -> int:
+        """Goes through the agenda with these steps dropped and no later one, and stores the outcome."""
+        rank_of, none, after = self.score.get, _NONE, dropped[-1] if dropped else -1
+        symbols = list(run)
+        ranks = [rank_of(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
+        starts = list(range(len(symbols) + 1))
+        step = 0
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            if step > after:
+                self.ends.append(starts[k] * _FROM + starts[k + 2] * _TO & _FULL)
+            step += 1
+            if step - 1 in dropped:
+                ranks[k] = none
+                continue
+            symbols[k] = merged = symbols[k] + symbols[k + 1]
+            del symbols[k + 1], starts[k + 1], ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank_of(merged + symbols[k + 1], none)
+            if k:
+                ranks[k - 1] = rank_of(symbols[k - 1] + merged, none)
+        self.begin.append(len(self.ends))
+        self.ids.append(self._spelt(symbols))
+        self.how.append((run, dropped))
+        return len(self.ids) - 1
+
+    def _after(self, key: int) -> int:
+        """The outcome that follows another (key // _STEPS) if the candidate of this place (key % _STEPS) is its next one dropped."""
+        found = self.child.get(key)
+        if found is None:
+            node, place = divmod(key, _STEPS)
+            run, dropped = self.how[node]
+            found = self.child[key] = self._add(run, (*dropped, (dropped[-1] + 1 if dropped else 0) + place))
+        return found
+
+    def _outcomes(self, runs: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of each occurrence: from its run's undropped outcome on, to the next one while a candidate is dropped."""
+        if len(self.ids) > KEPT:
+            self._forget()
+        root = self.root
+        at = [root.get(run) for run in runs]
+        if None in at:
+            for i, n in enumerate(at):
+                if n is None:
+                    run = runs[i]
+                    if (n := root.get(run)) is None:
+                        n = root[run] = self._add(run, ())
+                    at[i] = n
+        node, todo = np.array(at, np.int64), np.arange(len(runs))
+        while self.dropout and len(todo):
+            # Copies: an array that numpy looks at cannot grow.
+            begin, own = np.array(self.begin, np.int64), node[todo]
+            first = begin[own]
+            count = begin[own + 1] - first
+            base = np.cumsum(count) - count
+            row = np.repeat(np.arange(len(todo)), count)
+            ends = np.frombuffer(self.ends, np.uint64)[np.arange(len(row)) + (first - base)[row]]
+            hits = np.flatnonzero(mix(keys[todo][row] ^ ends) >> np.uint64(32) < np.uint64(self.dropout))
+            some, leftmost = np.unique(row[hits], return_index=True)
+            step, inverse = np.unique(own[some] * _STEPS + hits[leftmost] - base[some], return_inverse=True)
+            todo = todo[some]
+            node[todo] = np.array([self._after(k) for k in step.tolist()], np.int64)[inverse]
+        ids = self.ids
+        return [ids[n] for n in node.tolist()]
+
+    def _merged_short(self, run: str, key: int) -> list[str]:
         rank_of, none, limit = self.score.get, _NONE, self.dropout
         symbols = list(run)
         ranks = [rank_of(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
         starts = list(range(len(symbols) + 1))
-        key = xxhash.xxh32_intdigest(run.encode(), self.seed + variant) if limit and ranks else 0
         while ranks and (best := min(ranks)) < none:
             k = ranks.index(best)
-            if limit and (key ^ starts[k] * 0x9E3779B1 ^ starts[k + 2] * 0x85EBCA6B) * 0xC2B2AE35 & 0xFFFFFFFF < limit:
+            if limit and _mixed(key ^ (starts[k] * _FROM + starts[k + 2] * _TO & _FULL)) >> 32 < limit:
                 ranks[k] = none
                 continue
             symbols[k] = merged = symbols[k] + symbols[k + 1]
@@ -98,7 +192,7 @@ class Pieces:
                 ranks[k - 1] = rank_of(symbols[k - 1] + merged, none)
         return symbols
 
-    def _merged_long(self, run: str, variant: int) -> list[str]:
+    def _merged_long(self, run: str, key: int) -> list[str]:
         rank_of = self.score.get
         symbols = list(run)
         n = len(symbols)
@@ -110,7 +204,6 @@ class Pieces:
         if agenda:
             heapq.heapify(agenda)
             pop, push, limit = heapq.heappop, heapq.heappush, self.dropout
-            key = xxhash.xxh32_intdigest(run.encode(), self.seed + variant) if limit else 0
             # Of the symbol that begins at i, end[i]; of the one that ends at i, start[i]. Merged ones' inner places keep old values.
             end, start = list(range(1, n + 1)), list(range(-1, n))
             while agenda:
@@ -118,7 +211,7 @@ class Pieces:
                 j = end[i]
                 if symbols[i] is None or j >= n or end[j] != to or symbols[j] is None:
                     continue  # one of its parts has been merged meanwhile
-                if limit and (key ^ i * 0x9E3779B1 ^ to * 0x85EBCA6B) * 0xC2B2AE35 & 0xFFFFFFFF < limit:
+                if limit and _mixed(key ^ (i * _FROM + to * _TO & _FULL)) >> 32 < limit:
                     continue
                 merged = symbols[i] = symbols[i] + symbols[j]
                 symbols[j] = None
@@ -145,28 +238,37 @@ class Pieces:
             found += _RUN.findall(part.replace(" ", SPACE))
         return found
 
+    def keys(self, text: str, n: int) -> np.ndarray:
+        """A key for each of a text's runs, by seed, text and place."""
+        own = np.uint64(xxhash.xxh64_intdigest(text.encode(), self.seed))
+        keys = mix(np.arange(n, dtype=np.uint64) * np.uint64(_FROM) + own)
+        return keys if self.variants is None else mix((keys >> np.uint64(32)) % np.uint64(self.variants) + np.uint64(self.seed))
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; a bounded number of occurrences is tested at once."""
+        runs: list[str | None] = []
+        keys, bounds = [np.zeros(0, np.uint64)], [0]
+        for text in texts:
+            own = self.runs(text)
+            runs += own
+            keys.append(self.keys(text, len(own)))
+            bounds.append(len(runs))
+        key = np.concatenate(keys)
+        out: list[bytes] = []
+        for a in range(0, len(runs), TESTED):
+            part, own = runs[a : a + TESTED], key[a : a + TESTED]
+            if any(run is None or len(run) > LONGEST_KEPT for run in part):
+                usual = [i for i, run in enumerate(part) if run is not None and len(run) <= LONGEST_KEPT]
+                made = [self.literal if run is None else b"" if len(run) <= LONGEST_KEPT else self.segment(run, int(own[i])) for i, run in enumerate(part)]
+                for i, ids in zip(usual, self._outcomes([part[i] for i in usual], own[usual]), strict=True):
+                    made[i] = ids
+                out += made
+            else:
+                out += self._outcomes(part, own)
+        return [np.frombuffer(b"".join(out[a:b]), "<u4") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
     def encode(self, text: str) -> np.ndarray:
-        runs = self.runs(text)
-        if not runs:
-            return np.zeros(0, "<u4")
-        known = self.known
-        if self.variants > 1:
-            # A keyed hash of the place, below the number of variants.
-            key = np.uint64(xxhash.xxh64_intdigest(text.encode(), self.seed))
-            h = (np.arange(len(runs), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ key) * np.uint64(0xD6E8FEB86659FD93)
-            which = ((h >> np.uint64(40)) * np.uint64(self.variants) >> np.uint64(24)).tolist()
-        else:
-            which = [0] * len(runs)
-        out = [known[v].get(run) for run, v in zip(runs, which, strict=True)]
-        if None in out:
-            for at, ids in enumerate(out):
-                if ids is None:
-                    run, v = runs[at], which[at]
-                    own = known[v]
-                    ids = out[at] = self.literal if run is None else own.get(run) or self.segment(run, v)
-                    if len(own) < self.room and run is not None and len(run) <= LONGEST_KEPT:
-                        own[run] = ids
-        return np.frombuffer(b"".join(out), "<u4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a segmentation, whatever merges were dropped."""
@@ -177,14 +279,14 @@ class Pieces:
 _loaded: dict[tuple, Pieces] = {}
 
 
-def pieces(name: str, dropout: float, seed: int, variants: int) -> Pieces:
+def pieces(name: str, dropout: float, seed: int, variants: int | None) -> Pieces:
     key = (name, dropout, seed, variants)
     if key not in _loaded:
         _loaded[key] = Pieces(*key)
     return _loaded[key]
 
 
-def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_bytes, ids) of every whole text under merge-dropout.
 
     The same seed, text and model give the same ids wherever they are
@@ -194,7 +296,7 @@ def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: f
 
     def make(rows: pa.RecordBatch) -> pa.RecordBatch:
         p, texts = pieces(model, dropout, seed, variants), rows.column("text")
-        ids = [p.encode(t) for t in texts.to_pylist()]
+        ids = p.encode_all(texts.to_pylist())
         offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)))
         return pa.record_batch([rows.column(0), pc.binary_length(texts).cast(pa.int64()), lists], [id_column, "n_bytes", "ids"])
@@ -217,7 +319,7 @@ def decode_ids(encoded: DataFrame, model: str = "piece_bpe_32k.model", id_column
     return encoded.select(id_column, "ids").mapInArrow(run, f"`{id_column}` {kind}, text string")
 
 
-def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Digests of every text's ids and of the text decoded from them.
 
     Returns id, n_bytes, n_pieces, ids_crc32 (little-endian unsigned 32-bit
@@ -228,8 +330,8 @@ def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: flo
 
     def make(rows: pa.RecordBatch) -> pa.RecordBatch:
         p, found = pieces(model, dropout, seed, variants), []
-        for text in rows.column("text").to_pylist():
-            ids = p.encode(text)
+        texts = rows.column("text").to_pylist()
+        for text, ids in zip(texts, p.encode_all(texts), strict=True):
             back = p.decode(ids)
             found.append((len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(back.encode()), back == text))
         columns = zip(*found, strict=True)

@@ -3,7 +3,7 @@
 The model predicts a subword in two steps: its class, from attention over the
 subwords before it, and the subword within the class, from corpus counts of
 neighbours. Counts cover all training texts; the attention's tables are
-trained by every task on a fixed share of its own windows and averaged.
+trained by every task on its own windows, each in one round, and averaged.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ CLASSES, WIDTH = 32, 16
 STRIDE = 16
 #: Words whose counts every task has at hand; the counts of rarer ones come by a join.
 HEAD = 400_000
-#: One window in so many is trained on, in so many rounds.
-SHARE, ROUNDS = 8, 2
+#: Windows are dealt out to so many rounds; each is trained on in one of them.
+ROUNDS = 2
 BATCH, RATE = 32, 0.03
 #: Weight of the class's own distribution against a neighbour's counts, and what a subword never seen is given.
 BACKOFF, UNSEEN = 1.0, 0.05
@@ -150,8 +150,8 @@ def windows(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, draw: int
 
     A sequence begins with the end symbol, which is not scored. Places before
     a sequence's begin and after its end are -1. Each symbol is one target.
-    With ``draw``, one window in SHARE only, by a hash of its number, its
-    sequence's length, its first symbol and ``draw``.
+    With ``draw``, only the windows of this round: all are dealt out to
+    ROUNDS by a hash of number, sequence's length and first symbol.
     """
     length = ends - starts
     count = -(-length // STRIDE)
@@ -159,8 +159,8 @@ def windows(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, draw: int
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     first = starts[owner] + nth * STRIDE
     if draw is not None and len(first):
-        h = nth * 2_654_435_761 + length[owner] * 40_503 + symbols[first] * 1_000_003 + draw * 7_919
-        drawn = ((h ^ h >> 13) * 0x5BD1E995 >> 11) % SHARE == 0
+        h = nth * 2_654_435_761 + length[owner] * 40_503 + symbols[first] * 1_000_003
+        drawn = ((h ^ h >> 13) * 0x5BD1E995 >> 11) % ROUNDS == draw
         owner, first = owner[drawn], first[drawn]
     # symbols[i] is the target of the query at i - 1; the begin's symbol stands in front of each sequence.
     place = first[:, None] + np.arange(STRIDE)
@@ -347,10 +347,9 @@ def _pair_counts(encoded: DataFrame, symbol, symbols: int) -> np.ndarray:
 
 
 def _trained(encoded: DataFrame, counts, tables: Tables, round_no: int) -> Tables:
-    """Tables after every task has learnt from its share of windows: their mean, weighted by windows.
+    """Tables after every task has learnt from this round's windows: their mean, weighted by windows.
 
-    One window in SHARE is drawn by a hash, so what is learnt from grows with
-    the corpus and does not depend on how rows are dealt out.
+    Each window is in one round, by a hash, however rows are dealt out.
     """
     spark = encoded.sparkSession
     sent = spark.sparkContext.broadcast(tables)

@@ -128,6 +128,14 @@ def test_gradients():
     assert total == pytest.approx(1.0, abs=1e-4)
 
 
+def test_rounds_train_on_every_window_once():
+    seq = np.arange(5000)
+    starts, ends = np.array([0, 900, 901, 3000]), np.array([900, 901, 3000, 5000])
+    dealt = [lm.windows(seq, starts, ends, i)[2] for i in range(lm.ROUNDS)]
+    assert sorted(x for target in dealt for x in target[target >= 0].tolist()) == seq.tolist()
+    assert all(len(target) > 100 for target in dealt)
+
+
 def test_training_lowers_the_loss():
     r = np.random.default_rng(3)
     seq = np.tile(r.integers(0, 30, 50), 80)

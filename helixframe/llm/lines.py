@@ -13,6 +13,8 @@ MIN_SITES = 5
 SKETCH_BITS = 12
 #: Estimates within this share of the threshold, and one more, are counted exactly; over six standard errors.
 NEAR = 0.1
+#: So many widespread lines go to every task; beyond, lines are joined, a hot one in SALTS parts.
+SENT, SALTS = 50_000, 32
 
 
 def _line(x: Column) -> Column:
@@ -54,6 +56,14 @@ def widespread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return spread.where(~near).select("_h", "_g", "_first").unionByName(spread.where(near).join(exact, ["_h", "_g"], "left_semi").select("_h", "_g", "_first"))
 
 
+def _matched(lines: DataFrame, wide: DataFrame) -> DataFrame:
+    """The rows of ``lines`` that are in ``wide``, with _first."""
+    if wide.count() <= SENT:
+        return lines.join(F.broadcast(wide), ["_h", "_g"])
+    salted = wide.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("_salt", F.pmod(F.xxhash64("_row", "_at"), F.lit(SALTS)).cast("int")).join(salted, ["_h", "_g", "_salt"]).drop("_salt")
+
+
 def remove_widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_column: str = "doc_id", text_column: str = "text", site_column: str = "source") -> DataFrame:
     """``docs`` without the later occurrences of lines that ``min_sites`` sites or more repeat.
 
@@ -68,18 +78,20 @@ def remove_widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_colu
     lines = cut(_rows(docs, id_column, text_column, site_column))
     wide = cut(widespread(lines, min_sites))
     gone = (
-        lines.join(wide, ["_h", "_g"])
+        _matched(lines, wide)
         .where(~F.struct("_id", "_row", "_at").eqNullSafe(F.col("_first")))
         .groupBy("_id", "_row")
-        .agg(F.collect_set("_at").alias("_gone"))
+        .agg(F.sort_array(F.collect_set("_at")).alias("_gone"))
     )
-    parts = F.split(text, "\n", -1)
-    joined = own.withColumn("_own", F.xxhash64(text)).join(gone.hint("shuffle_hash"), key.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_row")), "left")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    joined = own.withColumns({"_own": F.xxhash64(text), "_parts": F.split(text, "\n", -1)}).join(gone.hint("shuffle_hash"), key.eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_row")), "left")
+    # The lines between removed ones, slice by slice. _parts and _gone are columns: a lambda evaluates what it refers to anew each time.
+    parts, size = F.col("_parts"), F.size("_parts")
+    begins, ends = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda x: x + 1)), F.concat("_gone", F.array(size))
+    kept = F.array_join(F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(parts, a + 1, b - a))), "\n")
     changed = joined.withColumns(
         {
             f"c_{text_column}": F.when(F.col("_gone").isNull(), text).otherwise(kept),
-            "_lines": F.when(text.isNull(), 0).otherwise(F.size(parts)).cast("long"),
+            "_lines": F.when(text.isNull(), 0).otherwise(size).cast("long"),
             "_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
         }
     )

@@ -1,9 +1,12 @@
 """Language-model scores: causal self-attention over subword ids, trained in numpy.
 
-The model predicts a subword in two steps: its class, from attention over the
-subwords before it, and the subword within the class, from corpus counts of
-neighbours. Counts cover all training texts; the attention's tables are
-trained by every task on its own windows, each in one round, and averaged.
+The model predicts a subword in steps: its class, from attention over the
+subwords before it and a feed-forward layer, and the subword within the class,
+from corpus counts of neighbours. Counts cover all training texts; the
+attention's tables are trained on all their windows, which a hash of their
+content deals out to rounds and buckets. A bucket is trained in the order of
+that hash and the buckets' tables are averaged, so that neither partitions nor
+tasks have a part in the result.
 """
 
 from __future__ import annotations
@@ -18,20 +21,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, cut, map_texts, slices
-from .hashing import Words
+from .hashing import Words, mix
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 HELD_OUT = 10
-#: Subwords with a symbol of their own; the others share one, evenly.
+#: Subwords with a symbol of their own; the others share one and have their own share of it.
 SYMBOLS = 2047
-CLASSES, WIDTH = 32, 16
+#: Rows of the attention's tables for the other subwords, by a hash of the id.
+HASHED = 2048
+CLASSES, WIDTH, INNER = 32, 16, 32
 #: A window scores STRIDE subwords, each by itself and all before it in the window, STRIDE of the window before included.
 STRIDE = 16
+#: Ids of a window: the keys, and one more, as each place predicts the next.
+SPAN = 2 * STRIDE + 1
+#: Stands for no subword, before a text's begin and after its end.
+NONE = 0xFFFF
 #: Words whose counts every task has at hand; the counts of rarer ones come by a join.
 HEAD = 400_000
 #: Windows are dealt out to so many rounds; each is trained on in one of them.
 ROUNDS = 2
-BATCH, RATE = 32, 0.03
+#: A round's n windows go to sqrt(n / BUCKET) buckets, so both their number and their size grow with the corpus, up to MOST_BUCKETS.
+BUCKET, MOST_BUCKETS = 1 << 13, 4096
+BATCH, RATE = 128, 0.03
+#: Windows scored at once.
+BLOCK = 512
+#: Tables are averaged, and window scores summed, as whole multiples of these: such sums are the same in any order.
+FINE, FINE_SCORE = 1 << 32, 1 << 24
 #: Weight of the class's own distribution against a neighbour's counts, and what a subword never seen is given.
 BACKOFF, UNSEEN = 1.0, 0.05
 #: Taken off each count of neighbours.
@@ -84,10 +99,11 @@ class Counts:
     """What the corpus counts give: symbols of ids, classes of symbols, and log probabilities."""
 
     symbol: np.ndarray  # of each id; the last symbol is shared
+    row: np.ndarray  # of each id in the attention's tables
     klass: np.ndarray  # of each symbol
     next_class: np.ndarray  # [symbol before, class], natural log
     within: np.ndarray  # [symbol before, symbol], log10 of the symbol given its class and the one before
-    spread: float  # log10 of an id's share of the shared symbol
+    share: np.ndarray  # log10 of each id's share of its symbol
 
 
 def classes_of(pairs: np.ndarray, classes: int = CLASSES, seed: int = 5) -> np.ndarray:
@@ -119,7 +135,7 @@ def classes_of(pairs: np.ndarray, classes: int = CLASSES, seed: int = 5) -> np.n
 
 def counts_of(id_counts: np.ndarray, pairs: np.ndarray, symbol: np.ndarray) -> Counts:
     klass = classes_of(pairs)
-    n = len(pairs)
+    n, size = len(pairs), len(symbol)
     totals = np.bincount(symbol, id_counts, n) + UNSEEN
     members = np.zeros((n, CLASSES))
     members[np.arange(n), klass] = 1
@@ -127,50 +143,55 @@ def counts_of(id_counts: np.ndarray, pairs: np.ndarray, symbol: np.ndarray) -> C
     base = totals / by_class[klass]
     seen, kinds = pairs @ members, (pairs > 0) @ members
     class_share = by_class / by_class.sum()
-    next_class = np.log((seen + BACKOFF * class_share) / (seen.sum(1, keepdims=True) + BACKOFF))
+    # A class without members is never aimed at; it has next to no probability.
+    next_class = np.log(np.maximum((seen + BACKOFF * class_share) / (seen.sum(1, keepdims=True) + BACKOFF), 1e-30))
     # Absolute discounting: what is taken off the seen neighbours is spread by the class's own distribution.
     left = np.maximum(DISCOUNT * kinds, BACKOFF * (seen == 0))
     within = np.log10((np.maximum(pairs - DISCOUNT, 0) + left[:, klass] * base) / np.maximum(seen, BACKOFF * (seen == 0))[:, klass])
-    return Counts(symbol, klass.astype(np.int64), next_class.astype(np.float32), within.astype(np.float32), -np.log10(max(1, (symbol == n - 1).sum())))
+    # Ids by 16 bits, so that NONE has an entry too.
+    wide = lambda x, kind: np.concatenate((x, np.zeros(NONE + 1 - size, x.dtype))).astype(kind)
+    own = id_counts + UNSEEN
+    share = np.log10(own / np.bincount(symbol, own, n)[symbol])
+    row = np.where(symbol < n - 1, symbol, n - 1 + (np.arange(size) * 2_654_435_761 >> 7) % HASHED)
+    return Counts(wide(symbol, np.int64), wide(row, np.int64), klass.astype(np.int64), next_class.astype(np.float32), within.astype(np.float32), wide(share, np.float32))
 
 
 Tables = dict[str, np.ndarray]
 
 
-def first_tables(symbols: int, seed: int = 3) -> Tables:
-    """Query, key and value of each symbol, a bias for each distance, and the way from values to classes."""
-    random = np.random.default_rng(seed)
-    shapes = {"query": (symbols, WIDTH), "key": (symbols, WIDTH), "value": (symbols, WIDTH), "out": (WIDTH, CLASSES)}
+def first_tables(seed: int = 3) -> Tables:
+    """Query, key and value of each row, a bias for each distance, the way from values to classes, and a layer beside it."""
+    random, rows = np.random.default_rng(seed), SYMBOLS + HASHED
+    shapes = {"query": (rows, WIDTH), "key": (rows, WIDTH), "value": (rows, WIDTH), "out": (WIDTH, CLASSES), "inner": (WIDTH, INNER)}
     tables = {k: (random.standard_normal(s) * 0.3).astype(np.float32) for k, s in shapes.items()}
-    return tables | {"far": np.zeros(2 * STRIDE, np.float32)}
+    zeros = {"far": 2 * STRIDE, "bias": INNER, "outer": (INNER, CLASSES)}
+    return tables | {k: np.zeros(s, np.float32) for k, s in zeros.items()}
 
 
-def windows(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, draw: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows over joined sequences: (queries, keys, targets, owner), each query to predict its target.
+def window_counts(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many windows each sequence has: one for each STRIDE ids begun."""
+    return -(-(ends - starts) // STRIDE)
 
-    A sequence begins with the end symbol, which is not scored. Places before
-    a sequence's begin and after its end are -1. Each symbol is one target.
-    With ``draw``, only the windows of this round: all are dealt out to
-    ROUNDS by a hash of number, sequence's length and first symbol.
+
+def windows(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, end_id: int, a: int = 0, b: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Windows a to b over joined sequences, as rows of SPAN ids, and the sequence of each.
+
+    The last STRIDE ids of a window are its targets, the 2 x STRIDE before its
+    last the keys. A sequence begins after an end, which is no target. Places
+    before that and after the sequence are NONE. Each id is one target.
     """
-    length = ends - starts
-    count = -(-length // STRIDE)
-    owner = np.repeat(np.arange(len(starts)), count)
-    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    first = starts[owner] + nth * STRIDE
-    if draw is not None and len(first):
-        h = nth * 2_654_435_761 + length[owner] * 40_503 + symbols[first] * 1_000_003
-        drawn = ((h ^ h >> 13) * 0x5BD1E995 >> 11) % ROUNDS == draw
-        owner, first = owner[drawn], first[drawn]
-    # symbols[i] is the target of the query at i - 1; the begin's symbol stands in front of each sequence.
-    place = first[:, None] + np.arange(STRIDE)
-    inside = place < ends[owner][:, None]
-    target = np.where(inside, symbols[np.minimum(place, len(symbols) - 1)], -1)
-    before = first[:, None] + np.arange(-STRIDE - 1, STRIDE - 1)
-    start = starts[owner][:, None]
-    keys = np.where((before >= start) & (before < ends[owner][:, None]), symbols[np.clip(before, 0, len(symbols) - 1)], -1)
-    keys = np.where(before == start - 1, END, keys)
-    return keys[:, STRIDE:], keys, target, owner
+    upto = np.cumsum(window_counts(starts, ends))
+    total = int(upto[-1]) if len(upto) else 0
+    number = np.arange(a, total if b is None else min(b, total))
+    owner = np.searchsorted(upto, number, "right")
+    first = starts[owner] + (number - (upto[owner] - window_counts(starts, ends)[owner])) * STRIDE
+    place = first[:, None] + np.arange(-STRIDE - 1, STRIDE)
+    begin = starts[owner][:, None]
+    out = np.full(place.shape, NONE, np.uint16)
+    inside = (place >= begin) & (place < ends[owner][:, None])
+    out[inside] = ids[place[inside]]
+    out[place == begin - 1] = end_id
+    return out, owner
 
 
 #: The end has symbol 0.
@@ -180,35 +201,58 @@ _BACK = _ROWS + STRIDE - np.arange(2 * STRIDE)[None]  # distance from query to k
 _CAUSAL = _BACK >= 0
 
 
-def attend(t: Tables, queries: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Masked attention of every window in one batch: contexts, and what training needs (weights before they are divided by their sums)."""
-    # Where there is no symbol, -1 is taken as 0 and masked below.
-    q, k, v = (t[n].take(at, 0, mode="clip") for n, at in (("query", queries), ("key", keys), ("value", keys)))
+def attend(t: Tables, rows: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Masked attention of every window in one batch: contexts, and what training needs (weights before they are divided by their sums).
+
+    ``rows`` are the keys' rows in the tables, ``held`` says which places hold a subword.
+    """
+    q, k, v = (t[n].take(at, 0) for n, at in (("query", rows[:, STRIDE:]), ("key", rows), ("value", rows)))
     q *= np.float32(WIDTH**-0.5)
     score = q @ k.swapaxes(1, 2)
     score += np.where(_CAUSAL, t["far"][np.maximum(_BACK, 0) % (2 * STRIDE)], np.float32(-1e9))
     np.minimum(score, np.float32(40), out=score)
     np.exp(score, out=score)
-    if len(edge := np.flatnonzero((keys[:, 0] < 0) | (keys[:, -1] < 0))):  # windows at a sequence's begin or end
-        score[edge] *= (keys[edge] >= 0)[:, None, :]
+    if len(edge := np.flatnonzero(~(held[:, 0] & held[:, -1]))):  # windows at a sequence's begin or end
+        score[edge] *= held[edge][:, None, :]
     total = np.maximum(score.sum(2, keepdims=True), np.float32(1e-30))
     context = score @ v
     context /= total
     return context, score, total, q, k, v
 
 
-def log10_scores(c: Counts, t: Tables, queries: np.ndarray, keys: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log10 probability of each target; 0 where there is none."""
-    context = attend(t, queries, keys)[0]
-    before = np.maximum(queries, 0).ravel()
-    logits = context.reshape(-1, WIDTH) @ t["out"]
-    logits += c.next_class.take(before, 0, mode="clip")
-    aim = np.maximum(target, 0).ravel()
+def _logits(c: Counts, t: Tables, flat: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log odds of the classes, and the feed-forward layer's inner values."""
+    inner = flat @ t["inner"]
+    inner += t["bias"]
+    np.maximum(inner, 0, out=inner)
+    logits = flat @ t["out"]
+    logits += inner @ t["outer"]
+    logits += c.next_class.take(before, 0)
+    return logits, inner
+
+
+def log10_scores(c: Counts, t: Tables, w: np.ndarray) -> np.ndarray:
+    """log10 probability of each target of these windows; 0 where there is none."""
+    held, ids = w != NONE, w[:, STRIDE + 1 :]
+    context = attend(t, c.row[w[:, :-1]], held[:, :-1])[0]
+    before, aim = c.symbol[w[:, STRIDE:-1]].ravel(), c.symbol[ids].ravel()
+    logits, _ = _logits(c, t, context.reshape(-1, WIDTH), before)
     own = np.take_along_axis(logits, c.klass[aim][:, None], 1)[:, 0]
     np.exp(logits, out=logits)
-    found = (own - np.log(logits.sum(1))) / _LOG10 + c.within[before, aim]
-    found += np.where(aim == len(c.klass) - 1, np.float32(c.spread), np.float32(0))
-    return np.where(target >= 0, found.reshape(target.shape), 0)
+    found = (own - np.log(logits.sum(1))) / _LOG10 + c.within[before, aim] + c.share[ids.ravel()]
+    return np.where(held[:, STRIDE + 1 :], found.reshape(ids.shape), 0)
+
+
+def text_scores(c: Counts, t: Tables, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, end_id: int) -> np.ndarray:
+    """log10 probability of each sequence, BLOCK windows at a time, whatever their lengths."""
+    upto = np.cumsum(window_counts(starts, ends))
+    total, fixed = int(upto[-1]) if len(upto) else 0, np.zeros(len(starts), np.int64)
+    for a in range(0, total, BLOCK):
+        w, owner = windows(ids, starts, ends, end_id, a, a + BLOCK)
+        full = w if len(w) == BLOCK else np.concatenate((w, np.full((BLOCK - len(w), SPAN), NONE, np.uint16)))  # one shape, one way of rounding
+        found = np.rint(log10_scores(c, t, full)[: len(w)].sum(1, dtype=np.float64) * FINE_SCORE).astype(np.int64)
+        np.add.at(fixed, owner, found)
+    return fixed / FINE_SCORE
 
 
 def _gathered(size: int, index: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -218,65 +262,74 @@ def _gathered(size: int, index: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.bincount(at, rows.ravel(), size * width).reshape(size, width).astype(np.float32)
 
 
-def gradients(c: Counts, t: Tables, queries: np.ndarray, keys: np.ndarray, target: np.ndarray) -> tuple[float, Tables]:
-    """Mean loss of the classes in nats, and its gradient."""
-    context, a, total, q, k, v = attend(t, queries, keys)
+def gradients(c: Counts, t: Tables, w: np.ndarray, weight: np.ndarray) -> tuple[float, Tables]:
+    """Mean loss of the classes in nats over these windows' targets, each by its window's weight, and its gradient."""
+    held = w != NONE
+    rows = c.row[w[:, :-1]]
+    context, a, total, q, k, v = attend(t, rows, held[:, :-1])
     a /= total
-    live = (target >= 0).ravel()
-    n = max(1, int(live.sum()))
+    live = (held[:, STRIDE + 1 :] * weight[:, None]).ravel()
+    live /= max(1e-30, live.sum())
     flat = context.reshape(-1, WIDTH)
-    logits = flat @ t["out"] + c.next_class[np.maximum(queries, 0).ravel()]
-    p = np.exp(logits)
+    p, inner = _logits(c, t, flat, c.symbol[w[:, STRIDE:-1]].ravel())
+    np.exp(p, out=p)
     p /= p.sum(1, keepdims=True)
-    aim = c.klass[np.maximum(target, 0).ravel()]
+    aim = c.klass[c.symbol[w[:, STRIDE + 1 :]].ravel()]
     at = np.arange(len(aim))
-    loss = float(-np.log(np.maximum(p[at, aim], 1e-30))[live].sum() / n)
+    loss = float((-np.log(np.maximum(p[at, aim], 1e-30)) * live).sum())
     p[at, aim] -= 1
-    p *= (live / n).astype(np.float32)[:, None]
-    d_context = (p @ t["out"].T).reshape(context.shape)
+    p *= live.astype(np.float32)[:, None]
+    d_inner = (p @ t["outer"].T) * (inner > 0)
+    d_context = (p @ t["out"].T + d_inner @ t["inner"].T).reshape(context.shape)
     d_a = d_context @ v.swapaxes(1, 2)
     d_score = a * (d_a - (a * d_a).sum(2, keepdims=True))
     far = np.bincount(_BACK[_CAUSAL], d_score.sum(0)[_CAUSAL], 2 * STRIDE).astype(np.float32)
-    size = len(t["query"])
-    key_rows = np.maximum(keys, 0).ravel()
+    size, keys = len(t["query"]), rows.ravel()
     return loss, {
         "out": flat.T @ p,
+        "outer": inner.T @ p,
+        "inner": flat.T @ d_inner,
+        "bias": d_inner.sum(0),
         "far": far,
-        "query": _gathered(size, np.maximum(queries, 0).ravel(), (d_score @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)),
-        "key": _gathered(size, key_rows, (d_score.swapaxes(1, 2) @ q).reshape(-1, WIDTH)),
-        "value": _gathered(size, key_rows, (a.swapaxes(1, 2) @ d_context).reshape(-1, WIDTH)),
+        "query": _gathered(size, rows[:, STRIDE:].ravel(), (d_score @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)),
+        "key": _gathered(size, keys, (d_score.swapaxes(1, 2) @ q).reshape(-1, WIDTH)),
+        "value": _gathered(size, keys, (a.swapaxes(1, 2) @ d_context).reshape(-1, WIDTH)),
     }
 
 
 class Trainer:
-    """Adam over a task's windows, a batch at a time."""
+    """Adam over one bucket's windows, in their order, BATCH at a time."""
 
     def __init__(self, counts: Counts, tables: Tables):
-        self.c, self.t, self.steps, self.windows, self.loss = counts, {k: v.copy() for k, v in tables.items()}, 0, 0, 0.0
+        self.c, self.t, self.steps = counts, {k: v.copy() for k, v in tables.items()}, 0
         self.m, self.v = ({k: np.zeros_like(x) for k, x in tables.items()} for _ in range(2))
 
-    def learn(self, queries: np.ndarray, keys: np.ndarray, target: np.ndarray) -> None:
-        for a in range(0, len(queries), BATCH):
-            part = slice(a, a + BATCH)
-            loss, g = gradients(self.c, self.t, queries[part], keys[part], target[part])
-            n = len(queries[part])
-            self.steps, self.windows, self.loss = self.steps + 1, self.windows + n, self.loss + loss * n
+    def learn(self, w: np.ndarray, weight: np.ndarray) -> None:
+        for a in range(0, len(w), BATCH):
+            _, g = gradients(self.c, self.t, w[a : a + BATCH], weight[a : a + BATCH])
+            self.steps += 1
+            up, root = np.float32(RATE / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.99**self.steps))
             for k, x in g.items():
-                self.m[k] += 0.1 * (x - self.m[k])
-                self.v[k] += 0.01 * (x * x - self.v[k])
-                up = np.float32(RATE / (1 - 0.9**self.steps))
-                self.t[k] -= up * self.m[k] / (np.sqrt(self.v[k] / np.float32(1 - 0.99**self.steps)) + np.float32(1e-6))
+                m, v = self.m[k], self.v[k]
+                m *= np.float32(0.9)
+                m += np.float32(0.1) * x
+                v *= np.float32(0.99)
+                x *= x
+                v += np.float32(0.01) * x
+                step = np.sqrt(v * root)
+                step += np.float32(1e-6)
+                self.t[k] -= up * m / step
 
 
 # -- the job
 
 
-def _sequences(part: pa.RecordBatch, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A batch's symbols in one array, and where each row's begin and end."""
+def _sequences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's ids in one array, and where each row's begin and end."""
     blobs = part.column("ids").to_pylist()
     ends = np.cumsum([len(b) // 2 for b in blobs])
     starts = np.concatenate(([0], ends[:-1])) if len(blobs) else ends
-    return symbol[np.frombuffer(b"".join(blobs), np.uint16)], starts, ends
+    return np.frombuffer(b"".join(blobs), np.uint16), starts, ends
 
 
 def _encoded(docs: DataFrame, head, tokenizer: str, id_column: str, text_column: str) -> DataFrame:
@@ -331,7 +384,8 @@ def _pair_counts(encoded: DataFrame, symbol, symbols: int) -> np.ndarray:
         total = np.zeros(symbols * symbols, np.int64)
         for batch in batches:
             for a, b in slices(batch.column("ids"), 1 << 20):
-                s, starts, _ = _sequences(batch.slice(a, b - a), symbol.value)
+                s, starts, _ = _sequences(batch.slice(a, b - a))
+                s = symbol.value[s]
                 if len(s):
                     before = np.concatenate(([END], s[:-1]))
                     before[starts] = END
@@ -346,31 +400,89 @@ def _pair_counts(encoded: DataFrame, symbol, symbols: int) -> np.ndarray:
     return out.reshape(symbols, symbols)
 
 
-def _trained(encoded: DataFrame, counts, tables: Tables, round_no: int) -> Tables:
-    """Tables after every task has learnt from this round's windows: their mean, weighted by windows.
+def _hashed(w: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each window's ids."""
+    out = np.zeros(len(w), np.uint64)
+    for i in range(SPAN):
+        out = (out ^ w[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return mix(out)
 
-    Each window is in one round, by a hash, however rows are dealt out.
+
+def _round_windows(encoded: DataFrame, round_no: int, buckets: int, end_id: int) -> DataFrame:
+    """(bucket, h, n, w) of this round's training windows; equal ones of a slice of rows are one row with a count."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(batch.column("ids"), 1 << 20):
+                ids, starts, ends = _sequences(batch.slice(a, b - a))
+                for x in range(0, int(window_counts(starts, ends).sum()), 1 << 15):
+                    w, _ = windows(ids, starts, ends, end_id, x, x + (1 << 15))
+                    h = _hashed(w)
+                    own = np.flatnonzero((h >> np.uint64(8)) % np.uint64(ROUNDS) == round_no)
+                    h, first, n = np.unique(h[own], return_index=True, return_counts=True)
+                    bucket = ((h >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
+                    rows = np.ascontiguousarray(w[own[first]])
+                    body = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SPAN), len(h), [None, pa.py_buffer(rows)])
+                    yield pa.record_batch([pa.array(bucket), pa.array(h.view(np.int64)), pa.array(n), body.cast(pa.binary())], ["bucket", "h", "n", "w"])
+
+    return encoded.where(~F.col("held_out")).select("ids").mapInArrow(run, "bucket int, h long, n long, w binary")
+
+
+def _trained(encoded: DataFrame, counts, tables: Tables, round_no: int, buckets: int, end_id: int) -> Tables:
+    """The mean of all buckets' tables, each after it has learnt from its windows of this round.
+
+    A window that recurs counts 1 + log2 of its occurrences. A bucket's windows
+    come in the order of their hashes, so its batches do not depend on how
+    rows are dealt out; a task streams through its buckets one by one.
     """
-    spark = encoded.sparkSession
-    sent = spark.sparkContext.broadcast(tables)
+    sent = encoded.sparkSession.sparkContext.broadcast(tables)
     names = sorted(tables)
 
     def run(batches):
-        trainer = Trainer(counts.value, sent.value)
+        whole, done, trainer, bucket = 0, 0, None, None
+        w, weight = np.zeros((0, SPAN), np.uint16), np.zeros(0)
+        last: tuple = ()
+
+        def flush(all_of_it: bool) -> None:
+            nonlocal w, weight, whole, done
+            n = len(w) if all_of_it else max(0, len(w) - 1) // BATCH * BATCH  # the last window may go on
+            if trainer is not None and n:
+                trainer.learn(w[:n], (1 + np.log2(weight[:n])).astype(np.float32))
+            w, weight = w[n:], weight[n:]
+            if all_of_it and trainer is not None:
+                whole = whole + np.concatenate([np.rint(trainer.t[k].astype(np.float64).ravel() * FINE).astype(np.int64) for k in names])
+                done += 1
+
         for batch in batches:
-            for a, b in slices(batch.column("ids"), 1 << 20):
-                s, starts, ends = _sequences(batch.slice(a, b - a), counts.value.symbol)
-                queries, keys, target, _ = windows(s, starts, ends, round_no)
-                trainer.learn(queries, keys, target)
-        if trainer.windows:
-            flat = np.concatenate([trainer.t[k].ravel() for k in names] + [np.array([trainer.loss / trainer.windows])]).astype(np.float64)
-            yield pa.record_batch([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * trainer.windows), pa.array(np.full(len(flat), trainer.windows))], ["i", "x", "n"])
-
-    rows = encoded.where(~F.col("held_out")).select("ids").mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
+            owner, h, n = (batch.column(i).to_numpy() for i in range(3))
+            rows = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, SPAN)
+            cuts = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1).tolist(), len(owner)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if bucket != owner[a]:
+                    flush(True)
+                    trainer, bucket, last = Trainer(counts.value, sent.value), owner[a], ()
+                    w, weight = np.zeros((0, SPAN), np.uint16), np.zeros(0)
+                new = np.concatenate(([last != (h[a],)], h[a + 1 : b] != h[a : b - 1]))
+                group = np.cumsum(new) - 1
+                sums = np.bincount(group + 1, n[a:b], group[-1] + 2)
+                if len(weight):
+                    weight[-1] += sums[0]
+                w, weight = np.concatenate((w, rows[a:b][new])), np.concatenate((weight, sums[1:]))
+                last = (h[b - 1],)
+                flush(False)
+        flush(True)
+        if done:
+            yield pa.record_batch([pa.array(np.arange(len(whole), dtype=np.int32)), pa.array(whole), pa.array(np.full(len(whole), done))], ["i", "x", "n"])
+
+    dealt = _round_windows(encoded, round_no, buckets, end_id).repartition("bucket").sortWithinPartitions("bucket", "h")
+    rows = dealt.mapInArrow(run, "i int, x long, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toArrow()
     if not rows.num_rows:
         return tables
     flat = np.zeros(rows.num_rows)
-    flat[rows.column("i").to_numpy()] = rows.column("x").to_numpy()
+    flat[rows.column("i").to_numpy()] = rows.column("x").to_numpy() / rows.column("n").to_numpy() / FINE
     out, at = {}, 0
     for k in names:
         out[k] = flat[at : at + tables[k].size].reshape(tables[k].shape).astype(np.float32)
@@ -386,9 +498,9 @@ def score_texts(docs: DataFrame, tokenizer: str = TOKENIZER, id_column: str = "d
     the lower-cased words with 0.1 added to each count; score is the model's
     log10 probability of the text's subwords and end. Words are told apart by
     64-bit hashes. A null text counts as empty: its end alone is scored.
-    Repeated rows have equal values. Without training rows both scores come
-    from the added constants. Texts are scored a few thousand windows at a
-    time, whatever their length.
+    Equal texts have equal scores. Without training rows both scores come
+    from the added constants. Windows are built and scored BLOCK at a time,
+    whatever a text's length.
     """
     spark = docs.sparkSession
     training = docs.where(crc_mod(id_column, HELD_OUT) != 0)
@@ -422,21 +534,19 @@ def score_texts(docs: DataFrame, tokenizer: str = TOKENIZER, id_column: str = "d
     symbol[rank] = np.arange(len(rank))
     pairs = _pair_counts(encoded, spark.sparkContext.broadcast(symbol), SYMBOLS + 1)
     counts = spark.sparkContext.broadcast(counts_of(id_counts, pairs, symbol))
-    tables = first_tables(SYMBOLS + 1)
+    tables = first_tables()
+    n_windows = encoded.where(~F.col("held_out")).agg(F.sum(F.ceil(F.length("ids") / (2 * STRIDE)))).first()[0] or 0
+    buckets = int(min(MOST_BUCKETS, max(1, (n_windows / ROUNDS / BUCKET) ** 0.5)))
     for i in range(ROUNDS):
-        tables = _trained(encoded, counts, tables, i)
+        tables = _trained(encoded, counts, tables, i, buckets, size - 1)
     sent = spark.sparkContext.broadcast(tables)
 
     def run(batches):
         for batch in batches:
             for a, b in slices(batch.column("ids"), 1 << 20):
                 part = batch.slice(a, b - a)
-                s, starts, ends = _sequences(part, counts.value.symbol)
-                queries, keys, target, owner = windows(s, starts, ends)
-                score = np.zeros(part.num_rows)
-                for x in range(0, len(owner), 512):
-                    y = slice(x, x + 512)
-                    score += np.bincount(owner[y], log10_scores(counts.value, sent.value, queries[y], keys[y], target[y]).sum(1, dtype=np.float64), part.num_rows)
+                ids, starts, ends = _sequences(part)
+                score = text_scores(counts.value, sent.value, ids, starts, ends, size - 1)
                 yield pa.record_batch([*(part.column(i) for i in range(6)), pa.array(score), pa.array(ends - starts)], [*part.schema.names[:6], "score", "n_subwords"])
 
     kind = docs.schema[id_column].dataType.simpleString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,14 @@ from .common import CRC32_SQL, GAP, crc_mod, cut, shielded, unshielded
 
 #: A rule's measure is compared with 1/STEPS, 2/STEPS, ... 1.
 STEPS = 50
-#: Each rule may falsely reject this share of a stratum's good documents at most ...
-RISK = 0.004
-#: ... with this probability, over all strata and rules together, that any of them exceeds it.
+#: Of a language's good documents the cutoffs together may falsely reject one in fifty at most: what a corpus can spare for its cleaning ...
+RISK = 0.02
+#: ... with this probability, over all languages together, that any of them loses more.
 DELTA = 0.05
+#: Levels, each with lower cutoffs than the one before: the share of the proposing good documents that each rule may reject, and steps added to the cutoff for safety.
+LEVELS = ((0, 4), (0, 2), (0, 0), *((RISK * x, 0) for x in (1 / 32, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1)))
+#: A cutoff has to reject a share of the bad documents so many times that of the good ones.
+LIFT = 10
 RULES = ("symbols", "dup_lines", "repeats", "shouting", "long_words")
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -118,50 +124,82 @@ def _tail(n: Column, k: Column) -> Column:
     )
 
 
+def _grouped(sizes: DataFrame) -> DataFrame:
+    """(stratum, grp) of (stratum, n): strata whose holdout is too small to admit anything share a group.
+
+    A stratum needs as many good holdout rows as admit a level without one
+    false rejection. The smallest strata are put together until they have so
+    many and the next one has them by itself; group 0 is theirs. Numbers of
+    rows alone decide, so no test is spent on it.
+    """
+    up, whole = Window.orderBy("n", "stratum"), Window.partitionBy()  # a row for each stratum
+    need = F.log(F.count(F.lit(1)).over(whole) / F.lit(DELTA)) / F.lit(-math.log(1 - RISK))
+    enough = (F.sum("n").over(up) >= need) & F.coalesce(F.lead("n").over(up) >= need, F.lit(True))
+    marked = sizes.withColumns({"enough": enough.cast("int"), "place": F.row_number().over(up)})
+    earlier = F.coalesce(F.max("enough").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return marked.select("stratum", F.when(earlier == 1, F.col("place")).otherwise(0).alias("grp"))
+
+
+def _proposed(rows: DataFrame) -> DataFrame:
+    """(grp, one array for each rule): the rule's cutoff at each level, STEPS + 1 where it has none."""
+    counted = (
+        rows.where(~F.col("holdout"))
+        .select("grp", "_good", F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).alias("step")) for k in RULES))).alias("x"))
+        .groupBy("grp", "x.rule", "x.step")
+        .agg(*(F.sum(F.when(F.col("_good") == good, 1).otherwise(0)).alias(name) for name, good in (("good", 1), ("bad", 0))))
+    )
+    # At most STEPS + 1 rows for each group and rule from here on.
+    whole = Window.partitionBy("grp", "rule")
+    above = whole.orderBy(F.desc("step"))
+    cumulated = counted.select("grp", "rule", "step", *(F.sum(c).over(above).alias(c) for c in ("good", "bad")), *(F.sum(c).over(whole).alias(f"all_{c}") for c in ("good", "bad")))
+    useful = (F.col("step") >= 1) & (F.col("bad") > 0) & (F.col("bad") * F.col("all_good") >= LIFT * F.col("good") * F.col("all_bad"))
+    least = [F.least(F.coalesce(F.min(F.when(useful & (F.col("good") <= F.col("all_good") * share), F.col("step"))) + more, F.lit(STEPS + 1)), F.lit(STEPS + 1)) for share, more in LEVELS]
+    path = cumulated.groupBy("grp", "rule").agg(F.array(*least).alias("path"))
+    return path.groupBy("grp").agg(*(F.max(F.when(F.col("rule") == r, F.col("path"))).alias(f"p_{r}") for r in RULES))
+
+
+def _spared(path: Column, step: Column) -> Column:
+    """How many levels, from the first on, do not reject this measure."""
+    return F.size(F.filter(path, lambda x: x > step))
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum_column: str = "lang", id_column: str = "doc_id") -> DataFrame:
     """(stratum, rule, cutoff) for each cutoff that the labelled holdout supports.
 
     ``measured`` has id, stratum and ``_q``; ``labels`` has id and quality.
-    Labelled rows with an even crc32 of their id propose one cutoff for each
-    stratum and rule: of those that reject at most half of RISK of the good
-    ones, the one that rejects the most bad ones, the highest if several do.
-    The other labelled rows are the holdout: a proposal stands if its false
+    Labelled rows with an even crc32 of their id propose a path of levels for
+    each stratum, each with cutoffs for all rules at once (_proposed). The
+    other labelled rows are the holdout. Levels are tested in their order,
+    which the holdout has no part in: one is admitted if its joint false
     rejections among the holdout's good rows are so few that a share over RISK
-    would give them with probability DELTA / (number of proposals) at most
-    (the exact Clopper-Pearson bound with Bonferroni's correction). Rows that
-    fail the base rules take no part. A stratum with too few labelled rows gets
-    no cutoff; a null stratum is one of its own.
+    would give them with probability DELTA / (number of strata tested) at most
+    (the exact binomial bound; Bonferroni's correction over strata, and none
+    within one, as testing ends at the first level that fails). So all rules
+    together reject RISK of a stratum's good documents at most. Small strata
+    are tested together (_grouped), and the bound then holds for them together.
+    Rows that fail the base rules take no part. A null stratum is one of its
+    own; one without labelled rows gets no cutoff.
     """
     marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_column).alias("_id")).agg(F.min("quality").alias("_good"))
     steps = exceeded(F.col("_q"))
-    rows = (
+    rows = cut(
         measured.where(~base_failed(F.col("_q")))
-        .select(F.col(id_column).alias("_id"), F.coalesce(F.col(stratum_column), F.lit("")).alias("stratum"), *(c.alias(k) for k, c in steps.items()))
+        .select(F.col(id_column).alias("_id"), F.coalesce(F.col(stratum_column), F.lit("")).alias("stratum"), *(c.cast("int").alias(k) for k, c in steps.items()))
         .join(marks, "_id")
-        .withColumn("holdout", crc_mod("_id", 2) == 1)
-    )
-    counted = (
-        rows.select("stratum", "holdout", "_good", F.explode(F.array(*(F.struct(F.lit(k).alias("rule"), F.col(k).cast("int").alias("step")) for k in RULES))).alias("x"))
-        .groupBy("stratum", "x.rule", "x.step")
-        .agg(
-            *(
-                F.sum(F.when((F.col("holdout") == held) & (F.col("_good") == good), 1).otherwise(0)).alias(name)
-                for name, held, good in (("fit_good", False, 1), ("fit_bad", False, 0), ("test_good", True, 1))
-            )
-        )
-    )
-    # At most STEPS + 1 rows for each stratum and rule from here on.
-    above = Window.partitionBy("stratum", "rule").orderBy(F.desc("step"))
-    whole = Window.partitionBy("stratum", "rule")
-    cumulated = counted.select("stratum", "rule", "step", *(F.sum(c).over(above).alias(c) for c in ("fit_good", "fit_bad", "test_good")), *(F.sum(c).over(whole).alias(f"all_{c}") for c in ("fit_good", "test_good")))
-    proposed = (
-        cumulated.where((F.col("step") >= 1) & (F.col("fit_bad") > 0) & (F.col("fit_good") <= F.col("all_fit_good") * (RISK / 2)))
-        .groupBy("stratum", "rule")
-        .agg(F.max(F.struct("fit_bad", "step", "test_good", "all_test_good")).alias("best"))
-        .select("stratum", "rule", "best.*")
+        .select("stratum", "_good", (crc_mod("_id", 2) == 1).alias("holdout"), *RULES)
     )
-    tests = proposed.withColumn("tests", F.count(F.lit(1)).over(Window.partitionBy()))
-    return tests.where(_tail(F.col("all_test_good"), F.col("test_good")) <= DELTA / F.col("tests")).select("stratum", "rule", F.col("step").alias("cutoff"))
+    tested = F.col("holdout") & (F.col("_good") == 1)
+    # Tables of a row for each stratum are written, so that Spark knows their size when it joins them.
+    groups = cut(_grouped(rows.groupBy("stratum").agg(F.count(F.when(tested, 1)).alias("n"))).coalesce(1))
+    grouped = rows.join(groups, "stratum")
+    paths = cut(groups.join(_proposed(grouped), "grp").coalesce(1))
+    level = F.least(*(_spared(F.col(f"p_{r}"), F.col(r)) for r in RULES))
+    rejected = F.array(*(F.count(F.when(level <= i, 1)) for i in range(len(LEVELS))))
+    holdout = rows.where(tested).join(paths, "stratum").groupBy("grp").agg(F.count(F.lit(1)).alias("n"), rejected.alias("k"))
+    many = F.count(F.lit(1)).over(Window.partitionBy())
+    admitted = holdout.withColumn("tests", many).select("grp", "n", "tests", F.posexplode("k").alias("level", "k")).where(_tail(F.col("n"), F.col("k")) <= DELTA / F.col("tests")).groupBy("grp").agg(F.max("level").alias("level"))
+    chosen = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.get(f"p_{r}", F.col("level")).alias("cutoff")) for r in RULES)))
+    return paths.join(admitted, "grp").select("stratum", chosen.alias("x")).select("stratum", "x.rule", "x.cutoff").where(F.col("cutoff") <= STEPS)
 
 
 def verdict(measured: DataFrame, limits: DataFrame, stratum_column: str = "lang") -> DataFrame:
@@ -223,18 +261,23 @@ parts AS (SELECT rid, doc_id, stratum, base_failed, unnest([
   {{'rule': 'repeats', 'n': n_repeat_words, 'd': n_words}}, {{'rule': 'shouting', 'n': n_loud, 'd': word_chars}},
   {{'rule': 'long_words', 'n': word_chars, 'd': 20 * n_words}}], recursive := true) FROM judged),
 steps AS (SELECT rid, doc_id, stratum, base_failed, rule, CASE WHEN d > 0 THEN greatest(0, least({STEPS}, ({STEPS} * n + d - 1) // d - 1)) ELSE 0 END AS step FROM parts),
-counted AS (SELECT stratum, rule, step,
-  count(*) FILTER (crc % 2 = 0 AND good = 1) AS fit_good, count(*) FILTER (crc % 2 = 0 AND good = 0) AS fit_bad,
-  count(*) FILTER (crc % 2 = 1 AND good = 1) AS test_good
-  FROM (SELECT *, {CRC32_SQL.format('doc_id::VARCHAR')} AS crc FROM steps JOIN marks USING (doc_id)) WHERE NOT base_failed GROUP BY ALL),
-cumulated AS (SELECT stratum, rule, step, sum(fit_good) OVER a AS fit_good, sum(fit_bad) OVER a AS fit_bad, sum(test_good) OVER a AS test_good,
-  sum(fit_good) OVER p AS all_fit_good, sum(test_good) OVER p AS all_test_good
-  FROM counted WINDOW a AS (PARTITION BY stratum, rule ORDER BY step DESC), p AS (PARTITION BY stratum, rule)),
-proposed AS (SELECT * FROM cumulated WHERE step >= 1 AND fit_bad > 0 AND fit_good <= all_fit_good * {RISK / 2}
-  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY fit_bad DESC, step DESC) = 1),
-tails AS (SELECT stratum, rule, step, (SELECT sum(exp(lgamma(all_test_good + 1) - lgamma(i + 1) - lgamma(all_test_good - i + 1)
-  + i * ln({RISK}) + (all_test_good - i) * ln(1 - {RISK}))) FROM unnest(generate_series(0, test_good::BIGINT)) AS u(i)) AS tail, count(*) OVER () AS tests FROM proposed),
-limits AS (SELECT stratum, rule, step AS cutoff FROM tails WHERE tail <= {DELTA} / tests),
+labelled AS (SELECT stratum, rid, rule, step, good, {CRC32_SQL.format('doc_id::VARCHAR')} % 2 = 1 AS holdout FROM steps JOIN marks USING (doc_id) WHERE NOT base_failed),
+sizes AS (SELECT stratum, count(DISTINCT rid) FILTER (holdout AND good = 1) AS n FROM labelled GROUP BY stratum),
+needs AS (SELECT *, ln(count(*) OVER () / {DELTA}) / -ln(1 - {RISK}) AS need, sum(n) OVER up AS upto, lead(n) OVER up AS next, row_number() OVER up AS place
+  FROM sizes WINDOW up AS (ORDER BY n, stratum)),
+groups AS (SELECT stratum, CASE WHEN place > (SELECT min(place) FROM needs WHERE upto >= need AND (next IS NULL OR next >= need)) THEN place ELSE 0 END AS grp FROM needs),
+counted AS (SELECT grp, rule, step, count(*) FILTER (good = 1) AS good, count(*) FILTER (good = 0) AS bad FROM labelled JOIN groups USING (stratum) WHERE NOT holdout GROUP BY ALL),
+cumulated AS (SELECT grp, rule, step, sum(good) OVER a AS good, sum(bad) OVER a AS bad, sum(good) OVER p AS all_good, sum(bad) OVER p AS all_bad
+  FROM counted WINDOW a AS (PARTITION BY grp, rule ORDER BY step DESC), p AS (PARTITION BY grp, rule)),
+levels AS (SELECT unnest({list(range(len(LEVELS)))}) AS level, unnest({[x for x, _ in LEVELS]}::DOUBLE[]) AS share, unnest({[x for _, x in LEVELS]}) AS more),
+path AS (SELECT grp, rule, level, min(step) + more AS cutoff FROM cumulated, levels
+  WHERE step >= 1 AND bad > 0 AND bad * all_good >= {LIFT} * good * all_bad AND good <= all_good * share GROUP BY grp, rule, level, more HAVING min(step) + more <= {STEPS}),
+held AS (SELECT grp, count(DISTINCT rid) AS n, count(*) OVER () AS tests FROM labelled JOIN groups USING (stratum) WHERE holdout AND good = 1 GROUP BY grp),
+lost AS (SELECT grp, level, count(DISTINCT rid) AS k FROM labelled JOIN groups USING (stratum) JOIN path USING (grp, rule) WHERE holdout AND good = 1 AND step >= cutoff GROUP BY ALL),
+tails AS (SELECT grp, level, tests, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))
+  FROM unnest(generate_series(0, coalesce(k, 0)::BIGINT)) AS u(i)) AS tail FROM held CROSS JOIN levels LEFT JOIN lost USING (grp, level)),
+admitted AS (SELECT grp, max(level) AS level FROM tails WHERE tail <= {DELTA} / tests GROUP BY grp),
+limits AS (SELECT stratum, rule, cutoff FROM groups JOIN admitted USING (grp) JOIN path USING (grp, level)),
 rejected AS (SELECT DISTINCT rid FROM steps JOIN limits USING (stratum, rule) WHERE step >= cutoff)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND rejected.rid IS NULL AS kept

@@ -2,139 +2,85 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from .common import cut
+from .common import cut, holding, release
 
-#: Parts of a value range of which one pass over the metadata counts the bytes.
-BINS = 2048
-#: A split may miss its target by this share of a leaf's bytes before ties are looked into any more.
-TOLERANCE = 0.0005
-#: Rows of one shard are numbered in so many parts.
-PARTS = 64
 #: Bytes that a row is charged besides its text.
 ROW_BYTES = 16
+#: Low bits of a tie that tell repeated rows apart; the bits above them come from id and text.
+PLACE_BITS = 20
 
 
-@dataclass
-class Box:
-    """A box of the tree: its number is that of the first of the ``shards`` leaves that are to come of it."""
+def running(rows: DataFrame, group: str, order: list[str], weight: Column) -> DataFrame:
+    """``rows`` with _before: the weight of the rows that stand before each one in its group.
 
-    number: int
-    shards: int
-    total: float = 0.0
-    dimension: int = 0
-    goal: float = 0.0
-    low: int = 0
-    high: int = 0
-    before: float = 0.0
-    value: int | None = None
-    tie: int | None = None
-    weight: float = 0.0
-
-
-def _by_box(values: dict[int, int], size: int) -> Column:
-    """The value of each row's box; a literal array, so that all passes share one plan and its compiled code."""
-    return F.get(F.lit([values.get(i, 0) for i in range(size)]).cast("array<bigint>"), F.col("_box"))
+    Rows are dealt out to ranges of (group, order), so a group of any size is
+    spread over tasks; what stands before a range is summed from the ranges'
+    totals. Rows equal in ``order`` stand in any order.
+    """
+    dealt = cut(rows.repartitionByRange(group, *order).withColumns({"_range": F.spark_partition_id(), "_weight": weight}))
+    ahead = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = dealt.groupBy(group, "_range").agg(F.sum("_weight").alias("_total"))
+    first = totals.select(group, "_range", F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_first"))
+    within = Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("_within", F.coalesce(F.sum("_weight").over(within), F.lit(0)))
+    return summed.join(first, [group, "_range"]).withColumn("_before", F.col("_first") + F.col("_within")).drop("_range", "_weight", "_first", "_within")
 
 
-def ordinal(column: str, kind: str) -> Column:
-    """A dimension as a long integer; strings by their first seven bytes, nulls first."""
-    if kind == "string":
-        head = F.rpad(F.substring(F.hex(F.encode(F.col(column), "UTF-8")), 1, 14), 14, "0")
-        return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1).cast("long"))
-    return F.coalesce(F.col(column).cast("long"), F.lit(-(1 << 62)))
+def codes(rows: DataFrame, column: str) -> DataFrame:
+    """(column, _code): the rank of each distinct value, so that values of any length keep their whole order."""
+    values = rows.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_all", F.lit(0))
+    return running(values, "_all", [column], F.lit(1)).select(column, F.col("_before").alias("_code"))
 
 
-def _halve(rows: DataFrame, boxes: list[Box], size: int, by_tie: bool, unit: float) -> None:
-    """Finds for each box the value below which ``goal`` bytes lie; with ``by_tie``, the tie among rows of that value.
+def _split(rows: DataFrame, dimensions: list[str], whole: dict[str, float]) -> DataFrame:
+    """One level: every box of two leaves or more is cut at the weighted median of its widest dimension.
 
-    The range is cut into BINS parts, whose bytes Spark sums; the part that
-    holds the goal is cut again until it holds one value or little weight. At
-    most boxes x BINS rows reach the driver in a pass.
+    A box is named by its first leaf. With an odd number of leaves the cut is
+    next to the median, so that each leaf has its share of the bytes. A row
+    goes below if its middle does. Ties in the dimension go by _tie.
     """
-    todo = boxes
-    while todo:
-        dimension = F.get("_d", _by_box({b.number: b.dimension for b in todo}, size).cast("int"))
-        low, width = ({b.number: x for b, x in zip(todo, xs, strict=True)} for xs in ([b.low for b in todo], [max(1, -(-(b.high - b.low + 1) // BINS)) for b in todo]))
-        value = F.col("_tie") if by_tie else dimension
-        found = rows.where(_by_box({b.number: 1 for b in todo}, size) == 1)
-        if by_tie:
-            found = found.where(dimension == _by_box({b.number: b.value for b in todo}, size))
-        # Bounds are far inside the range of long integers, so the difference cannot overflow.
-        part = F.floor((F.col("_v") - F.col("_low")) / F.col("_width")).cast("long")
-        summed = (
-            found.select("_box", "size", value.alias("_v"), _by_box(low, size).alias("_low"), _by_box(width, size).alias("_width"))
-            .withColumn("_part", part)
-            .where("_v >= _low")
-            .groupBy("_box", "_part")
-            .agg(F.sum("size").alias("bytes"), F.min("_v").alias("a"), F.max("_v").alias("b"))
-            .where(F.col("_part") < BINS)
-        )
-        parts: dict[int, list] = {}
-        for r in summed.collect():
-            parts.setdefault(r["_box"], []).append((r["a"], r["b"], float(r["bytes"])))
-        again = []
-        for box in todo:
-            own = sorted(parts[box.number])
-            for i, (a, b, weight) in enumerate(own):
-                if box.before + weight >= box.goal or i == len(own) - 1:
-                    break
-                box.before += weight
-            if a == b or (by_tie and weight <= unit * TOLERANCE):
-                if by_tie:
-                    # The tied rows from a on go up or down, whichever is nearer to the goal.
-                    box.tie = a + (box.goal - box.before > box.before + weight - box.goal)
-                else:
-                    box.value, box.weight = a, weight
-            else:
-                box.low, box.high = a, b
-                again.append(box)
-        todo = again
-
-
-def grow(rows: DataFrame, dimensions: int, shards: int) -> DataFrame:
-    """``rows`` with ``shard``: each box is split at the weighted median of its widest dimension, until ``shards`` leaves are left.
-
-    ``rows`` has _d (the dimensions as long integers), _tie and size. Leaves
-    get 1/shards of the bytes each, so a box for an odd number of leaves is
-    split next to its median. Widths are shares of the whole table's range.
-    Values equal in a dimension are told apart by _tie, so no value is too
-    frequent. All boxes of one level are split together, and the level's boxes
-    are written before the next.
+    bounds = [f(d).cast("double").alias(f"{k}{d}") for d in dimensions for k, f in (("a", F.min), ("b", F.max))]
+    stats = rows.groupBy("_box").agg(F.sum("size").alias("_bytes"), F.min("_leaves").alias("_of"), *bounds)
+    widths = [F.struct(F.coalesce((F.col(f"b{d}") - F.col(f"a{d}")) / F.lit(whole[d]), F.lit(0.0)).alias("width"), F.lit(-i).alias("i")) for i, d in enumerate(dimensions)]
+    widest = -F.greatest(*widths)["i"] if len(widths) > 1 else F.lit(0)
+    goal = F.col("_bytes") * F.floor(F.col("_of") / 2) / F.col("_of")
+    # Boxes are few where they are large; where they are many, none is hot, and Spark joins them by _box.
+    boxes = cut(stats.select("_box", widest.alias("_widest"), goal.alias("_goal")))
+    joined = rows.join(boxes, "_box").withColumn("_v", F.get(F.array(*(F.col(d).cast("double") for d in dimensions)), F.col("_widest")))
+    placed = running(joined, "_box", ["_v", "_tie"], F.col("size"))
+    below, half = F.col("_before") + F.col("size") / 2 < F.col("_goal"), F.floor(F.col("_leaves") / 2).cast("int")
+    return placed.withColumns({"_box": F.when(below, F.col("_box")).otherwise(F.col("_box") + half), "_leaves": F.when(below, half).otherwise(F.col("_leaves") - half)}).drop("_widest", "_goal", "_v", "_before")
+
+
+def grow(rows: DataFrame, dimensions: list[str], shards: int) -> DataFrame:
+    """``rows`` with ``shard``: boxes are split until ``shards`` leaves are left, all boxes of one level together.
+
+    ``rows`` has the dimensions as numbers, _tie and size. Widths are shares
+    of the whole table's range; nulls come first and have no width. Each level
+    is written before the next, and the one before it is deleted. No box,
+    bound or median passes through the driver but the whole table's range.
     """
-    rows = rows.withColumn("_box", F.lit(0))
-    level, whole, unit = [Box(0, shards)] if shards > 1 else [], None, 0.0
-    while level:
-        inside = rows.where(_by_box({b.number: 1 for b in level}, shards) == 1)
-        bounds = [f(x).alias(f"{k}{i}") for i, x in enumerate([*(F.get("_d", F.lit(j)) for j in range(dimensions)), F.col("_tie")]) for k, f in (("a", F.min), ("b", F.max))]
-        stats = {r["_box"]: r for r in inside.groupBy("_box").agg(F.sum("size").alias("bytes"), *bounds).collect()}
-        level = [b for b in level if b.number in stats]
-        if not level:
-            break
-        if whole is None:
-            whole = [max(1, stats[0][f"b{i}"] - stats[0][f"a{i}"]) for i in range(dimensions)]
-            unit = stats[0]["bytes"] / shards
-        for box in level:
-            r = stats[box.number]
-            box.dimension = max(range(dimensions), key=lambda i, r=r: ((r[f"b{i}"] - r[f"a{i}"]) / whole[i], -i))
-            box.goal = r["bytes"] * (box.shards // 2) / box.shards
-            box.low, box.high = r[f"a{box.dimension}"], r[f"b{box.dimension}"]
-        _halve(rows, level, shards, False, unit)
-        for box in level:
-            box.low, box.high = stats[box.number][f"a{dimensions}"], stats[box.number][f"b{dimensions}"]
-        _halve(rows, level, shards, True, unit)
-        own = F.get("_d", _by_box({b.number: b.dimension for b in level}, shards).cast("int"))
-        value, tie = _by_box({b.number: b.value for b in level}, shards), _by_box({b.number: b.tie for b in level}, shards)
-        up = _by_box({b.number: b.shards // 2 for b in level}, shards)
-        below = (own < value) | ((own == value) & (F.col("_tie") < tie))
-        rows = cut(rows.withColumn("_box", F.when(below, F.col("_box")).otherwise(F.col("_box") + up).cast("int")))
-        halves = [h for b in level for h in (Box(b.number, b.shards // 2), Box(b.number + b.shards // 2, b.shards - b.shards // 2))]
-        level = [h for h in halves if h.shards > 1]
-    return rows.withColumnRenamed("_box", "shard")
+    spread = rows.agg(*((F.max(d) - F.min(d)).cast("double").alias(d) for d in dimensions)).first()
+    whole = {d: spread[d] or 1.0 for d in dimensions}
+    rows, done, levels = rows.withColumns({"_box": F.lit(0), "_leaves": F.lit(shards)}), [], []
+    for _ in range(max(0, shards - 1).bit_length()):
+        levels.append(uuid.uuid4().hex)
+        with holding(levels[-1]):
+            rows = cut(_split(rows, dimensions, whole))
+        if len(levels) > 1 and len(done) == 0:
+            release(rows.sparkSession, levels[-2])
+        if shards >> len(levels) <= 1:  # from here on boxes may have one leaf
+            done.append(rows.where("_leaves = 1"))
+        rows = rows.where("_leaves > 1")
+    for part in done:
+        rows = rows.unionByName(part)
+    return rows.withColumnRenamed("_box", "shard").drop("_leaves")
 
 
 def shard(docs: DataFrame, shards: int = 40, target_bytes: int | None = None, dimensions: tuple[str, ...] = ("source", "lang", "n_chars"), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -143,31 +89,25 @@ def shard(docs: DataFrame, shards: int = 40, target_bytes: int | None = None, di
     With ``target_bytes`` the number of shards follows from the total. A
     document's size is the UTF-8 bytes of its text (a null text has none) plus
     ROW_BYTES. Returns id, size, text_crc32, law, shard, slot and grown_shard.
-    Documents alike in all dimensions are told apart by a hash of id and text;
-    wholly equal rows stay together. Nulls in a dimension come first. An empty
-    table gives no rows.
+    Dimensions that are no numbers count by the rank of their distinct values.
+    Documents alike in all dimensions are told apart by a hash of id and text,
+    and repeated rows by a hash of their place in the input, so no group is
+    too large for a shard. Nulls in a dimension come first. An empty table
+    gives no rows; further columns are not read.
     """
-    kinds = {f.name: "string" if f.dataType.simpleString() == "string" else "number" for f in docs.schema}
     raw = F.coalesce(F.col(text_column).cast("binary"), F.lit(b""))
-    rows = cut(
-        docs.select(
-            F.col(id_column).alias("_id"),
-            (F.length(raw) + ROW_BYTES).cast("long").alias("size"),
-            F.crc32(raw).alias("text_crc32"),
-            F.array(*(ordinal(c, kinds[c]) for c in dimensions)).alias("_d"),
-            # Two bits less than a long integer has, so that differences have room.
-            F.shiftright(F.xxhash64(F.col(id_column), F.col(text_column)), 2).alias("_tie"),
-        )
+    own = F.shiftleft(F.shiftright(F.xxhash64(id_column, text_column), PLACE_BITS), PLACE_BITS)
+    tie = own.bitwiseOR(F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - PLACE_BITS))
+    names = [f"_d{i}" for i in range(len(dimensions))]
+    found = docs.select(
+        F.col(id_column).alias("_id"), (F.length(raw) + ROW_BYTES).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), tie.alias("_tie"), *(F.col(c).alias(n) for c, n in zip(dimensions, names, strict=True))
     )
+    rows = cut(found)
+    for name in names:
+        if not isinstance(rows.schema[name].dataType, NumericType):
+            ranked = cut(codes(rows, name))
+            rows = rows.join(ranked, name, "left").drop(name).withColumnRenamed("_code", name)
     if target_bytes is not None:
         shards = max(1, -(-(rows.agg(F.sum("size")).first()[0] or 0) // target_bytes))
-    placed = grow(rows, len(dimensions), shards).withColumn("_part", F.pmod(F.col("_tie"), F.lit(PARTS)).cast("int"))
-    # Bounded: at most shards x PARTS rows.
-    offsets, seen = [], {}
-    for s, p, n in sorted((r["shard"], r["_part"], r["count"]) for r in placed.groupBy("shard", "_part").count().collect()):
-        offsets.append((s, p, seen.get(s, 0)))
-        seen[s] = seen.get(s, 0) + n
-    first = docs.sparkSession.createDataFrame(offsets, "shard int, _part int, _first long")
-    within = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("_tie", "_id")) - 1
-    numbered = placed.withColumn("_n", within).join(F.broadcast(first), ["shard", "_part"])
-    return numbered.select(F.col("_id").alias(id_column), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_first") + F.col("_n")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    placed = running(grow(cut(rows), names, shards), "shard", ["_tie", "_id"], F.lit(1))
+    return placed.select(F.col("_id").alias(id_column), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("_before").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -19,22 +19,17 @@ from .hashing import mix
 #: Share of candidate merges that are skipped.
 DROPOUT = 0.1
 SEED = 20_240_601
-#: With a number, occurrences of a run take one of so many segmentations; with None, each drops merges by itself.
-VARIANTS = None
-#: Outcomes of runs that a worker keeps before it begins anew. Of a run this long none is kept.
-KEPT, LONGEST_KEPT = 1_000_000, 64
-#: Occurrences whose merges are tested at once.
-TESTED = 1 << 17
-#: The agenda of a run of so many symbols is a plain list, of a longer one a heap.
-SHORT = 32
+#: Runs of so many characters at most are merged in step, longer ones by themselves with a heap.
+LONGEST = 64
+#: Runs merged in step at once, and characters of a text looked at together.
+TOGETHER, SEGMENT = 1 << 16, 1 << 20
+#: Slots of the table of pairs, as a power of two.
+SLOT_BITS = 20
 
 SPACE = "▁"
-_RUN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-_NONE = float("inf")
+_STUCK = np.int32(2**31 - 1)
 _FULL = (1 << 64) - 1
 _FROM, _TO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-#: More steps than the agenda of a kept run can have.
-_STEPS = 1 << 20
 
 
 def _mixed(x: int) -> int:
@@ -49,7 +44,7 @@ def _mixed(x: int) -> int:
 class Pieces:
     """A merge-type model with byte fallback: its pieces, their ranks, and how runs are cut into them."""
 
-    def __init__(self, name: str, dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS):
+    def __init__(self, name: str, dropout: float = DROPOUT, seed: int = SEED):
         import public_tokenizers as files
         import sentencepiece
 
@@ -58,7 +53,11 @@ class Pieces:
         self.byte = {int(m.id_to_piece(i)[3:5], 16): i for i in range(size) if m.is_byte(i)}
         own = {i: m.id_to_piece(i) for i in range(size) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))}
         self.id = {p: i for i, p in own.items()}
-        self.score = {p: -m.get_score(i) for i, p in own.items()}
+        #: A piece's code is its place by score; rank says which merge comes first, and is equal where scores are.
+        order = sorted(own, key=lambda i: -m.get_score(i))
+        self.score = {own[i]: k for k, i in enumerate(order)}
+        scores = np.array([-m.get_score(i) for i in order])
+        self.rank = np.searchsorted(np.unique(scores), scores).astype(np.int32)
         #: No piece spans the end of a word, so runs of blanks and a word can be cut on their own.
         if len(self.byte) != 256 or any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id):
             raise ValueError("the model lacks byte fallback, or has pieces that span words")
@@ -66,134 +65,111 @@ class Pieces:
         for value, i in self.byte.items():
             spelled[i] = bytes([value])
         self.spelled = spelled
-        self.dropout, self.seed, self.variants = int(dropout * (1 << 32)), seed, variants
-        self.literal = self._packed(self._bytes(SPACE))
-        self._forget()
-
-    def _forget(self) -> None:
-        """Begins an empty store of outcomes.
-
-        An outcome is a run with the steps of its agenda at which a candidate
-        was dropped: its ids if nothing more is dropped, and the candidates
-        that come up after the last of these steps.
-        """
-        self.root: dict[str, int] = {}
-        self.child: dict[int, int] = {}
-        self.ids: list[bytes] = []
-        self.how: list[tuple[str, tuple[int, ...]]] = []
-        self.ends, self.begin = array("Q", [0]), array("q", [1])
+        self.dropout, self.seed = int(dropout * (1 << 32)), seed
+        #: Codes of characters: those of pieces, others above all pieces' codes.
+        self.known = len(order)
+        self.base = self.known + 0x110000
+        self.char = np.arange(0x110000, dtype=np.int64) + self.known
+        for p, k in self.score.items():
+            if len(p) == 1:
+                self.char[ord(p)] = k
+        self.id_of = np.array(order, np.uint32)
+        self._hash_pairs()
+
+    def _hash_pairs(self) -> None:
+        """A table of open addresses: a pair of codes to the code of the piece that they make."""
+        code = lambda p: int(self.char[ord(p)]) if len(p) == 1 else self.score.get(p)
+        found = {}
+        for p, k in self.score.items():
+            for cut in range(1, len(p)):
+                a, b = code(p[:cut]), code(p[cut:])
+                if a is not None and b is not None:
+                    found[a * self.base + b] = k
+        self.slot_key, self.slot_code = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, np.int32)
+        for key, k in found.items():
+            slot = (key * _FROM & _FULL) >> 64 - SLOT_BITS
+            while self.slot_key[slot] >= 0:
+                slot = slot + 1 & (1 << SLOT_BITS) - 1
+            self.slot_key[slot], self.slot_code[slot] = key, k
+
+    def _merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The code of the piece that each pair makes, -1 where it makes none. ``right`` is -1 where nothing follows."""
+        key = left * self.base + right
+        slot = (key.view(np.uint64) * np.uint64(_FROM) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        held = self.slot_key[slot]
+        code = np.where(held == key, self.slot_code[slot], -1)
+        todo = np.flatnonzero((held != key) & (held >= 0))
+        while len(todo):
+            slot[todo] = slot[todo] + 1 & (1 << SLOT_BITS) - 1
+            held = self.slot_key[slot[todo]]
+            hit = held == key[todo]
+            code[todo[hit]] = self.slot_code[slot[todo[hit]]]
+            todo = todo[~hit & (held >= 0)]
+        return code
+
+    def _candidates(self, code: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+        """Agenda entries: rank << 6 | place, so that the least is the best and then the leftmost; _STUCK for no merge."""
+        return np.where(code >= 0, self.rank[code] << 6 | place, _STUCK).astype(np.int32)
 
     def _bytes(self, symbol: str) -> list[int]:
         return [self.byte[b] for b in symbol.encode()]
 
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
-        return array("I", ids).tobytes()
-
-    def segment(self, run: str, key: int) -> bytes:
-        """Ids of one run, by an agenda of candidate merges: best score first, then leftmost.
+    def segment(self, run: str, key: int) -> list[int]:
+        """Codes of one run's pieces, by an agenda of candidate merges: best score first, then leftmost.
 
         A candidate that comes up is skipped for good if the hash of the
         occurrence's key and the candidate's ends is below the dropout; a
         merge beside it puts new candidates on the agenda.
         """
-        return self._spelt(self._merged_short(run, key) if len(run) <= SHORT else self._merged_long(run, key))
-
-    def _spelt(self, symbols: list[str]) -> bytes:
-        ids, known = [], self.id.get
-        for s in symbols:
-            i = known(s)
-            if i is None:
-                ids += self._bytes(s)
-            else:
-                ids.append(i)
-        return self._packed(ids)
-
-    def _add(self, run: str, dropped: tuple[int, ...]) -> int:
-        """Goes through the agenda with these steps dropped and no later one, and stores the outcome."""
-        rank_of, none, after = self.score.get, _NONE, dropped[-1] if dropped else -1
-        symbols = list(run)
-        ranks = [rank_of(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
-        starts = list(range(len(symbols) + 1))
-        step = 0
-        while ranks and (best := min(ranks)) < none:
-            k = ranks.index(best)
-            if step > after:
-                self.ends.append(starts[k] * _FROM + starts[k + 2] * _TO & _FULL)
-            step += 1
-            if step - 1 in dropped:
-                ranks[k] = none
-                continue
-            symbols[k] = merged = symbols[k] + symbols[k + 1]
-            del symbols[k + 1], starts[k + 1], ranks[k]
-            if k < len(ranks):
-                ranks[k] = rank_of(merged + symbols[k + 1], none)
-            if k:
-                ranks[k - 1] = rank_of(symbols[k - 1] + merged, none)
-        self.begin.append(len(self.ends))
-        self.ids.append(self._spelt(symbols))
-        self.how.append((run, dropped))
-        return len(self.ids) - 1
-
-    def _after(self, key: int) -> int:
-        """The outcome that follows another (key // _STEPS) if the candidate of this place (key % _STEPS) is its next one dropped."""
-        found = self.child.get(key)
-        if found is None:
-            node, place = divmod(key, _STEPS)
-            run, dropped = self.how[node]
-            found = self.child[key] = self._add(run, (*dropped, (dropped[-1] + 1 if dropped else 0) + place))
-        return found
-
-    def _outcomes(self, runs: list[str], keys: np.ndarray) -> list[bytes]:
-        """Ids of each occurrence: from its run's undropped outcome on, to the next one while a candidate is dropped."""
-        if len(self.ids) > KEPT:
-            self._forget()
-        root = self.root
-        at = [root.get(run) for run in runs]
-        if None in at:
-            for i, n in enumerate(at):
-                if n is None:
-                    run = runs[i]
-                    if (n := root.get(run)) is None:
-                        n = root[run] = self._add(run, ())
-                    at[i] = n
-        node, todo = np.array(at, np.int64), np.arange(len(runs))
-        while self.dropout and len(todo):
-            # Copies: an array that numpy looks at cannot grow.
-            begin, own = np.array(self.begin, np.int64), node[todo]
-            first = begin[own]
-            count = begin[own + 1] - first
-            base = np.cumsum(count) - count
-            row = np.repeat(np.arange(len(todo)), count)
-            ends = np.frombuffer(self.ends, np.uint64)[np.arange(len(row)) + (first - base)[row]]
-            hits = np.flatnonzero(mix(keys[todo][row] ^ ends) >> np.uint64(32) < np.uint64(self.dropout))
-            some, leftmost = np.unique(row[hits], return_index=True)
-            step, inverse = np.unique(own[some] * _STEPS + hits[leftmost] - base[some], return_inverse=True)
-            todo = todo[some]
-            node[todo] = np.array([self._after(k) for k in step.tolist()], np.int64)[inverse]
-        ids = self.ids
-        return [ids[n] for n in node.tolist()]
-
-    def _merged_short(self, run: str, key: int) -> list[str]:
-        rank_of, none, limit = self.score.get, _NONE, self.dropout
-        symbols = list(run)
-        ranks = [rank_of(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
-        starts = list(range(len(symbols) + 1))
-        while ranks and (best := min(ranks)) < none:
-            k = ranks.index(best)
-            if limit and _mixed(key ^ (starts[k] * _FROM + starts[k + 2] * _TO & _FULL)) >> 32 < limit:
-                ranks[k] = none
-                continue
-            symbols[k] = merged = symbols[k] + symbols[k + 1]
-            del symbols[k + 1], starts[k + 1], ranks[k]
-            if k < len(ranks):
-                ranks[k] = rank_of(merged + symbols[k + 1], none)
-            if k:
-                ranks[k - 1] = rank_of(symbols[k - 1] + merged, none)
-        return symbols
+        return [self.score.get(s, self.known + ord(s[0])) for s in self._merged_long(run, key)]
+
+    def _in_step(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes left of each run, joined, and their numbers: segment()'s agenda for many runs, one candidate of each at a time.
+
+        A column is a run, a row a place in it. A symbol stands at its first
+        place, and after[] and before[] lead to its neighbours.
+        """
+        n, most = len(start), int(length.max())
+        place = np.arange(most)[:, None]
+        alive = place < length
+        symbol = np.full((most + 1, n), -1, np.int64)
+        symbol[:most][alive] = codes[(start + place)[alive]]
+        agenda, made = np.full((most, n), _STUCK, np.int32), np.full((most, n), -1, np.int32)
+        for i in range(most - 1):
+            made[i] = self._merged(symbol[i], symbol[i + 1])
+            agenda[i] = self._candidates(made[i], i)
+        agenda[~alive] = _STUCK
+        after, before = (np.repeat(np.arange(a, a + most + 1, dtype=np.int8)[:, None], n, 1) for a in (1, -1))
+        todo = np.arange(n)
+        while len(todo):
+            best = agenda[:, todo].min(0)
+            live = best < _STUCK
+            todo, best = todo[live], best[live]
+            k, at = best & 63, todo
+            middle = after[k, at].astype(np.int64)
+            to = after[middle, at].astype(np.int64)
+            if self.dropout:
+                drawn = mix(key[at] ^ (k.astype(np.uint64) * np.uint64(_FROM) + to.astype(np.uint64) * np.uint64(_TO))) >> np.uint64(32)
+                skipped = drawn < np.uint64(self.dropout)
+                agenda[k[skipped], at[skipped]] = _STUCK
+                taken = ~skipped
+                at, k, middle, to = at[taken], k[taken], middle[taken], to[taken]
+            code = made[k, at].astype(np.int64)
+            symbol[k, at] = code
+            alive[middle, at] = False
+            agenda[middle, at] = _STUCK
+            after[k, at], before[to, at] = to, k
+            found = self._merged(code, symbol[to, at])
+            made[k, at], agenda[k, at] = found, self._candidates(found, k)
+            left = before[k, at].astype(np.int64)
+            some = np.flatnonzero(left >= 0)
+            left, own = left[some], at[some]
+            found = self._merged(symbol[left, own], code[some])
+            made[left, own], agenda[left, own] = found, self._candidates(found, left)
+        return symbol[:most].T[alive.T], alive.sum(0)
 
     def _merged_long(self, run: str, key: int) -> list[str]:
-        rank_of = self.score.get
+        rank_of = lambda p: None if (k := self.score.get(p)) is None else self.rank[k]
         symbols = list(run)
         n = len(symbols)
         agenda = []
@@ -227,45 +203,92 @@ class Pieces:
                         push(agenda, (rank, left, to))
         return [s for s in symbols if s is not None]
 
-    def runs(self, text: str) -> list[str | None]:
-        """A text's runs; None stands for the blank's own sign, which goes to bytes so that it stays itself."""
-        if not text:
-            return []
-        first, *others = text.split(SPACE)
-        found: list[str | None] = _RUN.findall(SPACE + first.replace(" ", SPACE))
-        for part in others:
-            found.append(None)
-            found += _RUN.findall(part.replace(" ", SPACE))
-        return found
-
-    def keys(self, text: str, n: int) -> np.ndarray:
-        """A key for each of a text's runs, by seed, text and place."""
-        own = np.uint64(xxhash.xxh64_intdigest(text.encode(), self.seed))
-        keys = mix(np.arange(n, dtype=np.uint64) * np.uint64(_FROM) + own)
-        return keys if self.variants is None else mix((keys >> np.uint64(32)) % np.uint64(self.variants) + np.uint64(self.seed))
+    def _parts(self, text: str) -> list[str]:
+        """A text in parts of about SEGMENT characters, cut before blanks that follow a word, so that runs stay whole."""
+        parts, a = [], 0
+        while len(text) - a > SEGMENT:
+            e = text.rfind(" ", a + 1, a + SEGMENT)
+            while e > a and text[e - 1] in (" ", SPACE):
+                e -= 1
+            if e <= a:
+                break
+            parts.append(text[a:e])
+            a = e
+        return [*parts, text[a:]]
+
+    def _encode_parts(self, bodies: list[np.ndarray], owns: list[int], firsts: list[int]) -> tuple[list[np.ndarray], list[int]]:
+        """Ids of parts of texts whose runs are numbered from ``firsts``, and the numbers after their last runs.
+
+        A run is blanks and the word after them. The blank's own sign in a text
+        is a run that goes to bytes, so that it stays itself.
+        """
+        sizes = np.array([len(b) for b in bodies])
+        edge = np.cumsum(sizes) - sizes
+        body = np.concatenate(bodies)
+        sign, blank = body == ord(SPACE), body == 0x20
+        begin = sign.copy()
+        begin[1:] |= sign[:-1] | (blank[1:] & ~blank[:-1])
+        begin[edge] = True
+        start = np.flatnonzero(begin)
+        length = np.diff(np.append(start, len(body)))
+        bound = np.searchsorted(start, np.append(edge, len(body)))
+        runs = np.diff(bound)
+        codes = self.char[np.where(blank, ord(SPACE), body)]
+        number = np.arange(len(start)) - np.repeat(bound[:-1] - np.array(firsts), runs)
+        key = mix(number.astype(np.uint64) * np.uint64(_FROM) + np.repeat(np.array(owns, np.uint64), runs))
+        counts, odd = np.ones(len(start), np.int64), sign[start]
+        done = [(np.flatnonzero(odd), np.full(int(odd.sum()), self.known + ord(SPACE)))]
+        usual = np.flatnonzero((length <= LONGEST) & ~odd)
+        usual = usual[np.argsort(length[usual], kind="stable")]
+        for a in range(0, len(usual), TOGETHER):  # by length, so that columns have little filler
+            group = usual[a : a + TOGETHER]
+            for part in np.split(group, np.flatnonzero(np.diff(-(-length[group] // 4))) + 1):
+                left, counts[part] = self._in_step(codes, start[part], length[part], key[part])
+                done.append((part, left))
+        long = np.flatnonzero((length > LONGEST) & ~odd)
+        for i in long.tolist():
+            run = body[start[i] : start[i] + length[i]].tobytes().decode("utf-32-le").replace(" ", SPACE)
+            left = self.segment(run, int(key[i]))
+            counts[i] = len(left)
+            done.append((np.array([i]), np.array(left)))
+        offset = np.cumsum(counts) - counts
+        flat = np.empty(int(counts.sum()), np.int64)
+        for group, left in done:
+            n = counts[group]
+            flat[np.repeat(offset[group] - (np.cumsum(n) - n), n) + np.arange(len(left))] = left
+        ends = np.append(offset, len(flat))[bound[1:]]
+        # Characters that are no piece go to bytes.
+        strange = np.flatnonzero(flat >= self.known)
+        ids = self.id_of[np.where(flat < self.known, flat, 0)]
+        if len(strange):
+            spelt = [self._bytes(chr(c - self.known)) for c in flat[strange].tolist()]
+            width = np.ones(len(flat), np.int64)
+            width[strange] = [len(x) for x in spelt]
+            upto = np.cumsum(width)
+            ids = np.repeat(ids, width)
+            at = np.repeat((upto - width)[strange], width[strange])
+            w = width[strange]
+            ids[at + np.arange(len(at)) - np.repeat(np.cumsum(w) - w, w)] = [b for x in spelt for b in x]
+            ends = np.append(0, upto)[ends]
+        return np.split(ids, ends[:-1]), (np.array(firsts) + runs).tolist()
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; a bounded number of occurrences is tested at once."""
-        runs: list[str | None] = []
-        keys, bounds = [np.zeros(0, np.uint64)], [0]
-        for text in texts:
-            own = self.runs(text)
-            runs += own
-            keys.append(self.keys(text, len(own)))
-            bounds.append(len(runs))
-        key = np.concatenate(keys)
-        out: list[bytes] = []
-        for a in range(0, len(runs), TESTED):
-            part, own = runs[a : a + TESTED], key[a : a + TESTED]
-            if any(run is None or len(run) > LONGEST_KEPT for run in part):
-                usual = [i for i, run in enumerate(part) if run is not None and len(run) <= LONGEST_KEPT]
-                made = [self.literal if run is None else b"" if len(run) <= LONGEST_KEPT else self.segment(run, int(own[i])) for i, run in enumerate(part)]
-                for i, ids in zip(usual, self._outcomes([part[i] for i in usual], own[usual]), strict=True):
-                    made[i] = ids
-                out += made
-            else:
-                out += self._outcomes(part, own)
-        return [np.frombuffer(b"".join(out[a:b]), "<u4") for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        """Ids of each text; a long text goes part by part."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        some = [i for i, t in enumerate(texts) if t]
+        parts = {i: self._parts(texts[i]) for i in some}
+        owns = {i: xxhash.xxh64_intdigest(texts[i].encode(), self.seed) for i in some}
+        todo, first, made = some, dict.fromkeys(some, 0), {i: [] for i in some}
+        while todo:
+            bodies = [np.frombuffer(((" " if not made[i] else "") + parts[i][len(made[i])]).encode("utf-32-le"), np.uint32) for i in todo]
+            ids, after = self._encode_parts(bodies, [owns[i] for i in todo], [first[i] for i in todo])
+            for i, x, n in zip(todo, ids, after, strict=True):
+                made[i].append(x)
+                first[i] = n
+            todo = [i for i in todo if len(made[i]) < len(parts[i])]
+        for i in some:
+            out[i] = np.concatenate(made[i])
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -279,14 +302,14 @@ class Pieces:
 _loaded: dict[tuple, Pieces] = {}
 
 
-def pieces(name: str, dropout: float, seed: int, variants: int | None) -> Pieces:
-    key = (name, dropout, seed, variants)
+def pieces(name: str, dropout: float, seed: int) -> Pieces:
+    key = (name, dropout, seed)
     if key not in _loaded:
         _loaded[key] = Pieces(*key)
     return _loaded[key]
 
 
-def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = DROPOUT, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_bytes, ids) of every whole text under merge-dropout.
 
     The same seed, text and model give the same ids wherever they are
@@ -295,7 +318,7 @@ def encode_texts(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: f
     """
 
     def make(rows: pa.RecordBatch) -> pa.RecordBatch:
-        p, texts = pieces(model, dropout, seed, variants), rows.column("text")
+        p, texts = pieces(model, dropout, seed), rows.column("text")
         ids = p.encode_all(texts.to_pylist())
         offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*ids, np.zeros(0, np.uint32)]).astype(np.int32)))
@@ -309,7 +332,7 @@ def decode_ids(encoded: DataFrame, model: str = "piece_bpe_32k.model", id_column
     """(id, text) of encode_texts()'s rows; null ids give a null text."""
 
     def run(batches):
-        p = pieces(model, 0.0, 0, 1)
+        p = pieces(model, 0.0, 0)
         for batch in batches:
             lists = batch.column("ids")
             texts = [None if not x.is_valid else p.decode(x.values.to_numpy()) for x in lists]
@@ -319,7 +342,7 @@ def decode_ids(encoded: DataFrame, model: str = "piece_bpe_32k.model", id_column
     return encoded.select(id_column, "ids").mapInArrow(run, f"`{id_column}` {kind}, text string")
 
 
-def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = DROPOUT, seed: int = SEED, variants: int | None = VARIANTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: float = DROPOUT, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Digests of every text's ids and of the text decoded from them.
 
     Returns id, n_bytes, n_pieces, ids_crc32 (little-endian unsigned 32-bit
@@ -329,7 +352,7 @@ def round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", dropout: flo
     """
 
     def make(rows: pa.RecordBatch) -> pa.RecordBatch:
-        p, found = pieces(model, dropout, seed, variants), []
+        p, found = pieces(model, dropout, seed), []
         texts = rows.column("text").to_pylist()
         for text, ids in zip(texts, p.encode_all(texts), strict=True):
             back = p.decode(ids)

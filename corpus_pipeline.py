@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 from functools import partial
@@ -53,15 +54,18 @@ _PLAIN: list[tuple[str, Stage]] = [
 ]
 
 
-def _apply(stage: Stage, spark: SparkSession, docs: DataFrame, sf_dir: str, owner: str | None = None) -> DataFrame:
-    """A stage; what the one before it wrote for itself goes, since its rows have been written and read again by now."""
-    owner = owner or sf_dir
-    release(spark, owner)
-    with holding(owner):
+def _apply(number: int, stage: Stage, spark: SparkSession, docs: DataFrame, sf_dir: str, owner: str | None = None) -> DataFrame:
+    """A stage; what the one before it wrote for itself goes, since its rows have been written and read again by now.
+
+    Without an owner, the stages of one thread over one folder belong together.
+    """
+    owner = owner or f"{threading.get_ident()} {sf_dir}"
+    release(spark, f"{owner} {number - 1}")
+    with holding(f"{owner} {number}"):
         return stage(spark, docs, sf_dir)
 
 
-STAGES: list[tuple[str, Stage]] = [(name, partial(_apply, stage)) for name, stage in _PLAIN]
+STAGES: list[tuple[str, Stage]] = [(name, partial(_apply, i, stage)) for i, (name, stage) in enumerate(_PLAIN)]
 
 #: SQL has neither the classifier nor the tokenizer; tests/llm holds the stages against brute force.
 ORACLE_SQL = None

@@ -18,6 +18,8 @@ from .hashing import Words, mix
 BITS = 20
 #: The model is fitted on at most so many labelled documents of each class, those of the lowest hashes of id.
 PER_CLASS = 3000
+#: Texts of more bytes are not among them; they are scored like all others.
+FIT_BYTES = 1 << 16
 #: Of them this share calibrates scores and is not fitted.
 CALIBRATION = 5
 #: Added to the counts of each class.
@@ -144,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     """A broadcast Model, or a constant score where the labels have not both classes.
 
     Learns from labelled rows whose id's crc32 is not divisible by HELD_OUT.
-    Of these, ``per_class`` of each class are fitted, in one task; a fitted
+    Of these, ``per_class`` of each class are fitted, in one task, but for
+    texts of more than FIT_BYTES; a fitted
     model is 2^BITS weights, so what the driver passes on is bounded too.
     """
     spark = docs.sparkSession
@@ -163,8 +166,9 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         part = marks.where(F.col("_good") == label).orderBy(order, "_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.withColumn("_held", F.pmod(F.shiftright(order, 7), F.lit(CALIBRATION)) == 0)
-    # At most 2 x per_class ids.
-    rows = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id")
+    # At most 2 x per_class ids; of the rows of one id that of the lowest hash, so a repeated id brings one row.
+    texts = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).where(F.octet_length("text") <= FIT_BYTES)
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_good", "_held").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("_id", F.col("least.text").alias("text"), "_good", "_held")
 
     def featured(batches):
         for batch in batches:

@@ -6,10 +6,11 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of characters other than these six.
@@ -26,12 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in tests on one machine, a local folder stands in for it.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
+    on a single machine, as in tests, a local folder stands in for it.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/helixframe-checkpoints")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or "/tmp/helixframe-checkpoints")
     return sc.getCheckpointDir()
 
 
@@ -71,6 +75,37 @@ def release(spark: SparkSession, owner: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``make`` with its result written, and all that it wrote on the way deleted; for results that are small beside the input."""
+
+    @wraps(make)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        own = uuid.uuid4().hex
+        with holding(own):
+            made = make(docs, *args, **kwargs)
+        made = cut(made)
+        release(docs.sparkSession, own)
+        return made
+
+    return run
+
+
+def running(rows: DataFrame, group: str, order: list[str], weight: Column) -> DataFrame:
+    """``rows`` with _before: the weight of the rows that stand before each one in its group.
+
+    Rows are dealt out to ranges of (group, order), so a group of any size is
+    spread over tasks; what stands before a range is summed from the ranges'
+    totals. Rows equal in ``order`` stand in any order.
+    """
+    dealt = cut(rows.repartitionByRange(group, *order).withColumns({"_range": F.spark_partition_id(), "_weight": weight}))
+    ahead = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    totals = dealt.groupBy(group, "_range").agg(F.sum("_weight").alias("_total"))
+    first = totals.select(group, "_range", F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_first"))
+    within = Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn("_within", F.coalesce(F.sum("_weight").over(within), F.lit(0)))
+    return summed.join(first, [group, "_range"]).withColumn("_before", F.col("_first") + F.col("_within")).drop("_range", "_weight", "_first", "_within")
+
+
 def shielded(docs: DataFrame) -> DataFrame:
     """``docs`` with c_ before each name, so that no column is named like one that an operator adds."""
     return docs.toDF(*(f"c_{c}" for c in docs.columns))

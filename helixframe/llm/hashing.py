@@ -9,25 +9,24 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: An odd base, its inverse modulo 2^64, and how far powers are kept.
+#: An odd base and its inverse modulo 2^64, and bytes hashed at once.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
+_BLOCK = 1 << 18
 
 
 def _power(base: int, n: int) -> np.ndarray:
     """base^0 ... base^(n - 1) modulo 2^64."""
-    key = str(base)
-    kept = _powers.get(key)
-    if kept is None or len(kept) < n:
-        out = np.empty(max(n, 1 << 20), np.uint64)
-        out[0], done = 1, 1
-        while done < len(out):
-            take = min(done, len(out) - done)
-            out[done : done + take] = out[:take] * np.uint64(pow(base, done, 1 << 64))
-            done += take
-        _powers[key] = kept = out
-    return kept[:n]
+    out = np.empty(n, np.uint64)
+    out[0], done = 1, 1
+    while done < n:
+        take = min(done, n - done)
+        out[done : done + take] = out[:take] * np.uint64(pow(base, done, 1 << 64))
+        done += take
+    return out
+
+
+_UP, _DOWN = _power(_BASE, _BLOCK), _power(_INVERSE, _BLOCK + 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -54,23 +53,43 @@ class Words:
         raw = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
         self.raw = raw = _LOWER[raw] if lower else raw
-        solid = ~_SPACE[raw]
-        begins = solid.copy()
-        begins[1:] &= ~solid[:-1]
-        edges = offsets[1:-1][offsets[1:-1] < len(raw)]
-        begins[edges] = solid[edges]
-        ends = solid.copy()
-        ends[:-1] &= ~solid[1:]
-        last = edges[edges > 0] - 1
-        ends[last] = solid[last]
-        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(raw)), out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * _power(_INVERSE, len(raw) + 1)[self.start])
+        edges = offsets[1:-1]
+        begins, finishes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, len(raw), _BLOCK):  # with a neighbour on each side
+            b = min(len(raw), a + _BLOCK)
+            solid = np.zeros(b - a + 2, bool)
+            low, high = max(0, a - 1), min(len(raw), b + 1)
+            solid[low - a + 1 : high - a + 1] = ~_SPACE[raw[low:high]]
+            begin, finish = solid[1:-1] & ~solid[:-2], solid[1:-1] & ~solid[2:]
+            x, y = np.searchsorted(edges, (a, b))
+            begin[edges[x:y] - a] = solid[1:-1][edges[x:y] - a]
+            x, y = np.searchsorted(edges, (a + 1, b + 1))
+            finish[edges[x:y] - 1 - a] = solid[1:-1][edges[x:y] - 1 - a]
+            begins.append(np.flatnonzero(begin) + a)
+            finishes.append(np.flatnonzero(finish) + a + 1)
+        self.start, self.end = np.concatenate(begins), np.concatenate(finishes)
+        self.hash = self._hashed(raw)
         self.first = np.searchsorted(self.start, offsets[:-1])
         self.count = np.searchsorted(self.start, offsets[1:]) - self.first
         self.row = np.repeat(np.arange(len(self.count)), self.count)
 
+    def _hashed(self, raw: np.ndarray) -> np.ndarray:
+        """The hash of each word, block by block; a word over a block's end is summed from its parts."""
+        out = np.zeros(len(self.start), np.uint64)
+        for a in range(0, len(raw), _BLOCK):
+            part = raw[a : a + _BLOCK]
+            x, y = np.searchsorted(self.end, a, "right"), np.searchsorted(self.start, a + len(part))
+            if x == y:
+                continue
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _UP[: len(part)], out=total[1:])
+            begin, finish = np.maximum(self.start[x:y] - a, 0), np.minimum(self.end[x:y] - a, len(part))
+            sums = (total[finish] - total[begin]) * _DOWN[begin]
+            if self.start[x] < a:
+                sums[:1] *= np.uint64(pow(_BASE, int(a - self.start[x]), 1 << 64))
+            out[x:y] += sums
+        return mix(out)
+
     def __len__(self) -> int:
         return len(self.hash)
 

@@ -24,8 +24,10 @@ from .common import map_texts, slices
 BLOCK = 64
 #: A side of a JPEG has at most 65,535 samples.
 MOST_ROWS = 65_535 // 8
-#: Scans decoded together hold about so many bytes.
+#: Files read together hold about so many bytes.
 GROUP_BYTES = 2 << 20
+#: Blocks coded, and bytes of restart intervals decoded, at once; a large image takes several such pieces.
+PIECE_BLOCKS, PIECE_BYTES = 1 << 14, 2 << 20
 
 # Fixed values of the format: zigzag order of a block, and code lengths of the writer's two Huffman tables.
 ZIGZAG = np.array(
@@ -102,15 +104,13 @@ def _head(blocks: int, filled: int, across: int, down: int) -> bytes:
     )
 
 
-def encode_payloads(payloads: list[bytes]) -> list[bytes]:
-    """Each payload, a positive multiple of 64 bytes, as one grey baseline JPEG."""
-    shapes = [_shape(len(p) // BLOCK) for p in payloads]
-    filled = [a * d for a, d in shapes]
-    raw = np.frombuffer(b"".join(p + bytes(n * BLOCK - len(p)) for p, n in zip(payloads, filled, strict=True)), np.uint8)
-    count = len(raw) // BLOCK
-    if not count:
-        return []
-    grid = raw.reshape(count, BLOCK)
+def _coded(grid: np.ndarray, sizes_of: list[int], number: np.ndarray, inner: np.ndarray) -> list[bytes]:
+    """Entropy-coded bytes of pieces of so many blocks each.
+
+    ``number`` is a block's place in its image; a restart marker follows each
+    ``inner`` block, and there is none after an image's last.
+    """
+    count = len(grid)
     # One word more than coefficients: ones up to the next whole byte.
     words, sizes = np.empty((count, BLOCK + 1), np.uint64), np.empty((count, BLOCK + 1), np.int64)
     words[:, 0], sizes[:, 0] = _DC_WORDS[grid[:, 0]], _DC_SIZES[grid[:, 0]]
@@ -125,25 +125,46 @@ def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     # Words do not overlap, so the sums are bitwise unions; below 2^53 they are exact.
     packed = np.bincount(cell, (shifted >> np.uint64(32)).astype(np.float64), n_cells) + np.bincount(cell + 1, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), n_cells)
     coded = packed.astype(np.uint32).astype(">u4").view(np.uint8)[: ends[-1] // 8]
-    # A zero byte follows each 0xFF, and a restart marker each block but an image's last.
+    # A zero byte follows each 0xFF, then a marker if the block is inner.
     block_ends = ends[BLOCK :: BLOCK + 1] // 8
     stuffed = np.flatnonzero(coded == 0xFF) + 1
-    first_block = np.cumsum([0, *filled])
-    number = np.arange(count) - np.repeat(first_block[:-1], filled)
-    inner = np.ones(count, bool)
-    inner[first_block[1:] - 1] = False
     marks = block_ends[inner]
     spots = np.concatenate((stuffed, np.repeat(marks, 2)))
     fill = np.concatenate((np.zeros(len(stuffed), np.uint8), np.stack((np.full(len(marks), 0xFF, np.uint8), (0xD0 + number[inner] % 8).astype(np.uint8)), 1).ravel()))
     order = np.argsort(spots, kind="stable")
     whole = np.insert(coded, spots[order], fill[order]).tobytes()
-    last = block_ends[first_block[1:] - 1]
+    last = block_ends[np.cumsum(sizes_of) - 1]
     bounds = (last + np.searchsorted(stuffed, last, "right") + 2 * np.searchsorted(marks, last, "right")).tolist()
-    out, start = [], 0
-    for p, (across, down), n, end in zip(payloads, shapes, filled, bounds, strict=True):
-        out.append(_head(len(p) // BLOCK, n, across, down) + whole[start:end] + b"\xff\xd9")
-        start = end
-    return out
+    return [whole[a:b] for a, b in zip([0, *bounds[:-1]], bounds, strict=True)]
+
+
+def encode_payloads(payloads: list[bytes]) -> list[bytes]:
+    """Each payload, a positive multiple of 64 bytes, as one grey baseline JPEG; at most PIECE_BLOCKS blocks are coded at once."""
+    shapes = [_shape(len(p) // BLOCK) for p in payloads]
+    scans: list[list[bytes]] = [[] for _ in payloads]
+    todo: list[tuple[int, int, int]] = []  # image, first block, number of blocks
+
+    def flush() -> None:
+        raw = b"".join(payloads[i][a * BLOCK : (a + n) * BLOCK].ljust(n * BLOCK, b"\0") for i, a, n in todo)
+        number = np.concatenate([np.arange(a, a + n) for _, a, n in todo])
+        inner = np.concatenate([np.arange(a, a + n) < shapes[i][0] * shapes[i][1] - 1 for i, a, n in todo])
+        for (i, _, _), made in zip(todo, _coded(np.frombuffer(raw, np.uint8).reshape(-1, BLOCK), [n for *_, n in todo], number, inner), strict=True):
+            scans[i].append(made)
+        todo.clear()
+
+    held = 0
+    for i, (across, down) in enumerate(shapes):
+        a, filled = 0, across * down
+        while a < filled:
+            n = min(filled - a, PIECE_BLOCKS - held)
+            todo.append((i, a, n))
+            a, held = a + n, held + n
+            if held == PIECE_BLOCKS:
+                flush()
+                held = 0
+    if todo:
+        flush()
+    return [b"".join((_head(len(p) // BLOCK, a * d, a, d), *scan, b"\xff\xd9")) for p, (a, d), scan in zip(payloads, shapes, scans, strict=True)]
 
 
 class Image:
@@ -218,61 +239,19 @@ def _unstuffed(scan: bytes) -> tuple[np.ndarray, np.ndarray]:
     over = ff[(after != 0) & ((after < 0xD0) | (after > 0xD7))]
     stop = int(over[0]) if len(over) else len(raw)
     ff, after = ff[ff < stop], after[ff < stop]
-    keep = np.ones(stop, bool)
     restart = ff[after != 0]
-    keep[ff[after == 0] + 1] = False
-    keep[restart] = False
-    keep[restart + 1] = False
-    kept = np.cumsum(keep)
-    return raw[:stop][keep], np.concatenate(([0], kept[restart]))
-
+    gone = np.sort(np.concatenate((ff[after == 0] + 1, restart, restart + 1)))
+    return np.delete(raw[:stop], gone), np.concatenate(([0], restart - np.searchsorted(gone, restart)))
 
-def decode_coefficients(images: list[Image]) -> list[list[np.ndarray]]:
-    """For each image and component its blocks of 64 quantised coefficients, in zigzag order as coded.
-
-    All restart intervals of all images are decoded in step, one symbol each
-    at a time; a file without restart markers is one long interval.
-    """
-    tables: dict = {}
-    lookups: list[np.ndarray] = []
 
-    def number(t) -> int:
-        key = (tuple(t[0]), bytes(t[1]))
-        if key not in tables:
-            tables[key] = len(lookups)
-            lookups.append(_lookup(t))
-        return tables[key]
-
-    layouts = [im.layout() for im in images]
-    most = max(map(len, layouts))
-    dc_of, ac_of, cycle = (np.zeros((len(images), most), np.int64) for _ in range(3))
-    streams, starts, owner, first_block, blocks, base, total = [], [], [], [], [], 0, 0
-    for i, (im, layout) in enumerate(zip(images, layouts, strict=True)):
-        for j, c in enumerate(layout):
-            dc_of[i, j], ac_of[i, j], cycle[i, j] = number(im.huffman[im.selected[c][0]]), number(im.huffman[16 + im.selected[c][1]]), c
-        data, begin = _unstuffed(im.scan)
-        across, down = im.units()
-        units = across * down
-        step = im.interval or units
-        sizes = np.minimum(step, units - np.arange(0, units, step)) * len(layout)
-        if len(sizes) > len(begin):
-            raise BadImage("restart intervals are missing")
-        streams.append(data)
-        starts.append(begin[: len(sizes)] + base)
-        owner.append(np.full(len(sizes), i))
-        blocks.append(sizes)
-        first_block.append(total + np.cumsum(sizes) - sizes)
-        base += len(data)
-        total += int(sizes.sum())
-    data = np.concatenate([*streams, np.zeros(8, np.uint8)]).astype(np.uint64)
-    last_byte = base
+def _decode(data: np.ndarray, start: np.ndarray, left: np.ndarray, owner: np.ndarray, dc_of: np.ndarray, ac_of: np.ndarray, width: np.ndarray, lookup: np.ndarray) -> np.ndarray:
+    """Coefficients of all blocks of these restart intervals, which begin at ``start`` and have ``left`` blocks each; one symbol of each at a time."""
+    last_byte = len(data)
+    data = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
     window = data[:-4] << np.uint64(32) | data[1:-3] << np.uint64(24) | data[2:-2] << np.uint64(16) | data[3:-1] << np.uint64(8) | data[4:]
-    lookup = np.concatenate(lookups)
-    out = np.zeros((total, BLOCK), np.int16)
+    out = np.zeros((int(left.sum()), BLOCK), np.int16)
     flat = out.ravel()
-    owner, left, block = (np.concatenate(x) for x in (owner, blocks, first_block))
-    bit = np.concatenate(starts).astype(np.int64) * 8
-    width = np.array([len(x) for x in layouts])[owner]
+    block, left, bit = np.cumsum(left) - left, left.copy(), start.astype(np.int64) * 8
     k, unit = np.zeros(len(bit), np.int64), np.zeros(len(bit), np.int64)
     live = np.flatnonzero(left > 0)
     while len(live):
@@ -305,6 +284,56 @@ def decode_coefficients(images: list[Image]) -> list[list[np.ndarray]]:
             left[done] -= 1
             unit[done] = (unit[done] + 1) % width[done]
             live = live[left[live] > 0]
+    return out
+
+
+def decode_coefficients(images: list[Image]) -> list[list[np.ndarray]]:
+    """For each image and component its blocks of 64 quantised coefficients, in zigzag order as coded.
+
+    Restart intervals of all images are decoded in step, PIECE_BYTES of them
+    at once; a file without restart markers is one long interval.
+    """
+    tables: dict = {}
+    lookups: list[np.ndarray] = []
+
+    def number(t) -> int:
+        key = (tuple(t[0]), bytes(t[1]))
+        if key not in tables:
+            tables[key] = len(lookups)
+            lookups.append(_lookup(t))
+        return tables[key]
+
+    layouts = [im.layout() for im in images]
+    most = max(map(len, layouts))
+    dc_of, ac_of, cycle = (np.zeros((len(images), most), np.int64) for _ in range(3))
+    streams, starts, owner, blocks, base = [], [], [], [], 0
+    for i, (im, layout) in enumerate(zip(images, layouts, strict=True)):
+        for j, c in enumerate(layout):
+            dc_of[i, j], ac_of[i, j], cycle[i, j] = number(im.huffman[im.selected[c][0]]), number(im.huffman[16 + im.selected[c][1]]), c
+        data, begin = _unstuffed(im.scan)
+        across, down = im.units()
+        units = across * down
+        step = im.interval or units
+        sizes = np.minimum(step, units - np.arange(0, units, step)) * len(layout)
+        if len(sizes) > len(begin):
+            raise BadImage("restart intervals are missing")
+        streams.append(data)
+        starts.append(begin[: len(sizes)] + base)
+        owner.append(np.full(len(sizes), i))
+        blocks.append(sizes)
+        base += len(data)
+    data, lookup = streams[0] if len(streams) == 1 else np.concatenate(streams), np.concatenate(lookups)
+    owner, blocks, start = (np.concatenate(x) for x in (owner, blocks, starts))
+    width = np.array([len(x) for x in layouts])[owner]
+    stop = np.append(start[1:], base)
+    cuts, parts = [0], []
+    while cuts[-1] < len(start):
+        a = cuts[-1]
+        cuts.append(max(a + 1, int(np.searchsorted(stop, start[a] + PIECE_BYTES, "right"))))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        parts.append(_decode(data[start[a] : stop[b - 1]], start[a:b] - start[a], blocks[a:b], owner[a:b], dc_of, ac_of, width[a:b], lookup))
+    out = parts[0] if len(parts) == 1 else np.concatenate(parts)
+    parts.clear()
     found, at = [], 0
     for i, (im, layout) in enumerate(zip(images, layouts, strict=True)):
         across, down = im.units()
@@ -367,7 +396,7 @@ def media_column(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
 
     def make(rows: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t.encode() for t in rows.column("text").to_pylist()]
+        texts = rows.column("text").cast(pa.binary()).to_pylist()
         padded = [t + bytes(max(BLOCK, -(-len(t) // BLOCK) * BLOCK) - len(t)) for t in texts]
         return pa.record_batch([rows.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(encode_payloads(padded), pa.binary())], [id_column, "n_bytes", "media"])
 
@@ -381,7 +410,9 @@ def media_features(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
     Adds payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
     width, height and feature (dimensions, then the hash of the DC-only
     luminance thumbnail). ``media`` has id, n_bytes and media, as
-    media_column() returns them.
+    media_column() returns them; media is never null there. Null and repeated
+    ids stay rows of their own, equal files have equal values, and an empty
+    table gives no rows.
     """
 
     def run(batches):
@@ -405,7 +436,7 @@ def media_features(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
 
 
 def decode_media(media: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """(id, text) as stored; the round trip's other half."""
+    """(id, text) as stored; the round trip's other half. A null text comes back empty; ids may be null or repeat."""
 
     def run(batches):
         for batch in batches:

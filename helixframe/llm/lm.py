@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, map_texts, slices
+from .common import crc_mod, cut, map_texts, settled, slices
 from .hashing import Words, mix
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -490,6 +490,7 @@ def _trained(encoded: DataFrame, counts, tables: Tables, round_no: int, buckets:
     return out
 
 
+@settled
 def score_texts(docs: DataFrame, tokenizer: str = TOKENIZER, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Scores every whole text under a model learnt from the rows whose id's crc32 is not divisible by HELD_OUT.
 

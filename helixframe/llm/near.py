@@ -2,8 +2,9 @@
 
 A signature is TREES labels of DEPTH minimum hashes. In each tree the labels
 form a prefix trie; texts under one node at depth d share d minimum hashes.
-The join takes the longest prefix at which pairs of the threshold's own
-similarity, the hardest to meet, reach the target recall.
+The join begins with whole labels and shortens the prefix, one hash at a time,
+until the pairs of every similarity that has been found reach the target
+recall. A shorter prefix is looked at only where it brings nodes together.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ WIDTH = 5
 SIMILARITY = 0.8
 TARGET_RECALL = 0.999
 TREES, DEPTH = 16, 6
-#: Members of a trie node that meet in one task are at most twice this; larger nodes are dealt out as pairs of chunks.
-CHUNK = 1024
+#: Members of a trie node that meet in one task are about twice this, and their shingles too; larger nodes are dealt out as pairs of chunks.
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
 #: Rows of pairs compared at once, and bytes of bit sets in a task.
-SLAB, BIT_BYTES = 32, 48 << 20
+SLAB, BIT_BYTES = 32, 16 << 20
+#: Similarities from the threshold to one are told apart in so many steps.
+STEPS = 20
 
 _random = np.random.default_rng(20_231)
 _TIMES = _random.integers(1, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -92,14 +95,14 @@ def _signed(docs: DataFrame, id_column: str, text_column: str, width: int) -> Da
 
 
 def _nodes(rows: DataFrame, depth: int) -> DataFrame:
-    """(k, tree, key): the trie node of each text in each tree at this depth."""
+    """(k, n, labels, tree, key): the trie node of each text in each tree at this depth."""
     keys = F.array(*(F.xxhash64(F.slice("labels", t * DEPTH + 1, depth)) for t in range(TREES)))
-    return rows.select("k", F.posexplode(keys).alias("tree", "key"))
+    return rows.select("k", *(c for c in ("n", "labels") if c in rows.columns), F.posexplode(keys).alias("tree", "key"))
 
 
 def _active(reps: DataFrame, depth: int) -> DataFrame:
     """The distinct k that share a node with another at this depth."""
-    nodes = _nodes(reps, depth)
+    nodes = _nodes(reps, depth).select("k", "tree", "key")
     shared = nodes.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     return nodes.join(shared, ["tree", "key"], "left_semi").select("k").distinct()
 
@@ -137,17 +140,20 @@ def _sizes_shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     if len(left) > 4 * len(sets):
         value, place = np.unique(np.concatenate(sets), return_inverse=True)
         often = np.bincount(place) > 1
-        place_of = np.cumsum(often) - 1
+        keep = often[place]
+        row, at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[keep], (np.cumsum(often) - 1)[place[keep]]
         words = -(-int(often.sum()) // 64)
-        if len(sets) * words * 8 <= BIT_BYTES:
-            row, keep = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), often[place]
-            row, at = row[keep], place_of[place[keep]]
-            bits = np.zeros((len(sets), max(1, words)), np.uint64)
-            np.bitwise_or.at(bits, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-            step = max(1, (4 << 20) // max(1, words))
+        most = max(1, BIT_BYTES // 8 // len(sets))
+        for low in range(0, words, most):  # as many values at once as the bit sets have room for
+            n = min(most, words - low)
+            own = (at >= low * 64) & (at < (low + n) * 64)
+            bit = at[own] - low * 64
+            bits = np.zeros((len(sets), n), np.uint64)
+            np.bitwise_or.at(bits, (row[own], bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+            step = max(1, (BIT_BYTES >> 5) // n)
             for a in range(0, len(left), step):
-                out[a : a + step] = np.bitwise_count(bits[left[a : a + step]] & bits[right[a : a + step]]).sum(1, dtype=np.int64)
-            return out
+                out[a : a + step] += np.bitwise_count(bits[left[a : a + step]] & bits[right[a : a + step]]).sum(1, dtype=np.int64)
+        return out
     for x, (i, j) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
         a, b = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
         at = np.searchsorted(b, a)
@@ -158,9 +164,10 @@ def _sizes_shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 def _linked(rows: pa.Table, depth: int, similarity: float) -> pa.RecordBatch | None:
     """Verifies the pairs of one node, or of two chunks of it.
 
-    A pair that shares several nodes counts in the first tree only. Returns
-    for each text with a link: k, the copies linked to it, and the first text
-    that it is connected with here.
+    A pair that shares several nodes counts in the first tree only, and one
+    that shares a longer prefix in any tree has been met before. Returns for
+    each text with a link: k, the copies linked to it, and the first text that
+    it is connected with here; then the pairs found, by step of similarity.
     """
     k = rows.column("k").to_numpy()
     _, once = np.unique(k, return_index=True)  # rows of one id may repeat
@@ -174,7 +181,7 @@ def _linked(rows: pa.Table, depth: int, similarity: float) -> pa.RecordBatch | N
     labels = rows.column("labels").combine_chunks()
     labels = labels.chunk(0) if isinstance(labels, pa.ChunkedArray) else labels
     labels = labels.flatten().to_numpy().view(np.uint32).reshape(len(k), TREES * DEPTH)
-    prefix = _prefixes(labels, depth)
+    prefix, longer = _prefixes(labels, depth), _prefixes(labels, depth + 1) if depth < DEPTH else None
     rows_1, rows_2 = np.flatnonzero(chunk == b1), np.flatnonzero(chunk == b2)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for a in range(0, len(rows_1), SLAB):
@@ -184,6 +191,9 @@ def _linked(rows: pa.Table, depth: int, similarity: float) -> pa.RecordBatch | N
             fine &= i[:, None] < rows_2
         for t in range(tree):
             fine &= prefix[i, t][:, None] != prefix[rows_2, t]
+        if longer is not None:
+            for t in range(TREES):
+                fine &= longer[i, t][:, None] != longer[rows_2, t]
         x, y = np.nonzero(fine)
         if len(x):
             pairs.append((i[x], rows_2[y]))
@@ -193,9 +203,10 @@ def _linked(rows: pa.Table, depth: int, similarity: float) -> pa.RecordBatch | N
     shared = _sizes_shared(sets, left, right)
     union = n[left] + n[right] - shared
     linked = shared >= similarity * union - 1e-9
-    left, right = left[linked], right[linked]
+    left, right, alike = left[linked], right[linked], (shared / union)[linked]
     if not len(left):
         return None
+    step = np.bincount(np.clip(((alike - similarity) / max(1e-9, 1 - similarity) * STEPS + 1e-9).astype(np.int64), 0, STEPS - 1))
     size = len(k)
     links = np.bincount(left, copies[right], size) + np.bincount(right, copies[left], size)
     root = np.arange(size)
@@ -206,37 +217,64 @@ def _linked(rows: pa.Table, depth: int, similarity: float) -> pa.RecordBatch | N
         root = root[root]
         if (root == old).all():
             break
-    some = np.flatnonzero(links)
-    return pa.record_batch([pa.array(k[some]), pa.array(links[some].astype(np.int64)), pa.array(k[root[some]])], ["k", "links", "root"])
+    some, steps = np.flatnonzero(links), np.flatnonzero(step)
+    none, last = pa.nulls(len(some), pa.int64()), pa.nulls(len(steps), pa.int64())
+    columns = ((k[some], last), (links[some].astype(np.int64), last), (k[root[some]], last), (none, steps), (none, step[steps]))
+    return pa.record_batch([pa.chunked_array([pa.array(x), pa.array(y)]).combine_chunks() for x, y in columns], ["k", "links", "root", "step", "pairs"])
 
 
 def _verify(active: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """Links of the pairs that meet at this depth.
+    """Links of the pairs that meet at this depth and at no greater one, and how many were found by step of similarity.
 
     Nodes with the same members in several trees hold the same pairs, so one
-    of them, in the first tree, is kept. Large nodes are dealt out as pairs of
-    chunks: a text goes to as many tasks as its node has chunks.
+    of them, in the first tree, is kept; nodes with one child hold no new
+    pairs. Large nodes are dealt out as pairs of chunks: a text goes to as many
+    tasks as its node has chunks.
     """
     nodes = _nodes(active, depth)
+    if depth < DEPTH:
+        nodes = nodes.withColumn("child", F.xxhash64(F.slice("labels", F.col("tree") * DEPTH + 1, depth + 1)))
+    nodes = nodes.drop("labels")
     h = F.xxhash64("k")
     # Sums of 32-bit parts do not overflow.
     seals = [F.sum(f(h)).alias(c) for c, f in (("s1", lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))), ("s2", lambda x: F.shiftrightunsigned(x, 32)))]
-    held = nodes.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m"), *seals).where("m > 1")
-    held = held.groupBy("m", "s1", "s2").agg(F.min(F.struct("tree", "key")).alias("x"))
-    held = cut(held.select("m", "x.tree", "x.key"))
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    members = nodes.join(held.select("tree", "key", chunks.alias("c")), ["tree", "key"]).withColumn("chunk", F.pmod(F.xxhash64("k", F.lit(1)), F.col("c")).cast("int"))
+    new = F.lit(True) if depth == DEPTH else F.min("child") < F.max("child")
+    held = nodes.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles"), new.alias("new"), *seals).where("m > 1 AND new")
+    held = held.groupBy("m", "shingles", "s1", "s2").agg(F.min(F.struct("tree", "key")).alias("x"))
+    held = cut(held.select("m", "shingles", "x.tree", "x.key"))
+    chunks = F.greatest(F.ceil(F.col("m") / CHUNK), F.least(F.col("m"), F.ceil(F.col("shingles") / CHUNK_SHINGLES))).cast("int")
+    members = nodes.select("k", "tree", "key").join(held.select("tree", "key", chunks.alias("c")), ["tree", "key"]).withColumn("chunk", F.pmod(F.xxhash64("k", F.lit(1)), F.col("c")).cast("int"))
     dealt = members.select("tree", "key", "k", "chunk", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("o"))
     dealt = dealt.withColumns({"b1": F.least("chunk", "o"), "b2": F.greatest("chunk", "o")}).drop("o")
     order = ["tree", "key", "b1", "b2"]
-    rows = dealt.join(active, "k").repartition(*order).sortWithinPartitions(*order)
+    rows = dealt.join(active.drop("n"), "k").repartition(*order).sortWithinPartitions(*order)
 
     def run(batches):
         for group in _runs(batches, order):
             if (made := _linked(group, depth, similarity)) is not None:
                 yield made
 
-    return cut(rows.mapInArrow(run, "k long, links long, root long"))
+    return cut(rows.mapInArrow(run, "k long, links long, root long, step long, pairs long"))
+
+
+def _links(active: DataFrame, least: int, similarity: float, target_recall: float) -> DataFrame:
+    """(k, links, root) of all depths, from whole labels down to ``least`` hashes, where pairs at the threshold itself reach the target.
+
+    It ends earlier if the least similar pairs found so far would have met with
+    the target's chance at this depth. Pairs are looked at by their own
+    similarity, so a large group of close copies says nothing about others.
+    """
+    found, lowest, depth = None, None, DEPTH
+    while True:
+        made = _verify(active, depth, similarity)
+        own = made.where("k IS NOT NULL").select("k", "links", "root")
+        found = own if found is None else found.unionByName(own)
+        step = made.agg(F.min("step")).first()[0]
+        lowest = step if lowest is None else lowest if step is None else min(lowest, step)
+        floor = similarity if lowest is None else similarity + lowest * (1 - similarity) / STEPS
+        if depth <= least or recall_at(floor, depth) >= target_recall:
+            return found
+        depth -= 1
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -274,10 +312,10 @@ def _classified(docs: DataFrame, similarity: float, width: int, target_recall: f
                     sets, keys = shingle_sets(part.column("text"), width)
                     own = np.flatnonzero(keys == part.column("k").to_numpy())
                     kept = part.take(pa.array(own))
-                    yield pa.record_batch([kept.column("k"), kept.column("copies"), kept.column("labels"), pa.array([sets[i].tobytes() for i in own.tolist()], pa.binary())], ["k", "copies", "labels", "shingles"])
+                    yield pa.record_batch([kept.column("k"), kept.column("copies"), kept.column("labels"), pa.array([len(sets[i]) for i in own.tolist()], pa.int64()), pa.array([sets[i].tobytes() for i in own.tolist()], pa.binary())], ["k", "copies", "labels", "n", "shingles"])
 
-        active = cut(texts.join(chosen, "x").select("k", "copies", "labels", "text").mapInArrow(fetched, "k long, copies long, labels array<int>, shingles binary"))
-        links = _verify(active, depth, similarity)
+        active = cut(texts.join(chosen, "x").select("k", "copies", "labels", "text").mapInArrow(fetched, "k long, copies long, labels array<int>, n long, shingles binary"))
+        links = _links(active, depth, similarity, target_recall)
         sums = links.groupBy("k").agg(F.sum("links").alias("links"))
         labels = components(links)
         classes = reps.select("k", "copies", "first_id").join(sums, "k", "left").join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))

@@ -7,15 +7,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts
+from .common import cut, map_texts, running, settled
 from .tokens import merger
 
-#: Rows of one length are numbered in so many parts, so that no task holds all rows of a frequent length.
-PARTS = 64
-
 
 def fullest(counts: dict[int, int], room: int, order: list[int] | None = None) -> Counter:
     """The multiset of lengths whose sum is the largest that fits ``room``.
@@ -112,42 +109,35 @@ def token_pieces(docs: DataFrame, tokenizer: str, room: int, end_id: int, id_col
     return map_texts(docs, [id_column], text_column, make, f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
+@settled
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", room: int = 2048, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Packs every document into sequences of at most ``room`` tokens.
 
     Rows of one length are alike to the packing, so it needs the number of
     rows of each length only: at most ``room`` counts reach the driver, where
     minimum bin slack turns them into bin patterns, and each piece finds its
-    bin from its number within its length. Returns one row a piece: id, piece,
+    bin from its number within its length, which ranges of pieces count. Returns one row a piece: id, piece,
     start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. Equal rows get places of their
     own. A null id is kept. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    part = F.pmod(F.xxhash64(id_column, "piece", "ids_crc32"), F.lit(PARTS)).cast("int")
-    rows = cut(token_pieces(docs, tokenizer, room, end_id, id_column, text_column).withColumn("part", part))
-    # Bounded: at most room x PARTS rows.
-    sizes = sorted((r["length"], r["part"], r["count"]) for r in rows.groupBy("length", "part").count().collect())
-    first, seen = {}, Counter()
-    for length, part_no, n in sizes:
-        first[length << 8 | part_no] = seen[length]
-        seen[length] += n
-    where = places(seen, room)
-    keys = np.array(sorted(first), np.int64)
-    sent = spark.sparkContext.broadcast((keys, np.array([first[k] for k in keys.tolist()], np.int64), where))
+    rows = cut(token_pieces(docs, tokenizer, room, end_id, id_column, text_column))
+    # At most room rows.
+    seen = Counter({r["length"]: r["count"] for r in rows.groupBy("length").count().collect()})
+    sent = spark.sparkContext.broadcast(places(seen, room))
 
     def assign(batches):
-        keys, firsts, where = sent.value
+        where = sent.value
         for b in batches:
-            length, part_no, number = (b.column(c).to_numpy().astype(np.int64) for c in ("length", "part", "number"))
-            number = number + firsts[np.searchsorted(keys, length << 8 | part_no)]
+            length, number = (b.column(c).to_numpy().astype(np.int64) for c in ("length", "_before"))
             at = np.searchsorted(where["key"], length << 40 | number, "right") - 1
             nth = number - (where["key"][at] & ((1 << 40) - 1))
             sequence = where["bin"][at] + nth // where["uses"][at]
             offset = where["offset"][at] + nth % where["uses"][at] * length
             yield pa.record_batch([*(b.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], [*b.schema.names[:5], "sequence_id", "offset"])
 
-    number = F.row_number().over(Window.partitionBy("length", "part").orderBy(id_column, "piece")) - 1
+    numbered = running(rows, "length", ["ids_crc32", id_column, "piece"], F.lit(1)).select(*rows.columns, "_before")
     kind = docs.schema[id_column].dataType.simpleString()
-    return rows.withColumn("number", number).mapInArrow(assign, f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(assign, f"`{id_column}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

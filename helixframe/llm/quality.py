@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CRC32_SQL, GAP, crc_mod, cut, shielded, unshielded
+from .common import CRC32_SQL, GAP, crc_mod, cut, settled, shielded, unshielded
 
 #: A rule's measure is compared with 1/STEPS, 2/STEPS, ... 1.
 STEPS = 50
@@ -218,6 +218,7 @@ def verdict(measured: DataFrame, limits: DataFrame, stratum_column: str = "lang"
     return joined.withColumns({"base_failed": failed, "kept": ~failed & ~bad}).drop("_q_stratum", *(f"_q_{r}" for r in RULES))
 
 
+@settled
 def quality_rules(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", stratum_column: str = "lang") -> DataFrame:
     """Counts and verdict of every document.
 

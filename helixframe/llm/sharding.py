@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .common import cut, holding, release
+from .common import cut, holding, release, running, settled
 
 #: Bytes that a row is charged besides its text.
 ROW_BYTES = 16
@@ -16,22 +16,6 @@ ROW_BYTES = 16
 PLACE_BITS = 20
 
 
-def running(rows: DataFrame, group: str, order: list[str], weight: Column) -> DataFrame:
-    """``rows`` with _before: the weight of the rows that stand before each one in its group.
-
-    Rows are dealt out to ranges of (group, order), so a group of any size is
-    spread over tasks; what stands before a range is summed from the ranges'
-    totals. Rows equal in ``order`` stand in any order.
-    """
-    dealt = cut(rows.repartitionByRange(group, *order).withColumns({"_range": F.spark_partition_id(), "_weight": weight}))
-    ahead = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    totals = dealt.groupBy(group, "_range").agg(F.sum("_weight").alias("_total"))
-    first = totals.select(group, "_range", F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_first"))
-    within = Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = dealt.withColumn("_within", F.coalesce(F.sum("_weight").over(within), F.lit(0)))
-    return summed.join(first, [group, "_range"]).withColumn("_before", F.col("_first") + F.col("_within")).drop("_range", "_weight", "_first", "_within")
-
-
 def codes(rows: DataFrame, column: str) -> DataFrame:
     """(column, _code): the rank of each distinct value, so that values of any length keep their whole order."""
     values = rows.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_all", F.lit(0))
@@ -83,6 +67,7 @@ def grow(rows: DataFrame, dimensions: list[str], shards: int) -> DataFrame:
     return rows.withColumnRenamed("_box", "shard").drop("_leaves")
 
 
+@settled
 def shard(docs: DataFrame, shards: int = 40, target_bytes: int | None = None, dimensions: tuple[str, ...] = ("source", "lang", "n_chars"), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Puts every document into one of ``shards`` shards of near equal bytes.
 

@@ -73,7 +73,7 @@ class Merger:
         with open(files.path(name.replace(".json", ".tiktoken")), "rb") as f:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         core = tiktoken.Encoding("runs", pat_str=self.pattern, mergeable_ranks=ranks, special_tokens={})
-        self.ordinary, self.array, self.piece = core.encode_ordinary, core.encode_to_numpy, core._core_bpe.encode_single_piece
+        self.ordinary, self.array = core.encode_ordinary, core.encode_to_numpy
 
     def of_text(self, text: str) -> np.ndarray:
         """Ids of a whole text, as little-endian unsigned 32-bit integers."""
@@ -81,15 +81,9 @@ class Merger:
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         return self.array(text, disallowed_special=()).astype("<u4", copy=False)
 
-    def ids(self, run: str) -> list[int]:
-        word = run[1:] if run[0] == " " else run
-        if word.isalpha():
-            return self.piece(run.encode())
-        if _WHOLE.search(run):
-            return self.library.encode(run, add_special_tokens=False).ids
-        if word[-1:] in ",.!" and word[:-1].isalpha():
-            return self.piece(run[:-1].encode()) + self.piece(run[-1].encode())
-        return self.ordinary(run)
+    def count(self, run: str) -> int:
+        """Number of a run's tokens, all by merges."""
+        return len(self.library.encode(run, add_special_tokens=False).ids if _WHOLE.search(run) else self.ordinary(run))
 
 
 def merger(name: str) -> Merger:
@@ -119,15 +113,16 @@ def proven_whole(name: str) -> frozenset[str]:
 def count_table(name: str) -> RunTable:
     """Runs to their number of tokens: one for each proven pre-token, merges for the others."""
     if ("counts", name) not in _loaded:
-        whole, ids = proven_whole(name), merger(name).ids
+        import regex
+
+        whole, merged, pretokens = proven_whole(name), merger(name).count, regex.compile(merger(name).pattern).findall
 
         def count(run: str) -> int:
             if run in whole:
                 return 1
-            word, last = run[:-1], run[-1]
-            if last in ",.!" and word.lstrip(" ").isalpha() and word in whole and last in whole:
-                return 2
-            return len(ids(run))
+            if _WHOLE.search(run):
+                return merged(run)
+            return sum(1 if p in whole else merged(p) for p in pretokens(run))
 
         _loaded["counts", name] = RunTable(lambda runs: list(map(count, runs)))
     return _loaded["counts", name]

@@ -160,9 +160,9 @@ Tables = dict[str, np.ndarray]
 
 
 def first_tables(seed: int = 3) -> Tables:
-    """Query, key and value of each row, a bias for each distance, the way from values to classes, and a layer beside it."""
+    """Query, and key with value, of each row, a bias for each distance, the way from values to classes, and a layer beside it."""
     random, rows = np.random.default_rng(seed), SYMBOLS + HASHED
-    shapes = {"query": (rows, WIDTH), "key": (rows, WIDTH), "value": (rows, WIDTH), "out": (WIDTH, CLASSES), "inner": (WIDTH, INNER)}
+    shapes = {"query": (rows, WIDTH), "held": (rows, 2 * WIDTH), "out": (WIDTH, CLASSES), "inner": (WIDTH, INNER)}
     tables = {k: (random.standard_normal(s) * 0.3).astype(np.float32) for k, s in shapes.items()}
     zeros = {"far": 2 * STRIDE, "bias": INNER, "outer": (INNER, CLASSES)}
     return tables | {k: np.zeros(s, np.float32) for k, s in zeros.items()}
@@ -206,7 +206,8 @@ def attend(t: Tables, rows: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, .
 
     ``rows`` are the keys' rows in the tables, ``held`` says which places hold a subword.
     """
-    q, k, v = (t[n].take(at, 0) for n, at in (("query", rows[:, STRIDE:]), ("key", rows), ("value", rows)))
+    q, both = t["query"].take(rows[:, STRIDE:], 0), t["held"].take(rows, 0)
+    k, v = both[:, :, :WIDTH], both[:, :, WIDTH:]
     q *= np.float32(WIDTH**-0.5)
     score = q @ k.swapaxes(1, 2)
     score += np.where(_CAUSAL, t["far"][np.maximum(_BACK, 0) % (2 * STRIDE)], np.float32(-1e9))
@@ -220,15 +221,19 @@ def attend(t: Tables, rows: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, .
     return context, score, total, q, k, v
 
 
-def _logits(c: Counts, t: Tables, flat: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log odds of the classes, and the feed-forward layer's inner values."""
-    inner = flat @ t["inner"]
+def _logits(c: Counts, t: Tables, context: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log odds of the classes, and the feed-forward layer's inner values, a row for each target.
+
+    Contexts given by windows are multiplied by windows: one product of all rows rounds by their places in it.
+    """
+    inner = context @ t["inner"]
     inner += t["bias"]
     np.maximum(inner, 0, out=inner)
-    logits = flat @ t["out"]
+    logits = context @ t["out"]
     logits += inner @ t["outer"]
+    logits = logits.reshape(-1, CLASSES)
     logits += c.next_class.take(before, 0)
-    return logits, inner
+    return logits, inner.reshape(-1, INNER)
 
 
 def log10_scores(c: Counts, t: Tables, w: np.ndarray) -> np.ndarray:
@@ -236,7 +241,7 @@ def log10_scores(c: Counts, t: Tables, w: np.ndarray) -> np.ndarray:
     held, ids = w != NONE, w[:, STRIDE + 1 :]
     context = attend(t, c.row[w[:, :-1]], held[:, :-1])[0]
     before, aim = c.symbol[w[:, STRIDE:-1]].ravel(), c.symbol[ids].ravel()
-    logits, _ = _logits(c, t, context.reshape(-1, WIDTH), before)
+    logits, _ = _logits(c, t, context, before)
     own = np.take_along_axis(logits, c.klass[aim][:, None], 1)[:, 0]
     np.exp(logits, out=logits)
     found = (own - np.log(logits.sum(1))) / _LOG10 + c.within[before, aim] + c.share[ids.ravel()]
@@ -255,15 +260,20 @@ def text_scores(c: Counts, t: Tables, ids: np.ndarray, starts: np.ndarray, ends:
     return fixed / FINE_SCORE
 
 
-def _gathered(size: int, index: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of rows by index."""
-    width = rows.shape[1]
-    at = (index[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(at, rows.ravel(), size * width).reshape(size, width).astype(np.float32)
+Rows = tuple[np.ndarray, np.ndarray]
+
+
+def _gathered(index: np.ndarray, rows: np.ndarray) -> Rows:
+    """The distinct values of an index, and the sums of their rows."""
+    index = index.astype(np.uint16)
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
+    return index[first].astype(np.int64), np.add.reduceat(rows[order], first, axis=0)
 
 
-def gradients(c: Counts, t: Tables, w: np.ndarray, weight: np.ndarray) -> tuple[float, Tables]:
-    """Mean loss of the classes in nats over these windows' targets, each by its window's weight, and its gradient."""
+def gradients(c: Counts, t: Tables, w: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray | Rows]]:
+    """Mean loss of the classes in nats over these windows' targets, each by its window's weight, and its gradient; of tables by rows those that are not zero."""
     held = w != NONE
     rows = c.row[w[:, :-1]]
     context, a, total, q, k, v = attend(t, rows, held[:, :-1])
@@ -284,16 +294,15 @@ def gradients(c: Counts, t: Tables, w: np.ndarray, weight: np.ndarray) -> tuple[
     d_a = d_context @ v.swapaxes(1, 2)
     d_score = a * (d_a - (a * d_a).sum(2, keepdims=True))
     far = np.bincount(_BACK[_CAUSAL], d_score.sum(0)[_CAUSAL], 2 * STRIDE).astype(np.float32)
-    size, keys = len(t["query"]), rows.ravel()
+    d_held = np.concatenate((d_score.swapaxes(1, 2) @ q, a.swapaxes(1, 2) @ d_context), 2)
     return loss, {
         "out": flat.T @ p,
         "outer": inner.T @ p,
         "inner": flat.T @ d_inner,
         "bias": d_inner.sum(0),
         "far": far,
-        "query": _gathered(size, rows[:, STRIDE:].ravel(), (d_score @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)),
-        "key": _gathered(size, keys, (d_score.swapaxes(1, 2) @ q).reshape(-1, WIDTH)),
-        "value": _gathered(size, keys, (a.swapaxes(1, 2) @ d_context).reshape(-1, WIDTH)),
+        "query": _gathered(rows[:, STRIDE:].ravel(), (d_score @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)),
+        "held": _gathered(rows.ravel(), d_held.reshape(-1, 2 * WIDTH)),
     }
 
 
@@ -310,15 +319,10 @@ class Trainer:
             self.steps += 1
             up, root = np.float32(RATE / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.99**self.steps))
             for k, x in g.items():
-                m, v = self.m[k], self.v[k]
-                m *= np.float32(0.9)
-                m += np.float32(0.1) * x
-                v *= np.float32(0.99)
-                x *= x
-                v += np.float32(0.01) * x
-                step = np.sqrt(v * root)
-                step += np.float32(1e-6)
-                self.t[k] -= up * m / step
+                at, x = x if isinstance(x, tuple) else (slice(None), x)  # rows without a gradient stay as they are
+                self.m[k][at] = m = np.float32(0.9) * self.m[k][at] + np.float32(0.1) * x
+                self.v[k][at] = v = np.float32(0.99) * self.v[k][at] + np.float32(0.01) * x * x
+                self.t[k][at] -= up * m / (np.sqrt(v * root) + np.float32(1e-6))
 
 
 # -- the job

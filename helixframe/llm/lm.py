@@ -38,11 +38,14 @@ SPAN = 2 * STRIDE + 1
 NONE = 0xFFFF
 #: Words whose counts every task has at hand; the counts of rarer ones come by a join.
 HEAD = 400_000
+#: Windows of a text in a row that are dealt out and trained on together.
+UNIT = 8
 #: Windows are dealt out to so many rounds; each is trained on in one of them.
 ROUNDS = 2
 #: A round's n windows go to sqrt(n / BUCKET) buckets, so both their number and their size grow with the corpus, up to MOST_BUCKETS.
 BUCKET, MOST_BUCKETS = 1 << 13, 4096
-BATCH, RATE = 128, 0.03
+#: Units in a step, and the length of steps before they are divided by the root of a row's summed squares.
+BATCH, RATE = 16, 0.15
 #: Windows scored at once.
 BLOCK = 512
 #: Tables are averaged, and window scores summed, as whole multiples of these: such sums are the same in any order.
@@ -51,7 +54,7 @@ FINE, FINE_SCORE = 1 << 32, 1 << 24
 BACKOFF, UNSEEN = 1.0, 0.05
 #: Taken off each count of neighbours.
 DISCOUNT = 0.75
-_LOG10 = np.log(10)
+_LOG10 = np.float32(1 / np.log(10))
 
 # -- words
 
@@ -168,24 +171,25 @@ def first_tables(seed: int = 3) -> Tables:
     return tables | {k: np.zeros(s, np.float32) for k, s in zeros.items()}
 
 
-def window_counts(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """How many windows each sequence has: one for each STRIDE ids begun."""
-    return -(-(ends - starts) // STRIDE)
+def window_counts(starts: np.ndarray, ends: np.ndarray, targets: int = STRIDE) -> np.ndarray:
+    """How many windows each sequence has: one for each ``targets`` ids begun."""
+    return -(-(ends - starts) // targets)
 
 
-def windows(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, end_id: int, a: int = 0, b: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Windows a to b over joined sequences, as rows of SPAN ids, and the sequence of each.
+def windows(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, end_id: int, a: int = 0, b: int | None = None, targets: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
+    """Windows a to b over joined sequences, as rows of ids, and the sequence of each.
 
-    The last STRIDE ids of a window are its targets, the 2 x STRIDE before its
-    last the keys. A sequence begins after an end, which is no target. Places
-    before that and after the sequence are NONE. Each id is one target.
+    The last ``targets`` ids of a window are its targets, before them are STRIDE
+    and one. A sequence begins after an end, which is no target. Places before
+    that and after the sequence are NONE. Each id is one target.
     """
-    upto = np.cumsum(window_counts(starts, ends))
+    count = window_counts(starts, ends, targets)
+    upto = np.cumsum(count)
     total = int(upto[-1]) if len(upto) else 0
     number = np.arange(a, total if b is None else min(b, total))
     owner = np.searchsorted(upto, number, "right")
-    first = starts[owner] + (number - (upto[owner] - window_counts(starts, ends)[owner])) * STRIDE
-    place = first[:, None] + np.arange(-STRIDE - 1, STRIDE)
+    first = starts[owner] + (number - (upto[owner] - count[owner])) * targets
+    place = first[:, None] + np.arange(-STRIDE - 1, targets)
     begin = starts[owner][:, None]
     out = np.full(place.shape, NONE, np.uint16)
     inside = (place >= begin) & (place < ends[owner][:, None])
@@ -194,6 +198,13 @@ def windows(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, end_id: int,
     return out, owner
 
 
+def opened(units: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of units of UNIT x STRIDE targets, and their weights; windows without a target are left out."""
+    w = np.lib.stride_tricks.sliding_window_view(units, SPAN, axis=1)[:, ::STRIDE].reshape(-1, SPAN)
+    live = w[:, STRIDE + 1] != NONE
+    return w[live], np.repeat(weight, UNIT)[live]
+
+
 #: The end has symbol 0.
 END = 0
 _ROWS = np.arange(STRIDE)[:, None]
@@ -226,11 +237,10 @@ def _logits(c: Counts, t: Tables, context: np.ndarray, before: np.ndarray) -> tu
 
     Contexts given by windows are multiplied by windows: one product of all rows rounds by their places in it.
     """
-    inner = context @ t["inner"]
-    inner += t["bias"]
-    np.maximum(inner, 0, out=inner)
-    logits = context @ t["out"]
-    logits += inner @ t["outer"]
+    both = context @ np.concatenate((t["inner"], t["out"]), 1)
+    inner = np.maximum(both[..., :INNER] + t["bias"], 0)
+    logits = inner @ t["outer"]
+    logits += both[..., INNER:]
     logits = logits.reshape(-1, CLASSES)
     logits += c.next_class.take(before, 0)
     return logits, inner.reshape(-1, INNER)
@@ -244,7 +254,7 @@ def log10_scores(c: Counts, t: Tables, w: np.ndarray) -> np.ndarray:
     logits, _ = _logits(c, t, context, before)
     own = np.take_along_axis(logits, c.klass[aim][:, None], 1)[:, 0]
     np.exp(logits, out=logits)
-    found = (own - np.log(logits.sum(1))) / _LOG10 + c.within[before, aim] + c.share[ids.ravel()]
+    found = (own - np.log(logits.sum(1))) * _LOG10 + c.within[before, aim] + c.share[ids.ravel()]
     return np.where(held[:, STRIDE + 1 :], found.reshape(ids.shape), 0)
 
 
@@ -307,22 +317,21 @@ def gradients(c: Counts, t: Tables, w: np.ndarray, weight: np.ndarray) -> tuple[
 
 
 class Trainer:
-    """Adam over one bucket's windows, in their order, BATCH at a time."""
+    """Steps over one bucket's units, in their order, BATCH at a time, each row's shorter the more it has moved."""
 
     def __init__(self, counts: Counts, tables: Tables):
-        self.c, self.t, self.steps = counts, {k: v.copy() for k, v in tables.items()}, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in tables.items()} for _ in range(2))
-
-    def learn(self, w: np.ndarray, weight: np.ndarray) -> None:
-        for a in range(0, len(w), BATCH):
-            _, g = gradients(self.c, self.t, w[a : a + BATCH], weight[a : a + BATCH])
-            self.steps += 1
-            up, root = np.float32(RATE / (1 - 0.9**self.steps)), np.float32(1 / (1 - 0.99**self.steps))
+        self.c, self.t = counts, {k: v.copy() for k, v in tables.items()}
+        self.moved = {k: np.zeros((len(x), 1) if x.ndim == 2 else x.shape, np.float32) for k, x in tables.items()}
+
+    def learn(self, units: np.ndarray, weight: np.ndarray) -> None:
+        for a in range(0, len(units), BATCH):
+            _, g = gradients(self.c, self.t, *opened(units[a : a + BATCH], weight[a : a + BATCH]))
             for k, x in g.items():
                 at, x = x if isinstance(x, tuple) else (slice(None), x)  # rows without a gradient stay as they are
-                self.m[k][at] = m = np.float32(0.9) * self.m[k][at] + np.float32(0.1) * x
-                self.v[k][at] = v = np.float32(0.99) * self.v[k][at] + np.float32(0.01) * x * x
-                self.t[k][at] -= up * m / (np.sqrt(v * root) + np.float32(1e-6))
+                own = self.moved[k][at] + (np.einsum("ij,ij->i", x, x)[:, None] / np.float32(x.shape[1]) if x.ndim == 2 else x * x)
+                self.moved[k][at] = own
+                x *= np.float32(RATE) / (np.sqrt(own) + np.float32(1e-6))
+                self.t[k][at] -= x
 
 
 # -- the job
@@ -404,39 +413,40 @@ def _pair_counts(encoded: DataFrame, symbol, symbols: int) -> np.ndarray:
     return out.reshape(symbols, symbols)
 
 
-def _hashed(w: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each window's ids."""
-    out = np.zeros(len(w), np.uint64)
-    for i in range(SPAN):
-        out = (out ^ w[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+def _hashed(units: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each unit's ids."""
+    out = np.zeros(len(units), np.uint64)
+    for i in range(units.shape[1]):
+        out = (out ^ units[:, i]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     return mix(out)
 
 
-def _round_windows(encoded: DataFrame, round_no: int, buckets: int, end_id: int) -> DataFrame:
-    """(bucket, h, n, w) of this round's training windows; equal ones of a slice of rows are one row with a count."""
+def _round_units(encoded: DataFrame, round_no: int, buckets: int, end_id: int) -> DataFrame:
+    """(bucket, h, n, u) of this round's training units; equal ones of a slice of rows are one row with a count."""
+    targets = UNIT * STRIDE
 
     def run(batches):
         for batch in batches:
             for a, b in slices(batch.column("ids"), 1 << 20):
                 ids, starts, ends = _sequences(batch.slice(a, b - a))
-                for x in range(0, int(window_counts(starts, ends).sum()), 1 << 15):
-                    w, _ = windows(ids, starts, ends, end_id, x, x + (1 << 15))
-                    h = _hashed(w)
+                for x in range(0, int(window_counts(starts, ends, targets).sum()), 1 << 12):
+                    units, _ = windows(ids, starts, ends, end_id, x, x + (1 << 12), targets)
+                    h = _hashed(units)
                     own = np.flatnonzero((h >> np.uint64(8)) % np.uint64(ROUNDS) == round_no)
                     h, first, n = np.unique(h[own], return_index=True, return_counts=True)
                     bucket = ((h >> np.uint64(16)) % np.uint64(buckets)).astype(np.int32)
-                    rows = np.ascontiguousarray(w[own[first]])
-                    body = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SPAN), len(h), [None, pa.py_buffer(rows)])
-                    yield pa.record_batch([pa.array(bucket), pa.array(h.view(np.int64)), pa.array(n), body.cast(pa.binary())], ["bucket", "h", "n", "w"])
+                    rows = np.ascontiguousarray(units[own[first]])
+                    body = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * units.shape[1]), len(h), [None, pa.py_buffer(rows)])
+                    yield pa.record_batch([pa.array(bucket), pa.array(h.view(np.int64)), pa.array(n), body.cast(pa.binary())], ["bucket", "h", "n", "u"])
 
-    return encoded.where(~F.col("held_out")).select("ids").mapInArrow(run, "bucket int, h long, n long, w binary")
+    return encoded.where(~F.col("held_out")).select("ids").mapInArrow(run, "bucket int, h long, n long, u binary")
 
 
 def _trained(encoded: DataFrame, counts, tables: Tables, round_no: int, buckets: int, end_id: int) -> Tables:
     """The mean of all buckets' tables, each after it has learnt from its windows of this round.
 
-    A window that recurs counts 1 + log2 of its occurrences. A bucket's windows
+    A unit that recurs counts 1 + log2 of its occurrences. A bucket's units
     come in the order of their hashes, so its batches do not depend on how
     rows are dealt out; a task streams through its buckets one by one.
     """
@@ -445,12 +455,12 @@ def _trained(encoded: DataFrame, counts, tables: Tables, round_no: int, buckets:
 
     def run(batches):
         whole, done, trainer, bucket = 0, 0, None, None
-        w, weight = np.zeros((0, SPAN), np.uint16), np.zeros(0)
-        last: tuple = ()
+        none = np.zeros((0, SPAN + (UNIT - 1) * STRIDE), np.uint16)
+        w, weight, last = none, np.zeros(0), ()
 
         def flush(all_of_it: bool) -> None:
             nonlocal w, weight, whole, done
-            n = len(w) if all_of_it else max(0, len(w) - 1) // BATCH * BATCH  # the last window may go on
+            n = len(w) if all_of_it else max(0, len(w) - 1) // BATCH * BATCH  # the last unit may go on
             if trainer is not None and n:
                 trainer.learn(w[:n], (1 + np.log2(weight[:n])).astype(np.float32))
             w, weight = w[n:], weight[n:]
@@ -460,7 +470,7 @@ def _trained(encoded: DataFrame, counts, tables: Tables, round_no: int, buckets:
 
         for batch in batches:
             owner, h, n = (batch.column(i).to_numpy() for i in range(3))
-            rows = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, SPAN)
+            rows = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, none.shape[1])
             cuts = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1).tolist(), len(owner)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
@@ -468,7 +478,7 @@ def _trained(encoded: DataFrame, counts, tables: Tables, round_no: int, buckets:
                 if bucket != owner[a]:
                     flush(True)
                     trainer, bucket, last = Trainer(counts.value, sent.value), owner[a], ()
-                    w, weight = np.zeros((0, SPAN), np.uint16), np.zeros(0)
+                    w, weight = none, np.zeros(0)
                 new = np.concatenate(([last != (h[a],)], h[a + 1 : b] != h[a : b - 1]))
                 group = np.cumsum(new) - 1
                 sums = np.bincount(group + 1, n[a:b], group[-1] + 2)
@@ -481,7 +491,7 @@ def _trained(encoded: DataFrame, counts, tables: Tables, round_no: int, buckets:
         if done:
             yield pa.record_batch([pa.array(np.arange(len(whole), dtype=np.int32)), pa.array(whole), pa.array(np.full(len(whole), done))], ["i", "x", "n"])
 
-    dealt = _round_windows(encoded, round_no, buckets, end_id).repartition("bucket").sortWithinPartitions("bucket", "h")
+    dealt = _round_units(encoded, round_no, buckets, end_id).repartition("bucket").sortWithinPartitions("bucket", "h")
     rows = dealt.mapInArrow(run, "i int, x long, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toArrow()
     if not rows.num_rows:
         return tables

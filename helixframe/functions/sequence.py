@@ -137,23 +137,37 @@ def round_half_even(x: Column, digits: int = 0) -> Column:
     return F.bround(x, digits)
 
 
-def kmer_counts(s: Column, letters: str = "ACGU", k: int = 3) -> Column:
-    """(kmer, n) of each k-mer over these letters that a sequence holds; overlapping ones count.
-
-    One regular-expression pass for each of the 4^k words stays in the JVM and
-    makes no row for each position.
-    """
-    words = [""]
-    for _ in range(k):
-        words = [w + c for w in words for c in letters]
-    return F.filter(F.array(*(F.struct(F.lit(w).alias("kmer"), F.regexp_count(s, F.lit(f"(?={w})")).cast("bigint").alias("n")) for w in words)), lambda x: x["n"] > 0)
-
-
 def window_starts(length: Column, width: int = 200, step: int = 100, least: int = 50) -> Column:
     """0-based starts of sliding windows that hold at least ``least`` letters."""
     return F.when(length >= least, F.sequence(F.lit(0), length - least, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
+def windows(blocks: Column, starts: Column) -> Column:
+    """(start, w) of each sliding window of two blocks, which are a sequence cut at every step (pieces()); both are plain columns."""
+    return F.transform(starts, lambda x, i: F.struct(x.cast("bigint").alias("start"), F.concat(F.get(blocks, i), F.coalesce(F.get(blocks, i + 1), F.lit(""))).alias("w")))
+
+
+def pieces(s: Column, size: int) -> Column:
+    """A sequence cut into pieces of this size, the last of which may be shorter, in one pass."""
+    return F.regexp_extract_all(s, F.lit(f"(?s)(.{{1,{size}}})"), F.lit(1))
+
+
+def parsed_position(value: Column, hgvs: Column) -> Column:
+    """A variant's position: the number in its own column, half to even, else that in its name."""
+    named = F.regexp_extract(hgvs, r"(?i)[nm]\.(-?\d+)", 1).try_cast("bigint")
+    return F.coalesce(F.bround(number(value)).cast("bigint"), named)
+
+
+def header_flags(header: Column, root: str, seq: Column, expected: Column, most: int = 510, letters: str = "ACGUN") -> dict[str, Column]:
+    """Checks of a fetched record: its header names the gene, its length is as expected, it fits the model, its letters are known."""
+    return {
+        "named": F.contains(ascii_upper(header), F.lit(root.upper())),
+        "length_ok": F.abs(F.length(seq) - expected) <= 5,
+        "too_long": F.length(seq) > most,
+        "letters_ok": F.length(F.translate(seq, letters, "")) == 0,
+    }
+
+
 def relative_drop(before: Column, after: Column) -> Column:
     return F.greatest(before - after, F.lit(0.0)) / F.greatest(before, F.lit(1e-6))
 

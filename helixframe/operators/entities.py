@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import cumulated
+
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key in this order."""
@@ -30,9 +32,53 @@ def shared_entities(frames: list[DataFrame], key: str) -> DataFrame:
 
 
 def dense_codes(df: DataFrame, value: str, name: str) -> DataFrame:
-    """(value, code) with codes from 0 in the order of distinct values, which are few."""
-    distinct = df.select(value).where(F.col(value).isNotNull()).distinct()
-    return distinct.withColumn(name, (F.row_number().over(Window.orderBy(value)) - 1).cast("bigint"))
+    """(value, code) with codes from 0 in the order of distinct values."""
+    distinct = df.select(value).where(F.col(value).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    return cumulated(distinct, value, ["_one"]).select(value, F.col("before__one").cast("bigint").alias(name))
+
+
+def first_of_text(df: DataFrame, text: str, key: str) -> DataFrame:
+    """The least key of each text; texts are told apart by 128 bits of hash and their lengths, so they are not shuffled themselves."""
+    return df.groupBy(F.md5(text).alias("_m"), F.length(text).alias("_l")).agg(F.min(key).alias(key)).select(key)
+
+
+def numbered(df: DataFrame, order: Column, name: str, by: list[str] | None = None) -> DataFrame:
+    """``df`` with each row's place from 0 in an order without ties, within ``by`` or over everything; no task has all rows."""
+    rows = df.withColumns({"_order": order, "_one": F.lit(1)})
+    return cumulated(rows, "_order", ["_one"], by or []).withColumnRenamed("before__one", name).drop("_order", "_one")
+
+
+def truncated(df: DataFrame, order: list[str | Column], n: int) -> DataFrame:
+    """The first n rows of a seeded order: a sampling operator."""
+    return df.orderBy(*order).limit(n)
+
+
+def stride_sample(df: DataFrame, order: Column, step: int) -> DataFrame:
+    """Every ``step``-th row of an order without ties, from the first on: a sampling operator."""
+    return numbered(df, order, "_n").where(F.col("_n") % step == 0).drop("_n")
+
+
+def stratified_folds(df: DataFrame, label: str, order: Column, folds: int = 5) -> DataFrame:
+    """Adds ``fold``: each class is dealt out evenly in an order without ties."""
+    return numbered(df, order, "_n", [label]).withColumn("fold", (F.col("_n") % folds).cast("int")).drop("_n")
+
+
+def allowed_families(df: DataFrame, family: str, most: int) -> DataFrame:
+    """The rows of the ``most`` largest families."""
+    top = df.where(F.col(family).isNotNull()).groupBy(family).count().orderBy(F.desc("count"), family).limit(most)
+    return df.join(top.select(family), family, "left_semi")
+
+
+def cv_summary(folds: DataFrame, score: str) -> DataFrame:
+    """Folds, their mean and population deviation."""
+    return folds.agg(F.count(score).alias("folds"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"))
+
+
+def top_k_accuracy(df: DataFrame, truth: str, scores: str, k: int) -> DataFrame:
+    """Rows, and the share whose true class (a place in the array of scores) has fewer than k classes above it."""
+    own = F.get(scores, F.col(truth))
+    above = F.aggregate(scores, F.lit(0), lambda n, x: n + F.when(x > F.get(scores, F.col(truth)), 1).otherwise(0))
+    return df.where(own.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.avg((above < k).cast("double")).alias("accuracy"))
 
 
 def merged_panels(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
@@ -74,31 +120,47 @@ def stratified_split(df: DataFrame, group: str, order: list[str | Column], share
     return counted.withColumn("test", F.col("_rn") <= size).drop("_n", "_rn")
 
 
+def _greedy(sizes: list[tuple[int, int]], folds: int) -> list[tuple]:
+    """(size, [(first place, fold)], place from which the folds of the last list take turns, that list) for (size, number of groups), largest first."""
+    loads, out = [0] * folds, []
+    for size, many in sizes:
+        at, runs = 0, []
+        while at < many and max(loads) - min(loads) > size:
+            (low, f), (next_low, g) = sorted((x, i) for i, x in enumerate(loads))[:2] if folds > 1 else ((loads[0], 0), (loads[0], 0))
+            times = max(1, -(-(next_low - low + (g < f)) // size)) if folds > 1 else many
+            times = min(times, many - at)
+            runs.append((at, f))
+            loads[f] += times * size
+            at += times
+        turns = [i for _, i in sorted((x, i) for i, x in enumerate(loads))]
+        for place, f in enumerate(turns):
+            loads[f] += size * ((many - at + folds - 1 - place) // folds)
+        out.append((size, [a for a, _ in runs], [f for _, f in runs], at, turns))
+    return out
+
+
 def group_folds(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
     """(group, fold): groups largest first, each to the fold of the least rows so far.
 
-    The greedy order is sequential over groups, so it runs over their counts;
-    groups must be few enough for the driver, which is checked.
+    Groups of one size are alike, so only the sizes and how many groups have
+    each pass through the driver, which finds the folds' turns; a group's fold
+    follows from its place among those of its size.
     """
-    counts = df.groupBy(group).count().orderBy(F.desc("count"), group)
-    if counts.count() > 1_000_000:
-        raise ValueError("too many groups for a greedy assignment; hash them instead")
-    loads, out = [0] * folds, []
-    for r in counts.toLocalIterator():
-        f = min(range(folds), key=lambda i: (loads[i], i))
-        loads[f] += r["count"]
-        out.append((r[group], f))
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(out, f"`{group}` {kind}, fold int")
-
-
-def permuted_labels(df: DataFrame, key: str, label: str, groups: int = 1, seed: int = 0) -> DataFrame:
-    """(key, label) with the labels dealt out anew by hash order, in ``groups`` buckets of keys: a negative control."""
-    bucket = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(groups))
-    rows = df.select(key, label, bucket.alias("_b"))
-    a = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(key))).select(key, "_b", "_i")
-    b = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy(F.xxhash64(key, F.lit(seed + 1)), key))).select(label, "_b", "_i")
-    return a.join(b, ["_b", "_i"]).select(key, label)
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = [(r["_size"], r["n"]) for r in counts.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("_size")).collect()]
+    plan = df.sparkSession.createDataFrame(_greedy(sizes, folds), "_size long, _at array<long>, _to array<int>, _from long, _turns array<int>")
+    named = counts.where(F.col(group).isNotNull()).withColumn("_one", F.lit(1))
+    placed = cumulated(named, group, ["_one"], ["_size"]).join(plan, "_size")
+    n = F.col("before__one")
+    early = F.get("_to", F.size(F.filter("_at", lambda a: a <= n)) - 1)
+    return placed.select(group, F.when(n < F.col("_from"), early).otherwise(F.get("_turns", ((n - F.col("_from")) % folds).cast("int"))).alias("fold"))
+
+
+def permuted_labels(df: DataFrame, key: str, label: str, order: Column | None = None, seed: int = 0) -> DataFrame:
+    """(key, label) with the labels dealt out anew: a negative control. The i-th key gets the label of the i-th row of ``order``, else of a seeded hash; keys are distinct."""
+    keys = numbered(df.select(key), F.col(key), "_i")
+    labels = numbered(df.select(key, label), F.xxhash64(key, F.lit(seed)) if order is None else order, "_i").drop(key)
+    return keys.join(labels, "_i").select(key, label)
 
 
 def classifier_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:

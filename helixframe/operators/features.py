@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,3 +116,44 @@ def merged_windows(hits: DataFrame, keys: list[str], value: str = "act", start:
     """One row for each key from overlapping windows: the largest activation, the first window's on ties."""
     order = Window.partitionBy(*keys).orderBy(F.desc(value), start)
     return hits.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+
+
+def kmer_table(df: DataFrame, keys: list[str], sequence: str = "seq", k: int = 3, letters: str = "ACGU") -> DataFrame:
+    """(keys..., kmer, n, valid): how often each k-mer over these letters stands in a sequence, and how many valid ones it has.
+
+    One pass over the letters' codes; overlapping k-mers count, and none spans
+    two rows. Null and short sequences give no row.
+    """
+    code = np.full(256, len(letters), np.int64)
+    code[np.frombuffer(letters.encode(), np.uint8)] = np.arange(len(letters))
+    words = np.array(["".join(w) for w in itertools.product(letters, repeat=k)])
+
+    def count(rows: pa.RecordBatch) -> pa.RecordBatch:
+        text = rows.column(len(keys)).fill_null("").cast(pa.large_binary())
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+        raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        own = code[raw]
+        row = np.repeat(np.arange(len(text)), np.diff(offsets))
+        n = max(0, len(own) - k + 1)
+        word, fine = np.zeros(n, np.int64), row[:n] == row[k - 1 :][:n]
+        for i in range(k):
+            word = word * len(letters) + own[i : i + n]
+            fine &= own[i : i + n] < len(letters)
+        cells = np.bincount(row[:n][fine] * len(words) + word[fine], minlength=len(text) * len(words)).reshape(len(text), len(words))
+        at, which = np.nonzero(cells)
+        kept = [rows.column(i).take(pa.array(at)) for i in range(len(keys))]
+        return pa.record_batch([*kept, pa.array(words[which].tolist(), pa.string()), pa.array(cells[at, which]), pa.array(cells.sum(1)[at])], [*keys, "kmer", "n", "valid"])
+
+    def run(batches):
+        for batch in batches:
+            size, a = 0, 0
+            for i, length in enumerate(pc.fill_null(pc.binary_length(batch.column(len(keys))), 0).to_pylist()):
+                if i > a and size + length > 1 << 21:  # letters that are arrays at once
+                    yield count(batch.slice(a, i - a))
+                    size, a = 0, i
+                size += length
+            if batch.num_rows > a:
+                yield count(batch.slice(a))
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
+    return df.select(*keys, sequence).mapInArrow(run, f"{kinds}, kmer string, n long, valid long")

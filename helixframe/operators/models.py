@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ranking import mann_whitney
@@ -180,6 +180,29 @@ def out_of_fold(df: DataFrame, features: str, label: str, fold: str = "fold", fo
     return out
 
 
+def softmax_probe(train: DataFrame, test: DataFrame, features: str, label: str, strength: float = 1e4) -> DataFrame:
+    """``test`` with its prediction, class probabilities and ``above``: how many classes are likelier than the true one.
+
+    A multinomial model on features less the training mean, over its
+    deviation; a class that training lacks has probability 0.
+    """
+    a, b = _standardized(train, test, features)
+    model = LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", regParam=1 / strength, standardization=False, maxIter=60)
+    found = model.fit(a).transform(b).withColumn("probability", vector_to_array("probability"))
+    own = F.coalesce(F.get("probability", F.col(label)), F.lit(0.0))
+    return found.withColumn("above", F.size(_likelier(F.col("probability"), own)))
+
+
+def _likelier(probability: Column, own: Column) -> Column:
+    return F.filter(probability, lambda x: x > own)
+
+
+def transferred(train: DataFrame, others: DataFrame, features: str, label: str) -> DataFrame:
+    """``others`` with ``p`` under a balanced model of ``train``, whose scaling it keeps."""
+    a, b = _standardized(train, others, features)
+    return balanced_logistic(a, features, label).transform(b).withColumn("p", F.element_at(vector_to_array("probability"), 2)).select(*others.columns, "p")
+
+
 def fold_aucs(predicted: DataFrame, label: str, fold: str = "fold") -> DataFrame:
     """AUC of each fold with both classes."""
     return mann_whitney(predicted, "p", F.col(label) == 1, [fold]).where(F.col("auc").isNotNull()).select(fold, "n_pos", "n_neg", "auc")

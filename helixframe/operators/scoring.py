@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -111,5 +112,7 @@ def pair_table(structure: str) -> list[int]:
     return table
 
 
-#: A stack has no counterpart among SQL functions; structures are short.
-pairs = F.udf(lambda s: None if s is None else pair_table(s), T.ArrayType(T.IntegerType()))
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def pairs(structures: pd.Series) -> pd.Series:
+    """pair_table() of a column; a stack has no counterpart among SQL functions."""
+    return structures.map(pair_table, na_action="ignore")

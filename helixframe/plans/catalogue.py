@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import entities, features, matching, ranking, sequences
+from . import controls, entities, features, matching, ranking, sequences
 from .common import Query
 
-QUERIES: dict[str, Query] = {**sequences.QUERIES, **ranking.QUERIES, **features.QUERIES, **matching.QUERIES, **entities.QUERIES}
-SQL: dict[str, str] = {**sequences.SQL, **ranking.SQL, **features.SQL, **matching.SQL, **entities.SQL}
+QUERIES: dict[str, Query] = {**sequences.QUERIES, **ranking.QUERIES, **features.QUERIES, **matching.QUERIES, **entities.QUERIES, **controls.QUERIES}
+SQL: dict[str, str] = {**sequences.SQL, **ranking.SQL, **features.SQL, **matching.SQL, **entities.SQL, **controls.SQL}

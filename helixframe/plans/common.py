@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import features
+from ..operators import features, ranking
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,3 +54,13 @@ def presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PRESENCE = f"""{ACT}, fm AS (SELECT feat, label, max(greatest(x, 0)) AS max_act FROM act GROUP BY feat, label),
   present AS (SELECT feat, label, max_act FROM (SELECT *, max(max_act) OVER (PARTITION BY feat) AS top FROM fm) WHERE max_act >= 0.25 * top AND top > 0)"""
+
+
+def tail_sql(z: str) -> str:
+    """ranking.two_sided_p() in SQL."""
+    x = f"(abs({z}) / sqrt(2::DOUBLE))"
+    t = f"(1 / (1 + {x} / 2))"
+    power = "0"
+    for c in reversed(ranking.ERFC):
+        power = f"({power} * {t} + ({c!r})::DOUBLE)"
+    return f"({t} * exp({power} - {x} * {x}))"

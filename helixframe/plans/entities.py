@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import entities, models, ranking, scoring
+from ..operators import entities, features, models, ranking, scoring
 from .common import POS, Query, activations, positions, r6, sequences, table
 
 QUERIES: dict[str, Query] = {}
@@ -36,7 +36,7 @@ _add(
 )
 _add(
     "exact_text_dedup",
-    lambda s, d: entities.keep_first(table(s, d, "documents").select("doc_id", "text"), ["text"], ["doc_id"]).select("doc_id"),
+    lambda s, d: entities.first_of_text(table(s, d, "documents"), "text", "doc_id"),
     "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text",
 )
 
@@ -182,8 +182,8 @@ _add(
 )
 _add(
     "label_shuffle",
-    lambda s, d: entities.permuted_labels(table(s, d, "labels"), "doc_id", "quality", groups=8).groupBy("quality").agg(F.count(F.lit(1)).alias("n")),
-    "SELECT quality, count(*) AS n FROM labels GROUP BY quality",
+    lambda s, d: entities.permuted_labels(table(s, d, "labels"), "doc_id", "quality", F.expr("doc_id * 7919 % 10007 * 1000000000000 + doc_id")),
+    """SELECT doc_id, quality FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS i FROM labels) JOIN (SELECT quality, row_number() OVER (ORDER BY doc_id * 7919 % 10007, doc_id) AS i FROM labels) USING (i)""",
 )
 
 
@@ -202,7 +202,7 @@ def kmer_probe(spark, sf_dir):
     seqs = sequences(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")
     words = [a + b + c for a in "ACGU" for b in "ACGU" for c in "ACGU"]
     # Counts as rows and a map gathered from them: a map written out for each word would repeat the whole expression.
-    counts = seqs.select("doc_id", "source", "y", F.explode(S.kmer_counts(F.col("seq"))).alias("k")).groupBy("doc_id", "source", "y").agg(F.map_from_entries(F.collect_list("k")).alias("m"), F.sum("k.n").alias("total"))
+    counts = features.kmer_table(seqs, ["doc_id", "source", "y"]).groupBy("doc_id", "source", "y").agg(F.map_from_entries(F.collect_list(F.struct("kmer", "n"))).alias("m"), F.max("valid").alias("total"))
     vectors = counts.select("doc_id", "source", "y", models.array_to_vector(F.array(*(F.coalesce(F.try_element_at("m", F.lit(w)), F.lit(0)) / F.col("total") for w in words))).alias("features"))
     folded = vectors.join(entities.group_folds(vectors, "source"), "source").select("doc_id", "y", "fold", "features")
     return models.fold_aucs(models.out_of_fold(folded, "features", "y"), "y")

@@ -36,15 +36,15 @@ _add("reciprocal_best", lambda s, d: matching.reciprocal_best(_pairs(s, d)).sele
 
 
 def shared_vocabulary(spark, sf_dir):
-    """Customers' and suppliers' nations without those that the other lacks."""
-    a, b = matching.shared_vocabulary(table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("label")), table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("label")))
+    """Events' users and orders' customers without those that the other lacks."""
+    a, b = matching.shared_vocabulary(table(spark, sf_dir, "events").select(F.col("user_id").alias("label")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("label")))
     return a.groupBy("label").count().unionByName(b.groupBy("label").count()).groupBy("label").agg(F.sum("count").alias("n"))
 
 
 _add(
     "shared_vocabulary",
     shared_vocabulary,
-    """WITH a AS (SELECT c_nationkey AS label FROM customer WHERE c_custkey % 7 = 0), b AS (SELECT s_nationkey AS label FROM supplier WHERE s_suppkey % 3 = 0), c AS (SELECT label FROM a INTERSECT SELECT label FROM b)
+    """WITH a AS (SELECT user_id AS label FROM events), b AS (SELECT o_custkey AS label FROM orders), c AS (SELECT label FROM a INTERSECT SELECT label FROM b)
     SELECT label, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE label IN (SELECT label FROM c) GROUP BY label""",
 )
 _add(

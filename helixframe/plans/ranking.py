@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import entities, ranking
-from .common import POS, Query, positions, r6, table
+from .common import POS, Query, positions, r6, table, tail_sql
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -35,10 +35,11 @@ _add(
 
 _add(
     "auc_p_value",
-    lambda s, d: ranking.mann_whitney(table(s, d, "lineitem"), "l_extendedprice", F.col("l_returnflag") == "R", ["l_linenumber"]).withColumn("p", ranking.two_sided_p("z")).select("l_linenumber", *r6("auc", "z"), F.col("p").between(0, 1).alias("p_in_range")),
-    """WITH r AS (SELECT l_linenumber, l_returnflag = 'R' AS y, rank() OVER (PARTITION BY l_linenumber ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_linenumber, l_extendedprice) - 1) / 2 AS rk FROM lineitem),
-    g AS (SELECT l_linenumber, (count(*) FILTER (y))::DOUBLE AS a, (count(*) FILTER (NOT y))::DOUBLE AS b, sum(rk) FILTER (y) AS s FROM r GROUP BY l_linenumber)
-    SELECT l_linenumber, round((s - a * (a + 1) / 2) / (a * b), 6) AS auc, round((s - a * (a + 1) / 2 - a * b / 2) / sqrt(a * b * (a + b + 1) / 12), 6) AS z, true AS p_in_range FROM g""",
+    lambda s, d: ranking.mann_whitney(table(s, d, "lineitem"), "l_extendedprice", F.col("l_returnflag") == "R", ["l_linenumber"]).withColumn("p", ranking.two_sided_p("z")).select("l_linenumber", *r6("auc", "z"), F.round("p", 6).alias("p")),
+    f"""WITH r AS (SELECT l_linenumber, l_returnflag = 'R' AS y, rank() OVER (PARTITION BY l_linenumber ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_linenumber, l_extendedprice) - 1) / 2 AS rk FROM lineitem),
+    g AS (SELECT l_linenumber, (count(*) FILTER (y))::DOUBLE AS a, (count(*) FILTER (NOT y))::DOUBLE AS b, sum(rk) FILTER (y) AS s FROM r GROUP BY l_linenumber),
+    u AS (SELECT l_linenumber, (s - a * (a + 1) / 2) / (a * b) AS auc, (s - a * (a + 1) / 2 - a * b / 2) / sqrt(a * b * (a + b + 1) / 12) AS z FROM g)
+    SELECT l_linenumber, round(auc, 6) AS auc, round(z, 6) AS z, round({tail_sql("z")}, 6) AS p FROM u""",
 )
 
 _add(

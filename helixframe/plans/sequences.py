@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
-from ..operators import entities, scoring
+from ..operators import entities, features, scoring
 from ..sources import fasta, tables
 from .common import SEQ, Query, sequences, table
 
@@ -128,9 +128,7 @@ _add(
 
 def kmer3(spark, sf_dir):
     """Each document's 3-mers and their shares of its valid ones."""
-    rows = sequences(spark, sf_dir).select("doc_id", F.explode(S.kmer_counts(F.col("seq"))).alias("k")).select("doc_id", "k.*")
-    totals = rows.groupBy("doc_id").agg(F.sum("n").alias("valid"))
-    return rows.join(totals, "doc_id").select("doc_id", "kmer", "n", F.round(F.col("n") / F.col("valid"), 6).alias("share"))
+    return features.kmer_table(sequences(spark, sf_dir), ["doc_id"]).select("doc_id", "kmer", "n", F.round(F.col("n") / F.col("valid"), 6).alias("share"))
 
 
 _add(
@@ -144,8 +142,9 @@ _add(
 _add(
     "sliding_windows",
     lambda s, d: sequences(s, d)
-    .select("doc_id", "seq", F.explode(S.window_starts(F.length("seq"))).alias("start"))
-    .select("doc_id", F.col("start").cast("bigint").alias("start"), F.substring("seq", F.col("start") + 1, F.lit(200)).alias("w"))
+    .select("doc_id", S.pieces(F.col("seq"), 100).alias("blocks"), S.window_starts(F.length("seq")).alias("starts"))
+    .select("doc_id", F.explode(S.windows(F.col("blocks"), F.col("starts"))).alias("x"))
+    .select("doc_id", "x.*")
     .select("doc_id", "start", F.length("w").cast("bigint").alias("n"), F.round(S.share_of(F.col("w"), "GC"), 6).alias("gc")),
     f"""WITH {SEQ}, w AS (SELECT doc_id, start::BIGINT AS start, substr(seq, start::BIGINT + 1, 200) AS w FROM (SELECT doc_id, seq, unnest(range(0, length(seq) - 49, 100)) AS start FROM seq WHERE length(seq) >= 50))
     SELECT doc_id, start, length(w)::BIGINT AS n, round((length(w) - length(translate(w, 'GC', ''))) / length(w), 6) AS gc FROM w""",

@@ -29,6 +29,8 @@ SLOT_BITS = 20
 SPACE = "▁"
 _STUCK = np.int32(2**31 - 1)
 _FULL = (1 << 64) - 1
+#: No pair's key, not even of a code and nothing after it.
+_FREE = np.int64(-(1 << 62))
 _FROM, _TO = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -85,7 +87,7 @@ class Pieces:
                 a, b = code(p[:cut]), code(p[cut:])
                 if a is not None and b is not None:
                     found[a * self.base + b] = k
-        self.slot_key, self.slot_code = np.full(1 << SLOT_BITS, -1, np.int64), np.zeros(1 << SLOT_BITS, np.int32)
+        self.slot_key, self.slot_code = np.full(1 << SLOT_BITS, _FREE), np.zeros(1 << SLOT_BITS, np.int32)
         for key, k in found.items():
             slot = (key * _FROM & _FULL) >> 64 - SLOT_BITS
             while self.slot_key[slot] >= 0:

@@ -3,13 +3,16 @@
 import heapq
 import math
 import random
+import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
-from helixframe.llm import classifier, jpeg, lm, near, packing
-from helixframe.llm.hashing import Words, shingles
+from helixframe.llm import classifier, jpeg, lm, near, packing, pieces
+from helixframe.llm.hashing import Words, mix, shingles
 from helixframe.llm.pieces import Pieces
 
 from .helpers import words
@@ -72,17 +75,62 @@ def test_jpeg_without_restarts_and_with_colours():
     assert jpeg.thumbnail(im, luminance).tolist() == [[128 + 10, 128 + 4]]
 
 
+def agenda(p, run, key):
+    """Merge-dropout of one run, candidate by candidate over all that are there."""
+    symbols, starts, skipped = list(run), list(range(len(run) + 1)), set()
+    while True:
+        found = [(int(p.rank[p.score[a + b]]), i) for i, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)) if a + b in p.score and (starts[i], starts[i + 2]) not in skipped]
+        if not found:
+            return [i for s in symbols for i in ([p.id[s]] if s in p.id else p._bytes(s))]
+        _, i = min(found)
+        ends = np.array([(starts[i] * pieces._FROM + starts[i + 2] * pieces._TO) % (1 << 64)], np.uint64)
+        if int(mix(ends ^ np.array([key], np.uint64))[0]) >> 32 < p.dropout:
+            skipped.add((starts[i], starts[i + 2]))
+        else:
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del starts[i + 1]
+
+
+def plainly(p, text):
+    """A whole text's ids by agenda()."""
+    own = np.array([xxhash.xxh64_intdigest(text.encode(), p.seed)], np.uint64)
+    runs, first = [], True
+    for at, part in enumerate(text.split("▁")):
+        runs += [None] if at else []
+        runs += re.findall("▁*[^▁]+|▁+", ("▁" if first else "") + part.replace(" ", "▁"))
+        first = False
+    out = []
+    for i, run in enumerate(runs):
+        key = int(mix(np.array([i], np.uint64) * np.uint64(pieces._FROM) + own)[0])
+        out += p._bytes("▁") if run is None else agenda(p, run, key)
+    return out
+
+
+TEXTS = [words(i, 30) for i in range(8)] + ["", " a  b", "▁▁ x", "x▁ y  ", "日本 語😀", "a" * 200, "        deep", "wh" * 50 + "  x▁y"]
+
+
 def test_dropout_agenda():
-    p = Pieces("piece_bpe_32k.model", dropout=0.0, variants=1)
-    q = Pieces("piece_bpe_32k.model", dropout=0.3)
-    for text in [words(i, 30) for i in range(20)] + ["", " a  b", "▁▁ x", "日本 語😀", "a" * 200]:
+    p, q = Pieces("piece_bpe_32k.model", dropout=0.0), Pieces("piece_bpe_32k.model", dropout=0.3)
+    for text in TEXTS:
         if "▁" not in text:
             assert p.encode(text).tolist() == p.library.encode(text)
         for x in (p, q):
             assert x.decode(x.encode(text)) == text
-    runs = [r for i in range(30) for r in q.runs(words(i, 40))]
-    assert all(q._merged_short(r, v) == q._merged_long(r, v) for r in runs for v in range(4))
-    assert len({q.segment("▁therwhinging", v) for v in range(4)}) > 1
+            assert x.encode(text).tolist() == (plainly(x, text) if text else [])
+    assert [x.tolist() for x in q.encode_all(TEXTS)] == [q.encode(t).tolist() for t in TEXTS]
+
+
+def test_seeds_are_unrelated():
+    text = words(5, 400)
+    encoded = [Pieces("piece_bpe_32k.model", seed=s).encode(text).tolist() for s in range(100, 104)]
+    assert len({tuple(x) for x in encoded}) == 4
+
+
+def test_long_text_goes_in_parts(monkeypatch):
+    q, text = Pieces("piece_bpe_32k.model"), words(1, 3000) + "  " + "ab" * 40 + " ▁ " + words(2, 50)
+    whole = q.encode(text).tolist()
+    monkeypatch.setattr(pieces, "SEGMENT", 500)
+    assert len(q._parts(text)) > 10 and q.encode(text).tolist() == whole
 
 
 def test_dropout_of_each_occurrence():
@@ -91,62 +139,106 @@ def test_dropout_of_each_occurrence():
         ids = q.encode(" ".join([c] * 6000))
         dropped = len(ids) - 6000  # one merge, of the blank and the letter
         assert 0.085 * 6000 < dropped < 0.115 * 6000
-    # What is kept of runs gives the same as the agenda of each occurrence.
-    text = " ".join(words(i, 300) for i in range(4)) + " " + "wh" * 50 + "  x▁y"
-    runs = q.runs(text)
-    keys = q.keys(text, len(runs)).tolist()
-    want = b"".join(q.literal if run is None else q.segment(run, k) for run, k in zip(runs, keys, strict=True))
-    assert q.encode(text).tobytes() == q.encode(text).tobytes() == want
+
+
+def model(n, seq):
+    pairs = np.zeros((lm.SYMBOLS + 1, lm.SYMBOLS + 1))
+    np.add.at(pairs, (seq[:-1], seq[1:]), 1)
+    return lm.counts_of(np.bincount(seq, minlength=n), pairs, np.minimum(np.arange(n), lm.SYMBOLS))
 
 
 def test_gradients():
     r = np.random.default_rng(0)
     n = 40
-    seq = r.integers(0, n, 600)
-    pairs = np.zeros((n, n))
-    np.add.at(pairs, (seq[:-1], seq[1:]), 1)
-    c = lm.counts_of(np.bincount(seq, minlength=n), pairs, np.arange(n))
-    t = {k: v.astype(np.float64) for k, v in lm.first_tables(n).items()}
-    queries, keys, target, owner = lm.windows(seq, np.array([0, 100, 101]), np.array([100, 101, 600]))
-    assert sorted(target[target >= 0].tolist()) == sorted(seq.tolist())
-    _, g = lm.gradients(c, t, queries, keys, target)
+    seq = r.integers(1, n, 600).astype(np.uint16)
+    c = model(n, seq)
+    t = {k: v.astype(np.float64) for k, v in lm.first_tables().items()}
+    w, owner = lm.windows(seq, np.array([0, 100, 101]), np.array([100, 101, 600]), 0)
+    targets = w[:, lm.STRIDE + 1 :]
+    assert targets[targets != lm.NONE].tolist() == seq.tolist() and owner.tolist() == [0] * 7 + [1] + [2] * 32
+    weight = r.random(len(w)) + 0.5
+    _, g = lm.gradients(c, t, w, weight)
     for name in t:
-        i = tuple(int(r.integers(0, d)) for d in t[name].shape)
+        if isinstance(g[name], tuple):
+            rows, found = g[name]
+            i = (int(rows[3]), 2)
+            want = found[3, 2]
+        else:
+            i = tuple(int(r.integers(0, d)) for d in t[name].shape)
+            want = g[name][i]
         at = t[name][i]
         t[name][i] = at + 1e-4
-        up = lm.gradients(c, t, queries, keys, target)[0]
+        up = lm.gradients(c, t, w, weight)[0]
         t[name][i] = at - 1e-4
-        down = lm.gradients(c, t, queries, keys, target)[0]
+        down = lm.gradients(c, t, w, weight)[0]
         t[name][i] = at
-        assert g[name][i] == pytest.approx((up - down) / 2e-4, abs=1e-7)
-    # Probabilities of all symbols after one context sum to 1.
-    total = 0.0
-    for x in range(n):
-        aim = target[:1].copy()
-        aim[0, 3] = x
-        total += 10 ** float(lm.log10_scores(c, t, queries[:1], keys[:1], aim)[0, 3])
-    assert total == pytest.approx(1.0, abs=1e-4)
-
-
-def test_rounds_train_on_every_window_once():
-    seq = np.arange(5000)
+        assert want == pytest.approx((up - down) / 2e-4, abs=1e-6)
+
+
+def test_probabilities_of_all_subwords_sum_to_one():
+    r = np.random.default_rng(1)
+    n = 2500  # more than have symbols of their own
+    seq = r.integers(1, n, 9000).astype(np.uint16)
+    pairs = np.zeros((lm.SYMBOLS + 1, lm.SYMBOLS + 1))
+    symbol = np.minimum(np.arange(n), lm.SYMBOLS)
+    np.add.at(pairs, (symbol[seq[:-1]], symbol[seq[1:]]), 1)
+    c, t = lm.counts_of(np.bincount(seq, minlength=n), pairs, symbol), lm.first_tables()
+    w, _ = lm.windows(seq, np.array([0]), np.array([len(seq)]), 0, 3, 4)
+    every = np.repeat(w, n, 0)
+    every[:, lm.STRIDE + 4] = np.arange(n)
+    got = lm.log10_scores(c, t, every)[:, 3]
+    assert (10.0 ** got.astype(np.float64)).sum() == pytest.approx(1.0, abs=1e-4)
+    assert len(set(got[lm.SYMBOLS :].tolist())) > 3  # shares of their own, not one for all
+
+
+def test_units_open_into_windows():
+    seq = np.arange(1, 5001).astype(np.uint16)
     starts, ends = np.array([0, 900, 901, 3000]), np.array([900, 901, 3000, 5000])
-    dealt = [lm.windows(seq, starts, ends, i)[2] for i in range(lm.ROUNDS)]
-    assert sorted(x for target in dealt for x in target[target >= 0].tolist()) == seq.tolist()
-    assert all(len(target) > 100 for target in dealt)
+    w, _ = lm.windows(seq, starts, ends, 0)
+    units, _ = lm.windows(seq, starts, ends, 0, targets=lm.UNIT * lm.STRIDE)
+    opened, weight = lm.opened(units, np.arange(len(units)))
+    assert (opened == w).all() and len(weight) == len(w)
+
+
+def test_scores_do_not_depend_on_neighbours():
+    r = np.random.default_rng(2)
+    seq = r.integers(1, 60, 6000).astype(np.uint16)
+    c, t, text = model(60, seq), lm.first_tables(), seq[:333]
+    got = set()
+    for before in (1, 7, 100, 5003):
+        ids = np.concatenate((seq[:before], text))
+        got.add(lm.text_scores(c, t, ids, np.array([0, before]), np.array([before, before + 333]), 0)[1])
+    assert len(got) == 1
 
 
 def test_training_lowers_the_loss():
     r = np.random.default_rng(3)
-    seq = np.tile(r.integers(0, 30, 50), 80)
-    pairs = np.ones((30, 30))
-    c = lm.counts_of(np.bincount(seq, minlength=30), pairs, np.arange(30))
-    trainer = lm.Trainer(c, lm.first_tables(30))
-    queries, keys, target, _ = lm.windows(seq, np.array([0]), np.array([len(seq)]))
-    first = lm.gradients(c, trainer.t, queries, keys, target)[0]
-    for _ in range(10):
-        trainer.learn(queries, keys, target)
-    assert lm.gradients(c, trainer.t, queries, keys, target)[0] < 0.5 * first
+    seq = np.tile(r.integers(1, 30, 50), 80).astype(np.uint16)
+    c = lm.counts_of(np.bincount(seq, minlength=30), r.random((lm.SYMBOLS + 1, lm.SYMBOLS + 1)), np.minimum(np.arange(30), lm.SYMBOLS))
+    trainer = lm.Trainer(c, lm.first_tables())
+    units, _ = lm.windows(seq, np.array([0]), np.array([len(seq)]), 0, targets=lm.UNIT * lm.STRIDE)
+    w, weight = lm.opened(units, np.ones(len(units), np.float32))
+    first = lm.gradients(c, trainer.t, w, weight)[0]
+    for _ in range(40):
+        trainer.learn(units, np.ones(len(units), np.float32))
+    assert lm.gradients(c, trainer.t, w, weight)[0] < 0.7 * first
+
+
+def test_memory_follows_a_long_text():
+    text = words(9, 40_000) * 16  # over 5 MB without a line end
+    size = len(text)
+    for make in (lambda: Words(pa.array([text]), True), lambda: near.shingle_sets(pa.array([text])), lambda: jpeg.decode_coefficients([jpeg.Image(jpeg.encode_payloads([text.encode().ljust(-(-size // 64) * 64, b"\0")])[0])])):
+        tracemalloc.start()
+        make()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 25 * size + (64 << 20)
+
+
+def test_words_over_blocks():
+    long = "q" * 700_000
+    w = Words(pa.array([f"a {long} b", long, "B"]), True)
+    assert w.hash[1] == w.hash[3] and w.hash[2] == w.hash[4] and len(w) == 5
 
 
 def test_hinge_fit_separates():

@@ -124,8 +124,8 @@ _add(
     "masked_readout",
     lambda s, d: scoring.masked_criticality(table(s, d, "part").select("p_partkey", S.cleaned(F.col("p_name")).alias("seq")), ["p_partkey"], lambda seqs: [[math.log(x) for x in _SHARES] for _ in seqs]).select("p_partkey", "pos", *r6("score")),
     f"""WITH q AS (SELECT p_partkey, regexp_replace(translate(translate(replace(p_name, ' ', ''), '{S.LOWER}', '{S.UPPER}'), 'T', 'U'), '[^ACGU]', 'N', 'g') AS seq FROM part),
-    c AS (SELECT p_partkey, i AS pos, instr('ACGU', substr(seq, i, 1)) AS at FROM q, unnest(range(1, length(seq) + 1)) AS u(i))
-    SELECT p_partkey, pos, round((4 * ln(list_extract({_SHARES}, at)::DOUBLE) - {sum(math.log(x) for x in _SHARES)!r}::DOUBLE) / 3, 6) AS score FROM c WHERE at > 0""",
+    c AS (SELECT p_partkey, i AS pos, instr('ACGU', substr(seq, i, 1)) AS nth FROM q, unnest(range(1, length(seq) + 1)) AS u(i))
+    SELECT p_partkey, pos, round((4 * ln(list_extract({_SHARES}, nth)::DOUBLE) - {sum(math.log(x) for x in _SHARES)!r}::DOUBLE) / 3, 6) AS score FROM c WHERE nth > 0""",
 )
 _add(
     "structure_pairs",

@@ -1,5 +1,7 @@
 """Invariants and edge cases of the ranking, matching, entity and model operators."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +69,79 @@ def test_split_and_shuffle(spark):
     assert sorted(r["g"] for r in shuffled) == ["a"] * 9 + ["b"]
 
 
+def greedy_folds(sizes, folds):
+    loads, out = [0] * folds, {}
+    for name, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        f = min(range(folds), key=lambda i: (loads[i], i))
+        loads[f] += n
+        out[name] = f
+    return out
+
+
+@pytest.mark.parametrize("folds", [1, 3, 5])
+def test_group_folds(spark, folds):
+    r = np.random.default_rng(folds)
+    sizes = {f"g{i:03d}": int(n) for i, n in enumerate([90, 41, 40, 7, 7, 7, *r.integers(1, 6, 120)])}
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "g string")
+    assert {r["g"]: r["fold"] for r in entities.group_folds(df, "g", folds).collect()} == greedy_folds(sizes, folds)
+
+
+def test_ranks_and_samples_over_ranges(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, int(g), float(v)) for i, (g, v) in enumerate(zip(r.integers(0, 2, 2000), r.integers(0, 300, 2000), strict=True))]
+    df = spark.createDataFrame(rows, "id int, g int, v double")
+    by = {x["id"]: x["rank"] for x in ranking.average_rank(df, "v", ["g"]).collect()}
+    for g in (0, 1):
+        own = sorted(v for _, k, v in rows if k == g)
+        for i, k, v in rows[:200]:
+            if k == g:
+                assert by[i] == own.index(v) + (own.count(v) + 1) / 2
+    assert sorted(x["n"] for x in entities.numbered(df, F.col("id"), "n").collect()) == list(range(2000))
+    folded = entities.stratified_folds(df, "g", F.col("id")).groupBy("g", "fold").count().collect()
+    assert max(x["count"] for x in folded) - min(x["count"] for x in folded if x["g"] == folded[0]["g"]) < 60
+    assert {x["id"] for x in entities.stride_sample(df, F.col("id"), 100).collect()} == set(range(0, 2000, 100))
+
+
+def test_tails(spark):
+    df = spark.createDataFrame([(z / 4, k, 40) for k, z in enumerate(range(-20, 21))], "z double, k int, n int")
+    for x in df.select("z", "k", ranking.two_sided_p("z").alias("p"), ranking.binomial_tail("k", "n", F.lit(0.3)).alias("b")).collect():
+        assert x["p"] == pytest.approx(math.erfc(abs(x["z"]) / math.sqrt(2)), rel=2e-7)
+        assert x["b"] == pytest.approx(sum(math.comb(40, i) * 0.3**i * 0.7 ** (40 - i) for i in range(x["k"], 41)), rel=1e-9)
+
+
+def test_kmers_of_awkward_sequences(spark):
+    df = spark.createDataFrame([(1, "ACGUACGN"), (2, ""), (3, None), (4, "AC"), (5, "AAAAA"), (5, "GGG")], "id int, seq string")
+    got = sorted((x["id"], x["kmer"], x["n"], x["valid"]) for x in features.kmer_table(df, ["id"]).collect())
+    assert got == [(1, "ACG", 2, 5), (1, "CGU", 1, 5), (1, "GUA", 1, 5), (1, "UAC", 1, 5), (5, "AAA", 3, 3), (5, "GGG", 1, 1)]
+
+
+def test_logistic_against_newton(spark):
+    """Weights of the balanced model solve the penalised equations that numpy solves too."""
+    r = np.random.default_rng(2)
+    x = r.standard_normal((300, 3))
+    y = (x @ [1.0, -2.0, 0.5] + r.standard_normal(300) > 0.8).astype(int)
+    df = models.assembled(spark.createDataFrame([(*map(float, a), int(b)) for a, b in zip(x, y, strict=True)], "a double, b double, c double, y int"), ["a", "b", "c"])
+    got = models.balanced_logistic(df, "features", "y")
+    weight = np.where(y == 1, 300 / (2 * y.sum()), 300 / (2 * (1 - y).sum()))
+    full, theta = np.column_stack((x, np.ones(300))), np.zeros(4)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-full @ theta))
+        penalty = np.array([1, 1, 1, 0]) * 1.0
+        theta -= np.linalg.solve((full * (weight * p * (1 - p))[:, None]).T @ full + np.diag(penalty), full.T @ (weight * (p - y)) + penalty * theta)
+    assert np.allclose([*got.coefficients, got.intercept], theta, atol=1e-4)
+
+
+def test_probes(spark):
+    r = np.random.default_rng(5)
+    centers = r.standard_normal((4, 6)) * 3
+    rows = [(i, i % 4, i % 5 == 0, *map(float, centers[i % 4] + r.standard_normal(6) * 0.3)) for i in range(200)]
+    df = models.assembled(spark.createDataFrame(rows, "id int, label int, test boolean, a double, b double, c double, d double, e double, f double"), list("abcdef"))
+    found = models.softmax_probe(df.where("NOT test"), df.where("test"), "features", "label").collect()
+    assert len(found) == 40 and all(x["above"] == 0 and x["prediction"] == x["label"] for x in found)
+    scored = models.transferred(df.where("NOT test").withColumn("y", (F.col("label") == 1).cast("int")), df.where("test"), "features", "y").collect()
+    assert all((x["p"] > 0.5) == (x["label"] == 1) for x in scored)
+
+
 def test_autoencoder_steps(spark):
     random = np.random.default_rng(1)
     m = models.Autoencoder(random.standard_normal((4, 6)), np.zeros(6), random.standard_normal((6, 4)), random.standard_normal(4))

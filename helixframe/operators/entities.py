@@ -127,7 +127,7 @@ def _greedy(sizes: list[tuple[int, int]], folds: int) -> list[tuple]:
         at, runs = 0, []
         while at < many and max(loads) - min(loads) >= size:
             (low, f), (next_low, g) = sorted((x, i) for i, x in enumerate(loads))[:2] if folds > 1 else ((loads[0], 0), (loads[0], 0))
-            times = max(1, -(-(next_low - low + (g < f)) // size)) if folds > 1 else many
+            times = max(1, -(-(next_low - low + (f < g)) // size)) if folds > 1 else many
             times = min(times, many - at)
             runs.append((at, f))
             loads[f] += times * size

@@ -26,10 +26,9 @@ def cumulated(values: DataFrame, value: str, weights: list[str], by: Sequence[st
     sampled values cut the order into ranges, and what stands before a range is
     added up from the ranges' sums, of which a group has RANGES at most.
     """
-    place = F.lit(0)
-    for c in cut_values(values, value) if cuts is None else cuts:
-        place = place + F.when(F.col(value) >= F.lit(c), 1).otherwise(0)
-    placed = values.withColumn("_range", place)
+    cuts = cut_values(values, value) if cuts is None else cuts
+    # One literal array: a comparison written out for each cut makes a method too long to be compiled.
+    placed = values.withColumn("_range", F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(value))) if cuts else F.lit(0))
     keys = [*by, "_range"]
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*keys).agg(*(F.sum(w).alias(f"_t_{w}") for w in weights))
@@ -41,17 +40,22 @@ def cumulated(values: DataFrame, value: str, weights: list[str], by: Sequence[st
     return joined.withColumns({f"before_{w}": F.col(f"before_{w}") + F.col(f"_o_{w}") for w in weights}).select(*values.columns, *(f"before_{w}" for w in weights))
 
 
+def _ranked(df: DataFrame, ranks_of: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the average rank that its value has in ``ranks_of``."""
+    held = ranks_of.where(F.col(value).isNotNull())
+    counts = held.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
+    ranked = cumulated(counts, value, ["_ties"], by, cut_values(held, value)).select(*(F.col(k).alias(f"_r_{k}") for k in (*by, value)), (F.col("before__ties") + (F.col("_ties") + 1) / 2).alias(name))
+    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in by), F.col(value) == F.col(f"_r_{value}"))
+    return df.join(ranked, same, "left").drop(*(f"_r_{k}" for k in (*by, value)))
+
+
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """1-based ranks in which ties share their mean, within ``by`` or over everything; null for a null.
 
     Values are counted before they are ranked, so a frequent one costs nothing,
     and rows meet their value's rank in a join that Spark may split.
     """
-    held = df.where(F.col(value).isNotNull())
-    counts = held.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
-    ranked = cumulated(counts, value, ["_ties"], by, cut_values(held, value)).select(*(F.col(k).alias(f"_r_{k}") for k in (*by, value)), (F.col("before__ties") + (F.col("_ties") + 1) / 2).alias(name))
-    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in by), F.col(value) == F.col(f"_r_{value}"))
-    return df.join(ranked, same, "left").drop(*(f"_r_{k}" for k in (*by, value)))
+    return _ranked(df, df, value, by, name)
 
 
 def mann_whitney(df: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame:
@@ -116,7 +120,7 @@ def correlation(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Pearson's r of average ranks."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_rank(average_rank(both, x, by, "_rx"), y, by, "_ry")
+    ranked = _ranked(_ranked(both.select(*by, x, y), both, x, by, "_rx"), both, y, by, "_ry")
     return correlation(ranked, "_rx", "_ry", by)
 
 

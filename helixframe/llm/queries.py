@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, jpeg, lines, lm, near, packing, pieces, quality, sharding, tokens
+from . import audit, classifier, codes, jpeg, lines, lm, near, packing, pieces, quality, sharding, tokens, topk
 from .common import table
 
 
@@ -51,6 +51,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_lm_scoring": op2_lm_scoring,
@@ -62,8 +74,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_code_compression": op11_vector_code_compression,
+    "op12_exact_topk_search": op12_exact_topk_search,
+    "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
 SQL: dict[str, str] = {
     "op3_line_dedup": lines.SQL,
     "op10_quality_rules": quality.SQL,
+    "op11_vector_code_compression": codes.SQL,
+    "op12_exact_topk_search": topk.SQL,
+    "op13_filter_interaction_audit": audit.SQL,
 }

@@ -36,7 +36,7 @@ def duck():
 def test_registration():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and "feature_breadth" in names
-    assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in names}
+    assert {f"op{n}" for n in range(1, 14)} <= {x.split("_")[0] for x in names}
     assert set(__spark_entry__.oracle_sql()) <= names
 
 

@@ -3,14 +3,16 @@
 A signature is TREES labels of DEPTH minimum hashes. In each tree the labels
 form a prefix trie; texts under one node at depth d share d minimum hashes.
 The join begins with whole labels and shortens the prefix, one hash at a time,
-until the pairs of every similarity that has been found reach the target
-recall. A shorter prefix is looked at only where it brings nodes together.
+until two texts at the threshold itself meet with the target's chance. A
+shorter prefix is looked at only where it brings nodes together. What is found
+on the way ends nothing: whether a pair is met depends on its two texts alone.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,6 @@ TREES, DEPTH = 16, 6
 CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
 #: Rows of pairs compared at once, and bytes of bit sets in a task.
 SLAB, BIT_BYTES = 32, 16 << 20
-#: Similarities from the threshold to one are told apart in so many steps.
-STEPS = 20
 
 _random = np.random.default_rng(20_231)
 _TIMES = _random.integers(1, 1 << 32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -167,7 +167,7 @@ def _linked(rows: pa.Table, depth: int, similarity: float) -> pa.RecordBatch | N
     A pair that shares several nodes counts in the first tree only, and one
     that shares a longer prefix in any tree has been met before. Returns for
     each text with a link: k, the copies linked to it, and the first text that
-    it is connected with here; then the pairs found, by step of similarity.
+    it is connected with here.
     """
     k = rows.column("k").to_numpy()
     _, once = np.unique(k, return_index=True)  # rows of one id may repeat
@@ -203,10 +203,9 @@ def _linked(rows: pa.Table, depth: int, similarity: float) -> pa.RecordBatch | N
     shared = _sizes_shared(sets, left, right)
     union = n[left] + n[right] - shared
     linked = shared >= similarity * union - 1e-9
-    left, right, alike = left[linked], right[linked], (shared / union)[linked]
+    left, right = left[linked], right[linked]
     if not len(left):
         return None
-    step = np.bincount(np.clip(((alike - similarity) / max(1e-9, 1 - similarity) * STEPS + 1e-9).astype(np.int64), 0, STEPS - 1))
     size = len(k)
     links = np.bincount(left, copies[right], size) + np.bincount(right, copies[left], size)
     root = np.arange(size)
@@ -217,14 +216,12 @@ def _linked(rows: pa.Table, depth: int, similarity: float) -> pa.RecordBatch | N
         root = root[root]
         if (root == old).all():
             break
-    some, steps = np.flatnonzero(links), np.flatnonzero(step)
-    none, last = pa.nulls(len(some), pa.int64()), pa.nulls(len(steps), pa.int64())
-    columns = ((k[some], last), (links[some].astype(np.int64), last), (k[root[some]], last), (none, steps), (none, step[steps]))
-    return pa.record_batch([pa.chunked_array([pa.array(x), pa.array(y)]).combine_chunks() for x, y in columns], ["k", "links", "root", "step", "pairs"])
+    some = np.flatnonzero(links)
+    return pa.record_batch([pa.array(x) for x in (k[some], links[some].astype(np.int64), k[root[some]])], ["k", "links", "root"])
 
 
 def _verify(active: DataFrame, depth: int, similarity: float) -> DataFrame:
-    """Links of the pairs that meet at this depth and at no greater one, and how many were found by step of similarity.
+    """Links of the pairs that meet at this depth and at no greater one.
 
     Nodes with the same members in several trees hold the same pairs, so one
     of them, in the first tree, is kept; nodes with one child hold no new
@@ -254,27 +251,12 @@ def _verify(active: DataFrame, depth: int, similarity: float) -> DataFrame:
             if (made := _linked(group, depth, similarity)) is not None:
                 yield made
 
-    return cut(rows.mapInArrow(run, "k long, links long, root long, step long, pairs long"))
+    return cut(rows.mapInArrow(run, "k long, links long, root long"))
 
 
-def _links(active: DataFrame, least: int, similarity: float, target_recall: float) -> DataFrame:
-    """(k, links, root) of all depths, from whole labels down to ``least`` hashes, where pairs at the threshold itself reach the target.
-
-    It ends earlier if the least similar pairs found so far would have met with
-    the target's chance at this depth. Pairs are looked at by their own
-    similarity, so a large group of close copies says nothing about others.
-    """
-    found, lowest, depth = None, None, DEPTH
-    while True:
-        made = _verify(active, depth, similarity)
-        own = made.where("k IS NOT NULL").select("k", "links", "root")
-        found = own if found is None else found.unionByName(own)
-        step = made.agg(F.min("step")).first()[0]
-        lowest = step if lowest is None else lowest if step is None else min(lowest, step)
-        floor = similarity if lowest is None else similarity + lowest * (1 - similarity) / STEPS
-        if depth <= least or recall_at(floor, depth) >= target_recall:
-            return found
-        depth -= 1
+def _links(active: DataFrame, least: int, similarity: float) -> DataFrame:
+    """(k, links, root) of all depths, from whole labels down to ``least`` hashes."""
+    return reduce(DataFrame.unionByName, [_verify(active, depth, similarity) for depth in range(DEPTH, least - 1, -1)])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -315,7 +297,7 @@ def _classified(docs: DataFrame, similarity: float, width: int, target_recall: f
                     yield pa.record_batch([kept.column("k"), kept.column("copies"), kept.column("labels"), pa.array([len(sets[i]) for i in own.tolist()], pa.int64()), pa.array([sets[i].tobytes() for i in own.tolist()], pa.binary())], ["k", "copies", "labels", "n", "shingles"])
 
         active = cut(texts.join(chosen, "x").select("k", "copies", "labels", "text").mapInArrow(fetched, "k long, copies long, labels array<int>, n long, shingles binary"))
-        links = _links(active, depth, similarity, target_recall)
+        links = _links(active, depth, similarity)
         sums = links.groupBy("k").agg(F.sum("links").alias("links"))
         labels = components(links)
         classes = reps.select("k", "copies", "first_id").join(sums, "k", "left").join(labels, "k", "left").withColumn("c", F.coalesce("c", "k"))

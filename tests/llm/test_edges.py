@@ -2,6 +2,8 @@
 
 import collections
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,28 @@ def test_near_pairs_at_the_threshold_beside_a_hot_group(spark):
     assert [i for i in range(300, len(texts)) if links[i] != [1]] == []
 
 
+def test_near_pair_that_meets_last_is_found_whatever_else_there_is(spark):
+    """One pair just over 0.80 that shares four hashes and no fifth; close copies beside it end nothing."""
+
+    def depth(a, b):
+        sets, _ = near.shingle_sets(pa.array([a, b]))
+        same = np.equal(*near.signatures(sets).reshape(2, near.TREES, near.DEPTH))
+        return int(np.cumprod(same, axis=1).sum(1).max())
+
+    def pair(seed):
+        own = words(20_000 + seed, 95)
+        other = own.split()
+        other[30] = other[60] = "changed"  # 81 of 101 shingles
+        return own, " ".join(other)
+
+    late = next(p for p in map(pair, range(5000)) if depth(*p) == 4)
+    close = words(30_000, 400).split()
+    beside = [" ".join(close), " ".join(close[:-1] + ["end"])]
+    for texts in (late, (*late, *beside)):
+        got = near.near_duplicates(frame(spark, rows(texts)).select("doc_id", "text"))
+        assert {r["doc_id"]: (r["n_links"], r["class_id"]) for r in got.collect()} == {i: (1, i - i % 2) for i in range(len(texts))}
+
+
 def test_near_depth_follows_the_threshold():
     assert [near.depth_for(s, 0.999) for s in (0.95, 0.8, 0.5)] == [6, 4, 1]
     with pytest.raises(ValueError):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .storage import write_verified as write_verified
 
 
 def read_strings(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
@@ -25,16 +26,6 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("error").json(path)
 
 
-def write_verified(df: DataFrame, path: str) -> int:
-    """Writes Parquet and reads it back; raises if rows or columns differ."""
-    df.write.mode("error").parquet(path)
-    back = df.sparkSession.read.parquet(path)
-    n, m = df.count(), back.count()
-    if n != m or back.columns != df.columns:
-        raise ValueError(f"{path} has {m} rows of {back.columns}; {n} of {df.columns} were written")
-    return n
-
-
 def feature_table(report: DataFrame, buckets: tuple[str, ...] = ("specialist_features", "moderate_features"), most_breadth: int | None = None) -> DataFrame:
     """(feat_idx, breadth, families, max_act) from an inspection report's buckets; the first bucket wins, dead features go."""
     parts = None

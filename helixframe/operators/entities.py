@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranking import cumulated
+from .selection import among_first, medians
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -93,8 +94,15 @@ def population_label(positive: Column, seen: Column) -> Column:
 
 
 def family_rollup(df: DataFrame, family: str, score: str, value: str, example: str) -> DataFrame:
-    """For each family: rows, highest and median score, highest value, and the id of the highest score."""
-    return df.groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.max(score).alias("max_p"), F.median(score).alias("median_p"), F.max(value).alias("max_value"), F.min_by(example, F.struct(-F.col(score), F.col(example))).alias("example"))
+    """For each family: rows, highest and median score, highest value, and the id of the highest score.
+
+    The median is selected by counts over ranges, so that no task holds a
+    family's scores; it is null in a family without scores.
+    """
+    best = F.min_by(example, F.when(F.col(score).isNotNull(), F.struct(-F.col(score), F.col(example))))  # a null would come before all scores
+    sums = df.groupBy(family).agg(F.count(F.lit(1)).alias("n"), F.max(score).alias("max_p"), F.max(value).alias("max_value"), best.alias("example"))
+    middle = medians(df, [family], score, "median_p").withColumnRenamed(family, "_family")
+    return sums.join(middle, F.col(family).eqNullSafe(F.col("_family")), "left").select(family, "n", "max_p", "median_p", "max_value", "example")
 
 
 def wide_consensus(df: DataFrame, key: str, model: str, score: str, models: list[str]) -> DataFrame:
@@ -113,11 +121,17 @@ def mean_maps(maps: DataFrame, gene: str = "gene", model: str = "model", positio
 
 
 def stratified_split(df: DataFrame, group: str, order: list[str | Column], share: float = 0.25) -> DataFrame:
-    """Adds ``test``: in each group the first max(1, round(share n)) rows of the order; groups of one are all train."""
-    w = Window.partitionBy(group)
-    counted = df.withColumns({"_n": F.count(F.lit(1)).over(w), "_rn": F.row_number().over(w.orderBy(*order))})
+    """Adds ``test``: in each group the first max(1, round(share n)) rows of the order, which leaves no ties; groups of one are all train."""
     size = F.when(F.col("_n") > 1, F.greatest(F.lit(1), F.bround(F.col("_n") * share).cast("bigint"))).otherwise(0)
-    return counted.withColumn("test", F.col("_rn") <= size).drop("_n", "_rn")
+    takes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).select(group, size.alias("_take"))
+    return among_first(df, [group], order, takes, "test")
+
+
+def tail_split(df: DataFrame, order: list[str | Column], share: float = 0.05, by: list[str] | None = None) -> DataFrame:
+    """Adds ``tail``: the last floor(share n) rows of the order, which leaves no ties, within ``by`` or of all."""
+    sizes = df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("_n"))
+    takes = sizes.select(*(by or []), (F.col("_n") - F.floor(F.col("_n") * share)).alias("_take"))
+    return among_first(df, by or [], order, takes, "_head").withColumn("tail", ~F.col("_head")).drop("_head")
 
 
 def _greedy(sizes: list[tuple[int, int]], folds: int) -> list[tuple]:

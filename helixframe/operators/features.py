@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import among_first
 
 def exploded(vectors: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
     """One row for each key and dimension: (keys..., feat, x)."""
@@ -81,11 +82,14 @@ def top_activations(acts: DataFrame, k: int = 8, feature: str = "feat", value: s
 
 
 def batch_top(acts: DataFrame, batch: str, k: int, rows: str, value: str = "x", ties: list[str] | None = None) -> DataFrame:
-    """The largest activations of each whole batch, k times its number of rows; zeros are dropped."""
-    sizes = acts.groupBy(batch).agg(F.count_distinct(rows).alias("_b"))
-    order = Window.partitionBy(batch).orderBy(F.desc(F.greatest(F.col(value), F.lit(0.0))), *(ties or []))
-    kept = acts.withColumn("_rn", F.row_number().over(order)).join(sizes, batch).where((F.col("_rn") <= F.col("_b") * k) & (F.col(value) > 0))
-    return kept.drop("_rn", "_b")
+    """The largest activations of each whole batch, k times its number of rows; zeros are dropped.
+
+    Ties are told apart by ``ties``, which leave none. A batch of any size is
+    selected from by counts (selection.among_first), not sorted.
+    """
+    takes = acts.groupBy(batch).agg((F.count_distinct(rows) * k).alias("_take"))
+    kept = among_first(acts.where(F.col(value) > 0), [batch], [-F.col(value), *(ties or [])], takes, "_top")
+    return kept.where("_top").drop("_top")
 
 
 def pooled(acts: DataFrame, entity: list[str], feature: str = "feat", value: str = "x") -> DataFrame:

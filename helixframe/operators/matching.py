@@ -6,16 +6,67 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def jaccard_pairs(a: DataFrame, b: DataFrame, least: int = 2, most: int = 9, feature: str = "feat", family: str = "label") -> DataFrame:
+def _sets(p: DataFrame, least: int, most: int, feature: str, family: str) -> DataFrame:
+    """(f, fams, n): each feature's set of families, if it has ``least`` to ``most``; a set is that short by the band."""
+    counted = p.select(F.col(feature).alias("f"), F.col(family).alias("family")).where("family IS NOT NULL").distinct()
+    # A feature of too many families is left out before its set is put together.
+    upto = counted.withColumn("_rn", F.row_number().over(Window.partitionBy("f").orderBy("family"))).where(F.col("_rn") <= most + 1)
+    return upto.groupBy("f").agg(F.collect_list("family").alias("fams"), F.count(F.lit(1)).cast("int").alias("n")).where(F.col("n").between(least, most))
+
+
+def _ordered(a: DataFrame, b: DataFrame) -> list[DataFrame]:
+    """Both sides' sets with their families from the rarest to the most frequent one."""
+    counts = a.select(F.explode("fams").alias("family")).unionByName(b.select(F.explode("fams").alias("family"))).groupBy("family").agg(F.count(F.lit(1)).alias("often"))
+
+    def side(x: DataFrame) -> DataFrame:
+        rows = x.select("f", "n", F.explode("fams").alias("family")).join(counts, "family")
+        return rows.groupBy("f", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("often", "family"))), lambda s: s["family"]).alias("fams"))
+
+    return [side(a), side(b)]
+
+
+def _candidates(a: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
+    """(fa, fb, na, nb, ga, gb): the pairs of sets that may be so similar, each once.
+
+    Sets of na and nb families that are similar enough share o at least, where
+    o is the least whole number of similarity / (1 + similarity) x (na + nb).
+    So of each set's families, from the rarest on, the first n - o + 1 hold a
+    shared one. Prefixes meet by (family, na, nb), for the sizes that can match
+    at all; a family that every set has comes last in all of them, and meets
+    nowhere while o is over 1. A pair counts at its first shared family only.
+    """
+    most = lambda n: F.floor(n / similarity + 1e-9).cast("int")
+    least = lambda n: F.ceil(n * similarity - 1e-9).cast("int")
+
+    def side(x: DataFrame, own: str, other: str, f: str, g: str) -> DataFrame:
+        sized = x.select(F.col("f").alias(f), F.col("fams").alias(g), F.col("n").alias(own)).withColumn(other, F.explode(F.sequence(least(F.col(own)), most(F.col(own)))))
+        overlap = F.greatest(F.lit(1), F.ceil((F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - 1e-9)).cast("int")
+        return sized.withColumn("family", F.explode(F.slice(F.col(g), F.lit(1), F.greatest(F.lit(0), F.col(own) - overlap + 1))))
+
+    met = side(a, "na", "nb", "fa", "ga").join(side(b, "nb", "na", "fb", "gb"), ["family", "na", "nb"])
+    return met.where(F.get(F.array_intersect("ga", "gb"), F.lit(0)) == F.col("family")).drop("family")
+
+
+def jaccard_pairs(a: DataFrame, b: DataFrame, least: int = 2, most: int = 9, feature: str = "feat", family: str = "label", similarity: float | None = None) -> DataFrame:
     """(fa, fb, shared, na, nb, jaccard) of features that have ``least`` to ``most`` families and share one.
 
     The band is applied before the join, so a family's features bound its
-    pairs; sets that share nothing make no row.
+    pairs; sets that share nothing make no row. With a ``similarity`` only
+    pairs of that Jaccard index or more are returned, and only those are
+    joined that a size and prefix filter leaves (_candidates), so a family of
+    all features makes no quadratic join. Null families do not count.
     """
+    if similarity is not None:
+        if not 0 < similarity <= 1:
+            raise ValueError("a similarity is over 0, and 1 at most")
+        met = _candidates(*_ordered(*(_sets(p, least, most, feature, family) for p in (a, b))), similarity)
+        shared = F.size(F.array_intersect("ga", "gb"))
+        found = met.select("fa", "fb", F.col("na").cast("long").alias("na"), F.col("nb").cast("long").alias("nb"), shared.cast("long").alias("shared"))
+        return found.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") >= similarity - 1e-9)
 
     def banded(p: DataFrame, f: str, n: str) -> DataFrame:
         size = F.count(F.lit(1)).over(Window.partitionBy(feature))
-        return p.select(feature, family).distinct().withColumn(n, size).where(F.col(n).between(least, most)).withColumnRenamed(feature, f)
+        return p.select(feature, family).where(F.col(family).isNotNull()).distinct().withColumn(n, size).where(F.col(n).between(least, most)).withColumnRenamed(feature, f)
 
     both = banded(a, "fa", "na").join(banded(b, "fb", "nb"), family)
     pairs = both.groupBy("fa", "fb", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
@@ -23,10 +74,27 @@ def jaccard_pairs(a: DataFrame, b: DataFrame, least: int = 2, most: int = 9, fea
 
 
 def reciprocal_best(pairs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Pairs that are each other's best, ties to the lower feature, at ``least`` or more."""
-    ra = F.row_number().over(Window.partitionBy("fa").orderBy(F.desc("jaccard"), "fb"))
-    rb = F.row_number().over(Window.partitionBy("fb").orderBy(F.desc("jaccard"), "fa"))
-    return pairs.withColumns({"_ra": ra, "_rb": rb}).where((F.col("_ra") == 1) & (F.col("_rb") == 1) & (F.col("jaccard") >= least)).drop("_ra", "_rb")
+    """Pairs that are each other's best, ties to the lower feature, at ``least`` or more.
+
+    Each side's best is a minimum that tasks find before they shuffle.
+    """
+    near = pairs.where(F.col("jaccard") >= least)  # a better partner of such a pair is one itself
+    best = lambda own, other: near.groupBy(own).agg(F.min(F.struct(-F.col("jaccard"), other)).alias("x")).select(own, F.col(f"x.{other}").alias(other))
+    return near.join(best("fa", "fb"), ["fa", "fb"], "left_semi").join(best("fb", "fa"), ["fa", "fb"], "left_semi").select(*pairs.columns)
+
+
+def mutual_best(a: DataFrame, b: DataFrame, least: int = 2, most: int = 9, feature: str = "feat", family: str = "label", similarity: float = 0.5) -> DataFrame:
+    """reciprocal_best() of two sides' features, by the prefix filter.
+
+    Of features with equal sets the lowest stands for all: a partner prefers
+    it to the others, so none of them can be in a mutual pair.
+    """
+
+    def lowest(p: DataFrame) -> DataFrame:
+        sets = _sets(p, least, most, feature, family).withColumn("fams", F.array_sort("fams"))
+        return sets.groupBy("fams").agg(F.min("f").alias(feature)).select(feature, F.explode("fams").alias(family))
+
+    return reciprocal_best(jaccard_pairs(lowest(a), lowest(b), least, most, feature, family, similarity), similarity)
 
 
 def shared_vocabulary(a: DataFrame, b: DataFrame, family: str = "label") -> tuple[DataFrame, DataFrame]:

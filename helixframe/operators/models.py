@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
 from .ranking import mann_whitney
 
 
@@ -51,6 +53,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width).astype(np.float64)
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as a list column, without an object for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(x).ravel()))
+
+
 def encoded(df: DataFrame, keys: list[str], vector: str, model: Autoencoder) -> DataFrame:
     """(keys..., features): one matrix product for each Arrow batch; the weights, of fixed size, are sent once."""
     sent = df.sparkSession.sparkContext.broadcast(model)
@@ -59,7 +66,7 @@ def encoded(df: DataFrame, keys: list[str], vector: str, model: Autoencoder) ->
         m = sent.value
         for batch in batches:
             x = _matrix(batch.column(len(keys)), m.encoder.shape[0])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(m.encode(x)), pa.list_(pa.float64()))], [*keys, "features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(m.encode(x))], [*keys, "features"])
 
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     return df.select(*keys, vector).mapInArrow(run, f"{fields}, features array<double>")
@@ -73,7 +80,7 @@ def decoded(df: DataFrame, keys: list[str], features: str, model: Autoencoder) -
         m = sent.value
         for batch in batches:
             h = _matrix(batch.column(len(keys)), m.decoder.shape[0])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(m.decode(h)), pa.list_(pa.float64()))], [*keys, "vector"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _lists(m.decode(h))], [*keys, "vector"])
 
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     return df.select(*keys, features).mapInArrow(run, f"{fields}, vector array<double>")
@@ -90,60 +97,108 @@ def worst_rows(df: DataFrame, vector: str, predicted: str, features: int, most:
 
 @dataclass(frozen=True)
 class Geometry:
-    """Spectra of the total scatter, of the class means in its basis, and what they sum up to."""
+    """Spectra of the total scatter, of the class means in its basis, and what they sum up to.
+
+    Where only the leading components were found, ``total`` and
+    ``class_total`` are the traces of all.
+    """
 
     variance: np.ndarray
-    class_mass: np.ndarray
-    eta: float
+    between: np.ndarray  # the class scatter in the basis of the components
+    total: float
+    class_total: float
+    width: int
+
+    @property
+    def class_mass(self) -> np.ndarray:
+        """What each component has of the class scatter."""
+        return np.diag(self.between).copy()
+
+    @property
+    def eta(self) -> float:
+        return self.class_total / self.total if self.total > 0 else 0.0
 
     def reach(self, share: float, of_class: bool = False) -> int:
-        """Components needed for a share of the sum."""
-        x = self.class_mass if of_class else self.variance
-        total = x.sum()
+        """Components needed for a share of the sum; all of them if those at hand do not reach it."""
+        x, total = (self.class_mass, self.class_total) if of_class else (self.variance, self.total)
         if total <= 0:
-            return len(x)
-        return min(int(np.searchsorted(np.cumsum(x), share * total - 1e-12)) + 1, len(x))
+            return self.width
+        found = int(np.searchsorted(np.cumsum(x), share * total * (1 - 1e-12))) + 1
+        return found if found <= len(x) else self.width
 
     def top_share(self, n: int) -> float:
-        total = self.variance.sum()
-        return float(self.variance[:n].sum() / total) if total > 0 else 0.0
+        return float(self.variance[:n].sum() / self.total) if self.total > 0 else 0.0
 
     def whitened(self, floor: float = 1e-3) -> np.ndarray:
-        """Class mass of each component over its variance; components below ``floor`` of the mean variance are left out."""
-        keep = self.variance > floor * self.variance.mean()
-        return np.sort(self.class_mass[keep] / self.variance[keep])[::-1]
+        """The spectrum of the class scatter after each component is scaled to variance 1; those at or below ``floor`` of the mean variance are dropped."""
+        keep = self.variance > floor * self.total / self.width
+        scale = 1 / np.sqrt(self.variance[keep])
+        return np.maximum(np.sort(np.linalg.eigvalsh(self.between[np.ix_(keep, keep)] * np.outer(scale, scale)))[::-1], 0)
 
 
-def class_geometry(df: DataFrame, vector: str, label: str) -> Geometry:
-    """Scatter of vectors and of their class means.
+#: Up to this width the scatter itself is summed and taken apart; beyond, its leading components are found in blocks of vectors.
+EXACT_WIDTH = 768
+#: Further directions that the range finder carries, and its rounds over the rows.
+SPARE, ROUNDS = 16, 3
+
 
-    The executors sum second moments by matrix products of Arrow batches and
-    merge them entry by entry, so the driver gets d^2 numbers and one mean for
-    each class; its part is the eigenvectors of a d x d matrix.
+def _summed(rows: DataFrame, width: int, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all rows' vectors x of part(x), which is a matrix for any number of rows.
+
+    A task adds up its batches and gives a row for each of the matrix's rows;
+    Spark adds these, and the driver gets the matrix.
     """
-    width = len(df.select(vector).first()[0])
 
     def run(batches):
-        total = np.zeros((width + 1, width + 1))
+        total = 0
         for batch in batches:
-            x = _matrix(batch.column(0), width)
-            x = np.concatenate((x, np.ones((len(x), 1))), 1)
-            total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "x"])
-
-    sums = df.select(vector).mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    flat = np.zeros((width + 1) ** 2)
-    flat[sums.column("i").to_numpy()] = sums.column("x").to_numpy()
-    moments = flat.reshape(width + 1, width + 1)
-    n, mean = moments[-1, -1], moments[:-1, -1] / moments[-1, -1]
-    scatter = moments[:-1, :-1] - n * np.outer(mean, mean)
-    classes = df.select(label, array_to_vector(F.col(vector)).alias("v")).groupBy(label).agg(Summarizer.mean(F.col("v")).alias("m"), F.count(F.lit(1)).alias("n")).select(vector_to_array("m").alias("m"), "n").collect()
-    weighted = np.stack([np.sqrt(r["n"]) * (np.array(r["m"]) - mean) for r in classes])
-    values, basis = np.linalg.eigh(scatter)
-    order = np.argsort(-values)
-    mass = ((weighted @ basis[:, order]) ** 2).sum(0)
-    spectrum = np.maximum(values[order], 0)
-    return Geometry(spectrum, mass, float((weighted**2).sum() / max(np.trace(scatter), 1e-300)))
+            total = total + part(_matrix(batch.column(0), width))
+        if np.ndim(total):
+            yield pa.record_batch([pa.array(np.arange(len(total), dtype=np.int32)), _lists(total)], ["i", "x"])
+
+    sums = rows.mapInArrow(run, "i int, x array<double>").groupBy("i").agg(Summarizer.sum(array_to_vector("x")).alias("x")).orderBy("i").select(vector_to_array("x").alias("x")).toArrow()
+    return np.stack(sums.column("x").to_numpy()) if sums.num_rows else np.zeros((0, 0))
+
+
+def class_geometry(df: DataFrame, vector: str, label: str, components: int | None = None) -> Geometry:
+    """Scatter of vectors and of their class means.
+
+    Sums of products of centred rows are made by tasks and added up in Spark.
+    The driver gets d x d numbers at most and takes their eigenvectors; these
+    are sent back, and the class means, which stay distributed whatever their
+    number, are summed in their basis. With ``components``, or beyond a width
+    of EXACT_WIDTH (then 64), the leading components are found by a blocked
+    random range finder: a few rounds multiply the scatter with as many
+    directions as are asked for and some more, so the driver gets that many
+    times d numbers. Null vectors and labels take no part.
+    """
+    rows = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(F.col(vector).cast("array<double>").alias("x"), F.col(label).alias("y"))
+    if rows.isEmpty():
+        return Geometry(np.zeros(0), np.zeros((0, 0)), 0.0, 0.0, 0)
+    v = array_to_vector("x")
+    whole = rows.agg(Summarizer.mean(v).alias("m"), Summarizer.variance(v).alias("v"), F.count(F.lit(1)).alias("n")).first()
+    mean, width = whole["m"].toArray(), len(whole["m"])
+    total = float(whole["v"].toArray().sum() * (whole["n"] - 1))
+    if components is None and width > EXACT_WIDTH:
+        components = 64
+    x = rows.select("x")
+    if components is None or components + SPARE >= width:
+        values, basis = np.linalg.eigh(_summed(x, width, lambda a: (a - mean).T @ (a - mean)))
+    else:
+        directions = np.random.default_rng(0).standard_normal((width, components + SPARE))
+        for _ in range(ROUNDS):
+            directions, _ = np.linalg.qr(directions)
+            directions = _summed(x, width, lambda a, d=directions: (a - mean).T @ ((a - mean) @ d))
+        directions, _ = np.linalg.qr(directions)
+        values, turned = np.linalg.eigh(_summed(x, width, lambda a: ((a - mean) @ directions).T @ ((a - mean) @ directions)))
+        basis = directions @ turned
+    order = np.argsort(-values)[:components]
+    basis = basis[:, order]
+    means = rows.groupBy("y").agg(Summarizer.mean(v).alias("m"), F.count(F.lit(1)).alias("n"))
+    weighted = means.select(F.transform(F.zip_with(vector_to_array("m"), F.lit([float(a) for a in mean]), lambda a, b: a - b), lambda a: a * F.sqrt("n")).alias("x"))
+    # One more column and row for the class means' whole length.
+    between = _summed(weighted, width, lambda a: np.pad((a @ basis).T @ (a @ basis), (0, 1)) + np.pad([[(a * a).sum()]], (basis.shape[1], 0)))
+    return Geometry(np.maximum(values[order], 0), between[:-1, :-1], total, float(between[-1, -1]), width)
 
 
 def _standardized(train: DataFrame, test: DataFrame, features: str) -> tuple[DataFrame, DataFrame]:
@@ -168,7 +223,7 @@ def balanced_logistic(train: DataFrame, features: str, label: str, strength: flo
 
 def out_of_fold(df: DataFrame, features: str, label: str, fold: str = "fold", folds: int = 5) -> DataFrame:
     """``df`` with each row's probability under the model of the other folds; folds whose training rows are of one class are left out."""
-    df = df.persist()  # read several times in each fold; lost parts are made again
+    df = written(df)  # read several times in each fold
     out = None
     for i in range(folds):
         train, test = df.where(F.col(fold) != i), df.where(F.col(fold) == i)

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import order_statistics
+
 #: Ranges into which a global order is cut.
 RANGES = 64
 
@@ -171,12 +173,12 @@ def scaled(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 
 def quantile_cut(df: DataFrame, value: str, by: list[str], share: float) -> DataFrame:
-    """Rows at or below the value that stands at max(0, floor(share n) - 1) in each group's order."""
-    order = Window.partitionBy(*by).orderBy(value)
-    placed = df.withColumns({"_rn": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
-    at = F.greatest(F.lit(1), F.floor(F.col("_n") * share))
-    cut = F.max(F.when(F.col("_rn") == at, F.col(value))).over(Window.partitionBy(*by))
-    return placed.withColumn("cut", cut).where(F.col(value) <= F.col("cut")).drop("_rn", "_n")
+    """Rows at or below the value that stands at max(0, floor(share n) - 1) in each group's order, and that value as ``cut``."""
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    wanted = sizes.withColumn("_place", F.greatest(F.lit(0), F.floor(F.col("_n") * share) - 1))
+    cuts = order_statistics(df, by, value, wanted).select(*(F.col(k).alias(f"_k_{k}") for k in by), F.col("_value").alias("cut"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by))
+    return df.join(cuts, same).where(F.col(value) <= F.col("cut")).drop(*(f"_k_{k}" for k in by))
 
 
 def cumulative_threshold(df: DataFrame, order: str, value: str, by: list[str], share: float) -> DataFrame:

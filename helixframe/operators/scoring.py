@@ -9,11 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.sequence import distance
 
@@ -100,19 +98,25 @@ def control(members: DataFrame, least: float = 0.5, pass_rate: float = 0.6) -> D
     return members.agg(F.count(F.lit(1)).alias("n"), F.avg(ok.cast("double")).alias("rate")).withColumn("passed", F.col("rate") >= pass_rate)
 
 
-def pair_table(structure: str) -> list[int]:
-    """Partners of a dot-bracket string's places, from 1, 0 for none; unmatched brackets pair with none."""
-    table, waiting = [0] * (len(structure) + 1), []
-    for at, sign in enumerate(structure, 1):
-        if sign in "([{<":
-            waiting.append(at)
-        elif sign in ")]}>" and waiting:
-            other = waiting.pop()
-            table[at], table[other] = other, at
-    return table
+def pairs(df: DataFrame, keys: list[str], structure: str) -> DataFrame:
+    """(keys..., at, partner) for each place of a dot-bracket string, from 1; 0 for none. ``keys`` tell rows apart.
 
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def pairs(structures: pd.Series) -> pd.Series:
-    """pair_table() of a column; a stack has no counterpart among SQL functions."""
-    return structures.map(pair_table, na_action="ignore")
+    A closing bracket of any kind pairs with the last open one, and with none
+    if none is open. The depth is a running sum of steps up and down, less the
+    least sum so far, as closing brackets without an open one do not count.
+    Among the places of one depth, opening and closing ones take turns, so
+    neighbours are partners. Null and empty strings have no places.
+    """
+    order = Window.partitionBy(*keys).orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sign = F.col("_sign")
+    step = F.when(sign.isin(*"([{<"), 1).when(sign.isin(*")]}>"), -1).otherwise(0)
+    signs = df.select(*keys, F.posexplode(F.split(F.col(structure), "")).alias("_p", "_sign")).where(sign != "")
+    sums = signs.select(*keys, (F.col("_p") + 1).cast("bigint").alias("at"), step.alias("_step")).withColumn("_sum", F.sum("_step").over(upto))
+    floor = F.least(F.lit(0), F.min("_sum").over(upto))
+    before = F.coalesce(F.lag("_floor").over(order), F.lit(0))
+    floors = sums.withColumn("_floor", floor).withColumn("_unmatched", (F.col("_step") < 0) & (F.col("_floor") < before))
+    level = F.when((F.col("_step") != 0) & ~F.col("_unmatched"), F.col("_sum") - F.col("_floor") + F.when(F.col("_step") < 0, 1).otherwise(0))
+    turns = Window.partitionBy(*keys, "_level").orderBy("at")
+    partner = F.when(F.col("_level").isNotNull(), F.when(F.col("_step") > 0, F.lead("at").over(turns)).otherwise(F.lag("at").over(turns)))
+    return floors.withColumn("_level", level).select(*keys, "at", F.coalesce(partner, F.lit(0)).alias("partner"))

@@ -129,7 +129,7 @@ _add(
 )
 _add(
     "structure_pairs",
-    lambda s, d: table(s, d, "part").select("p_partkey", F.concat(F.lit("]"), F.repeat(F.lit("("), F.col("p_size")), F.repeat(F.lit("."), F.col("p_size") % 7), F.repeat(F.lit(")"), F.col("p_size")), F.lit("[")).alias("db")).select("p_partkey", F.posexplode(scoring.pairs("db")).alias("at", "partner")).where("at > 0").select("p_partkey", F.col("at").cast("bigint").alias("at"), F.col("partner").cast("bigint").alias("partner")),
+    lambda s, d: scoring.pairs(table(s, d, "part").select("p_partkey", F.concat(F.lit("]"), F.repeat(F.lit("("), F.col("p_size")), F.repeat(F.lit("."), F.col("p_size") % 7), F.repeat(F.lit(")"), F.col("p_size")), F.lit("[")).alias("db")), ["p_partkey"], "db"),
     """WITH t AS (SELECT p_partkey, p_size::BIGINT AS n, p_size::BIGINT % 7 AS m FROM part) SELECT p_partkey, i AS at, CASE WHEN i BETWEEN 2 AND n + 1 OR i BETWEEN n + m + 2 AND 2 * n + m + 1 THEN 2 * n + m + 3 - i ELSE 0 END AS partner FROM t, unnest(range(1, 2 * n + m + 3)) AS u(i)""",
 )
 

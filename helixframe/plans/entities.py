@@ -148,9 +148,8 @@ _add(
 
 def tail_split(spark, sf_dir):
     """The last twentieth of each label's vectors in key order is for evaluation."""
-    w = Window.partitionBy("label")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label").withColumns({"rn": F.row_number().over(w.orderBy("vec_id")), "n": F.count(F.lit(1)).over(w)})
-    return rows.select("vec_id", "label", (F.col("rn") > F.col("n") - F.floor(F.col("n") * 0.05)).alias("evaluation"))
+    rows = entities.tail_split(table(spark, sf_dir, "embeddings").select("vec_id", "label"), ["vec_id"], by=["label"])
+    return rows.withColumnRenamed("tail", "evaluation")
 
 
 _add("tail_split", tail_split, "SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) > count(*) OVER (PARTITION BY label) - floor(count(*) OVER (PARTITION BY label) * 0.05::DOUBLE) AS evaluation FROM embeddings")

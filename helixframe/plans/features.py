@@ -139,6 +139,15 @@ def pca_geometry(spark, sf_dir):
 _add("pca_geometry", pca_geometry, None)
 
 
+def whitened_spectrum(spark, sf_dir):
+    """Spectrum of the class means after each component of the scatter is scaled to variance 1."""
+    spectrum = models.class_geometry(table(spark, sf_dir, "embeddings"), "embedding", "label").whitened()
+    return spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(spectrum)], "direction int, class_variance double").select("direction", *r6("class_variance"))
+
+
+_add("whitened_spectrum", whitened_spectrum, None)
+
+
 def stub_scorer(sequences: list[str]) -> list[list[float]]:
     """Stands in for a model: shares of letters, weighted by place."""
     return [[sum((k + 1) / len(s) for k, c in enumerate(s) if c == b) for b in "ACGU"] for s in sequences]

@@ -32,7 +32,28 @@ PAIRS = f"""{PRESENCE}, n AS (SELECT *, count(*) OVER (PARTITION BY feat) AS n F
   WHERE a.feat < 32 AND b.feat >= 32 AND a.n BETWEEN 2 AND 10 AND b.n BETWEEN 2 AND 10 GROUP BY a.feat, b.feat, a.n, b.n)"""
 _add("jaccard_pairs", lambda s, d: _pairs(s, d).select("fa", "fb", "na", "nb", "shared", *r6("jaccard")), f"WITH {PAIRS} SELECT fa, fb, na, nb, shared, round(jaccard, 6) AS jaccard FROM j")
 BEST = f"""{PAIRS}, best AS (SELECT *, row_number() OVER (PARTITION BY fa ORDER BY jaccard DESC, fb) AS ra, row_number() OVER (PARTITION BY fb ORDER BY jaccard DESC, fa) AS rb FROM j), mutual AS (SELECT * FROM best WHERE ra = 1 AND rb = 1 AND jaccard >= 0.5)"""
-_add("reciprocal_best", lambda s, d: matching.reciprocal_best(_pairs(s, d)).select("fa", "fb", *r6("jaccard")), f"WITH {BEST} SELECT fa, fb, round(jaccard, 6) AS jaccard FROM mutual")
+_add("reciprocal_best", lambda s, d: matching.mutual_best(*_halves(s, d), most=10).select("fa", "fb", *r6("jaccard")), f"WITH {BEST} SELECT fa, fb, round(jaccard, 6) AS jaccard FROM mutual")
+
+
+def _orders(spark, sf_dir, flag):
+    """Orders as features and suppliers of their returned, or else of their unreturned lines as families."""
+    return table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).select(F.col("l_orderkey").alias("feat"), F.col("l_suppkey").alias("label"))
+
+
+SUPPLIED = """o AS (SELECT DISTINCT l_returnflag AS flag, l_orderkey AS f, l_suppkey AS fam FROM lineitem), z AS (SELECT *, count(*) OVER (PARTITION BY flag, f) AS n FROM o),
+  j AS (SELECT a.f AS fa, b.f AS fb, a.n AS na, b.n AS nb, count(*) AS shared, count(*) / (a.n + b.n - count(*)) AS jaccard FROM z a JOIN z b USING (fam)
+  WHERE a.flag = 'R' AND b.flag = 'N' AND a.n BETWEEN 2 AND 9 AND b.n BETWEEN 2 AND 9 GROUP BY a.f, b.f, a.n, b.n HAVING count(*) >= 0.5 * (a.n + b.n - count(*)))"""
+_add(
+    "jaccard_similar",
+    lambda s, d: matching.jaccard_pairs(_orders(s, d, "R"), _orders(s, d, "N"), similarity=0.5).select("fa", "fb", "na", "nb", "shared", *r6("jaccard")),
+    f"WITH {SUPPLIED} SELECT fa, fb, na, nb, shared, round(jaccard, 6) AS jaccard FROM j",
+)
+_add(
+    "mutual_best",
+    lambda s, d: matching.mutual_best(_orders(s, d, "R"), _orders(s, d, "N")).select("fa", "fb", *r6("jaccard")),
+    f"""WITH {SUPPLIED}, best AS (SELECT *, row_number() OVER (PARTITION BY fa ORDER BY jaccard DESC, fb) AS ra, row_number() OVER (PARTITION BY fb ORDER BY jaccard DESC, fa) AS rb FROM j)
+    SELECT fa, fb, round(jaccard, 6) AS jaccard FROM best WHERE ra = 1 AND rb = 1""",
+)
 
 
 def shared_vocabulary(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import entities, ranking
+from ..operators import entities, intervals, ranking
 from .common import POS, Query, positions, r6, table, tail_sql
 
 QUERIES: dict[str, Query] = {}
@@ -148,3 +148,22 @@ _add(
     lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", entities.population_label(F.col("l_returnflag") == "R", F.col("l_discount") > 0.05).alias("y")).where("y IS NOT NULL"),
     "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END::BIGINT AS y FROM lineitem WHERE (l_returnflag = 'R') <> (l_discount > 0.05)",
 )
+
+
+def interval_membership(spark, sf_dir):
+    """Discounts of lines inside and outside of overlapping price bands, a band for each part and as wide as its size says."""
+    bands = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") * F.pmod(F.col("p_partkey"), F.lit(97)) + 1).alias("lo"), F.pow(F.lit(1.25), F.col("p_size") - 10).alias("width"))
+    points = table(spark, sf_dir, "lineitem").select("l_extendedprice", "l_discount")
+    found = intervals.inside_outside(points, bands.withColumn("hi", F.col("lo") + F.col("width")), "l_extendedprice", "l_discount", "p_partkey", "lo", "hi")
+    return found.select("p_partkey", "n_in", *r6("mean_in"), "n_out", *r6("mean_out", "ratio"))
+
+
+_add(
+    "interval_membership",
+    interval_membership,
+    """WITH b AS (SELECT p_partkey, p_retailprice * (p_partkey % 97) + 1 AS lo, pow(1.25::DOUBLE, p_size - 10) AS width FROM part),
+    i AS (SELECT p_partkey, count(*) AS n_in, sum(l_discount) AS s FROM b JOIN lineitem ON l_extendedprice >= lo AND l_extendedprice < lo + width GROUP BY p_partkey),
+    w AS (SELECT count(*) AS n, sum(l_discount) AS t FROM lineitem),
+    m AS (SELECT p_partkey, coalesce(n_in, 0) AS n_in, s / n_in AS mean_in, n - coalesce(n_in, 0) AS n_out, (t - coalesce(s, 0)) / nullif(n - coalesce(n_in, 0), 0) AS mean_out FROM part LEFT JOIN i USING (p_partkey), w)
+    SELECT p_partkey, n_in, round(mean_in, 6) AS mean_in, n_out, round(mean_out, 6) AS mean_out, round(CASE WHEN mean_out > 0 THEN mean_in / mean_out END, 6) AS ratio FROM m""",
+)

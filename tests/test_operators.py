@@ -166,3 +166,26 @@ def test_geometry_matches_numpy(spark):
     between = sum((y == k).sum() * ((x[y == k].mean(0) - x.mean(0)) ** 2).sum() for k in range(3))
     assert g.eta == pytest.approx(between / (c**2).sum())
     assert g.reach(1.0) == 5 and len(g.whitened()) == 5
+    values, basis = np.linalg.eigh(c.T @ c)
+    means = np.stack([np.sqrt((y == k).sum()) * (x[y == k].mean(0) - x.mean(0)) for k in range(3)])
+    white = means @ (basis / np.sqrt(values))
+    assert np.allclose(g.whitened(), np.maximum(np.sort(np.linalg.eigvalsh(white.T @ white))[::-1], 0), atol=1e-9)
+    assert np.allclose(np.sort(g.class_mass), np.sort(((means @ basis) ** 2).sum(0)))
+
+
+def test_leading_components_of_wide_vectors(spark):
+    """The range finder against numpy on a spectrum that falls off, with many classes and rows that take no part."""
+    random = np.random.default_rng(3)
+    d, n = 60, 500
+    x, y = random.standard_normal((n, d)) * 0.8 ** np.arange(d) + 50, random.integers(0, 90, n)
+    rows = [([float(v) for v in row], int(c)) for row, c in zip(x, y, strict=True)] + [(None, 1), (x[0].tolist(), None)]
+    df = spark.createDataFrame(rows, "v array<double>, y int").repartition(3)
+    g = models.class_geometry(df, "v", "y", components=8)
+    c = x - x.mean(0)
+    values, basis = np.linalg.eigh(c.T @ c)
+    values, basis = values[::-1], basis[:, ::-1]
+    means = np.stack([np.sqrt((y == k).sum()) * (x[y == k].mean(0) - x.mean(0)) for k in np.unique(y)])
+    assert np.allclose(g.variance, values[:8], rtol=1e-6) and np.allclose(g.class_mass, ((means @ basis[:, :8]) ** 2).sum(0), rtol=1e-3)
+    assert g.total == pytest.approx(values.sum()) and g.class_total == pytest.approx((means**2).sum()) and g.width == d
+    assert g.top_share(8) == pytest.approx(values[:8].sum() / values.sum()) and g.reach(0.5) == int(np.searchsorted(np.cumsum(values), 0.5 * values.sum())) + 1
+    assert models.class_geometry(df.limit(0), "v", "y").width == 0

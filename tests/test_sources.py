@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,9 +79,24 @@ def test_detected_columns(spark):
     assert tables.usable_variants(df.withColumn("kind", F.lit("Deletion")), ["kind"]).count() == 0
 
 
-@pytest.mark.parametrize(("s", "want"), [("((..))", [0, 6, 5, 0, 0, 2, 1]), ("", [0]), ("(", [0, 0]), (")(", [0, 0, 0])])
-def test_pair_table(s, want):
-    assert scoring.pair_table(s) == want
+def test_bracket_pairs(spark):
+    """Against a stack, with nested, unmatched and mixed brackets."""
+    r = random.Random(7)
+    texts = ["((..))", "", "(", ")(", "([)]", "a<b>{c}", "))((", None, "(" * 300 + ")" * 300] + ["".join(r.choice("([{<)]}>..") for _ in range(r.randint(1, 60))) for _ in range(60)]
+
+    def partners(s):
+        table, waiting = [0] * len(s), []
+        for i, c in enumerate(s):
+            if c in "([{<":
+                waiting.append(i)
+            elif c in ")]}>" and waiting:
+                table[i], table[waiting[-1]] = waiting[-1] + 1, i + 1
+                waiting.pop()
+        return table
+
+    found = scoring.pairs(spark.createDataFrame(list(enumerate(texts)), "id int, db string"), ["id"], "db")
+    assert "Python" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == [(i, at, p) for i, t in enumerate(texts) for at, p in enumerate(partners(t or ""), 1)]
 
 
 def test_clean_edges(spark):

@@ -9,46 +9,53 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .selection import order_statistics
+from ..sources.storage import written
+from .selection import SENT, among_first, order_statistics, with_state
 
-#: Ranges into which a global order is cut.
-RANGES = 64
+#: Rows of a range, which a task may put in order.
+RANGE_ROWS = 1 << 18
 
 
-def cut_values(df: DataFrame, value: str, ranges: int = RANGES) -> list:
-    """Fewer than ``ranges`` of the distinct values, in order: of each hash bucket that of the least hash, so a fair sample of any type."""
-    picked = df.where(F.col(value).isNotNull()).groupBy(F.pmod(F.xxhash64(value), F.lit(ranges - 1)).alias("_b")).agg(F.min_by(value, F.xxhash64(value)).alias("_v"))
-    return sorted(r["_v"] for r in picked.collect())
+def _same(by: Sequence[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"{prefix}{k}")) for k in by))
 
 
-def cumulated(values: DataFrame, value: str, weights: list[str], by: Sequence[str] = (), cuts: list | None = None) -> DataFrame:
+def _cumulated(values: DataFrame, value: str, weights: Sequence[str], by: Sequence[str]) -> tuple[DataFrame, int]:
+    """cumulated(), and the number of its rows."""
+    held = written(values)
+    n = held.count()
+    upto = lambda *keys: Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    if n <= RANGE_ROWS:
+        return held.withColumns({f"before_{w}": F.coalesce(F.sum(w).over(upto(*by)), F.lit(0)) for w in weights}), n
+    dealt = written(held.repartitionByRange(-(-n // RANGE_ROWS), *by, value).withColumn("_range", F.spark_partition_id()))
+    keys = [*by, "_range"]
+    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each of a group's ranges
+    totals = dealt.groupBy(*keys).agg(*(F.sum(w).alias(f"_t_{w}") for w in weights))
+    first = written(totals.select(*keys, *(F.coalesce(F.sum(f"_t_{w}").over(ahead), F.lit(0)).alias(f"_o_{w}") for w in weights)))
+    summed = dealt.withColumns({f"before_{w}": F.coalesce(F.sum(w).over(upto(*keys)), F.lit(0)) for w in weights})
+    placed = with_state(summed, first, keys)
+    return placed.withColumns({f"before_{w}": F.col(f"before_{w}") + F.col(f"_o_{w}") for w in weights}).select(*values.columns, *(f"before_{w}" for w in weights)), n
+
+
+def cumulated(values: DataFrame, value: str, weights: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """``values`` (one row for each distinct value of a group) with ``before_<w>``: the sum of each weight over the group's smaller values.
 
-    No task sees more than a range of a group, however few groups there are:
-    sampled values cut the order into ranges, and what stands before a range is
-    added up from the ranges' sums, of which a group has RANGES at most.
+    The rows are written and counted. Beyond RANGE_ROWS they are dealt out to
+    ranges of (by, value), as many as there are times RANGE_ROWS rows; windows
+    run within the ranges, and what stands before a range is added up from the
+    ranges' sums. So a group of any size is spread over tasks that follow it.
     """
-    cuts = cut_values(values, value) if cuts is None else cuts
-    # One literal array: a comparison written out for each cut makes a method too long to be compiled.
-    placed = values.withColumn("_range", F.size(F.filter(F.lit(cuts), lambda c: c <= F.col(value))) if cuts else F.lit(0))
-    keys = [*by, "_range"]
-    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = placed.groupBy(*keys).agg(*(F.sum(w).alias(f"_t_{w}") for w in weights))
-    first = totals.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(F.coalesce(F.sum(f"_t_{w}").over(ahead), F.lit(0)).alias(f"_o_{w}") for w in weights))
-    within = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    summed = placed.withColumns({f"before_{w}": F.coalesce(F.sum(w).over(within), F.lit(0)) for w in weights})
-    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys))
-    joined = summed.join(first, same)
-    return joined.withColumns({f"before_{w}": F.col(f"before_{w}") + F.col(f"_o_{w}") for w in weights}).select(*values.columns, *(f"before_{w}" for w in weights))
+    return _cumulated(values, value, weights, by)[0]
 
 
 def _ranked(df: DataFrame, ranks_of: DataFrame, value: str, by: Sequence[str], name: str) -> DataFrame:
     """``df`` with the average rank that its value has in ``ranks_of``."""
-    held = ranks_of.where(F.col(value).isNotNull())
-    counts = held.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
-    ranked = cumulated(counts, value, ["_ties"], by, cut_values(held, value)).select(*(F.col(k).alias(f"_r_{k}") for k in (*by, value)), (F.col("before__ties") + (F.col("_ties") + 1) / 2).alias(name))
-    same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in by), F.col(value) == F.col(f"_r_{value}"))
-    return df.join(ranked, same, "left").drop(*(f"_r_{k}" for k in (*by, value)))
+    counts = ranks_of.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
+    placed, n = _cumulated(counts, value, ["_ties"], by)
+    ranked = placed.select(*(F.col(k).alias(f"_r_{k}") for k in (*by, value)), (F.col("before__ties") + (F.col("_ties") + 1) / 2).alias(name))
+    ranked = F.broadcast(ranked) if n <= SENT else ranked
+    same = F.col(value) == F.col(f"_r_{value}")
+    return df.join(ranked, _same(by, "_r_") & same if by else same, "left").drop(*(f"_r_{k}" for k in (*by, value)))
 
 
 def average_rank(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
@@ -68,7 +75,7 @@ def mann_whitney(df: DataFrame, score: str, positive: Column, by: list[str]) ->
     """
     held = df.where(F.col(score).isNotNull())
     values = held.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_c"), F.sum(F.when(positive, 1).otherwise(0)).alias("_p"))
-    ranked = cumulated(values, score, ["_c"], by, cut_values(held, score)).withColumn("_r", F.col("before__c") + (F.col("_c") + 1) / 2)
+    ranked = cumulated(values, score, ["_c"], by).withColumn("_r", F.col("before__c") + (F.col("_c") + 1) / 2)
     c = F.col("_c").cast("double")
     sums = ranked.groupBy(*by).agg(F.sum("_c").alias("n"), F.sum("_p").alias("n_pos"), F.sum(F.col("_r") * F.col("_p")).alias("_ranks"), F.sum(c * c * c - c).alias("ties"))
     sums = sums.withColumn("n_neg", F.col("n") - F.col("n_pos"))
@@ -127,11 +134,17 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def named_percentiles(scores: DataFrame, named: DataFrame, by: list[str], position: str = "pos", score: str = "score") -> DataFrame:
-    """Rank (highest first, earlier position on ties) and 1 - (rank - 1) / length of the named positions."""
-    order = Window.partitionBy(*by).orderBy(F.desc(score), position)
-    ranked = scores.withColumns({"rank": F.row_number().over(order).cast("bigint"), "_l": F.count(F.lit(1)).over(Window.partitionBy(*by))})
+    """Rank (highest first, earlier position on ties) and 1 - (rank - 1) / length of the named positions.
+
+    Positions are placed over ranges that follow the rows, so a group of any
+    length is spread over tasks.
+    """
+    rows = scores.select(*by, position, F.struct((-F.col(score)).alias("s"), F.col(position).alias("p")).alias("_order"), F.lit(1).alias("_one"))
+    ranked = cumulated(rows, "_order", ["_one"], by)
     found = ranked.join(named.select(*by, position).distinct(), [*by, position], "left_semi")
-    return found.select(*by, position, "rank", (1 - (F.col("rank") - 1) / F.col("_l")).alias("percentile"))
+    lengths = written(scores.groupBy(*by).agg(F.count(F.lit(1)).alias("_l")))
+    placed = with_state(found.withColumn("rank", F.col("before__one") + 1), lengths, by)
+    return placed.select(*by, position, "rank", (1 - (F.col("rank") - 1) / F.col("_l")).alias("percentile"))
 
 
 def top_positions(length: Column, share: float, rounded: bool) -> Column:
@@ -145,13 +158,14 @@ def region_enrichment(scores: DataFrame, regions: DataFrame, by: list[str], shar
     ``scores`` has pos and score, ``regions`` lo and hi; regions without a
     position inside or outside give no row.
     """
-    length = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), "pos")
-    marked = scores.withColumns({"_l": length, "_rn": F.row_number().over(order)}).join(regions, by).withColumn("_in", F.col("pos").between(F.col("lo"), F.col("hi")))
-    top = top_positions(F.col("_l"), share, rounded)
+    lengths = written(scores.groupBy(*by).agg(F.count(F.lit(1)).alias("_l")))
+    takes = lengths.select(*by, top_positions(F.col("_l"), share, rounded).alias("_take"))
+    placed = among_first(scores.select(*by, "pos", "score"), by, [-F.col("score"), "pos"], takes, "_first")
+    named = written(with_state(regions.select(*by, "lo", "hi"), lengths, by))
+    marked = with_state(placed, named, by).withColumn("_in", F.col("pos").between(F.col("lo"), F.col("hi")))
     grouped = marked.groupBy(*by, "lo", "hi").agg(
         F.avg(F.when(F.col("_in"), F.col("score"))).alias("mean_in"), F.avg(F.when(~F.col("_in"), F.col("score"))).alias("mean_out"),
-        F.avg(F.col("_in").cast("double")).alias("region_share"), F.max("_l").alias("_n"), F.sum(F.when(F.col("_in") & (F.col("_rn") <= top), 1).otherwise(0)).alias("_top"),
+        F.avg(F.col("_in").cast("double")).alias("region_share"), F.max("_l").alias("_n"), F.sum(F.when(F.col("_in") & F.col("_first"), 1).otherwise(0)).alias("_top"),
     )
     hit = F.col("_top") / top_positions(F.col("_n"), share, rounded)
     kept = grouped.where(F.col("mean_in").isNotNull() & F.col("mean_out").isNotNull())
@@ -182,7 +196,12 @@ def quantile_cut(df: DataFrame, value: str, by: list[str], share: float) -> Data
 
 
 def cumulative_threshold(df: DataFrame, order: str, value: str, by: list[str], share: float) -> DataFrame:
-    """The first place at which the running sum reaches a share of the total, for each group."""
-    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = df.withColumns({"_s": F.sum(value).over(upto), "_t": F.sum(value).over(Window.partitionBy(*by)), "_d": F.count(F.lit(1)).over(Window.partitionBy(*by)), "_r": F.row_number().over(upto)})
-    return run.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("_s") >= share * F.col("_t") - 1e-12, F.col("_r"))), F.max("_d")).cast("bigint").alias("reached"))
+    """The first place at which the running sum reaches a share of the total, for each group; the order leaves no ties.
+
+    Running sums are made over ranges that follow the rows (cumulated).
+    """
+    rows = df.select(*by, order, value, F.lit(1).alias("_one"))
+    totals = written(rows.groupBy(*by).agg(F.sum(value).alias("_t"), F.count(F.lit(1)).alias("_d")))
+    run = with_state(cumulated(rows, order, [value, "_one"], by), totals, by)
+    there = F.col(f"before_{value}") + F.coalesce(F.col(value), F.lit(0)) >= share * F.col("_t") - 1e-12
+    return run.groupBy(*by).agg(F.coalesce(F.min(F.when(there, F.col("before__one") + 1)), F.max("_d")).cast("bigint").alias("reached"))

@@ -19,10 +19,12 @@ SENT = 100_000
 _ALL = "_all"
 
 
-def _with_state(rows: DataFrame, state: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+def with_state(rows: DataFrame, state: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """``rows`` with the columns that ``state`` has besides the keys ``by``; nulls are keys too. ``state`` is a written table."""
     keyed = state.select(*(F.col(k).alias(f"_k_{k}") for k in by), *(c for c in state.columns if c not in by))
     keyed = F.broadcast(keyed) if keyed.count() <= SENT else keyed
+    if not by:
+        return rows.crossJoin(keyed)  # one row, as there are no keys
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by))
     return rows.join(keyed, same, how).drop(*(f"_k_{k}" for k in by))
 
@@ -34,12 +36,12 @@ def _narrowed(rows: DataFrame, state: DataFrame, by: Sequence[str]) -> tuple[Dat
     counted at each cut and between cuts, and the place lies in one of these.
     """
     keys = [*by, "_place"]
-    here = _with_state(rows, state, by).where(_inside())
+    here = with_state(rows, state, by).where(_inside())
     cuts = here.groupBy(*keys).agg(F.array_sort(F.array_distinct(F.percentile_approx("_v", [i / CUTS for i in range(1, CUTS)], ACCURACY))).alias("_cuts"))
     held = written(_matched(state, cuts, keys))
     below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     at_cut = F.coalesce(F.get("_cuts", below) == F.col("_v"), F.lit(False)).cast("int")
-    counts = _with_state(rows, held, by).where(_inside()).groupBy(*keys, (2 * below + at_cut).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
+    counts = with_state(rows, held, by).where(_inside()).groupBy(*keys, (2 * below + at_cut).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"))
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin"))  # two rows for each cut and one more at most
     reached = _matched(held, counts.withColumn("_upto", upto), keys).where(F.col("_before") + F.col("_upto") > F.col("_place"))
     bins = reached.groupBy(*keys).agg(F.min(F.struct("_bin", "_upto", "_c", "_before", "_cuts", "_lo", "_hi")).alias("_x")).select(*keys, "_x.*")
@@ -82,7 +84,7 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str | Column, want
     found = []
     while True:
         few = state.where(F.col("_n") <= LIMIT)
-        here = _with_state(rows, few, by).where(_inside())
+        here = with_state(rows, few, by).where(_inside())
         counts = here.groupBy(*keys, "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
         upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
         reached = counts.withColumn("_upto", upto).where(F.col("_upto") > F.col("_place"))
@@ -91,7 +93,7 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str | Column, want
         if large.isEmpty():
             return reduce(DataFrame.unionByName, found)
         if len(found) == 1:
-            rows = written(_with_state(rows, large.select(*by).distinct(), by))  # the large groups' values alone from here on
+            rows = written(with_state(rows, large.select(*by).distinct(), by))  # the large groups' values alone from here on
         done, state = _narrowed(rows, large, by)
         found.append(done)
 
@@ -126,7 +128,7 @@ def among_first(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     for i in range(len(parts) if not hot.isEmpty() else 0):
         # Among the rows that share the last row's values so far; where it has a null, the values' column has nothing to select.
         bounds = written(bounds)
-        tied = _with_state(named, bounds, by).where(reduce(lambda a, b: a & b, (F.col(f"_o{j}").eqNullSafe(F.col(f"_t{j}")) for j in range(i)), F.lit(True)))
+        tied = with_state(named, bounds, by).where(reduce(lambda a, b: a & b, (F.col(f"_o{j}").eqNullSafe(F.col(f"_t{j}")) for j in range(i)), F.lit(True)))
         many = tied.where(F.col(f"_o{i}").isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
         wanted = _matched(bounds.select(*by, (F.col("_left") - 1).alias("_place")), many, by)
         last = order_statistics(tied, by, f"_o{i}", wanted).select(*by, F.col("_value").alias(f"_t{i}"), F.col("_before").alias("_before"))
@@ -138,7 +140,7 @@ def among_first(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
         if c not in bounds.columns:
             bounds = bounds.withColumn(c, F.lit(None).cast(kind))
     told = written(sizes.join(bounds.select(*(F.col(k).alias(f"_k_{k}") for k in by), F.lit(True).alias("_hot"), *kinds), reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by)), "left").drop(*(f"_k_{k}" for k in by)))
-    rows = _with_state(named, told, by, "left")
+    rows = with_state(named, told, by, "left")
     upto, equal = F.lit(False), F.lit(True)
     for i in range(len(parts)):
         o, t = F.col(f"_o{i}"), F.col(f"_t{i}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import entities, intervals, ranking
+from ..operators.selection import medians
+from ..sources.storage import written
 from .common import POS, Query, positions, r6, table, tail_sql
 
 QUERIES: dict[str, Query] = {}
@@ -114,7 +116,9 @@ _add(
 def sign_test(spark, sf_dir):
     """Groups whose AUC is over one half, their median, and the chance of as many wins."""
     each = ranking.mann_whitney(positions(spark, sf_dir), "score", F.col("event_type") == "error", ["user_id"])
-    panel = each.agg(F.count("auc").alias("n"), F.count_if(F.col("auc") > 0.5).alias("wins"), F.median("auc").alias("median_auc"), F.count_if(F.abs("z") > 1.96).alias("significant"))
+    each = written(each.where("auc IS NOT NULL"))
+    panel = each.agg(F.count("auc").alias("n"), F.count_if(F.col("auc") > 0.5).alias("wins"), F.count_if(F.abs("z") > 1.96).alias("significant"))
+    panel = panel.withColumn("median_auc", F.lit(medians(each, [], "auc").agg(F.first("median")).first()[0]).cast("double"))
     return panel.select("n", "wins", "significant", F.round("median_auc", 6).alias("median_auc"), F.round(ranking.binomial_tail("wins", F.col("n").cast("int"), F.lit(0.5)), 6).alias("p"))
 
 

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BATCH_BYTES, crc_mod, cut, slices
@@ -18,7 +19,7 @@ from .hashing import Words, mix
 BITS = 20
 #: The model is fitted on at most so many labelled documents of each class, those of the lowest hashes of id.
 PER_CLASS = 3000
-#: Texts of more bytes are not among them; they are scored like all others.
+#: Texts of more bytes come after all others, and a class's texts end where they have PER_CLASS times so many.
 FIT_BYTES = 1 << 16
 #: Of them this share calibrates scores and is not fitted.
 CALIBRATION = 5
@@ -146,8 +147,10 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     """A broadcast Model, or a constant score where the labels have not both classes.
 
     Learns from labelled rows whose id's crc32 is not divisible by HELD_OUT.
-    Of these, ``per_class`` of each class are fitted, in one task, but for
-    texts of more than FIT_BYTES; a fitted
+    Of these, ``per_class`` of each class are fitted, in one task: those of the
+    lowest hashes of id among texts of FIT_BYTES at most, then, where a class
+    has too few, the longer ones, until its texts have ``per_class`` times
+    FIT_BYTES; a class has one text at least, whatever its length. A fitted
     model is 2^BITS weights, so what the driver passes on is bounded too.
     """
     spark = docs.sparkSession
@@ -161,14 +164,16 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         n1, n = totals.get(1, 0), sum(totals.values())
         return (n1 + 1) / (n + 2)
     order = F.xxhash64("_id")
-    chosen = None
-    for label in (0, 1):
-        part = marks.where(F.col("_good") == label).orderBy(order, "_id").limit(per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    chosen = chosen.withColumn("_held", F.pmod(F.shiftright(order, 7), F.lit(CALIBRATION)) == 0)
-    # At most 2 x per_class ids; of the rows of one id that of the lowest hash, so a repeated id brings one row.
-    texts = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).where(F.octet_length("text") <= FIT_BYTES)
-    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_good", "_held").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("_id", F.col("least.text").alias("text"), "_good", "_held")
+    texts = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    # Sizes decide before rows are chosen; of the rows of one id that of the lowest hash counts.
+    sized = texts.select("_id", F.struct("_h", F.octet_length("text").alias("_bytes")).alias("_x")).join(marks, "_id").groupBy("_id", "_good").agg(F.min("_x").alias("_x")).select("_id", "_good", "_x.*")
+    sized = cut(sized.withColumns({"_late": F.col("_bytes") > FIT_BYTES, "_order": order}))
+    upto = Window.partitionBy("_good").orderBy("_late", "_order", "_id").rowsBetween(Window.unboundedPreceding, -1)  # per_class rows at most
+    chosen = reduce(DataFrame.unionByName, [sized.where(F.col("_good") == label).orderBy("_late", "_order", "_id").limit(per_class) for label in (0, 1)])
+    chosen = chosen.withColumn("_before", F.coalesce(F.sum("_bytes").over(upto), F.lit(0))).where(F.col("_before") < per_class * FIT_BYTES)
+    chosen = chosen.select("_id", "_h", "_good", (F.pmod(F.shiftright("_order", 7), F.lit(CALIBRATION)) == 0).alias("_held"))
+    # At most 2 x per_class ids; a repeated id brings one row.
+    rows = texts.join(F.broadcast(chosen), ["_id", "_h"]).groupBy("_id", "_good", "_held").agg(F.min("text").alias("text")).select("_id", "text", "_good", "_held")
 
     def featured(batches):
         for batch in batches:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from helixframe.llm import lines, lm, near, quality, sharding
+from helixframe.llm import classifier, lines, lm, near, quality, sharding
 from helixframe.llm.common import cut
 
 from .helpers import awkward, frame, words
@@ -214,3 +214,14 @@ def test_pipeline_with_awkward_rows(spark, tmp_path):
     os.mkdir(empty)
     saved(empty, documents=docs.limit(0), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_a_class_of_long_texts_is_learnt(spark):
+    """Texts over the size that comes first are fitted where a class has no others, and others keep their places."""
+    good = [(i, words(40_000 + i, 80)) for i in range(100)]
+    bad = [(100 + i, ("zap pow " + words(50_000 + i, 3) + " ") * 8000) for i in range(40)]
+    assert min(len(t) for _, t in bad) > classifier.FIT_BYTES
+    docs = spark.createDataFrame(good + bad, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in good + bad], "doc_id long, quality int")
+    got = {r["doc_id"]: r["predicted"] for r in classifier.classify(docs, labels).collect()}
+    assert [i for i in got if got[i] != int(i < 100)] == []

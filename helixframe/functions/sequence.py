@@ -181,6 +181,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def marker_mean(vector: Column | str, places: list[int]) -> Column:
+    """The mean of a vector's components at these places, from 0; null if it has none of them."""
+    chosen = F.filter(F.transform(F.lit(places), lambda i: F.get(vector, i).cast("double")), lambda x: x.isNotNull())
+    return F.aggregate(chosen, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(chosen), F.lit(0))
+
+
 def warmup_cosine(step: Column, peak: Column, warmup: Column, total: Column) -> Column:
     """A learning rate that rises in proportion and falls along a cosine to a tenth."""
     progress = (step - warmup) / F.greatest(total - warmup, F.lit(1))

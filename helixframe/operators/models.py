@@ -86,13 +86,29 @@ def decoded(df: DataFrame, keys: list[str], features: str, model: Autoencoder) -
     return df.select(*keys, features).mapInArrow(run, f"{fields}, vector array<double>")
 
 
+def worst_losses(df: DataFrame, vector: str, predicted: str, n: int, order: list[str | Column] | None = None) -> DataFrame:
+    """(columns of ``df``, residual, loss) of the n rows of the largest squared residual, ties by ``order`` or else by hash: a top list."""
+    residual = F.zip_with(vector, predicted, lambda a, b: a.cast("double") - b)
+    loss = F.aggregate(F.col("residual"), F.lit(0.0), lambda s, x: s + x * x)
+    return df.withColumn("residual", residual).withColumn("loss", loss).orderBy(F.desc("loss"), *(order or [F.xxhash64("residual")])).limit(n)
+
+
 def worst_rows(df: DataFrame, vector: str, predicted: str, features: int, most: int = 256, seed: int = 0) -> DataFrame:
     """Residuals for resampling: of the 4n rows of the largest loss, n by hash, where n = min(features, most)."""
     n = min(features, most)
-    residual = F.zip_with(vector, predicted, lambda a, b: a.cast("double") - b)
-    loss = F.aggregate(residual, F.lit(0.0), lambda s, x: s + x * x)
-    top = df.select(residual.alias("residual"), loss.alias("loss")).orderBy(F.desc("loss"), F.xxhash64("residual")).limit(4 * n)
-    return top.orderBy(F.xxhash64("residual", F.lit(seed))).limit(n)
+    return worst_losses(df, vector, predicted, 4 * n).select("residual", "loss").orderBy(F.xxhash64("residual", F.lit(seed))).limit(n)
+
+
+def top_coefficients(train: DataFrame, features: str, label: str, n: int = 15, signed: bool = False) -> list[tuple[int, float]]:
+    """(feature, coefficient) of the balanced logistic model of standardized features: the n largest in size, or with ``signed`` the n highest.
+
+    As many coefficients as there are features come to the driver, which puts
+    them in order; ties go to the lower feature.
+    """
+    scaled, _ = _standardized(train, train, features)
+    weights = balanced_logistic(scaled, features, label).coefficients.toArray()
+    order = np.lexsort((np.arange(len(weights)), -weights if signed else -np.abs(weights)))[:n]
+    return [(int(i), float(weights[i])) for i in order]
 
 
 @dataclass(frozen=True)

@@ -119,13 +119,19 @@ _add(
 
 # -- scans and structures
 
-_SHARES = [0.1, 0.2, 0.3, 0.4]
+def _letter_model(sequences: list[str]) -> list[list[float]]:
+    """Stands in for a model: log shares of the letters that it is shown, so a position that is not masked tells on itself."""
+    return [[math.log((s.count(b) + 1) / (len(s) + 4)) for b in "ACGU"] for s in sequences]
+
+
+_LETTER = "ln((length(seq) - length(replace(seq, '{0}', '')) - (wt = '{0}')::INTEGER + 1) / (length(seq) + 4)::DOUBLE)"
 _add(
     "masked_readout",
-    lambda s, d: scoring.masked_criticality(table(s, d, "part").select("p_partkey", S.cleaned(F.col("p_name")).alias("seq")), ["p_partkey"], lambda seqs: [[math.log(x) for x in _SHARES] for _ in seqs]).select("p_partkey", "pos", *r6("score")),
+    lambda s, d: scoring.masked_criticality(table(s, d, "part").select("p_partkey", S.cleaned(F.col("p_name")).alias("seq")), ["p_partkey"], _letter_model).select("p_partkey", "pos", *r6("score")),
     f"""WITH q AS (SELECT p_partkey, regexp_replace(translate(translate(replace(p_name, ' ', ''), '{S.LOWER}', '{S.UPPER}'), 'T', 'U'), '[^ACGU]', 'N', 'g') AS seq FROM part),
-    c AS (SELECT p_partkey, i AS pos, instr('ACGU', substr(seq, i, 1)) AS nth FROM q, unnest(range(1, length(seq) + 1)) AS u(i))
-    SELECT p_partkey, pos, round((4 * ln(list_extract({_SHARES}, nth)::DOUBLE) - {sum(math.log(x) for x in _SHARES)!r}::DOUBLE) / 3, 6) AS score FROM c WHERE nth > 0""",
+    c AS (SELECT p_partkey, seq, i AS pos, substr(seq, i, 1) AS wt FROM q, unnest(range(1, length(seq) + 1)) AS u(i) WHERE instr('ACGU', substr(seq, i, 1)) > 0),
+    p AS (SELECT p_partkey, pos, wt, [{', '.join(_LETTER.format(b) for b in 'ACGU')}] AS lp FROM c)
+    SELECT p_partkey, pos, round((4 * lp[instr('ACGU', wt)] - list_sum(lp)) / 3, 6) AS score FROM p""",
 )
 _add(
     "structure_pairs",

@@ -196,6 +196,16 @@ def logreg_cv(spark, sf_dir):
 _add("logreg_cv", logreg_cv, None)
 
 
+def fitted_coefficients(spark, sf_dir):
+    """The 15 largest coefficients of the model that tells one label from the others."""
+    data = table(spark, sf_dir, "embeddings").select((F.col("label") == 0).cast("int").alias("y"), models.array_to_vector("embedding").alias("features"))
+    rows = [(i + 1, f, c) for i, (f, c) in enumerate(models.top_coefficients(data, "features", "y"))]
+    return spark.createDataFrame(rows, "rank int, feat int, coef double").select("rank", "feat", *r6("coef"))
+
+
+_add("fitted_coefficients", fitted_coefficients, None)
+
+
 def kmer_probe(spark, sf_dir):
     """Do 3-mer shares tell labelled quality? Folds hold whole sources, so none is on both sides."""
     seqs = sequences(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")), "doc_id")

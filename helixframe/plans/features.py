@@ -89,6 +89,11 @@ _add(
     cosine_centroid,
     f"WITH {ACT}, g AS (SELECT label, feat, avg(x) AS m FROM act GROUP BY label, feat) SELECT vec_id, round(sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m)) + 1e-9), 6) AS cosine FROM act JOIN g USING (label, feat) GROUP BY vec_id",
 )
+_add(
+    "marker_mean",
+    lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(S.marker_mean("embedding", [0, 5, 9, 63, 64]), 6).alias("marker_mean")),
+    "SELECT vec_id, round(list_avg([embedding[i]::DOUBLE FOR i IN [1, 6, 10, 64] IF i <= len(embedding)]), 6) AS marker_mean FROM embeddings",
+)
 _add(
     "centroid_fingerprint",
     lambda s, d: features.top_activations(features.pooled(activations(s, d), ["label"]).withColumnRenamed("mean", "m"), 10, "label", "m", ["feat"]).select("label", "rank", "feat", *r6("m")),
@@ -129,6 +134,38 @@ def sae_decode(spark, sf_dir):
 _add("sae_decode", sae_decode, f"WITH {ENCODED} SELECT vec_id, feat, round(sum(h * w / 10) + 0.001::DOUBLE * (feat + 1), 6) AS y FROM h JOIN w USING (unit) GROUP BY vec_id, feat")
 
 
+def resample_candidates(spark, sf_dir):
+    """Residual directions that dead features would take: those of the rows that the model reconstructs worst, four for each feature."""
+    model, rows = _autoencoder(), table(spark, sf_dir, "embeddings")
+    back = models.decoded(models.encoded(rows, ["vec_id", "embedding"], "embedding", model), ["vec_id", "embedding"], "features", model)
+    worst = models.worst_losses(back, "embedding", "vector", 4 * model.encoder.shape[1], ["vec_id"])
+    return worst.select("vec_id", *r6("loss"), F.posexplode("residual").alias("feat", "d")).select("vec_id", "loss", "feat", F.round("d", 6).alias("residual"))
+
+
+_add(
+    "resample_candidates",
+    resample_candidates,
+    f"""WITH {ENCODED}, y AS (SELECT vec_id, feat, sum(h * w / 10) + 0.001::DOUBLE * (feat + 1) AS y FROM h JOIN w USING (unit) GROUP BY vec_id, feat), e AS (SELECT vec_id, feat, x - y AS d FROM act JOIN y USING (vec_id, feat)),
+    l AS (SELECT vec_id, sum(d * d) AS loss FROM e GROUP BY vec_id ORDER BY loss DESC, vec_id LIMIT 64) SELECT vec_id, round(loss, 6) AS loss, feat, round(d, 6) AS residual FROM l JOIN e USING (vec_id)""",
+)
+
+
+def dead_resample(spark, sf_dir):
+    """The model after its least active features are taken for dead: they decode to residual directions, the others as before."""
+    model, rows = _autoencoder(), table(spark, sf_dir, "embeddings")
+    codes = models.encoded(rows, ["vec_id", "embedding"], "embedding", model)
+    fired = codes.select(F.posexplode("features").alias("unit", "h")).groupBy("unit").agg(F.count_if(F.col("h") > 0).alias("n")).orderBy("n", "unit").limit(3)  # three of the model's features
+    dead = np.array(sorted(r["unit"] for r in fired.collect()))
+    back = models.decoded(codes, ["vec_id", "embedding"], "features", model)
+    residuals = np.array([r["residual"] for r in models.worst_rows(back, "embedding", "vector", len(dead)).collect()])  # three rows
+    fresh = model.resampled(residuals, dead)
+    decoder = [(i, int(i in dead.tolist()), j, float(v)) for i, row in enumerate(fresh.decoder) for j, v in enumerate(row)]
+    return spark.createDataFrame(decoder, "unit int, dead int, feat int, w double").select("unit", "dead", "feat", *r6("w"))
+
+
+_add("dead_resample", dead_resample, None)
+
+
 def pca_geometry(spark, sf_dir):
     """Spectrum of the scatter and what the class means have of it."""
     g = models.class_geometry(table(spark, sf_dir, "embeddings"), "embedding", "label")

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 
 
+#: A separator that no header has: the header is one name.
+WHOLE = r"\x00"
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row (value) for each record; a record begins at a ``>`` that begins a line."""
     return spark.read.text(path, lineSep="\n>")
@@ -17,7 +21,7 @@ def parse(records: DataFrame, fields: list[str] | None = None, rna: bool = True,
     """(name, fields..., sequence) of records in column ``value``.
 
     Header fields are trimmed, missing ones null. Sequence lines are joined;
-    T becomes U unless ``rna`` is false. Records without a header are left out.
+    With WHOLE as the separator the name is the whole header. T becomes U unless ``rna`` is false. Records without a header are left out.
     """
     value = F.regexp_replace(F.trim(F.col("value"), F.lit("\r\n\t ")), "^>", "")
     head = F.trim(F.split_part(value, F.lit("\n"), F.lit(1)), F.lit("\r\t "))

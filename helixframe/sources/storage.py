@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -60,19 +60,24 @@ def _counted(back: DataFrame) -> DataFrame:
     return back.groupBy(F.col("_metadata.file_name").alias("file")).agg(*_seal(columns))
 
 
-def stage(df: DataFrame, folder: str) -> None:
-    """Writes ``df`` and a manifest of rows and hashes for each file, in one pass over ``df``.
+def stage(df: DataFrame, folder: str, expected: int | None = None) -> None:
+    """Writes ``df`` and a manifest of rows and hashes for each file.
 
-    Raises if the files do not hold what Spark handed to the write.
+    Raises if the files do not hold ``expected`` rows, or, where no number is
+    given, the rows that ``df`` has when it is read once more and their hashes.
     """
-    spark, seen = df.sparkSession, Observation()
-    columns = [F.col(f"`{f.name}`") for f in df.schema if f.dataType.typeName() != "map"]
-    df.observe(seen, *_seal(columns)).write.mode("error").parquet(folder)
+    spark = df.sparkSession
+    df.write.mode("error").parquet(folder)
     _counted(spark.read.schema(df.schema).parquet(folder)).write.json(f"{folder}/_manifest")
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)").alias(c) for c in ("rows", "seal")]
-    held = _manifest(spark, folder).agg(*sums).first()
-    if any(int(held[c]) != int(seen.get[c]) for c in ("rows", "seal")):
-        raise ValueError(f"{folder} holds {held['rows']} rows that differ from the {seen.get['rows']} that were written")
+    held = {c: int(v) for c, v in _manifest(spark, folder).agg(*sums).first().asDict().items()}
+    if expected is None:
+        columns = [F.col(f"`{f.name}`") for f in df.schema if f.dataType.typeName() != "map"]
+        told = {c: int(v) for c, v in df.agg(*_seal(columns)).first().asDict().items()}
+    else:
+        told = {**held, "rows": expected}
+    if held != told:
+        raise ValueError(f"{folder} holds {held['rows']} rows that differ from the {told['rows']} that were to be written")
 
 
 def _manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,11 +94,12 @@ def verify(spark: SparkSession, folder: str) -> int:
     return told.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
 
 
-def write_verified(df: DataFrame, path: str, estimate: int | None = None, factor: float = 1.5) -> int:
+def write_verified(df: DataFrame, path: str, estimate: int | None = None, factor: float = 1.5, expected: int | None = None) -> int:
     """Writes Parquet that readers see only after it has been checked; returns its rows.
 
     Refuses to begin unless the file system has ``factor`` times the estimated
-    bytes left, by default those of the files that ``df`` reads. The files go
+    bytes left, by default those of the files that ``df`` reads. With the
+    number of rows as ``expected``, ``df`` is not read a second time. The files go
     to a folder beside ``path`` with a manifest (stage), are read back and
     compared with it (verify), and are renamed then; whatever fails, ``path``
     does not appear.
@@ -108,7 +114,7 @@ def write_verified(df: DataFrame, path: str, estimate: int | None = None, factor
     folder = f"{path.rstrip('/')}._staged-{uuid.uuid4().hex}"
     _, staged = _file_system(spark, folder)
     try:
-        stage(df, folder)
+        stage(df, folder, expected)
         rows = verify(spark, folder)
         if not system.rename(staged, target):
             raise OSError(f"{folder} can't be renamed to {path}")

@@ -48,19 +48,28 @@ def catalogue_positions(entries: DataFrame, class_part: str | None = None, title
     return found.select("gene", F.col("p").cast("bigint").alias("pos")).distinct()
 
 
-def detect_columns(df: DataFrame, hint: str = "score", sample: int = 200) -> dict[str, str | None]:
-    """Which column names variants, and which is the widest numeric one whose name has ``hint``; from the first rows."""
+def detect_columns(df: DataFrame, hint: str = "score", sample: int = 200, length: int = 150, hints: tuple[str, ...] = ("pos", "coord", "n.", "transcript", "nt")) -> dict[str, str | None]:
+    """Which column names variants, which holds positions, and which is the widest numeric one whose name has ``hint``; from the first rows.
+
+    Positions are numbers in half of the rows at least, four in five of them
+    whole and seven in ten from 1 to ``length``. Of such columns that wins
+    which has most of its values there, a name like a position's counting
+    three tenths; it is not taken for the score.
+    """
     rows = df.limit(sample)
     checks = []
     for c in df.columns:
         v = F.col(c).cast("string")
         x = S.number(v)
         checks += [F.count_if(F.rlike(v, F.lit(r"[ncm]\.\d+"))).alias(f"h_{c}"), F.count_if(x.isNotNull()).alias(f"n_{c}"), (F.max(x) - F.min(x)).alias(f"w_{c}")]
+        checks += [F.count_if(F.abs(x - F.rint(x)) < 1e-9).alias(f"i_{c}"), F.count_if(x.between(1, length)).alias(f"r_{c}")]
     r = rows.agg(F.count(F.lit(1)).alias("rows"), *checks).first()
     least = max(5, r["rows"] / 5)
     variant = max((c for c in df.columns if r[f"h_{c}"] >= least), key=lambda c: r[f"h_{c}"], default=None)
-    score = max((c for c in df.columns if r[f"n_{c}"] >= least and hint in c.lower() and r[f"w_{c}"] is not None), key=lambda c: r[f"w_{c}"], default=None)
-    return {"variant": variant, "score": score}
+    places = [c for c in df.columns if r[f"n_{c}"] >= max(1, r["rows"] / 2) and r[f"i_{c}"] >= 0.8 * r[f"n_{c}"] and r[f"r_{c}"] >= 0.7 * r[f"n_{c}"]]
+    position = max(places, key=lambda c: r[f"r_{c}"] / r[f"n_{c}"] + (0.3 if any(h in c.lower() for h in hints) else 0), default=None)
+    score = max((c for c in df.columns if c != position and r[f"n_{c}"] >= least and hint in c.lower() and r[f"w_{c}"] is not None), key=lambda c: r[f"w_{c}"], default=None)
+    return {"variant": variant, "position": position, "score": score}
 
 
 def usable_variants(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -189,3 +189,21 @@ def test_leading_components_of_wide_vectors(spark):
     assert g.total == pytest.approx(values.sum()) and g.class_total == pytest.approx((means**2).sum()) and g.width == d
     assert g.top_share(8) == pytest.approx(values[:8].sum() / values.sum()) and g.reach(0.5) == int(np.searchsorted(np.cumsum(values), 0.5 * values.sum())) + 1
     assert models.class_geometry(df.limit(0), "v", "y").width == 0
+
+
+def test_coefficients_of_a_fit(spark):
+    """The largest coefficients against Newton's steps on the same loss."""
+    random = np.random.default_rng(12)
+    x = random.standard_normal((300, 6)) * [1, 5, 0.1, 1, 1, 1] + 3
+    y = (x[:, 0] - 0.3 * x[:, 1] + 20 * x[:, 2] + random.standard_normal(300) > 3 - 0.9 + 60).astype(int)
+    df = spark.createDataFrame([(int(b), [float(v) for v in a]) for a, b in zip(x, y, strict=True)], "y int, v array<double>").select("y", models.array_to_vector("v").alias("f"))
+    z = np.column_stack(((x - x.mean(0)) / x.std(0), np.ones(300)))
+    weight, theta = np.where(y == 1, 300 / (2 * y.sum()), 300 / (2 * (300 - y.sum()))), np.zeros(7)
+    penalty = np.diag([1.0] * 6 + [0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ theta))
+        theta -= np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + penalty, z.T @ (weight * (p - y)) + penalty @ theta)
+    for signed in (False, True):
+        got = models.top_coefficients(df, "f", "y", 4, signed)
+        want = sorted(range(6), key=lambda i: -theta[i] if signed else -abs(theta[i]))[:4]
+        assert [i for i, _ in got] == want and np.allclose([c for _, c in got], theta[want], atol=1e-3)

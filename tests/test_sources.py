@@ -74,8 +74,10 @@ def test_feature_report(spark, tmp_path):
 
 
 def test_detected_columns(spark):
-    df = spark.createDataFrame([(f"n.{i}A>G", float(i), 2.0 * i, "x") for i in range(30)], "name string, score double, score_wide double, other string")
-    assert tables.detect_columns(df) == {"variant": "name", "score": "score_wide"}
+    df = spark.createDataFrame([(f"n.{i}A>G", i + 0.5, 2.5 * i, "x", 10**8 + i, i + 1, 141 - i) for i in range(30)], "name string, score double, score_wide double, other string, genomic long, place int, pos int")
+    assert tables.detect_columns(df) == {"variant": "name", "position": "pos", "score": "score_wide"}
+    assert tables.detect_columns(df.drop("pos"))["position"] == "place" and tables.detect_columns(df.drop("pos", "place"))["position"] is None
+    assert tables.detect_columns(df.limit(0)) == {"variant": None, "position": None, "score": None}
     assert tables.usable_variants(df.withColumn("kind", F.lit("Deletion")), ["kind"]).count() == 0
 
 

@@ -162,6 +162,10 @@ def test_verified_write(spark, tmp_path):
     with pytest.raises(FileExistsError):
         storage.write_verified(df, path)
     assert storage.write_verified(df.limit(0), str(tmp_path / "none")) == 0
+    assert storage.write_verified(df, str(tmp_path / "told"), expected=1000) == 1000
+    with pytest.raises(ValueError, match="1001"):
+        storage.write_verified(df, str(tmp_path / "more"), expected=1001)
+    assert not os.path.exists(tmp_path / "more")
 
 
 def test_verified_write_refuses_without_room(spark, tmp_path):
@@ -194,8 +198,8 @@ def test_a_lost_or_changed_file_is_found(spark, tmp_path, monkeypatch):
 
     stage = storage.stage
 
-    def losing(df, folder):
-        stage(df, folder)
+    def losing(df, folder, expected):
+        stage(df, folder, expected)
         os.remove(sorted(glob.glob(f"{folder}/*.parquet"))[0])
 
     monkeypatch.setattr(storage, "stage", losing)

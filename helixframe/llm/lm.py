@@ -446,7 +446,7 @@ def _round_units(encoded: DataFrame, round_no: int, buckets: int, end_id: int) -
 def _trained(encoded: DataFrame, counts, tables: Tables, round_no: int, buckets: int, end_id: int) -> Tables:
     """The mean of all buckets' tables, each after it has learnt from its windows of this round.
 
-    A unit that recurs counts 1 + log2 of its occurrences. A bucket's units
+    A unit that recurs is one row whose gradient counts as often as it occurs. A bucket's units
     come in the order of their hashes, so its batches do not depend on how
     rows are dealt out; a task streams through its buckets one by one.
     """
@@ -462,7 +462,7 @@ def _trained(encoded: DataFrame, counts, tables: Tables, round_no: int, buckets:
             nonlocal w, weight, whole, done
             n = len(w) if all_of_it else max(0, len(w) - 1) // BATCH * BATCH  # the last unit may go on
             if trainer is not None and n:
-                trainer.learn(w[:n], (1 + np.log2(weight[:n])).astype(np.float32))
+                trainer.learn(w[:n], weight[:n].astype(np.float32))
             w, weight = w[n:], weight[n:]
             if all_of_it and trainer is not None:
                 whole = whole + np.concatenate([np.rint(trainer.t[k].astype(np.float64).ravel() * FINE).astype(np.int64) for k in names])

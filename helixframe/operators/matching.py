@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import written
+
 
 def _sets(p: DataFrame, least: int, most: int, feature: str, family: str) -> DataFrame:
     """(f, fams, n): each feature's set of families, if it has ``least`` to ``most``; a set is that short by the band."""
@@ -47,6 +49,14 @@ def _candidates(a: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
     return met.where(F.get(F.array_intersect("ga", "gb"), F.lit(0)) == F.col("family")).drop("family")
 
 
+def _similar(a: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
+    """jaccard_pairs() of two sides' sets, which are written first: both their counts and their prefixes are read from them."""
+    met = _candidates(*_ordered(written(a), written(b)), similarity)
+    shared = F.size(F.array_intersect("ga", "gb"))
+    found = met.select("fa", "fb", F.col("na").cast("long").alias("na"), F.col("nb").cast("long").alias("nb"), shared.cast("long").alias("shared"))
+    return found.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") >= similarity - 1e-9)
+
+
 def jaccard_pairs(a: DataFrame, b: DataFrame, least: int = 2, most: int = 9, feature: str = "feat", family: str = "label", similarity: float | None = None) -> DataFrame:
     """(fa, fb, shared, na, nb, jaccard) of features that have ``least`` to ``most`` families and share one.
 
@@ -59,10 +69,7 @@ def jaccard_pairs(a: DataFrame, b: DataFrame, least: int = 2, most: int = 9, fea
     if similarity is not None:
         if not 0 < similarity <= 1:
             raise ValueError("a similarity is over 0, and 1 at most")
-        met = _candidates(*_ordered(*(_sets(p, least, most, feature, family) for p in (a, b))), similarity)
-        shared = F.size(F.array_intersect("ga", "gb"))
-        found = met.select("fa", "fb", F.col("na").cast("long").alias("na"), F.col("nb").cast("long").alias("nb"), shared.cast("long").alias("shared"))
-        return found.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") >= similarity - 1e-9)
+        return _similar(*(_sets(p, least, most, feature, family) for p in (a, b)), similarity)
 
     def banded(p: DataFrame, f: str, n: str) -> DataFrame:
         size = F.count(F.lit(1)).over(Window.partitionBy(feature))
@@ -78,7 +85,7 @@ def reciprocal_best(pairs: DataFrame, least: float = 0.5) -> DataFrame:
 
     Each side's best is a minimum that tasks find before they shuffle.
     """
-    near = pairs.where(F.col("jaccard") >= least)  # a better partner of such a pair is one itself
+    near = written(pairs.where(F.col("jaccard") >= least))  # a better partner of such a pair is one itself
     best = lambda own, other: near.groupBy(own).agg(F.min(F.struct(-F.col("jaccard"), other)).alias("x")).select(own, F.col(f"x.{other}").alias(other))
     return near.join(best("fa", "fb"), ["fa", "fb"], "left_semi").join(best("fb", "fa"), ["fa", "fb"], "left_semi").select(*pairs.columns)
 
@@ -92,9 +99,9 @@ def mutual_best(a: DataFrame, b: DataFrame, least: int = 2, most: int = 9, featu
 
     def lowest(p: DataFrame) -> DataFrame:
         sets = _sets(p, least, most, feature, family).withColumn("fams", F.array_sort("fams"))
-        return sets.groupBy("fams").agg(F.min("f").alias(feature)).select(feature, F.explode("fams").alias(family))
+        return sets.groupBy("fams", "n").agg(F.min("f").alias("f"))
 
-    return reciprocal_best(jaccard_pairs(lowest(a), lowest(b), least, most, feature, family, similarity), similarity)
+    return reciprocal_best(_similar(lowest(a), lowest(b), similarity), similarity)
 
 
 def shared_vocabulary(a: DataFrame, b: DataFrame, family: str = "label") -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from ..sources.storage import written
 from .selection import SENT, among_first, order_statistics, with_state
 
 #: Rows of a range, which a task may put in order.
-RANGE_ROWS = 1 << 18
+RANGE_ROWS = 1 << 16
 
 
 def _same(by: Sequence[str], prefix: str) -> Column:

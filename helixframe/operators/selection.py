@@ -19,10 +19,10 @@ SENT = 100_000
 _ALL = "_all"
 
 
-def with_state(rows: DataFrame, state: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    """``rows`` with the columns that ``state`` has besides the keys ``by``; nulls are keys too. ``state`` is a written table."""
+def with_state(rows: DataFrame, state: DataFrame, by: Sequence[str], how: str = "inner", size: int | None = None) -> DataFrame:
+    """``rows`` with the columns that ``state`` has besides the keys ``by``; nulls are keys too. ``state`` is a written table, or ``size`` says how many rows it has."""
     keyed = state.select(*(F.col(k).alias(f"_k_{k}") for k in by), *(c for c in state.columns if c not in by))
-    keyed = F.broadcast(keyed) if keyed.count() <= SENT else keyed
+    keyed = F.broadcast(keyed) if (keyed.count() if size is None else size) <= SENT else keyed
     if not by:
         return rows.crossJoin(keyed)  # one row, as there are no keys
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by))
@@ -80,22 +80,25 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str | Column, want
     rows = df.select(*by, column.alias("_v")).where("_v IS NOT NULL")
     kind = rows.schema["_v"].dataType
     keys = [*by, "_place"]
-    state = written(wanted.select(*keys, *(F.lit(None).cast(kind).alias(c) for c in ("_lo", "_hi")), F.lit(0).cast("long").alias("_before"), F.col("_n").cast("long").alias("_n")).where("_place >= 0 AND _place < _n"))
+    state = wanted.select(*keys, *(F.lit(None).cast(kind).alias(c) for c in ("_lo", "_hi")), F.lit(0).cast("long").alias("_before"), F.col("_n").cast("long").alias("_n")).where("_place >= 0 AND _place < _n")
+    size, hot = state.agg(F.count(F.lit(1)), F.count_if(F.col("_n") > LIMIT)).first()
+    state = written(state) if hot else state
     found = []
     while True:
         few = state.where(F.col("_n") <= LIMIT)
-        here = with_state(rows, few, by).where(_inside())
+        here = with_state(rows, few, by, size=size).where(_inside())
         counts = here.groupBy(*keys, "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
         upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
         reached = counts.withColumn("_upto", upto).where(F.col("_upto") > F.col("_place"))
         found.append(reached.groupBy(*keys).agg(F.min(F.struct("_v", (F.col("_upto") - F.col("_c")).alias("b"))).alias("_x")).select(*keys, F.col("_x._v").alias("_value"), F.col("_x.b").alias("_before")))
-        large = state.where(F.col("_n") > LIMIT)
-        if large.isEmpty():
+        if not hot:
             return reduce(DataFrame.unionByName, found)
+        large = state.where(F.col("_n") > LIMIT)
         if len(found) == 1:
             rows = written(with_state(rows, large.select(*by).distinct(), by))  # the large groups' values alone from here on
         done, state = _narrowed(rows, large, by)
         found.append(done)
+        size, hot = state.agg(F.count(F.lit(1)), F.count_if(F.col("_n") > LIMIT)).first()
 
 
 def medians(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
@@ -122,15 +125,23 @@ def among_first(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
     parts = [p for c in columns for p in (c.isNotNull().cast("int"), c)]
     named = own.withColumns({f"_o{i}": p for i, p in enumerate(parts)})
-    sizes = written(_matched(own.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), takes.select(*by, F.col("_take").cast("long").alias("_take")), by))
-    hot = sizes.where((F.col("_n") > LIMIT) & (F.col("_take") > 0) & (F.col("_take") < F.col("_n")))
+    sizes = _matched(own.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), takes.select(*by, F.col("_take").cast("long").alias("_take")), by)
+    is_hot = (F.col("_n") > LIMIT) & (F.col("_take") > 0) & (F.col("_take") < F.col("_n"))
+    groups, large, many = sizes.agg(F.count(F.lit(1)), F.count_if(F.col("_n") > LIMIT), F.count_if(is_hot)).first()
+    ordered = [f"_o{i}" for i in range(len(parts))]
+    if not large:
+        number = F.row_number().over(Window.partitionBy(*by).orderBy(*ordered))
+        rows = with_state(named, takes.select(*by, F.col("_take").cast("long").alias("_take")), by, "left", groups)
+        return rows.withColumn(name, F.coalesce(number <= F.col("_take"), F.lit(False))).select(*df.columns, name)
+    sizes = written(sizes)
+    hot = sizes.where(is_hot)
     bounds = hot.select(*by, F.col("_take").alias("_left"))
-    for i in range(len(parts) if not hot.isEmpty() else 0):
+    for i in range(len(parts) if many else 0):
         # Among the rows that share the last row's values so far; where it has a null, the values' column has nothing to select.
         bounds = written(bounds)
         tied = with_state(named, bounds, by).where(reduce(lambda a, b: a & b, (F.col(f"_o{j}").eqNullSafe(F.col(f"_t{j}")) for j in range(i)), F.lit(True)))
-        many = tied.where(F.col(f"_o{i}").isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        wanted = _matched(bounds.select(*by, (F.col("_left") - 1).alias("_place")), many, by)
+        some = tied.where(F.col(f"_o{i}").isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        wanted = _matched(bounds.select(*by, (F.col("_left") - 1).alias("_place")), some, by)
         last = order_statistics(tied, by, f"_o{i}", wanted).select(*by, F.col("_value").alias(f"_t{i}"), F.col("_before").alias("_before"))
         other = last.select(*(F.col(k).alias(f"_k_{k}") for k in by), f"_t{i}", "_before")
         joined = bounds.join(other, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by)), "left").drop(*(f"_k_{k}" for k in by))
@@ -147,7 +158,7 @@ def among_first(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
         upto = upto | (equal & F.coalesce(o < t, F.lit(False)))
         equal = equal & o.eqNullSafe(t)
     # A large group's rows are spread over windows that nobody asks.
-    rows = rows.withColumn("_salt", F.when(F.col("_n") > LIMIT, F.pmod(F.xxhash64(*(f"_o{i}" for i in range(len(parts)))), F.lit(1 << 30))).otherwise(0))
-    number = F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*(f"_o{i}" for i in range(len(parts)))))
+    rows = rows.withColumn("_salt", F.when(F.col("_n") > LIMIT, F.pmod(F.xxhash64(*ordered), F.lit(1 << 30))).otherwise(0))
+    number = F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*ordered))
     first = F.when(F.col("_hot"), upto | equal).when(F.col("_n") > LIMIT, F.col("_take") >= F.col("_n")).otherwise(number <= F.col("_take"))
     return rows.withColumn(name, F.coalesce(first, F.lit(False))).select(*df.columns, name)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import entities, ranking, selection
 
 
-@pytest.fixture(params=[1 << 18, 30])
+@pytest.fixture(params=[1 << 16, 30])
 def ranges(request, monkeypatch):
     monkeypatch.setattr(ranking, "RANGE_ROWS", request.param)
     monkeypatch.setattr(selection, "LIMIT", request.param)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -14,40 +15,50 @@ from .common import cut, settled
 from .vectors import ROWS, matrix, whole_numbers
 
 SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6
-#: A float bound is lowered by this share of the squares that it is made of, far more than its rounding.
-SLACK = 1e-12
+#: A limit has this share of the squared lengths more than the distance it stands for, far more than the bounds' rounding.
+SLACK = 1e-11
 #: So many label sums go to every task; beyond, labels are joined, a hot one in SALTS parts.
 SENT, SALTS = 100_000, 32
 
 Codebooks = list[np.ndarray]  # for each part its entries x components
 
 
-def _segments(x: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Each row's block sums and the norms of what is left without the blocks' means, and a block's length."""
-    cube = x.reshape(len(x), blocks, -1)
-    size, sums = cube.shape[2], cube.sum(2)
-    return sums, np.sqrt((size * (cube * cube).sum(2) - sums * sums) / size), size
+class Segments(NamedTuple):
+    """Of rows cut into equal blocks: the blocks' sums, the norms of what is left without the blocks' means, and a block's length."""
 
+    sums: np.ndarray
+    rests: np.ndarray
+    size: int
 
-def _levels(width: int) -> list[int]:
-    """Numbers of blocks, coarse to fine: halves of halves while a block has two components."""
-    out = [1]
-    while width % (2 * out[-1]) == 0 and width // (2 * out[-1]) >= 2:
-        out.append(2 * out[-1])
-    return out
+
+def pyramid(x: np.ndarray) -> list[Segments]:
+    """The segments of one block, of its halves, and of their halves, while a block has two components; coarse to fine."""
+    blocks = 1
+    while x.shape[1] % (2 * blocks) == 0 and x.shape[1] // (2 * blocks) >= 2:
+        blocks *= 2
+    out, sums, squares = [], x.reshape(len(x), blocks, -1).sum(2), (x * x).reshape(len(x), blocks, -1).sum(2)
+    while True:
+        size = x.shape[1] // sums.shape[1]
+        out.append(Segments(sums.astype(np.float64), np.sqrt((size * squares - sums * sums) / size), size))
+        if sums.shape[1] == 1:
+            return out[::-1]
+        sums, squares = sums[:, ::2] + sums[:, 1::2], squares[:, ::2] + squares[:, 1::2]
 
 
-def _bound(x: tuple[np.ndarray, np.ndarray, int], c: tuple[np.ndarray, np.ndarray, int], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Lower bounds of the squared distances of rows i and entries j.
+def lower_bounds(x: Segments, c: Segments, i: np.ndarray | None = None, j: np.ndarray | None = None) -> np.ndarray:
+    """Lower bounds, but for rounding, of the squared distances of all rows and entries, or of rows i and entries j.
 
     In each block the difference has a part along the mean, whose length is
     known, and a part across it, which is the difference of the residual norms
     at least.
     """
-    (sx, rx, size), (sc, rc, _) = x, c
-    mean = (sx[i] - sc[j]).astype(np.float64) ** 2 / size
-    rest = (rx[i] - rc[j]) ** 2
-    return (mean + rest).sum(1) - SLACK * (mean + rx[i] ** 2 + rc[j] ** 2).sum(1)
+    low: np.ndarray | float = 0.0
+    for b in range(x.sums.shape[1]):
+        sx, rx = (x.sums[:, b, None], x.rests[:, b, None]) if i is None else (x.sums[i, b], x.rests[i, b])
+        sc, rc = (c.sums[:, b], c.rests[:, b]) if j is None else (c.sums[j, b], c.rests[j, b])
+        mean, rest = sx - sc, rx - rc
+        low = low + mean * mean / x.size + rest * rest
+    return low
 
 
 def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -56,20 +67,25 @@ def nearest(x: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     An exact distance to the entry of the least coarse bound is the first
     limit. Entries whose bound is over it are out; the others meet the bounds
     of finer blocks, and those that are left exact distances. As no bound is
-    over the true distance, the result is that of comparing all.
+    over the true distance by more than its rounding, for which the limit has
+    room, the result is that of comparing all.
     """
-    rows = np.arange(len(x))
-    i, j = (a.ravel() for a in np.divmod(np.arange(len(x) * len(entries)), len(entries)))
-    limit = None
-    for blocks in _levels(x.shape[1]):
-        low = _bound(_segments(x, blocks), _segments(entries, blocks), i, j)
+    rows, limit, left = np.arange(len(x)), None, None
+    for own, other in zip(pyramid(x), pyramid(entries), strict=True):
         if limit is None:
-            guess = low.reshape(len(x), len(entries)).argmin(1)
-            limit = ((x - entries[guess]) ** 2).sum(1)
-        left = low <= limit[i]
-        i, j = i[left], j[left]
+            low = lower_bounds(own, other)
+            guess = low.argmin(1)
+            limit = ((x - entries[guess]) ** 2).sum(1)[:, None] + SLACK * ((x * x).sum(1, dtype=np.float64)[:, None] + (entries * entries).sum(1, dtype=np.float64))
+            left = low <= limit
+        elif left.mean() > 0.25:  # whole columns are cheaper than picked pairs
+            left &= lower_bounds(own, other) <= limit
+        else:
+            i, j = np.nonzero(left)
+            left[i, j] = lower_bounds(own, other, i, j) <= limit[i, j]
+    i, j = np.nonzero(left)
     found = np.full((len(x), len(entries)), np.iinfo(np.int64).max)
-    found[i, j] = ((x[i] - entries[j]) ** 2).sum(1)
+    difference = x[i] - entries[j]
+    found[i, j] = np.einsum("ij,ij->i", difference, difference)
     best = found.argmin(1)  # the first of the least
     return best, found[rows, best], len(x) + len(i)
 

@@ -102,9 +102,14 @@ def test_bounds_never_lose_the_nearest_entry_and_spare_distances():
         best, distance, done = codes.nearest(x, entries)
         assert (best == exact.argmin(1)).all() and (distance == exact.min(1)).all()
         assert done < 0.5 * exact.size
-        for blocks in codes._levels(8):
-            i, j = (a.ravel() for a in np.divmod(np.arange(exact.size), 16))
-            assert (codes._bound(codes._segments(x, blocks), codes._segments(entries, blocks), i, j) <= exact.ravel()).all()
+        room = codes.SLACK * ((x * x).sum(1, dtype=float)[:, None] + (entries * entries).sum(1, dtype=float))
+        levels = list(zip(codes.pyramid(x), codes.pyramid(entries), strict=True))
+        assert [a.size for a, _ in levels] == [8, 4, 2]
+        for a, c in levels:
+            low = codes.lower_bounds(a, c)
+            assert (low <= exact + room).all()
+            i, j = np.divmod(np.arange(0, exact.size, 7), 16)
+            assert np.allclose(codes.lower_bounds(a, c, i, j), low[i, j])
 
 
 def test_components_too_large_are_an_error(spark):

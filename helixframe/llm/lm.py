@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, map_texts, settled, slices
+from .common import BATCH_BYTES, crc_mod, cut, map_texts, settled, slices
 from .hashing import Words, mix
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -46,8 +47,8 @@ ROUNDS = 2
 BUCKET, MOST_BUCKETS = 1 << 13, 4096
 #: Units in a step, and the length of steps before they are divided by the root of a row's summed squares.
 BATCH, RATE = 16, 0.15
-#: Windows scored at once.
-BLOCK = 512
+#: Units scored at once, and their windows.
+BLOCK, SCORED = 64, 4
 #: Tables are averaged, and window scores summed, as whole multiples of these: such sums are the same in any order.
 FINE, FINE_SCORE = 1 << 32, 1 << 24
 #: Weight of the class's own distribution against a neighbour's counts, and what a subword never seen is given.
@@ -63,10 +64,11 @@ def _counted(docs: DataFrame, text_column: str) -> DataFrame:
     """(h, n): the hash of each word of these texts and how often it stands there."""
 
     def make(rows: pa.RecordBatch) -> pa.RecordBatch:
+        _kept_memory()
         h, n = np.unique(Words(rows.column("text"), lower=True).hash, return_counts=True)
         return pa.record_batch([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-    parts = map_texts(docs.select(F.col(text_column).alias("text")), [], "text", make, "h long, n long")
+    parts = map_texts(docs.select(F.col(text_column).alias("text")), [], "text", make, "h long, n long", 4 * BATCH_BYTES)  # fewer rows, as words recur
     return parts.groupBy("h").agg(F.sum("n").alias("n"))
 
 
@@ -94,6 +96,106 @@ def subwords(text: str, name: str = TOKENIZER) -> bytes:
     return array("H", ids).tobytes()
 
 
+#: The white space of the tokenizer's pattern that parts no words here; a text that holds some is encoded whole.
+ODD_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Spans whose ids are put together at once.
+SPANS = 1 << 18
+
+
+def _ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each entry, n of them."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class Encoding:
+    """subwords() of many texts in which words recur: each word is encoded once in a batch, and frequent ones once in a task.
+
+    The pattern parts a text before the last blank ahead of each word. A word
+    with its space is therefore encoded by itself, and so are another last
+    blank, the blanks further ahead and those after the last word. New words
+    are encoded joined, in one call, and told apart by their tokens' lengths.
+    """
+
+    def __init__(self, name: str = TOKENIZER, kept: int = 0):
+        self.encoder, self.end_id = _encoder(name)
+        self.length = np.array([len(self.encoder.decode_single_token_bytes(i)) for i in range(self.end_id)])
+        self.first, self.size, self.body = np.zeros(2 * kept, np.int64), np.zeros(2 * kept, np.int64), np.zeros(0, np.uint16)
+
+    def _words(self, words: Words, which: np.ndarray, place: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each of these words, with a space ahead or none, has its ids in an array, how many, that array, and whether there is a space."""
+        start, raw = words.start[which], words.raw.tobytes()
+        space = (start > 0) & (words.raw[start - 1] == 32) & (start > self.begin[words.row[which]])
+        kind = 2 * place[which] + space
+        seen = np.full(2 * len(slot), -1)
+        seen[kind] = np.arange(len(which))
+        kinds = np.flatnonzero(seen >= 0)
+        own = np.where(slot[kinds >> 1] < 0, -1, 2 * slot[kinds >> 1] + (kinds & 1))
+        new = np.flatnonzero((own < 0) | (self.size[own] == 0) if len(self.size) else own < 2)
+        new = np.concatenate((new[own[new] >= 0], new[own[new] < 0]))  # those to be kept come first
+        spans = zip(words.start[which[seen[kinds[new]]]].tolist(), words.end[which[seen[kinds[new]]]].tolist(), (kinds[new] & 1).tolist(), strict=True)
+        parts = [b" " + raw[a:b] if blank else b"\n" + raw[a:b] for a, b, blank in spans]
+        ids = np.array(self.encoder.encode_ordinary(b"".join(parts).decode()), np.uint16)
+        stop = np.cumsum([len(x) for x in parts], dtype=np.int64)
+        upto = np.searchsorted(np.cumsum(self.length[ids]), stop, "right")
+        first = np.concatenate(([0], upto[:-1])) if len(upto) else upto
+        first = first + 1 - (kinds[new] & 1)  # without the line feed
+        keep = int((own[new] >= 0).sum())
+        whole = int(upto[keep - 1]) if keep else 0
+        first += len(self.body)
+        self.first[own[new[:keep]]], self.size[own[new[:keep]]] = first[:keep], (upto + len(self.body) - first)[:keep]
+        begin, size = (x[own] if len(x) else np.zeros(len(own), np.int64) for x in (self.first, self.size))
+        begin[new], size[new] = first, upto + len(self.body) - first
+        pool = np.concatenate((self.body, ids))
+        self.body = pool[: len(self.body) + whole]
+        number = np.zeros(len(seen), np.int64)
+        number[kinds] = np.arange(len(kinds))
+        return begin[number[kind]], size[number[kind]], pool, space
+
+    def of(self, texts: pa.Array, words: Words, place: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' ids, joined, and where each text's end.
+
+        ``words`` are theirs in lower case, ``place`` numbers each word's kind,
+        and ``slot`` is the kind's number among those to be kept, or -1.
+        """
+        finish = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        self.begin = begin = np.concatenate(([0], finish[:-1])) if len(finish) else finish
+        odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False).astype(bool)
+        some = np.flatnonzero(words.count > 0)
+        after = begin.copy()  # where a text's last blanks begin
+        after[some] = words.end[words.first[some] + words.count[some] - 1]
+        before = np.concatenate(([0], words.end[:-1])) if len(words) else words.end
+        before[words.first[some]] = begin[some]
+        which = np.flatnonzero(~odd[words.row])
+        at, size, pool, space = self._words(words, which, place, slot)
+        start, before, row = words.start[which], before[which], words.row[which]
+        last = np.maximum(before, start - 1)  # the last blank ahead, or the word
+        single, run, tail, odd = np.flatnonzero(~space & (last < start)), np.flatnonzero(before < last), np.flatnonzero(~odd & (after < finish)), np.flatnonzero(odd & (begin < finish))
+        other = [(last[single], start[single], row[single]), (before[run], last[run], row[run]), (after[tail], finish[tail], tail), (begin[odd], finish[odd], odd)]
+        a, b, r = (np.concatenate(x) for x in zip(*other, strict=True))
+        raw, numbers, more = words.raw.tobytes(), {}, []
+        number = np.array([numbers.setdefault(raw[x:y], len(numbers)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+        more = [np.array(self.encoder.encode_ordinary(x.decode()), np.uint16) for x in numbers]
+        sizes = np.array([len(x) for x in more], np.int64)
+        at = np.concatenate((at, (np.cumsum(sizes) - sizes + len(pool))[number]))
+        size, row = np.concatenate((size, sizes[number])), np.concatenate((row, r))
+        pool = np.concatenate((pool, *more))
+        order = np.argsort(np.concatenate((start - space, a)), kind="stable")
+        ends = np.cumsum(np.bincount(row, size, len(texts)).astype(np.int64) + 1)
+        ids = np.full(int(ends[-1]) if len(ends) else 0, self.end_id, np.uint16)
+        done = 0
+        for i in range(0, len(order), SPANS):
+            part = order[i : i + SPANS]
+            found, owner = pool[_ragged(at[part], size[part])], np.repeat(row[part], size[part])
+            ids[np.arange(done, done + len(found)) + owner] = found  # an end follows each text before
+            done += len(found)
+        return ids, ends
+
+
+def _kept_memory() -> None:
+    """Lets glibc keep up to twice this block when memory is freed, once it has seen one so large go; else each step's arrays are new pages."""
+    np.empty(31 << 20, np.uint8)
+
+
 # -- the model
 
 
@@ -212,59 +314,76 @@ _BACK = _ROWS + STRIDE - np.arange(2 * STRIDE)[None]  # distance from query to k
 _CAUSAL = _BACK >= 0
 
 
+def _windowed(x: np.ndarray, axis: int) -> np.ndarray:
+    """Rows' overlapping windows of 2 x STRIDE places, as a view: (row, window, ...) for places on this axis."""
+    shape, strides = list(x.shape), list(x.strides)
+    n, step = shape[axis] // STRIDE - 1, STRIDE * strides[axis]
+    shape[axis] = 2 * STRIDE
+    return np.lib.stride_tricks.as_strided(x, (shape[0], n, *shape[1:]), (strides[0], step, *strides[1:]), writeable=False)
+
+
 def attend(t: Tables, rows: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, ...]:
     """Masked attention of every window in one batch: contexts, and what training needs (weights before they are divided by their sums).
 
-    ``rows`` are the keys' rows in the tables, ``held`` says which places hold a subword.
+    ``rows`` are the keys' rows in the tables, ``held`` says which places hold a
+    subword. A row of n windows has n + 1 times STRIDE places, fetched once.
+    Values are also given turned: BLAS multiplies small matrices several times
+    as fast if neither is turned on the way.
     """
-    q, both = t["query"].take(rows[:, STRIDE:], 0), t["held"].take(rows, 0)
-    k, v = both[:, :, :WIDTH], both[:, :, WIDTH:]
+    both = t["held"].take(rows, 0)
+    turned = np.ascontiguousarray(both.swapaxes(1, 2))
+    q = t["query"].take(rows[:, STRIDE:], 0).reshape(len(rows), -1, STRIDE, WIDTH)
     q *= np.float32(WIDTH**-0.5)
-    score = q @ k.swapaxes(1, 2)
+    score = q @ _windowed(turned[:, :WIDTH], 2)
     score += np.where(_CAUSAL, t["far"][np.maximum(_BACK, 0) % (2 * STRIDE)], np.float32(-1e9))
     np.minimum(score, np.float32(40), out=score)
     np.exp(score, out=score)
-    if len(edge := np.flatnonzero(~(held[:, 0] & held[:, -1]))):  # windows at a sequence's begin or end
-        score[edge] *= held[edge][:, None, :]
-    total = np.maximum(score.sum(2, keepdims=True), np.float32(1e-30))
-    context = score @ v
+    own = _windowed(held, 1)
+    edge = ~(own[:, :, 0] & own[:, :, -1])  # windows at a sequence's begin or end
+    if edge.any():
+        score[edge] *= own[edge][:, None, :]
+    total = np.maximum(score @ np.ones((2 * STRIDE, 1), score.dtype), np.float32(1e-30))
+    context = score @ _windowed(both[:, :, WIDTH:], 1)
     context /= total
-    return context, score, total, q, k, v
+    context = context.reshape(len(rows), -1, WIDTH)
+    return context, score, total, q, _windowed(both[:, :, :WIDTH], 1), _windowed(turned[:, WIDTH:], 2)
 
 
 def _logits(c: Counts, t: Tables, context: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log odds of the classes, and the feed-forward layer's inner values, a row for each target.
+    """Natural log odds of the classes, and the feed-forward layer's inner values, for (row, target).
 
-    Contexts given by windows are multiplied by windows: one product of all rows rounds by their places in it.
+    Contexts are multiplied row by row: one product of all is slower and rounds by their places in it.
     """
-    both = context @ np.concatenate((t["inner"], t["out"]), 1)
-    inner = np.maximum(both[..., :INNER] + t["bias"], 0)
+    inner = context @ t["inner"]
+    inner += t["bias"]
+    np.maximum(inner, 0, out=inner)
     logits = inner @ t["outer"]
-    logits += both[..., INNER:]
-    logits = logits.reshape(-1, CLASSES)
+    logits += context @ t["out"]
     logits += c.next_class.take(before, 0)
-    return logits, inner.reshape(-1, INNER)
+    return logits, inner
 
 
 def log10_scores(c: Counts, t: Tables, w: np.ndarray) -> np.ndarray:
-    """log10 probability of each target of these windows; 0 where there is none."""
+    """log10 probability of each target of these windows, or units of several; 0 where there is none."""
     held, ids = w != NONE, w[:, STRIDE + 1 :]
     context = attend(t, c.row[w[:, :-1]], held[:, :-1])[0]
-    before, aim = c.symbol[w[:, STRIDE:-1]].ravel(), c.symbol[ids].ravel()
+    symbols = c.symbol[w[:, STRIDE:]]
+    before, aim = symbols[:, :-1], symbols[:, 1:]
     logits, _ = _logits(c, t, context, before)
-    own = np.take_along_axis(logits, c.klass[aim][:, None], 1)[:, 0]
+    own = np.take_along_axis(logits, c.klass[aim][..., None], 2)[..., 0]
     np.exp(logits, out=logits)
-    found = (own - np.log(logits.sum(1))) * _LOG10 + c.within[before, aim] + c.share[ids.ravel()]
-    return np.where(held[:, STRIDE + 1 :], found.reshape(ids.shape), 0)
+    found = (own - np.log((logits @ np.ones((CLASSES, 1), logits.dtype))[..., 0])) * _LOG10 + c.within.take(before * (SYMBOLS + 1) + aim) + c.share[ids]
+    return np.where(held[:, STRIDE + 1 :], found, 0)
 
 
 def text_scores(c: Counts, t: Tables, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, end_id: int) -> np.ndarray:
-    """log10 probability of each sequence, BLOCK windows at a time, whatever their lengths."""
-    upto = np.cumsum(window_counts(starts, ends))
+    """log10 probability of each sequence, BLOCK units of SCORED windows at a time, whatever their lengths."""
+    targets = SCORED * STRIDE
+    upto = np.cumsum(window_counts(starts, ends, targets))
     total, fixed = int(upto[-1]) if len(upto) else 0, np.zeros(len(starts), np.int64)
     for a in range(0, total, BLOCK):
-        w, owner = windows(ids, starts, ends, end_id, a, a + BLOCK)
-        full = w if len(w) == BLOCK else np.concatenate((w, np.full((BLOCK - len(w), SPAN), NONE, np.uint16)))  # one shape, one way of rounding
+        w, owner = windows(ids, starts, ends, end_id, a, a + BLOCK, targets)
+        full = w if len(w) == BLOCK else np.concatenate((w, np.full((BLOCK - len(w), w.shape[1]), NONE, np.uint16)))  # one shape, one way of rounding
         found = np.rint(log10_scores(c, t, full)[: len(w)].sum(1, dtype=np.float64) * FINE_SCORE).astype(np.int64)
         np.add.at(fixed, owner, found)
     return fixed / FINE_SCORE
@@ -274,45 +393,60 @@ Rows = tuple[np.ndarray, np.ndarray]
 
 
 def _gathered(index: np.ndarray, rows: np.ndarray) -> Rows:
-    """The distinct values of an index, and the sums of their rows."""
+    """The distinct values of an index, and the sums of their rows, of an even width: columns are summed two by two, as complex numbers."""
     index = index.astype(np.uint16)
     order = np.argsort(index, kind="stable")
     index = index[order]
     first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
-    return index[first].astype(np.int64), np.add.reduceat(rows[order], first, axis=0)
+    pairs = rows.take(order, 0).view(np.result_type(rows, np.complex64))
+    return index[first].astype(np.int64), np.add.reduceat(pairs, first, axis=0).view(rows.dtype)
 
 
 def gradients(c: Counts, t: Tables, w: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray | Rows]]:
-    """Mean loss of the classes in nats over these windows' targets, each by its window's weight, and its gradient; of tables by rows those that are not zero."""
+    """Mean loss of the classes in nats over these targets, each by its row's weight, and its gradient; of tables by rows those that are not zero.
+
+    Rows of ``w`` are windows, or units of several.
+    """
     held = w != NONE
     rows = c.row[w[:, :-1]]
-    context, a, total, q, k, v = attend(t, rows, held[:, :-1])
+    context, a, total, q, k, v_turned = attend(t, rows, held[:, :-1])
     a /= total
     live = (held[:, STRIDE + 1 :] * weight[:, None]).ravel()
     live /= max(1e-30, live.sum())
-    flat = context.reshape(-1, WIDTH)
-    p, inner = _logits(c, t, flat, c.symbol[w[:, STRIDE:-1]].ravel())
+    p, inner = _logits(c, t, context, c.symbol[w[:, STRIDE:-1]])
     np.exp(p, out=p)
-    p /= p.sum(1, keepdims=True)
+    p /= p @ np.ones((CLASSES, 1), p.dtype)
     aim = c.klass[c.symbol[w[:, STRIDE + 1 :]].ravel()]
-    at = np.arange(len(aim))
-    loss = float((-np.log(np.maximum(p[at, aim], 1e-30)) * live).sum())
-    p[at, aim] -= 1
-    p *= live.astype(np.float32)[:, None]
-    d_inner = (p @ t["outer"].T) * (inner > 0)
-    d_context = (p @ t["out"].T + d_inner @ t["inner"].T).reshape(context.shape)
-    d_a = d_context @ v.swapaxes(1, 2)
-    d_score = a * (d_a - (a * d_a).sum(2, keepdims=True))
-    far = np.bincount(_BACK[_CAUSAL], d_score.sum(0)[_CAUSAL], 2 * STRIDE).astype(np.float32)
-    d_held = np.concatenate((d_score.swapaxes(1, 2) @ q, a.swapaxes(1, 2) @ d_context), 2)
+    at, flat = np.arange(len(aim)), p.reshape(-1, CLASSES)
+    own = flat[at, aim]
+    loss = float((-np.log(np.maximum(own, 1e-30)) * live).sum())
+    flat[at, aim] = own - 1
+    flat *= live.astype(np.float32)[:, None]
+    d_inner = p @ np.ascontiguousarray(t["outer"].T)
+    d_inner *= inner > 0
+    d_context = p @ np.ascontiguousarray(t["out"].T)
+    d_context += d_inner @ np.ascontiguousarray(t["inner"].T)
+    d_context = d_context.reshape(q.shape)
+    d_score = d_context @ v_turned
+    d_score -= np.einsum("bnij,bnij->bni", a, d_score)[..., None]
+    d_score *= a
+    ones = lambda x: np.ones(len(x), x.dtype) @ x
+    far = np.bincount(_BACK[_CAUSAL], ones(d_score.reshape(-1, _BACK.size)).reshape(_BACK.shape)[_CAUSAL], 2 * STRIDE).astype(np.float32)
+    # Of each place the gradients of its query, key and value; the first places are no query, and neighbouring windows share keys and values.
+    d_query, d_key, d_value = (np.zeros((len(w), q.shape[1] + 1, STRIDE, WIDTH), q.dtype) for _ in range(3))
+    np.multiply(d_score @ k, np.float32(WIDTH**-0.5), out=d_query[:, 1:])
+    for sums, x in ((d_key, d_score.swapaxes(2, 3) @ q), (d_value, a.swapaxes(2, 3) @ d_context)):
+        sums[:, :-1] = x[:, :, :STRIDE]
+        sums[:, 1:] += x[:, :, STRIDE:]
+    at, sums = _gathered(rows.ravel(), np.concatenate((d_query, d_key, d_value), 3).reshape(-1, 3 * WIDTH))
     return loss, {
-        "out": flat.T @ p,
-        "outer": inner.T @ p,
-        "inner": flat.T @ d_inner,
-        "bias": d_inner.sum(0),
+        "out": (context.swapaxes(1, 2) @ p).sum(0),
+        "outer": (inner.swapaxes(1, 2) @ p).sum(0),
+        "inner": (context.swapaxes(1, 2) @ d_inner).sum(0),
+        "bias": ones(d_inner.reshape(-1, INNER)),
         "far": far,
-        "query": _gathered(rows[:, STRIDE:].ravel(), (d_score @ k).reshape(-1, WIDTH) * np.float32(WIDTH**-0.5)),
-        "held": _gathered(rows.ravel(), d_held.reshape(-1, 2 * WIDTH)),
+        "query": (at, sums[:, :WIDTH]),
+        "held": (at, sums[:, WIDTH:]),
     }
 
 
@@ -325,7 +459,7 @@ class Trainer:
 
     def learn(self, units: np.ndarray, weight: np.ndarray) -> None:
         for a in range(0, len(units), BATCH):
-            _, g = gradients(self.c, self.t, *opened(units[a : a + BATCH], weight[a : a + BATCH]))
+            _, g = gradients(self.c, self.t, units[a : a + BATCH], weight[a : a + BATCH])
             for k, x in g.items():
                 at, x = x if isinstance(x, tuple) else (slice(None), x)  # rows without a gradient stay as they are
                 own = self.moved[k][at] + (np.einsum("ij,ij->i", x, x)[:, None] / np.float32(x.shape[1]) if x.ndim == 2 else x * x)
@@ -348,8 +482,13 @@ def _sequences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def _encoded(docs: DataFrame, head, tokenizer: str, id_column: str, text_column: str) -> DataFrame:
     """Each text's subwords, the part of its base score that frequent words give, and its rarer words' counts."""
 
+    task = {}  # each has its own
+
     def make(rows: pa.RecordBatch) -> pa.RecordBatch:
         hashes, logs, unseen = head.value
+        if not task:
+            _kept_memory()
+            task["encoding"] = Encoding(tokenizer, len(hashes))
         texts = rows.column("text")
         words = Words(texts, lower=True)
         size = len(texts)
@@ -363,8 +502,10 @@ def _encoded(docs: DataFrame, head, tokenizer: str, id_column: str, text_column:
         pair, times = np.unique(rare, return_counts=True)
         offsets = np.searchsorted(pair >> 32, np.arange(size + 1)).astype(np.int32)
         entries = pa.StructArray.from_arrays([pa.array(value[pair & 0xFFFFFFFF]), pa.array(times.astype(np.int32))], ["h", "times"])
-        ids = [subwords(t, tokenizer) for t in texts.to_pylist()]
-        columns = [rows.column(0), rows.column(1), pa.array(words.count + 1), pa.array(base), pa.array(known), pa.ListArray.from_arrays(pa.array(offsets), entries), pa.array(ids, pa.binary())]
+        ids, ends = task["encoding"].of(texts, words, place, np.where(held, at, -1))
+        bounds = np.concatenate(([0], 2 * ends)).astype(np.int32)
+        blobs = pa.Array.from_buffers(pa.binary(), size, [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
+        columns = [rows.column(0), rows.column(1), pa.array(words.count + 1), pa.array(base), pa.array(known), pa.ListArray.from_arrays(pa.array(offsets), entries), blobs]
         return pa.record_batch(columns, [id_column, "held_out", "n_tokens", "base", "known", "rare", "ids"])
 
     kind = docs.schema[id_column].dataType.simpleString()
@@ -379,8 +520,8 @@ def _id_counts(encoded: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(blob, np.uint16), minlength=size)
+            for a, b in slices(batch.column("ids"), 1 << 20):
+                total += np.bincount(_sequences(batch.slice(a, b - a))[0], minlength=size)
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some), pa.array(total[some])], ["id", "n"])
 
@@ -396,7 +537,7 @@ def _pair_counts(encoded: DataFrame, symbol, symbols: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(symbols * symbols, np.int64)
         for batch in batches:
-            for a, b in slices(batch.column("ids"), 1 << 20):
+            for a, b in slices(batch.column("ids"), 1 << 22):
                 s, starts, _ = _sequences(batch.slice(a, b - a))
                 s = symbol.value[s]
                 if len(s):
@@ -427,6 +568,7 @@ def _round_units(encoded: DataFrame, round_no: int, buckets: int, end_id: int) -
     targets = UNIT * STRIDE
 
     def run(batches):
+        _kept_memory()
         for batch in batches:
             for a, b in slices(batch.column("ids"), 1 << 20):
                 ids, starts, ends = _sequences(batch.slice(a, b - a))
@@ -454,6 +596,7 @@ def _trained(encoded: DataFrame, counts, tables: Tables, round_no: int, buckets:
     names = sorted(tables)
 
     def run(batches):
+        _kept_memory()
         whole, done, trainer, bucket = 0, 0, None, None
         none = np.zeros((0, SPAN + (UNIT - 1) * STRIDE), np.uint16)
         w, weight, last = none, np.zeros(0), ()
@@ -557,6 +700,7 @@ def score_texts(docs: DataFrame, tokenizer: str = TOKENIZER, id_column: str = "d
     sent = spark.sparkContext.broadcast(tables)
 
     def run(batches):
+        _kept_memory()
         for batch in batches:
             for a, b in slices(batch.column("ids"), 1 << 20):
                 part = batch.slice(a, b - a)

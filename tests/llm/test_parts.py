@@ -200,6 +200,59 @@ def test_units_open_into_windows():
     assert (opened == w).all() and len(weight) == len(w)
 
 
+def test_units_have_the_gradient_of_their_windows():
+    r = np.random.default_rng(4)
+    seq = r.integers(1, 40, 3000).astype(np.uint16)
+    starts, ends = np.array([0, 700, 701, 1900]), np.array([700, 701, 1900, 3000])
+    c, t = model(40, seq), {k: v.astype(np.float64) for k, v in lm.first_tables().items()}
+    units, _ = lm.windows(seq, starts, ends, 0, targets=lm.UNIT * lm.STRIDE)
+    weight = r.random(len(units)) + 0.5
+    (a, whole), (b, parts) = lm.gradients(c, t, units, weight), lm.gradients(c, t, *lm.opened(units, weight))
+    assert a == pytest.approx(b, rel=1e-9)
+    for name in t:
+        both = []
+        for g in (whole[name], parts[name]):
+            both.append(np.zeros(t[name].shape))
+            both[-1][g[0] if isinstance(g, tuple) else slice(None)] = g[1] if isinstance(g, tuple) else g
+        assert np.allclose(*both, rtol=0, atol=1e-7)
+    assert np.allclose(lm.log10_scores(c, t, units).sum(), lm.log10_scores(c, t, lm.opened(units, weight)[0]).sum())
+
+
+def test_recurring_words_are_encoded_as_in_whole_texts(monkeypatch):
+    r = np.random.default_rng(5)
+    blanks = [" ", "  ", "\n", "\n\n", "\t", "\r\n", " \x0b", "\n  "]
+    words = ["a", "B", "don't", "'s", "é", "1", "12", "!!", "中文", "🙂", "The", "\x1c", "<|endoftext|>"]
+    odd = ["\u00a0", "\u3000", "\x85", "\u2028"]
+    encoding = lm.Encoding(kept=6)
+    slots, calls = {}, []
+    once = encoding.encoder
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(len(text))
+            return once.encode_ordinary(text)
+
+    monkeypatch.setattr(encoding, "encoder", Counted())
+    for i in range(120):
+        pool = blanks * 2 + words + (odd if i % 2 else [])
+        texts = pa.array(["".join(r.choice(pool, r.integers(0, 15))) for _ in range(i % 20)], pa.string())
+        monkeypatch.setattr(lm, "SPANS", int(r.choice([1, 7, 1 << 18])))
+        found = Words(texts, lower=True)
+        value, place = np.unique(found.hash, return_inverse=True)
+        for v in value.tolist():
+            if len(slots) < 6:
+                slots.setdefault(v, len(slots))
+        ids, ends = encoding.of(texts, found, place, np.array([slots.get(v, -1) for v in value.tolist()], np.int64))
+        want = [lm.subwords(x) for x in texts.to_pylist()]
+        assert ids.tobytes() == b"".join(want) and ends.tolist() == np.cumsum([len(x) // 2 for x in want]).tolist()
+    texts = pa.array(["same words again " * 5000])
+    found = Words(texts, lower=True)
+    value, place = np.unique(found.hash, return_inverse=True)
+    calls.clear()
+    encoding.of(texts, found, place, np.full(len(value), -1))
+    assert sum(calls) < 100  # and not the text's 85,000 characters
+
+
 def test_scores_do_not_depend_on_neighbours():
     r = np.random.default_rng(2)
     seq = r.integers(1, 60, 6000).astype(np.uint16)

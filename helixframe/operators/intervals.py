@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import written
+from .ranking import cumulated
 
+#: Items that a node of a tree of sums holds, in their order.
+NODE = 256
 #: Lengths are told apart in powers of this; an interval covers so many bins of its power and one more at most.
 BASE = 4.0
 
@@ -49,18 +53,77 @@ def members(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: st
     return placed.join(spread, [*by, "_level", "_bin"]).where(inside).drop("_level", "_bin")
 
 
+def _tree(places: DataFrame, by: Sequence[str]) -> tuple[DataFrame, int]:
+    """(by..., _level, _node, _ns, _ss) and the number of levels: each node lists the sums of up to NODE items in their order.
+
+    The items of level 0 are the places, those of the next level the nodes of
+    the one before, until one node holds them all.
+    """
+    most = places.agg(F.max("_i")).first()[0] or 0
+    items, found = places, []
+    while not found or most:
+        level, most = len(found), most // NODE
+        listed = items.groupBy(*by, F.expr(f"_i div {NODE}").alias("_node")).agg(F.array_sort(F.collect_list(F.struct("_i", "_n", "_s"))).alias("_x"))  # NODE items at most
+        found.append(written(listed.select(*by, F.lit(level).alias("_level"), "_node", F.col("_x._n").alias("_ns"), F.col("_x._s").alias("_ss"))))
+        items = found[-1].select(*by, F.col("_node").alias("_i"), _total("_ns", "long").alias("_n"), _total("_ss", "double").alias("_s"))
+    return reduce(DataFrame.unionByName, found), len(found)
+
+
+def _total(items: str | Column, kind: str) -> Column:
+    return F.aggregate(items, F.lit(0).cast(kind), lambda s, x: s + x)
+
+
+def _pieces(first: str, end: str, levels: int) -> Column:
+    """The stretches (_level, _node, _from, _length) of nodes that together hold the places from ``first`` to before ``end``, each once: two of a level at most."""
+    a, b, out = F.col(first), F.col(end), []
+    stretch = lambda level, node, at, length: F.struct(F.lit(level).alias("_level"), node.alias("_node"), (at + 1).cast("int").alias("_from"), length.cast("int").alias("_length"))
+    node = lambda i: F.floor(i / NODE)
+    for level in range(levels):
+        head, tail = node(a), node(b - 1)
+        out.append(F.when(a < b, stretch(level, head, a - head * NODE, F.least(b, (head + 1) * NODE) - a)))
+        out.append(F.when((a < b) & (head < tail), stretch(level, tail, F.lit(0), b - tail * NODE)))
+        a, b = head + 1, F.when(a < b, tail).otherwise(head)
+    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+
+def sums_inside(summed: DataFrame, intervals: DataFrame, keys: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(keys..., n_in, _in): the sums of _n and _s over the places _at in [_lo, _hi), for each of ``keys`` that has any.
+
+    ``summed`` has by..., _at, _n, _s, each place once. Places and bounds are
+    numbered in one order (ranking.cumulated), so that an interval is a range
+    of places, and this is put together from stretches of the nodes of a tree
+    of sums: two of a level at most, and a level for each power of NODE,
+    however many places lie inside and however intervals overlap. Nothing is
+    subtracted, so small sums keep their digits beside large ones, and what is
+    no number stays in the intervals that hold it.
+    """
+    held = intervals.where(F.col("_lo").isNotNull() & F.col("_hi").isNotNull() & (F.col("_hi") > F.col("_lo"))).select(*keys, "_lo", "_hi")
+    bounds = held.select(*by, F.explode(F.array("_lo", "_hi")).alias("_at")).distinct()
+    bounds = bounds.select("*", F.lit(None).cast("long").alias("_n"), F.lit(None).cast("double").alias("_s"), F.lit(0).alias("_place"), F.lit(1).alias("_bound"))
+    marks = summed.select(*by, "_at", "_n", F.col("_s").cast("double").alias("_s"), F.lit(1).alias("_place"), F.lit(0).alias("_bound")).unionByName(bounds)
+    values = marks.groupBy(*by, "_at").agg(*(F.max(c).alias(c) for c in ("_n", "_s", "_place", "_bound")))
+    numbered = written(cumulated(values, "_at", ["_place"], by).withColumnRenamed("before__place", "_i"))
+    tree, levels = _tree(numbered.where("_place = 1").select(*by, "_i", "_n", "_s"), by)
+    number = lambda bound, name: numbered.where("_bound = 1").select(*by, F.col("_at").alias(bound), F.col("_i").alias(name))
+    ranges = held.join(number("_lo", "_first"), [*by, "_lo"]).join(number("_hi", "_end"), [*by, "_hi"]).where("_first < _end").select(*keys, "_first", "_end")
+    pieces = ranges.select(*keys, F.explode(_pieces("_first", "_end", levels)).alias("_x")).select(*keys, "_x.*")
+    within = lambda items, kind: F.sum(_total(F.slice(items, F.col("_from"), F.col("_length")), kind))
+    return pieces.join(tree, [*by, "_level", "_node"]).groupBy(*keys).agg(within("_ns", "long").alias("n_in"), within("_ss", "double").alias("_in"))
+
+
 def inside_outside(points: DataFrame, intervals: DataFrame, point: str, value: str, interval: str, lo: str, hi: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., interval, n_in, mean_in, n_out, mean_out, ratio) for each interval: the means of ``value`` inside and outside of [lo, hi).
 
-    Points of one place are summed before they are joined, so a frequent place
-    meets an interval once. What lies outside is what the whole has besides.
+    Points of one place are summed first, and an interval gets its sums from
+    those of stretches of places (sums_inside), so the work grows with points and
+    intervals and not with the pairs of them. What lies outside is what the whole has besides.
     Intervals without a point inside have n_in 0 and no mean; ratio is null
     where the mean outside is not over 0.
     """
     keys = [*by, interval]
     sums = points.where(F.col(point).isNotNull() & F.col(value).isNotNull()).groupBy(*by, F.col(point).alias("_at")).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))
     summed = written(sums)
-    found = members(summed, intervals.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi")), "_at", "_lo", "_hi", by).groupBy(*keys).agg(F.sum("_n").alias("n_in"), F.sum("_s").alias("_in"))
+    found = sums_inside(summed, intervals.select(*keys, F.col(lo).alias("_lo"), F.col(hi).alias("_hi")), keys, by)
     whole = summed.groupBy(*by).agg(F.sum("_n").alias("_all"), F.sum("_s").alias("_total"))
     if by:
         joined = intervals.select(*keys).join(found, keys, "left").join(whole, list(by), "left")

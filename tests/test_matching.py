@@ -98,3 +98,44 @@ def test_whole_numbers_and_means_outside(spark):
             assert (got[k]["n_in"], got[k]["n_out"]) == (len(inside), len(outside))
             assert got[k]["mean_in"] == (pytest.approx(mean(inside)) if inside else None) and got[k]["mean_out"] == (pytest.approx(mean(outside)) if outside else None)
 
+
+
+def joined_rows(df):
+    """The most rows that a join of the plan made, after ``df`` was collected."""
+    found, open_ = [0], [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        name, children = node.nodeName(), node.children()
+        if name == "AdaptiveSparkPlan":
+            open_.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            open_.append(node.plan())
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        open_ += [children.apply(i) for i in range(children.size())]
+    return max(found)
+
+
+def test_wide_intervals_do_not_meet_their_points(spark):
+    points = spark.range(3000).selectExpr("id / 7 AS x", "double(id % 10) AS v")
+    ranges = spark.range(400).selectExpr("int(id) AS k", "-1.0D - id AS lo", "1000.0D + id AS hi")
+    found = intervals.inside_outside(points, ranges, "x", "v", "k", "lo", "hi")
+    rows = found.collect()
+    assert {(r["n_in"], r["mean_in"], r["n_out"], r["mean_out"]) for r in rows} == {(3000, 4.5, 0, None)} and len(rows) == 400
+    assert 400 <= joined_rows(found) < 400 * 20
+
+
+@pytest.mark.parametrize("node", [2, 3, 256])
+def test_sums_of_stretches(spark, monkeypatch, node):
+    monkeypatch.setattr(intervals, "NODE", node)
+    r = random.Random(10)
+    points = [(r.choice((0.0, -0.0, 1.0, r.uniform(-20, 20))), r.choice((1e15, 0.01, 0.02)), i % 2) for i in range(150)]
+    ranges = [(i, lo := r.choice((0.0, r.uniform(-25, 20), points[i % 150][0])), lo + r.choice((0.0, 1e-9, 1.0, r.uniform(0, 50))), i % 2) for i in range(200)]
+    ranges += [(500, -1e7, 1e7, 0), (501, 5.0, 4.0, 0), (502, None, 3.0, 0), (503, 3.0, None, 1), (504, -1.0, 1.0, 7)]
+    p, q = spark.createDataFrame(points, "x double, v double, g int"), spark.createDataFrame(ranges, "k int, lo double, hi double, g int")
+    for by in ([], ["g"]):
+        got = {x["k"]: x for x in intervals.inside_outside(p, q, "x", "v", "k", "lo", "hi", by=by).collect()}
+        assert len(got) == len(ranges)
+        for k, lo, hi, g in ranges:
+            inside = [v for x, v, h in points if lo is not None and hi is not None and lo <= x < hi and (not by or g == h)]
+            assert got[k]["n_in"] == len(inside) and got[k]["mean_in"] == (pytest.approx(sum(inside) / len(inside), rel=1e-12) if inside else None)

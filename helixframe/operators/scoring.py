@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import distance
+from ..sources.storage import written
 
 Scorer = Callable[[list[str]], list[list[float] | None]]
 
@@ -53,10 +54,24 @@ def scored(df: DataFrame, sequence: str, scorer: Scorer, name: str = "vector") -
 
 
 def embedding_criticality(seqs: DataFrame, keys: list[str], scorer: Scorer, sequence: str = "seq") -> DataFrame:
-    """(keys..., pos, score): the mean distance of a position's mutants from the wild type, each scored once."""
-    wild = scored(seqs.select(*keys, F.col(sequence).alias("seq")), "seq", scorer, "w").select(*keys, "w")
-    mutants = scored(substitutions(seqs, keys, sequence), "mutant", scorer, "m").where(F.col("error").isNull())
-    return mutants.join(wild, keys).groupBy(*keys, "pos").agg(F.avg(distance(F.col("m"), F.col("w"))).alias("score"))
+    """(keys..., pos, score): the mean distance of a position's mutants from the wild type.
+
+    Sequences are numbered and dealt out to all tasks, whatever files they came
+    in, and each different one is scored once with its mutants; every row that
+    has it gets its positions. Rows of equal keys count as one.
+    """
+    rows = seqs.select(*keys, F.col(sequence).alias("_seq")).where(F.col("_seq") != "")
+    each = written(rows.select("_seq").distinct().withColumn("_q", F.monotonically_increasing_id()))
+    dealt = each.repartition(each.sparkSession.sparkContext.defaultParallelism)
+    wild = scored(dealt, "_seq", scorer, "w").select("_q", "w")
+    mutants = scored(substitutions(dealt, ["_q"], "_seq"), "mutant", scorer, "m").where(F.col("error").isNull())
+    apart = distance(F.col("m"), F.col("w"))
+    sites = mutants.join(wild, "_q").groupBy("_q", "pos").agg(F.sum(apart).alias("_s"), F.count(apart).alias("_n"))
+    listed = sites.groupBy("_q").agg(F.collect_list(F.struct("pos", "_s", "_n")).alias("_sites"))  # a sequence's positions
+    found = rows.join(each.join(listed, "_q").select("_seq", "_sites"), "_seq")
+    placed = found.repartition(*keys).select(*keys, F.explode("_sites").alias("_x")).select(*keys, "_x.*")
+    total = F.sum("_n")
+    return placed.groupBy(*keys, "pos").agg(F.when(total > 0, F.sum("_s") / total).alias("score"))
 
 
 def masked_criticality(seqs: DataFrame, keys: list[str], log_probs: Scorer, sequence: str = "seq", mask: str = "N") -> DataFrame:

@@ -191,7 +191,8 @@ def stub_scorer(sequences: list[str]) -> list[list[float]]:
 
 
 def ism_criticality(spark, sf_dir):
-    seqs = table(spark, sf_dir, "part").select("p_partkey", S.cleaned(F.col("p_name")).alias("seq")).where(F.length("seq") > 0)
+    names = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(spark.sparkContext.defaultParallelism, "p_partkey")  # a file that packs well is few tasks
+    seqs = names.select("p_partkey", S.cleaned(F.col("p_name")).alias("seq")).where(F.length("seq") > 0)
     return scoring.embedding_criticality(seqs, ["p_partkey"], stub_scorer).select("p_partkey", "pos", *r6("score"))
 
 

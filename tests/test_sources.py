@@ -118,6 +118,22 @@ def test_scorer_errors_are_columns(spark):
     assert rows == {"AC": ([2.0], None), "AN": (None, "no N")}
 
 
+def test_criticality_scores_each_sequence_once(spark, tmp_path):
+    def scorer(seqs):
+        with open(tmp_path / "texts", "a") as f:
+            f.write("".join(f"{s}\n" for s in seqs))
+        return [[float(s.count(b)) for b in "ACGU"] if s != "AG" else None for s in seqs]
+
+    rows = [(i, "ACG") for i in range(40)] + [(50, "AU"), (51, ""), (52, None), (None, "ACG"), (60, "AC"), (60, "AC")]
+    found = scoring.embedding_criticality(spark.createDataFrame(rows, "k int, seq string"), ["k"], scorer).collect()
+    mutants = lambda s: {s[:i] + b + s[i + 1 :] for i in range(len(s)) for b in "ACGU" if b != s[i]}
+    texts = (tmp_path / "texts").read_text().split()
+    assert sorted(texts) == sorted(x for s in ("ACG", "AU", "AC") for x in (s, *mutants(s)))
+    got = {(r["k"], r["pos"]): r["score"] for r in found}
+    assert len(found) == len(got) and set(got) == {(k, p) for k in (*range(40), None) for p in (1, 2, 3)} | {(k, p) for k in (50, 60) for p in (1, 2)}
+    assert all(v == pytest.approx(2**0.5) for v in got.values())
+
+
 def test_masked_scan(spark):
     def log_probs(seqs):
         return [[-1.0, -2.0, -3.0, -4.0] for _ in seqs]

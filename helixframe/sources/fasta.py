@@ -55,11 +55,13 @@ def read_stockholm(spark: SparkSession, path: str) -> DataFrame:
 
     Blocks end with ``//``; rows of one id are joined in their order. Bytes
     beyond ASCII in names are not decoded. A gzip file is one task, so its
-    blocks are dealt out before they are parsed.
+    blocks are dealt out before they are parsed. What a block's lines share is
+    read once for a block, before they are rows.
     """
     blocks = spark.read.text(path, lineSep="//\n").where(F.contains("value", F.lit("#=GF AC"))).repartition(spark.sparkContext.defaultParallelism)
     tag = lambda t: F.nullif(F.trim(F.regexp_extract("value", rf"(?m)^#=GF {t}\s+(.*)$", 1)), F.lit(""))
-    lines = blocks.select(tag("AC").alias("family"), tag("ID").alias("family_name"), tag("TP").alias("kind"), F.xxhash64("value").alias("_b"), F.posexplode(F.split("value", "\n")).alias("_i", "line"))
+    heads = blocks.select(tag("AC").alias("family"), tag("ID").alias("family_name"), tag("TP").alias("kind"), F.xxhash64("value").alias("_b"), F.split("value", "\n").alias("_lines"))
+    lines = heads.select("family", "family_name", "kind", "_b", F.posexplode("_lines").alias("_i", "line"))
     rows = lines.where(~F.startswith("line", F.lit("#")) & F.rlike("line", F.lit(r"^\S+\s+\S"))).select("family", "family_name", "kind", "_b", "_i", F.regexp_extract("line", r"^(\S+)\s+(.*?)\s*$", 1).alias("seq_id"), F.regexp_extract("line", r"^(\S+)\s+(.*?)\s*$", 2).alias("part"))
     joined = rows.groupBy("_b", "family", "family_name", "kind", "seq_id").agg(F.array_sort(F.collect_list(F.struct("_i", "part"))).alias("_p"))
     return joined.where(F.col("family").isNotNull()).select("family", "family_name", "kind", "seq_id", F.array_join(F.transform("_p", lambda x: x["part"]), "").alias("aligned"), F.get("_p", F.lit(0))["_i"].alias("row_no"))

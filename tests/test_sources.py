@@ -56,6 +56,18 @@ def test_stockholm(spark, tmp_path):
     assert [(r["family"], r["aligned"], r["width"]) for r in kept] == [("RF1", "AC.GUUU", 7)]
 
 
+def test_long_stockholm_block(spark, tmp_path):
+    n = 3000
+    half = lambda text: "\n".join(f"s{i}  {text}{i}" for i in range(n))
+    (tmp_path / "s").write_text("".join(f"# STOCKHOLM 1.0\n#=GF AC {a}\n#=GF TP Gene\n{half('AC-')}\n\n{half('.GU')}\n//\n" for a in ("RF1", "RF2")))
+    rows = fasta.read_stockholm(spark, str(tmp_path / "s"))
+    assert {(r["family"], r["kind"], r["seq_id"], r["aligned"]) for r in rows.collect()} == {(a, "Gene", f"s{i}", f"AC-{i}.GU{i}") for a in ("RF1", "RF2") for i in range(n)}
+    # Once a block is lines, its whole text is not looked at again for each of them.
+    for df in (rows, rows.groupBy("family", "kind").count()):
+        above, generate, below = df._jdf.queryExecution().optimizedPlan().toString().partition("Generate posexplode")
+        assert generate and "#=GF" in below and "#=GF" not in above and "xxhash64" not in above
+
+
 def test_delimited_tables(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("id\tn\na\t1\nb\tnan\n")
     df = tables.read_strings(spark, str(tmp_path / "t.tsv"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
 from helixframe.operators import scoring
+from helixframe.plans import files
 from helixframe.sources import fasta, tables
 from helixframe.streaming import running
 
@@ -68,6 +69,15 @@ def test_long_stockholm_block(spark, tmp_path):
         assert generate and "#=GF" in below and "#=GF" not in above and "xxhash64" not in above
 
 
+def test_ungapped_rows_of_one_large_family(spark, tmp_path):
+    names = spark.range(3000).selectExpr("id AS p_partkey", "if(id % 3 = 0, 'acg tucked bolt', 'a') AS p_name", "'Brand#1' AS p_brand")
+    names.write.parquet(str(tmp_path / "part.parquet"))
+    found = files.stockholm_ungapped(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(("Brand#1", "brand#1", f"id{i}", "A" if i % 3 else "ACGUUCNNNNNNU") for i in range(3000))
+    above, generate, _ = found._jdf.queryExecution().optimizedPlan().toString().partition("Generate posexplode")
+    assert generate and "#=GF" not in above and "xxhash64" not in above
+
+
 def test_delimited_tables(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("id\tn\na\t1\nb\tnan\n")
     df = tables.read_strings(spark, str(tmp_path / "t.tsv"))

@@ -54,7 +54,7 @@ def members(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: st
 
 
 def _tree(places: DataFrame, by: Sequence[str]) -> tuple[DataFrame, int]:
-    """(by..., _level, _node, _ns, _ss) and the number of levels: each node lists the sums of up to NODE items in their order.
+    """(by..., _level, _node, _sums) and the number of levels: each node lists the sums _s of up to NODE items in their order.
 
     The items of level 0 are the places, those of the next level the nodes of
     the one before, until one node holds them all.
@@ -63,14 +63,14 @@ def _tree(places: DataFrame, by: Sequence[str]) -> tuple[DataFrame, int]:
     items, found = places, []
     while not found or most:
         level, most = len(found), most // NODE
-        listed = items.groupBy(*by, F.expr(f"_i div {NODE}").alias("_node")).agg(F.array_sort(F.collect_list(F.struct("_i", "_n", "_s"))).alias("_x"))  # NODE items at most
-        found.append(written(listed.select(*by, F.lit(level).alias("_level"), "_node", F.col("_x._n").alias("_ns"), F.col("_x._s").alias("_ss"))))
-        items = found[-1].select(*by, F.col("_node").alias("_i"), _total("_ns", "long").alias("_n"), _total("_ss", "double").alias("_s"))
+        listed = items.groupBy(*by, F.expr(f"_i div {NODE}").alias("_node")).agg(F.array_sort(F.collect_list(F.struct("_i", "_s"))).alias("_x"))  # NODE items at most
+        found.append(written(listed.select(*by, F.lit(level).alias("_level"), "_node", F.col("_x._s").alias("_sums"))))
+        items = found[-1].select(*by, F.col("_node").alias("_i"), _total("_sums").alias("_s"))
     return reduce(DataFrame.unionByName, found), len(found)
 
 
-def _total(items: str | Column, kind: str) -> Column:
-    return F.aggregate(items, F.lit(0).cast(kind), lambda s, x: s + x)
+def _total(items: str | Column) -> Column:
+    return F.aggregate(items, F.lit(0.0), lambda s, x: s + x)
 
 
 def _pieces(first: str, end: str, levels: int) -> Column:
@@ -91,24 +91,25 @@ def sums_inside(summed: DataFrame, intervals: DataFrame, keys: Sequence[str], by
 
     ``summed`` has by..., _at, _n, _s, each place once. Places and bounds are
     numbered in one order (ranking.cumulated), so that an interval is a range
-    of places, and this is put together from stretches of the nodes of a tree
-    of sums: two of a level at most, and a level for each power of NODE,
-    however many places lie inside and however intervals overlap. Nothing is
-    subtracted, so small sums keep their digits beside large ones, and what is
-    no number stays in the intervals that hold it.
+    of places. _n is the difference of running counts. _s is put together from
+    stretches of the nodes of a tree of sums: two of a level at most, and a
+    level for each power of NODE, however many places lie inside and however
+    intervals overlap. No sums are subtracted, so small ones keep their digits
+    beside large ones, and what is no number stays in the intervals that hold it.
     """
     held = intervals.where(F.col("_lo").isNotNull() & F.col("_hi").isNotNull() & (F.col("_hi") > F.col("_lo"))).select(*keys, "_lo", "_hi")
     bounds = held.select(*by, F.explode(F.array("_lo", "_hi")).alias("_at")).distinct()
     bounds = bounds.select("*", F.lit(None).cast("long").alias("_n"), F.lit(None).cast("double").alias("_s"), F.lit(0).alias("_place"), F.lit(1).alias("_bound"))
     marks = summed.select(*by, "_at", "_n", F.col("_s").cast("double").alias("_s"), F.lit(1).alias("_place"), F.lit(0).alias("_bound")).unionByName(bounds)
     values = marks.groupBy(*by, "_at").agg(*(F.max(c).alias(c) for c in ("_n", "_s", "_place", "_bound")))
-    numbered = written(cumulated(values, "_at", ["_place"], by).withColumnRenamed("before__place", "_i"))
-    tree, levels = _tree(numbered.where("_place = 1").select(*by, "_i", "_n", "_s"), by)
-    number = lambda bound, name: numbered.where("_bound = 1").select(*by, F.col("_at").alias(bound), F.col("_i").alias(name))
-    ranges = held.join(number("_lo", "_first"), [*by, "_lo"]).join(number("_hi", "_end"), [*by, "_hi"]).where("_first < _end").select(*keys, "_first", "_end")
-    pieces = ranges.select(*keys, F.explode(_pieces("_first", "_end", levels)).alias("_x")).select(*keys, "_x.*")
-    within = lambda items, kind: F.sum(_total(F.slice(items, F.col("_from"), F.col("_length")), kind))
-    return pieces.join(tree, [*by, "_level", "_node"]).groupBy(*keys).agg(within("_ns", "long").alias("n_in"), within("_ss", "double").alias("_in"))
+    numbered = written(cumulated(values, "_at", ["_place", "_n"], by).withColumnsRenamed({"before__place": "_i", "before__n": "_upto"}))
+    tree, levels = _tree(numbered.where("_place = 1").select(*by, "_i", "_s"), by)
+    number = lambda bound, side: numbered.where("_bound = 1").select(*by, F.col("_at").alias(bound), F.col("_i").alias(f"_i_{side}"), F.col("_upto").alias(f"_upto_{side}"))
+    ranges = held.join(number("_lo", "a"), [*by, "_lo"]).join(number("_hi", "b"), [*by, "_hi"]).where("_i_a < _i_b")
+    pieces = ranges.select(*keys, (F.col("_upto_b") - F.col("_upto_a")).alias("_n"), F.posexplode(_pieces("_i_a", "_i_b", levels)).alias("_p", "_x"))
+    pieces = pieces.select(*keys, F.when(F.col("_p") == 0, F.col("_n")).otherwise(0).alias("_n"), "_x.*")  # an interval's count goes with its first piece
+    within = _total(F.slice("_sums", F.col("_from"), F.col("_length")))
+    return pieces.join(tree, [*by, "_level", "_node"]).groupBy(*keys).agg(F.sum("_n").alias("n_in"), F.sum(within).alias("_in"))
 
 
 def inside_outside(points: DataFrame, intervals: DataFrame, point: str, value: str, interval: str, lo: str, hi: str, by: Sequence[str] = ()) -> DataFrame:
